@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, sharding
-from .common import table
+from . import bpe, langid, minhash, packing, quality, sharding
+from .common import fold, table
 
 
 def token_file(name: str) -> str:
@@ -22,6 +22,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = langid.identify(docs, learn=fold("doc_id", 4) != 2)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(pieces: DataFrame) -> DataFrame:
         return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -30,6 +36,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=2, percent=80)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality").withColumnRenamed("quality", "label")
+    scored = quality.score_quality(table(spark, sf_dir, "documents", "doc_id", "text"), labels, learn=fold("doc_id", 3) != 1)
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_file("word_bpe_49k.json")
     rows = bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"), path), path)
@@ -37,7 +53,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op6_packing, op10_bpe)}
+    return {f.__name__: f for f in (op2_sharding, op3_langid, op6_packing, op8_minhash, op9_quality, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
