@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, packing, quality, sharding
+from . import bpe, chat, ctph, langid, minhash, packing, quality, sharding
 from .common import fold, table
 
 
@@ -28,6 +28,18 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digest_conversations(chat.format_turns(rows.withColumn("parts", chat.text_parts("text"))))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ctph.edit_study(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(pieces: DataFrame) -> DataFrame:
         return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -53,7 +65,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_langid, op6_packing, op8_minhash, op9_quality, op10_bpe)}
+    return {f.__name__: f for f in (op2_sharding, op3_langid, op4_chat, op5_fingerprints, op6_packing, op8_minhash, op9_quality, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
