@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, ctph, langid, minhash, packing, quality, sharding
+from . import bpe, chat, ctph, langid, lm, minhash, packing, quality, sharding
 from .common import fold, table
 
 
@@ -17,6 +17,12 @@ def token_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    scored = lm.score_documents(docs, learn_from=fold("doc_id", 7) != 2)
+    return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_by_bytes(table(spark, sf_dir, "documents", "doc_id", "text"), shards=40)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -65,7 +71,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_langid, op4_chat, op5_fingerprints, op6_packing, op8_minhash, op9_quality, op10_bpe)}
+    return {f.__name__: f for f in (op1_lm, op2_sharding, op3_langid, op4_chat, op5_fingerprints, op6_packing, op8_minhash, op9_quality, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
