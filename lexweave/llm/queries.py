@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, ctph, langid, lm, minhash, packing, quality, sharding
+from . import bpe, chat, ctph, langid, lm, minhash, packing, quality, sharding, vecgraph
 from .common import fold, table
 
 
@@ -54,6 +54,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op7_vecgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecgraph.near_duplicate_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), threshold=0.95)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=2, percent=80)
 
@@ -71,7 +75,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm, op2_sharding, op3_langid, op4_chat, op5_fingerprints, op6_packing, op8_minhash, op9_quality, op10_bpe)}
+    return {f.__name__: f for f in (op1_lm, op2_sharding, op3_langid, op4_chat, op5_fingerprints, op6_packing, op7_vecgraph, op8_minhash, op9_quality, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
