@@ -66,3 +66,16 @@ def map_slices(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.Rec
                 yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict({c: out[c] for c in columns})
 
     return df.mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, text_col: str, keep: Callable[[str], bool]) -> DataFrame:
+    """The rows, with all columns, whose text (null: empty) is to be kept; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for start in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(start, SLICE)
+                yield piece.filter(pa.array([keep(t or "") for t in piece.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

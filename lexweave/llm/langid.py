@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE, map_slices, settle
+from .common import SLICE, keep_rows, map_slices, settle
 
 #: Hashed n-gram buckets, and the n-gram lengths.
 BITS, LENGTHS = 15, (1, 2, 3)
@@ -186,3 +186,15 @@ def identify(df: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = rows.where(F.col("lang").isNotNull())
     return predict(rows, fit(known.where(learn) if learn is not None else known, per_language))
+
+
+def keep_identified(df: DataFrame, least: float = 0.5, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
+    """The rows, with all columns, whose language is determined with a score of ``least`` or more, learnt from all known ones."""
+    known = df.where(F.col(lang_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    shared = df.sparkSession.sparkContext.broadcast(fit(known))
+
+    def sure(text: str) -> bool:
+        lang, p = shared.value.predict(text)
+        return lang != UNDETERMINED and p >= least
+
+    return keep_rows(df, text_col, sure)

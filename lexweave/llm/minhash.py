@@ -158,3 +158,17 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, bands: int
     out = signed.select("id", "n", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
+    """The rows, with all columns, of one document of each near-duplicate group, that of the smallest id.
+
+    Of rows of one id one is kept; rows without id are kept.
+    """
+    near = near_duplicates(df, id_col=id_col, text_col=text_col, **settings)
+    stay = settle(near.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")))
+    one = df.join(stay.where("n = 1").select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
+    if not stay.where("n > 1").isEmpty():
+        more = df.join(stay.where("n > 1").select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
+        one = one.unionByName(more.dropDuplicates([id_col]))
+    return one.unionByName(df.where(F.col(id_col).isNull()))
