@@ -41,15 +41,16 @@ CONTENT = (
 )
 
 
+def _short(names: list[str]) -> dict[str, int]:
+    """Months by full name, and by the first three letters where those tell one from the others."""
+    heads = [n[:3] for n in names]
+    return {h: i + 1 for i, h in enumerate(heads) if heads.count(h) == 1} | {n: i + 1 for i, n in enumerate(names)}
+
+
 def month_number(name: Column, lang: str) -> Column:
     """Month by its name, or by the first three letters of it."""
-    names = MONTHS[lang].split()
-    full = {n: i + 1 for i, n in enumerate(names)}
-    short: dict[str, int] = {}
-    for i, n in enumerate(names):
-        short[n[:3]] = 0 if n[:3] in short and n[:3] != n else i + 1
-    table = {k: v for k, v in short.items() if v} | full
-    return F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), F.lower(F.regexp_replace(name, r"[.,]", "")))
+    table = F.create_map(*(F.lit(x) for pair in _short(MONTHS[lang].split()).items() for x in pair))
+    return F.try_element_at(table, F.lower(F.regexp_replace(name, r"[.,]", "")))
 
 
 def pattern_date(text: Column, pattern: str, order: str, lang: str = "en") -> Column:
@@ -89,8 +90,36 @@ def url_date(site: Column, url: Column) -> Column:
     return F.when(site == "bbc", bbc_url_date(url)).when(site == "voa", voa_url_date(url)).when(site == "lenta", lenta_url_date(url))
 
 
+def _month_table() -> Column:
+    """``language:name`` to month for every month name and unambiguous three letters."""
+    entries: dict[str, int] = {}
+    for lang, names in MONTHS.items():
+        entries |= {f"{lang}:{k}": v for k, v in _short(names.split()).items()}
+    return F.create_map(*(F.lit(x) for pair in entries.items() for x in pair))
+
+
 def content_date(site: Column, lang: Column, content: Column) -> Column:
-    """By the patterns of the page's site and language, in their order. Chinese of either script has one."""
+    """By the patterns of the page's site and language, in their order. Chinese of either script has one.
+
+    The rules are data: a page looks up its few and one expression applies them, whatever their number.
+    """
+    rules: dict[str, list[Column]] = {}
+    for s, code, pattern, order, months in CONTENT:
+        place = {c: order.find(c) + 1 for c in "dmMyYt"}
+        fields = [F.lit(pattern).alias("pattern"), F.lit(months).alias("months"), *(F.lit(place[c]).alias(n) for c, n in zip("dmMyYt", ("day", "month", "word", "year", "short", "time"), strict=True))]
+        rules.setdefault(f"{s}:{code}", []).append(F.struct(*fields))
     plain = F.when(lang.startswith("zh"), F.lit("zh")).otherwise(lang)
-    tried = [F.when((site == s) & (plain == code), pattern_date(content, pattern, order, months)) for s, code, pattern, order, months in CONTENT]
-    return F.coalesce(*tried)
+    own = F.try_element_at(F.create_map(*(x for k, v in rules.items() for x in (F.lit(k), F.array(*v)))), F.concat_ws(":", site, plain))
+
+    def parsed(r: Column) -> Column:
+        def part(at: Column) -> Column:
+            return F.when(at > 0, F.call_function("regexp_extract", content, r.pattern, at))
+
+        name = F.lower(F.regexp_replace(part(r.word), r"[.,]", ""))
+        month = F.coalesce(part(r.month).try_cast("int"), F.try_element_at(_month_table(), F.concat_ws(":", r.months, name)))
+        year = F.coalesce(part(r.year).try_cast("int"), part(r.short).try_cast("int") + 2000)
+        time = F.split(F.coalesce(part(r.time), F.lit("0:0")), ":")
+        hour, minute = (F.get(time, F.lit(k)).try_cast("int") for k in (0, 1))
+        return F.try_make_timestamp(year, month, part(r.day).try_cast("int"), hour, minute, F.lit(0).cast("decimal(16,6)"))
+
+    return F.get(F.filter(F.transform(own, parsed), lambda x: x.isNotNull()), F.lit(0))

@@ -83,12 +83,20 @@ class Induction:
     def time_prepared(self) -> DataFrame:
         return T.normalize(T.tumbling(self.time, self.p.window_days, ("side", "stem")), ("side", "stem"))
 
+    def raw_scores(self, name: str = "s1") -> DataFrame:
+        return C.score_by_name(self.context, self.dictionary.select("src", "trg"), self.totals, name)
+
     def context_scores(self, name: str = "s1") -> DataFrame:
-        return C.score_by_name(self.context, self.dictionary.select("src", "trg"), self.totals, name).withColumn("score", F.round("score", 9))
+        """Rounded, so that ties are ties whatever the order of summation."""
+        return self.raw_scores(name).withColumn("score", F.round("score", 9))
+
+    @cached_property
+    def raw_time_scores(self) -> DataFrame:
+        return T.cosine(self.time_prepared)
 
     @cached_property
     def time_scores(self) -> DataFrame:
-        return T.cosine(self.time_prepared).withColumn("score", F.round("score", 9))
+        return self.raw_time_scores.withColumn("score", F.round("score", 9))
 
     # Phrases.
 

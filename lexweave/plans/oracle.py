@@ -71,7 +71,7 @@ SCORE = {
 
 
 def scored(weight: str, kind: str, source: str = "both_ctx") -> str:
-    return weighted(weight, source) + f", context_scores AS MATERIALIZED (SELECT src, trg, round({SCORE[kind]}, 9) AS score FROM pairs)\n"
+    return weighted(weight, source) + f", raw_scores AS (SELECT src, trg, {SCORE[kind]} AS score FROM pairs), context_scores AS MATERIALIZED (SELECT src, trg, round(score, 9) AS score FROM raw_scores)\n"
 
 
 TIME = """,
@@ -83,11 +83,12 @@ tdist AS MATERIALIZED (
 tum AS MATERIALIZED (SELECT side, stem, bin // 3 AS bin, sum(v) AS v FROM tdist GROUP BY 1, 2, 3),
 tnorm AS MATERIALIZED (SELECT side, stem, bin, v / sum(v) OVER (PARTITION BY side, stem) AS v FROM tum),
 tn AS MATERIALIZED (SELECT side, stem, sqrt(sum(v * v)) AS nn FROM tnorm GROUP BY 1, 2),
-time_scores AS MATERIALIZED (
-  SELECT d.src, d.trg, round(d.dot / (x.nn * y.nn), 9) AS score FROM (
+raw_time AS MATERIALIZED (
+  SELECT d.src, d.trg, d.dot / (x.nn * y.nn) AS score FROM (
     SELECT a.stem AS src, b.stem AS trg, sum(a.v * b.v) AS dot FROM tnorm a JOIN tnorm b ON a.bin = b.bin
     WHERE a.side = 'src' AND b.side = 'trg' GROUP BY 1, 2) d
-  JOIN tn x ON x.side = 'src' AND x.stem = d.src JOIN tn y ON y.side = 'trg' AND y.stem = d.trg)
+  JOIN tn x ON x.side = 'src' AND x.stem = d.src JOIN tn y ON y.side = 'trg' AND y.stem = d.trg),
+time_scores AS MATERIALIZED (SELECT src, trg, round(score, 9) AS score FROM raw_time)
 """
 
 EDIT = """,
@@ -351,7 +352,7 @@ def all_sql() -> dict[str, str]:
             SELECT stem, bin, round(v / sum(v) OVER (PARTITION BY stem), 9) AS v FROM d""",
         "time_align": sql(BASE, TIME, select="SELECT side, count(DISTINCT bin) AS bins, sum(v) AS v FROM tdist WHERE bin IN (SELECT bin FROM bins) GROUP BY side"),
         "time_merge": "SELECT date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS bin, (user_id % 10)::VARCHAR AS stem, count(*)::DOUBLE AS v FROM events GROUP BY 1, 2",
-        "score_time_cosine": sql(BASE, TIME, select="SELECT src, trg, round(score, 6) AS score FROM time_scores"),
+        "score_time_cosine": sql(BASE, TIME, select="SELECT src, trg, round(score, 6) AS score FROM raw_time"),
         "score_edit": sql(BASE, EDIT, select="SELECT src, trg, score FROM edit_scores"),
         "score_edit_translit": sql(BASE, select="""SELECT s.stem AS src, t.stem AS trg, levenshtein(s.stem, translate(t.stem, 'éèêàçùôîâ', 'eeeacuoia'))::DOUBLE AS score FROM sources s, targets t
             WHERE regexp_matches(s.stem, '^[a-z]+$') AND regexp_matches(translate(t.stem, 'éèêàçùôîâ', 'eeeacuoia'), '^[a-z]+$')"""),
@@ -359,7 +360,7 @@ def all_sql() -> dict[str, str]:
             FROM sources s CROSS JOIN targets t LEFT JOIN context_scores c ON c.src = s.stem AND c.trg = t.stem LEFT JOIN time_scores x ON x.src = s.stem AND x.trg = t.stem
             WHERE regexp_matches(s.stem, '^[a-z]+$') AND regexp_matches(t.stem, '^[a-z]+$')"""),
         "context_projected_prob": sql(BASE, CONTEXT, PROB, select="SELECT stem, ctx, round(ctx_n, 6) AS ctx_n, round(corp_n, 6) AS corp_n FROM pproj"),
-        "score_s1_prob": sql(BASE, CONTEXT, PROB, scored("idf", "cosine", "pboth_ctx"), select="SELECT src, trg, round(score, 6) AS score FROM context_scores"),
+        "score_s1_prob": sql(BASE, CONTEXT, PROB, scored("idf", "cosine", "pboth_ctx"), select="SELECT src, trg, round(score, 6) AS score FROM raw_scores"),
         "phrase_table_subset": sql(BASE, PHRASE, select="SELECT src, trg FROM ptab WHERE src IN (SELECT stem FROM sources)"),
         "phrase_single_tokens": sql(BASE, PHRASE, select="SELECT DISTINCT src FROM ptab WHERE n_tok = 1"),
         "phrase_context": sql(BASE, PHRASE, CWORDS, PHRASE_CONTEXT, select="SELECT side, stem, ctx, ctx_n, corp_n FROM pctx"),
@@ -367,13 +368,13 @@ def all_sql() -> dict[str, str]:
         "phrase_features": sql(BASE, FEATURES, select="SELECT p.src, p.trg, round(c.score, 6) AS ph_context, round(t.score, 6) AS ph_time FROM ptab p JOIN f_ctx c USING (src, trg) JOIN f_time t USING (src, trg)"),
         "lex_features": sql(BASE, LEXICAL, select="SELECT src, trg, round(lex_context, 6) AS lex_context, round(lex_time, 6) AS lex_time FROM lex"),
         "lex_edit": sql(BASE, PHRASE, LINKS, LEX_EDIT, select="SELECT src, trg, round(lex_edit, 6) AS lex_edit FROM ledit"),
-        "phrase_table_text": sql(BASE, LEXICAL, LEX_EDIT, select="""SELECT p.src || ' ||| ' || p.trg || ' ||| ' || printf('%.4f %.4f %.4f %s %s %.4f', 2.718, c.score, t.score, CASE WHEN l.lex_context IS NULL THEN '0' ELSE printf('%.4f', l.lex_context) END,
-            CASE WHEN l.lex_time IS NULL THEN '0' ELSE printf('%.4f', l.lex_time) END, e.lex_edit) AS line FROM ptab p JOIN f_ctx c USING (src, trg) JOIN f_time t USING (src, trg) JOIN lex l USING (src, trg) JOIN ledit e USING (src, trg)"""),
+        "phrase_table_text": sql(BASE, LEXICAL, LEX_EDIT, select="""SELECT p.src || ' ||| ' || p.trg || ' ||| ' || printf('%.6f %.6f %.6f %s %s %.6f', 2.718, c.score, t.score, CASE WHEN l.lex_context IS NULL THEN '0' ELSE printf('%.6f', l.lex_context) END,
+            CASE WHEN l.lex_time IS NULL THEN '0' ELSE printf('%.6f', l.lex_time) END, e.lex_edit) AS line FROM ptab p JOIN f_ctx c USING (src, trg) JOIN f_time t USING (src, trg) JOIN lex l USING (src, trg) JOIN ledit e USING (src, trg)"""),
         "phrase_order_counts": sql(BASE, ORDER, select="SELECT side, phrase, rel, ctx_phrase, n FROM pord"),
         "phrase_order_pruned": sql(BASE, ORDER, select="""SELECT side, phrase, rel, ctx_phrase FROM (SELECT o.*, row_number() OVER (PARTITION BY o.side, o.phrase, o.rel ORDER BY c.n, o.ctx_phrase) AS r
             FROM pord o JOIN pcounts c ON c.side = o.side AND c.phrase = o.ctx_phrase) WHERE r <= 3"""),
         "order_scores": sql(BASE, ORDER_SCORES, select="SELECT src, trg, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("b_mono", "b_swap", "b_disc", "a_mono", "a_swap", "a_disc")) + " FROM osc"),
-        "reordering_table_text": sql(BASE, ORDER_SCORES, select="SELECT src || ' ||| ' || trg || ' ||| ' || " + " || ' ' || ".join(f"CASE WHEN {c} IS NULL THEN '0.333333' ELSE printf('%.4f', {c}) END" for c in ("b_mono", "b_swap", "b_disc", "a_mono", "a_swap", "a_disc")) + " AS line FROM osc"),
+        "reordering_table_text": sql(BASE, ORDER_SCORES, select="SELECT src || ' ||| ' || trg || ' ||| ' || " + " || ' ' || ".join(f"CASE WHEN {c} IS NULL THEN '0.333333' ELSE printf('%.8f', {c}) END" for c in ("b_mono", "b_swap", "b_disc", "a_mono", "a_swap", "a_disc")) + " AS line FROM osc"),
         "lsh_signatures": sql(BASE, CONTEXT, weighted("idf"), LSH, select="SELECT side, stem, string_agg(CASE WHEN bit THEN '1' ELSE '0' END, '' ORDER BY b) AS bits FROM sgn WHERE side = 'src' GROUP BY 1, 2"),
         "lsh_cosine": sql(BASE, CONTEXT, weighted("idf"), LSH, select="""SELECT a.stem AS src, b.stem AS trg, round(greatest(0, cos(pi() * sum(CASE WHEN a.bit <> b.bit THEN 1 ELSE 0 END) / 256.0)), 6) AS score
             FROM sgn a JOIN sgn b ON a.b = b.b JOIN targets t ON t.stem = b.stem AND t.n > 50 WHERE a.side = 'src' AND b.side = 'trg' GROUP BY 1, 2"""),
@@ -389,7 +390,7 @@ def all_sql() -> dict[str, str]:
         "json_fields": "SELECT event_id, (props->>'$.k')::BIGINT AS k, -1::BIGINT AS missing, to_json(struct_pack(id := event_id, type := event_type))::VARCHAR AS built FROM events",
     }
     for name, (weight, kind) in {"binary": ("binary", "cosine"), "s0": ("count", "cosine"), "s1": ("idf", "cosine"), "s2": ("idf", "dice"), "s3": ("idf", "dice_cosine"), "tfidf": ("idf", "product")}.items():
-        out[f"score_{name}"] = sql(BASE, CONTEXT, scored(weight, kind), select="SELECT src, trg, round(score, 6) AS score FROM context_scores")
+        out[f"score_{name}"] = sql(BASE, CONTEXT, scored(weight, kind), select="SELECT src, trg, round(score, 6) AS score FROM raw_scores")
     return out
 
 

@@ -71,7 +71,7 @@ def _prob(i: Induction) -> DataFrame:
 
 
 def _score_prob(i: Induction) -> DataFrame:
-    return _rounded(C.score_by_name(i.context, D.probabilistic(i.dictionary), i.totals), "score", digits=9)
+    return _rounded(C.score_by_name(i.context, D.probabilistic(i.dictionary), i.totals), "score")
 
 
 def _rerank(i: Induction) -> DataFrame:
@@ -107,7 +107,7 @@ def _time_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _table_text(i: Induction) -> DataFrame:
     scored = phrase_scoring.scored_table(i)
     plain = scored.where(F.col("src").rlike("^[a-z ]+$") & F.col("trg").rlike("^[a-z ]+$"))
-    return plain.select(P.text_line("phrase_lexical", digits=4).alias("line"))
+    return plain.select(P.text_line("phrase_lexical", digits=6).alias("line"))
 
 
 def _order_pruned(i: Induction) -> DataFrame:
@@ -181,11 +181,11 @@ _STEPS: dict[str, Callable[[Induction], DataFrame]] = {
     "context_projected": lambda i: _rounded(i.weighted.where("side = 'src'").select("stem", "ctx", "w"), "w"),
     "context_projected_prob": lambda i: _rounded(_prob(i).select("stem", "ctx", "ctx_n", "corp_n"), "ctx_n", "corp_n"),
     "context_sizes": lambda i: P.context_sizes(i.table, C.project(i.phrase_context, i.dictionary.select("src", "trg")).select("side", "stem", "ctx").unionByName(i.phrase_context.where("side = 'trg'").select("side", "stem", "ctx"))),
-    **{f"score_{n}": (lambda i, n=n: _rounded(i.context_scores(n), "score")) for n in C.SCORERS},
-    "score_s1_prob": lambda i: _rounded(_score_prob(i), "score"),
+    **{f"score_{n}": (lambda i, n=n: _rounded(i.raw_scores(n), "score")) for n in C.SCORERS},
+    "score_s1_prob": _score_prob,
     "time_bins": lambda i: i.time,
     "time_align": lambda i: i.time.groupBy("side").agg(F.countDistinct("bin").alias("bins"), F.sum("v").alias("v")),
-    "score_time_cosine": lambda i: _rounded(i.time_scores, "score"),
+    "score_time_cosine": lambda i: _rounded(i.raw_time_scores, "score"),
     "score_edit": _edit_pairs,
     "score_edit_translit": _translit_pairs,
     "rank_context": induction.context_ranking,
@@ -209,7 +209,7 @@ _STEPS: dict[str, Callable[[Induction], DataFrame]] = {
     "phrase_order_counts": phrase_scoring.order_counts,
     "phrase_order_pruned": _order_pruned,
     "order_scores": lambda i: _rounded(phrase_scoring.order_scores(i), *_ORDER),
-    "reordering_table_text": lambda i: phrase_scoring.order_scores(i).select(O.text_line(digits=4).alias("line")),
+    "reordering_table_text": lambda i: phrase_scoring.order_scores(i).select(O.text_line(digits=8).alias("line")),
     "order_scores_lsh": lambda i: _rounded(S.order_scores(phrase_scoring.order_counts(i), i.table), *_ORDER),
     "lsh_signatures": _signature_bits,
     "lsh_cosine": _lsh_cosine,
