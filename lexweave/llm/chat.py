@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE
+from .common import SLICE, map_batches
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>\n"
 #: What must not stand in a text unescaped: the opening of this template's marks, and marks of other well-known templates.
@@ -129,7 +129,7 @@ def format_turns(df: DataFrame, parts_col: str = "parts", trained: tuple[str, ..
                 out = run(batch.slice(at, SLICE))
                 yield pa.RecordBatch.from_pydict({n: out[n] for n in names})
 
-    return rows.mapInArrow(each, FORMATTED)
+    return map_batches(rows, each, FORMATTED)
 
 
 def read_segment(formatted: str) -> tuple[str, str]:
@@ -185,4 +185,4 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
             close()
             yield flush()
 
-    return dealt.mapInArrow(run, DIGEST)
+    return map_batches(dealt, run, DIGEST)

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,22 +38,56 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_scopes: list[list[DataFrame]] = []
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/lexweave/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    if _scopes:
+        _scopes[-1].append(out)
+    return out
 
 
 def discard(*settled: DataFrame) -> None:
     """Removes tables that settle() wrote and nothing reads any more."""
     for df in settled:
         spark = df.sparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/lexweave/" in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._settled)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def temporary() -> Iterator[list[DataFrame]]:
+    """Tables settled inside are removed at the end, but for those put into the list that this gives."""
+    _scopes.append([])
+    kept: list[DataFrame] = []
+    try:
+        yield kept
+    finally:
+        for df in _scopes.pop():
+            if any(df is k for k in kept):
+                if _scopes:
+                    _scopes[-1].append(df)
+            else:
+                discard(df)
+
+
+#: Rows that go to a Python worker at a time; bounds what executor and worker hold of long texts.
+BATCH = 1024
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with small batches; a size that the session sets below BATCH stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH:
+        conf.set(name, BATCH)
+    return df.mapInArrow(fn, schema)
 
 
 def map_slices(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict]) -> DataFrame:
@@ -65,7 +100,7 @@ def map_slices(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.Rec
                 out = fn(batch.slice(at, SLICE))
                 yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict({c: out[c] for c in columns})
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def keep_rows(df: DataFrame, text_col: str, keep: Callable[[str], bool]) -> DataFrame:
@@ -78,4 +113,4 @@ def keep_rows(df: DataFrame, text_col: str, keep: Callable[[str], bool]) -> Data
                 piece = batch.slice(start, SLICE)
                 yield piece.filter(pa.array([keep(t or "") for t in piece.column(at).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, df.schema)

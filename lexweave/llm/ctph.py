@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE, map_slices, settle
+from .common import SLICE, map_batches, map_slices, settle
 
 #: Bytes that the rolling hash sees, smallest block size, most characters of the two signatures, shortest shared run.
 WINDOW, SMALLEST, LONG, SHORT, RUN = 7, 3, 64, 32, 4
@@ -199,7 +199,7 @@ def edit_study(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             out.append((last[0], None, None, last[2], None, None, None, part, "last", last[1]))
             yield flush()
 
-    done = settle(dealt.mapInArrow(run, ROW))
+    done = settle(map_batches(dealt, run, ROW))
     firsts = done.where("kind = 'first'").select("part", F.col("text").alias("after"), F.col("fingerprint").alias("next_print"))
     follow = done.where("kind = 'first'").select("part")  # a row a range
     whole = Window.orderBy("part")

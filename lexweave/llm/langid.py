@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE, keep_rows, map_slices, settle
+from .common import SLICE, discard, keep_rows, map_batches, map_slices, settle
 
 #: Hashed n-gram buckets, and the n-gram lengths.
 BITS, LENGTHS = 15, (1, 2, 3)
@@ -138,7 +138,7 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 4) ->
         at = np.flatnonzero(df_counts)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([rows], pa.int64()), pa.array([at], types[2]), pa.array([df_counts[at]], types[3])], names)
 
-    passed = settle(train.select("lang", order.alias("h"), "text").mapInArrow(run, "lang string, h long, at array<int>, n array<long>"))
+    passed = settle(map_batches(train.select("lang", order.alias("h"), "text"), run, "lang string, h long, at array<int>, n array<long>"))
     rows = passed.where("lang is null").agg(F.sum("h")).first()[0] or 0
     frequency = np.zeros(BUCKETS)
     totals = passed.where("lang is null").select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n"))
@@ -146,6 +146,7 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 4) ->
         frequency[r.at] = r.n
     idf = np.log((1 + rows) / (1 + frequency)) + 1
     sample = passed.where("lang is not null").orderBy("h", "lang").collect()  # per_language a language
+    discard(passed)
     languages = sorted(limits)
     place = {x: i for i, x in enumerate(languages)}
     # Rows that tie at the limit are left out beyond the bound.

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, settle
+from .common import SLICE, map_batches, settle
 
 WINDOW, OPEN, END_ID = 2048, 64, 1
 #: Partitions whose leftover windows are merged together; bounds a merging group to MERGE * OPEN windows.
@@ -121,7 +121,7 @@ def place_pieces(df: DataFrame, tokenizer: str, window: int = WINDOW, limit: int
         if held:
             yield emit([r for rows in held.values() for r in rows], True)
 
-    return df.mapInArrow(run, PIECE)
+    return map_batches(df, run, PIECE)
 
 
 def merge_leftovers(pieces: DataFrame, window: int = WINDOW, group: int = MERGE) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, map_slices, settle
+from .common import keep_rows, map_slices, settle, temporary
 
 #: Shrinkage of each class covariance towards the pooled one, and of that towards its diagonal.
 POOL, DIAGONAL, RIDGE = 0.4, 0.1, 1e-3
@@ -145,5 +145,6 @@ def score_quality(df: DataFrame, labels: DataFrame, learn: Column | None = None,
 
 def keep_good(df: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **settings: float) -> DataFrame:
     """The rows, with all columns, whose score is ``least`` or more; scores as in score_quality, learnt from all labels."""
-    model = fit(settle(text_statistics(df, id_col, text_col)), labels, **settings)
+    with temporary():
+        model = fit(settle(text_statistics(df, id_col, text_col)), labels, **settings)
     return keep_rows(df, text_col, lambda text: model.scores(np.array([statistics(text)]))[0] >= least)
