@@ -10,13 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_slices, settle
+from .common import discard, map_slices, settle, temporary
 from .components import components
 
-#: At 0.8 a band of four agrees with probability 0.41; all thirty miss in one pair of eight million.
-BANDS, ROWS = 30, 4
-#: Buckets of so many sets or fewer give all their pairs; larger ones give stars.
-ALL_PAIRS = 4
+#: At 0.8 a band of six agrees with probability 0.26; all forty miss in one pair of two hundred thousand.
+BANDS, ROWS = 40, 6
+#: Buckets of so many sets or fewer give all their pairs; larger ones give stars, in each round around so many centres.
+ALL_PAIRS, STARS = 8, (1, 8)
 #: Members that meet one copy of a centre's set.
 SALT = 500
 
@@ -88,52 +88,76 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return map_slices(docs, "id long, hashes array<long>", run)
 
 
-def candidate_pairs(members: DataFrame, all_pairs: int = ALL_PAIRS) -> tuple[DataFrame, DataFrame]:
-    """From members (band, id, n): stars (band, id, n, centre, centre_n) of large buckets, pairs likewise of small ones.
+def bucket_hubs(members: DataFrame, stars: int, seed: int) -> DataFrame:
+    """(band, size, c): of every bucket of two or more its size and its centres, nothing else is gathered.
 
-    Only a bucket's size and centre, the first by a hash of the id, are gathered.
+    A single centre comes first by a hash of the id, so that a group's buckets share few of them; several come first by
+    hashes of id and bucket, so that buckets differ.
     """
-    centres = settle(members.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n")).alias("c")).where("size > 1").select("band", "size", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n")))
-    joined = members.join(centres, "band")
-    stars = joined.where((F.col("size") > all_pairs) & (F.col("id") != F.col("centre"))).drop("size")
-    few = joined.where(F.col("size") <= all_pairs).groupBy("band").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("m"))
+    by = ["id"] if stars == 1 else ["id", "band"]
+    first = [F.min(F.struct(F.xxhash64(*by, F.lit(seed + k)).alias("h"), "id", "n")).alias(f"c{k}") for k in range(stars)]
+    buckets = members.groupBy("band").agg(F.count("*").alias("size"), *first).where("size > 1")
+    return buckets.select("band", "size", F.array_distinct(F.array(*(F.struct(F.col(f"c{k}.id").alias("id"), F.col(f"c{k}.n").alias("n")) for k in range(stars)))).alias("c"))
+
+
+EDGE = ["id", "n", "centre", "centre_n"]
+
+
+def star_edges(some: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Edges from some members (band, id, n) to the centres of their large buckets."""
+    joined = some.join(hubs.where(F.col("size") > ALL_PAIRS), "band")
+    return joined.select("id", "n", F.explode("c").alias("c")).select("id", "n", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n")).where("id <> centre")
+
+
+def small_pairs(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """All pairs of small buckets, at most ALL_PAIRS members each."""
+    few = members.join(hubs.where(F.col("size") <= ALL_PAIRS).select("band"), "band").groupBy("band").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("m"))
     ordered = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: y.id > x.id), lambda y: F.struct(y.id.alias("id"), y.n.alias("n"), x.id.alias("centre"), x.n.alias("centre_n")))))
-    pairs = few.select("band", F.explode(ordered).alias("p")).select("band", "p.*")
-    return stars, pairs
+    return few.select(F.explode(ordered).alias("p")).select("p.*")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (id, centre) whose full sets are as alike as asked. A centre of many is copied once for every SALT of them."""
+    """The pairs (id, centre) whose full sets are as alike as asked. A centre of many is copied once for every SALT of them.
+
+    All joins go by shuffle, few pairs or many, so that the plan is the same at every size.
+    """
     load = pairs.groupBy("centre").agg(F.ceil(F.count("*") / SALT).cast("int").alias("copies"))
     salted = pairs.join(load, "centre").withColumn("salt", F.expr("pmod(xxhash64(id), copies)").cast("int"))
-    mine = salted.join(sets, "id").select("id", "centre", "salt", "hashes")
-    theirs = load.join(sets.withColumnRenamed("id", "centre"), "centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.col("hashes").alias("others"))
+    mine = salted.hint("merge").join(sets, "id").select("id", "centre", "salt", "hashes")
+    theirs = load.hint("merge").join(sets.withColumnRenamed("id", "centre"), "centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.col("hashes").alias("others"))
     both = F.size(F.array_intersect("hashes", "others"))
-    met = mine.join(theirs, ["centre", "salt"]).withColumn("both", both).withColumn("all", F.size("hashes") + F.size("others") - F.col("both"))
+    met = mine.hint("merge").join(theirs, ["centre", "salt"]).withColumn("both", both).withColumn("all", F.size("hashes") + F.size("others") - F.col("both"))
     return met.where(F.col("both") * 100 >= F.col("all") * percent).select("id", "centre")
 
 
 def links(docs: DataFrame, firsts: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) among the sets in firsts (id, n, bands).
 
-    Members of a large bucket that are not like its centre form a bucket of their own and try again, until none is left.
+    Buckets are sized first and those of one member dropped; the texts of the others' members are read once for their
+    full sets. Small buckets give all pairs, large ones a star. Sets that are then linked with nothing are compared with
+    more centres of all their large buckets. Texts are dealt by id whatever the size, so that the plan is the same
+    everywhere.
     """
-    members = settle(firsts.select("id", "n", F.explode("bands").alias("band")))
-    found = None
-    while True:
-        stars, pairs = candidate_pairs(members)
-        stars, pairs = settle(stars), settle(pairs)
+    every = firsts.select("id", "n", F.explode("bands").alias("band"))
+    shared = every.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band")
+    members = settle(every.join(shared, "band", "left_semi"))
+    needed = members.select("id").distinct()
+    sets = settle(shingle_sets(docs.join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), width))
+    found, some = None, members
+    for turn, stars in enumerate(STARS):
+        hubs = settle(bucket_hubs(members, stars, 100 * turn))
+        edges = star_edges(some, hubs)
+        if not turn:
+            edges = edges.select(EDGE).unionByName(small_pairs(members, hubs))
         fits = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * percent
-        asked = settle(stars.unionByName(pairs).where(fits).select("id", "centre").distinct())
-        needed = asked.select("id").unionByName(asked.select(F.col("centre").alias("id"))).distinct()
-        sets = settle(shingle_sets(docs.join(needed, "id", "left_semi").dropDuplicates(["id"]), width))
+        asked = settle(edges.where(fits).select(F.greatest("id", "centre").alias("id"), F.least("id", "centre").alias("centre")).distinct())
         confirmed = settle(confirm(asked, sets, percent))
         found = confirmed if found is None else found.unionByName(confirmed)
-        failed = settle(stars.join(confirmed, ["id", "centre"], "left_anti").select("id", "n", "band"))
-        discard(sets, asked, pairs, stars, members)
-        members = failed
-        if members.isEmpty():
-            return found.select(F.col("id").alias("a"), F.col("centre").alias("b"))
+        linked = found.select("id").unionByName(found.select(F.col("centre").alias("id"))).distinct()
+        some = members.join(linked, "id", "left_anti")
+        discard(asked, hubs)
+    discard(sets, members)
+    return found.select(F.col("id").alias("a"), F.col("centre").alias("b"))
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,8 +189,10 @@ def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows of one id one is kept; rows without id are kept.
     """
-    near = near_duplicates(df, id_col=id_col, text_col=text_col, **settings)
-    stay = settle(near.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")))
+    with temporary() as kept:
+        near = near_duplicates(df, id_col=id_col, text_col=text_col, **settings)
+        stay = settle(near.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")))
+        kept.append(stay)
     one = df.join(stay.where("n = 1").select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
     if not stay.where("n > 1").isEmpty():
         more = df.join(stay.where("n > 1").select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
