@@ -42,11 +42,11 @@ def places(feature: Column) -> Column:
 def signatures(vectors: DataFrame, keys: tuple[str, ...] = ("side", "stem"), feature: str = "feature", value: str = "v") -> DataFrame:
     """(keys, sig): four 64-bit words, bit k set where the vector's projection on the k-th random direction is positive.
 
-    Features are hashed once each; products are added up per vector and bit before the shuffle.
+    Features are hashed, and their directions made, once each; products are added up per vector and bit before the shuffle.
     """
-    hashed = vectors.select(feature).distinct().withColumn("places", places(F.col(feature)))
-    opened = vectors.join(hashed, feature).select(*keys, F.col(value).alias("v"), F.posexplode("places").alias("bit", "at"))
-    sums = opened.groupBy(*keys, "bit").agg(F.sum(F.col("v") * gaussian(F.col("at"))).alias("s"))
+    hashed = vectors.select(feature).distinct().withColumn("directions", F.transform(places(F.col(feature)), gaussian))
+    opened = vectors.join(hashed, feature).select(*keys, F.col(value).alias("v"), F.posexplode("directions").alias("bit", "g"))
+    sums = opened.groupBy(*keys, "bit").agg(F.sum(F.col("v") * F.col("g")).alias("s"))
     one = F.lit(1).cast("long")
     words = [F.bit_or(F.when((F.floor(F.col("bit") / WORD) == w) & (F.col("s") > 0), F.call_function("shiftleft", one, (F.col("bit") % WORD).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(BITS // WORD)]
     return sums.groupBy(*keys).agg(*words).select(*keys, F.array(*(f"w{w}" for w in range(BITS // WORD))).alias("sig"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import context as C
+from .vocab import spans
 
 PENALTY = 2.718
 # Names and order of the feature slots, and the layouts that are written.
@@ -23,12 +24,12 @@ LAYOUTS = {
 def collect_context(rows: DataFrame, phrases: DataFrame, words: DataFrame, longest: int = 3, left: int = 2, right: int = 2) -> DataFrame:
     """(side, stem, ctx, ctx_n, corp_n) of listed phrases (side, phrase): the nearest words that end before or start after.
 
-    Words lie inside white-space tokens, so neighbours are cut from arrays; a few tokens suffice unless many hold no word.
+    Listed occurrences are found first; only they meet their sentence again, whose words lie inside white-space tokens, so
+    that neighbours are cut from arrays. A few tokens suffice unless many hold no word.
     """
+    key = ["side", "doc", "day_idx", "line_no", "sent_no"]
     reach = 4 * max(left, right) + 4
-    inner = F.transform("toks", lambda t: F.filter(X.words(t), lambda w: w != ""))
-    held = rows.withColumn("inner", inner)
-    size = F.size("toks")
+    size = F.size("inner")
 
     def before(pos: Column) -> Column:
         near = F.flatten(F.slice(F.col("inner"), F.greatest(pos - reach, F.lit(0)) + 1, F.least(pos, F.lit(reach))))
@@ -40,10 +41,12 @@ def collect_context(rows: DataFrame, phrases: DataFrame, words: DataFrame, longe
         some = F.when((F.size(near) >= right) | (size - end <= reach), near).otherwise(F.flatten(F.slice(F.col("inner"), end + 1, size)))
         return F.slice(some, F.lit(1), F.lit(right))
 
-    grams = F.transform(X.ngrams(F.col("toks"), longest), lambda g: F.struct(g.text.alias("phrase"), F.concat(before(g.pos), after(g.pos + g.n)).alias("around")))
-    found = held.select("side", F.explode(grams).alias("g")).select("side", "g.phrase", "g.around").join(phrases.select("side", "phrase"), ["side", "phrase"], "left_semi")
+    hits = spans(rows, longest).join(phrases.select("side", "phrase"), ["side", "phrase"], "left_semi")
+    inner = F.transform("toks", lambda t: F.filter(X.words(t), lambda w: w != ""))
+    found = hits.join(rows.select(*key, inner.alias("inner")), key)
     known = words.select("side", F.col("stem").alias("ctx"), F.col("n").alias("corp_n"))
-    pairs = found.select("side", F.col("phrase").alias("stem"), F.explode("around").alias("ctx")).join(known, ["side", "ctx"])
+    around = F.concat(before(F.col("pos")), after(F.col("pos") + F.col("n_tok")))
+    pairs = found.select("side", F.col("phrase").alias("stem"), F.explode(around).alias("ctx")).join(known, ["side", "ctx"])
     return pairs.groupBy("side", "stem", "ctx").agg(F.count("*").cast("double").alias("ctx_n"), F.max("corp_n").cast("double").alias("corp_n"))
 
 

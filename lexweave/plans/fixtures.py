@@ -20,7 +20,11 @@ from ..sources import tables
 
 @dataclass
 class Induction:
-    """The steps of lexicon induction over one folder of tables, each made when first asked for."""
+    """The steps of lexicon induction over one folder of tables, each made when first asked for.
+
+    What several steps read, counts and other aggregates far smaller than the corpus, is persisted: the corpus is read once
+    for the counts and once for each property.
+    """
 
     spark: SparkSession
     sf_dir: str
@@ -36,7 +40,7 @@ class Induction:
 
     @cached_property
     def counts(self) -> DataFrame:
-        return V.word_counts(self.sents)
+        return V.word_counts(self.sents).persist()
 
     @cached_property
     def vocab(self) -> DataFrame:
@@ -68,7 +72,7 @@ class Induction:
 
     @cached_property
     def context(self) -> DataFrame:
-        return C.collect(self.sents, self.stems, self.context_words, self.p.window, self.p.window)
+        return C.collect(self.sents, self.stems, self.context_words, self.p.window, self.p.window).persist()
 
     @cached_property
     def weighted(self) -> DataFrame:
@@ -77,7 +81,7 @@ class Induction:
 
     @cached_property
     def time(self) -> DataFrame:
-        return T.align(T.collect_words(self.sents, self.stems), T.days_with_text(self.corpus))
+        return T.align(T.collect_words(self.sents, self.stems), T.days_with_text(self.corpus)).persist()
 
     @cached_property
     def time_prepared(self) -> DataFrame:
@@ -117,7 +121,7 @@ class Induction:
         whole = known.where("k = n_tok").select(F.col("phrase").alias("src"), F.array_join(F.transform("t", lambda x: x.trg), " ").alias("trg"), "n", "n_tok")
         top = whole.orderBy(F.desc("n"), "src").limit(self.p.phrases)
         each = F.transform(F.sequence(F.lit(0), F.col("n_tok") - 1), lambda i: F.array(i))
-        return top.select("src", "trg", each.alias("fwd"), each.alias("bwd"))
+        return top.select("src", "trg", each.alias("fwd"), each.alias("bwd")).persist()
 
     @cached_property
     def listed(self) -> DataFrame:
@@ -126,11 +130,11 @@ class Induction:
 
     @cached_property
     def phrase_context(self) -> DataFrame:
-        return P.collect_context(self.phrase_rows, self.listed, self.context_words, self.p.ngram, self.p.window, self.p.window)
+        return P.collect_context(self.phrase_rows, self.listed, self.context_words, self.p.ngram, self.p.window, self.p.window).persist()
 
     @cached_property
     def phrase_time(self) -> DataFrame:
-        return T.collect_phrases(self.spans, self.listed)
+        return T.collect_phrases(self.spans, self.listed).persist()
 
     @cached_property
     def phrase_time_vectors(self) -> DataFrame:

@@ -121,8 +121,10 @@ def _signature_bits(i: Induction) -> DataFrame:
 
 
 def _lsh_cosine(i: Induction) -> DataFrame:
-    sigs = S.signatures(i.weighted.withColumnRenamed("ctx", "feature").withColumnRenamed("w", "v"))
-    pairs = E.pairs(i.sources, i.targets.where("n > 50"))
+    common = i.targets.where("n > 50")
+    vectors = i.weighted.join(i.sources.unionByName(common).select("side", "stem"), ["side", "stem"], "left_semi")
+    sigs = S.signatures(vectors.withColumnRenamed("ctx", "feature").withColumnRenamed("w", "v"))
+    pairs = E.pairs(i.sources, common)
     return _rounded(S.pair_scores(pairs, sigs), "score")
 
 

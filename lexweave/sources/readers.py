@@ -92,7 +92,7 @@ def same_files(src: DataFrame, trg: DataFrame) -> bool:
 
 def numbered_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """(line_no, line) of one file, numbered in order."""
-    whole = spark.read.option("encoding", encoding).option("wholetext", "true").text(path)
+    whole = spark.read.option("encoding", encoding).text(path, wholetext=True)
     return whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\r?\n")).alias("line_no", "line"))
 
 
