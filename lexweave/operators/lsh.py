@@ -86,7 +86,7 @@ def order_vectors(pctx: DataFrame, table: DataFrame) -> DataFrame:
 
 def order_scores(pctx: DataFrame, table: DataFrame) -> DataFrame:
     """(src, trg, b_mono .. a_disc): similarities of the order signatures, not normalised; a missing vector is empty."""
-    sigs = signatures(order_vectors(pctx, table), keys=("side", "rel", "stem"))
+    sigs = signatures(order_vectors(pctx, table), keys=("side", "rel", "stem")).persist()  # read five times
     out = table.select("src", "trg").distinct()
     for side, rels in (("src", ("before", "after")), ("trg", ("before", "after", "disc"))):
         for rel in rels:
