@@ -78,5 +78,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_lm, op2_sharding, op3_langid, op4_chat, op5_fingerprints, op6_packing, op7_vecgraph, op8_minhash, op9_quality, op10_bpe)}
 
 
+_REACH = """
+reach AS (SELECT id, id AS r FROM every UNION SELECT reach.id, link.b FROM reach JOIN link ON link.a = reach.r),
+lowest AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+"""
+
+OP7_SQL = f"""
+WITH RECURSIVE every AS (SELECT vec_id AS id FROM embeddings),
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+good AS MATERIALIZED (
+  SELECT vec_id, e FROM v WHERE len(e) > 0 AND list_count(e) = len(e) AND len([x FOR x IN e IF NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+link AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+{_REACH}
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept
+FROM lowest LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) ON a = id
+"""
+
+OP8_SQL = f"""
+WITH RECURSIVE every AS (SELECT doc_id AS id FROM documents),
+words AS (
+  SELECT doc_id, [w FOR w IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') IF w <> ''] AS w FROM documents),
+runs AS (
+  SELECT doc_id, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS s FROM words WHERE len(w) >= 2
+  UNION ALL SELECT doc_id, w[1] FROM words WHERE len(w) = 1),
+sets AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM runs),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+met AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+half AS MATERIALIZED (
+  SELECT met.a, met.b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+link AS MATERIALIZED (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+{_REACH}
+SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, id = component_id AS kept FROM lowest LEFT JOIN sizes ON doc_id = id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_vecgraph": OP7_SQL, "op8_minhash": OP8_SQL}
