@@ -16,9 +16,15 @@ def side_of(lang: Column) -> Column:
     return F.when(lang == "en", F.lit("src")).when(lang == "fr", F.lit("trg"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows anew where a scan has fewer tasks than there are cores, as with one small file; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def corpus(spark: SparkSession, sf_dir: str, days: int = 30) -> DataFrame:
     """corpus(side, doc, day_idx, line_no, line) from the English (source) and French (target) documents."""
-    docs = read(spark, sf_dir, "documents").where(F.col("lang").isin(*SIDES))
+    docs = spread(read(spark, sf_dir, "documents").where(F.col("lang").isin(*SIDES)).select("doc_id", "lang", "text"))
     rows = docs.select(side_of(F.col("lang")).alias("side"), F.col("doc_id").alias("doc"), F.pmod("doc_id", F.lit(days)).cast("int").alias("day_idx"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return rows
 
