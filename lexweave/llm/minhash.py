@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ BANDS, ROWS = 40, 6
 ALL_PAIRS, STARS = 8, (1, 8)
 #: Members that meet one copy of a centre's set.
 SALT = 500
+#: Members of a block, about, and bits of the sketches that blocks are screened by.
+BLOCK, BITS = 400, 2048
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,6 +119,69 @@ def small_pairs(members: DataFrame, hubs: DataFrame) -> DataFrame:
     return few.select(F.explode(ordered).alias("p")).select("p.*")
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """id, sketch of each full set: the parity of the hashes that fall on each of BITS bits."""
+
+    def parity(hashes) -> bytes:
+        place = np.asarray(hashes, np.int64) & (BITS - 1)
+        return np.packbits(np.bincount(place, minlength=BITS) & 1).tobytes()
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"id": batch.column(0), "sketch": pa.array([parity(h) for h in batch.column(1).to_pylist()], pa.binary())}
+
+    return map_slices(sets.select("id", "hashes"), "id long, sketch binary", run)
+
+
+def screen(m: dict, two: bool, percent: int) -> np.ndarray:
+    """Index pairs of members whose classes differ and whose sketches allow the likeness; of two blocks, pairs across.
+
+    Sketches differ in no more bits than sets in members, so that no pair as alike as asked is left out. Pairs within
+    the most frequent class are passed over.
+    """
+    _, code, counts = np.unique(m["class"], return_inverse=True, return_counts=True)
+    odd, found = code != counts.argmax(), [np.zeros((0, 2), np.int64)]
+    order = np.arange(len(code))
+    for i in np.flatnonzero(odd):
+        js = np.flatnonzero((code != code[i]) & (~odd | (order > i)) & ((m["far"] != m["far"][i]) | (not two)))
+        apart = np.bitwise_count(m["sketch"][js] ^ m["sketch"][i]).sum(1, dtype=np.int64)
+        js = js[apart * (100 + percent) <= (m["n"][i] + m["n"][js]) * (100 - percent)]
+        found.append(np.stack([np.full(len(js), i), js], 1))
+    return np.concatenate(found)
+
+
+def block_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """EDGE pairs of large buckets that stars left in different classes (node, component): the rest, without a cap.
+
+    A bucket is cut by size of the set, so that only neighbouring steps can hold alike sets, and each step into blocks
+    of BLOCK members by a hash of the id. Every two blocks that may hold a pair meet in one row; sketches screen there.
+    """
+    step = F.floor(F.log("n") / math.log(101 / percent)).cast("int")
+    named = members.join(classes, F.col("id") == F.col("node"), "left").select("band", "id", "n", F.coalesce("component", "id").alias("class"), step.alias("step"))
+    open_ = named.groupBy("band").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).where(f"size > {ALL_PAIRS} and low <> high").select("band")
+    rest = settle(named.join(open_, "band"))
+    some = sets.join(rest.select("id").distinct(), "id", "left_semi")
+    drawn = settle(sketches(some))
+    parts = rest.groupBy("band", "step").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    near = parts.select("band", (F.col("step") - 1).alias("step"), F.col("parts").alias("above"))
+    below = parts.select("band", (F.col("step") + 1).alias("step"), F.col("parts").alias("below"))
+    spread = parts.join(near, ["band", "step"], "left").join(below, ["band", "step"], "left").na.fill(0, ["above", "below"])
+    own = F.expr("transform(sequence(0, parts - 1), q -> struct(step AS s, step AS t, least(q, part) AS p, greatest(q, part) AS q, part > q AS far))")
+    up = F.expr("transform(filter(sequence(0, above), q -> q < above), q -> struct(step AS s, step + 1 AS t, part AS p, q AS q, false AS far))")
+    down = F.expr("transform(filter(sequence(0, below), q -> q < below), q -> struct(step - 1 AS s, step AS t, q AS p, part AS q, true AS far))")
+    dealt = rest.join(spread, ["band", "step"]).withColumn("part", F.expr("pmod(xxhash64(id), parts)").cast("int"))
+    placed = dealt.select("band", "id", "n", "class", F.explode(F.concat(own, up, down)).alias("b")).join(drawn, "id")
+    two = (F.col("b.s") != F.col("b.t")) | (F.col("b.p") != F.col("b.q"))
+
+    def run(group: pa.Table) -> pa.Table:
+        m = {k: group.column(k).to_numpy() for k in ("id", "n", "class", "far")}
+        m["sketch"] = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(group), -1)
+        i, j = screen(m, group.column("two")[0].as_py(), percent).T
+        return pa.table(dict(zip(EDGE, (m["id"][i], m["n"][i], m["id"][j], m["n"][j]))))
+
+    met = placed.select("band", "b.s", "b.t", "b.p", "b.q", "id", "n", "class", "sketch", "b.far", two.alias("two"))
+    return met.groupBy("band", "s", "t", "p", "q").applyInArrow(run, "id long, n long, centre long, centre_n long")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (id, centre) whose full sets are as alike as asked. A centre of many is copied once for every SALT of them.
 
@@ -131,12 +197,13 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, firsts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) among the sets in firsts (id, n, bands).
+    """Confirmed links (a, b), or such as give the same classes, among the sets in firsts (id, n, bands).
 
     Buckets are sized first and those of one member dropped; the texts of the others' members are read once for their
     full sets. Small buckets give all pairs, large ones a star. Sets that are then linked with nothing are compared with
-    more centres of all their large buckets. Texts are dealt by id whatever the size, so that the plan is the same
-    everywhere.
+    more centres of all their large buckets. What stars leave in different classes of a large bucket is compared in
+    blocks, whatever its size. Links that stars found are given as links to the least of their class. Texts are dealt by
+    id whatever the size, so that the plan is the same everywhere.
     """
     every = firsts.select("id", "n", F.explode("bands").alias("band"))
     shared = every.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band")
@@ -156,8 +223,13 @@ def links(docs: DataFrame, firsts: DataFrame, width: int, percent: int) -> DataF
         linked = found.select("id").unionByName(found.select(F.col("centre").alias("id"))).distinct()
         some = members.join(linked, "id", "left_anti")
         discard(asked, hubs)
-    discard(sets, members)
-    return found.select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    linked = settle(components(found.select(F.col("id").alias("a"), F.col("centre").alias("b"))))
+    fits = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * percent
+    rest = block_pairs(members, linked, sets, percent).where(fits)
+    asked = settle(rest.select(F.greatest("id", "centre").alias("id"), F.least("id", "centre").alias("centre")).distinct())
+    more = settle(confirm(asked, sets, percent))
+    discard(asked, sets, members)
+    return linked.toDF("a", "b").unionByName(more.toDF("a", "b"))
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,8 @@
+import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from lexweave.llm import components, langid, minhash, quality, queries
 from pyspark.sql import functions as F
@@ -56,6 +58,44 @@ def test_minhash_of_hot_and_mixed_groups(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 2, 80).collect()} == want
 
 
+@pytest.mark.parametrize("block", [6, 1000])
+def test_minhash_links_that_no_star_finds(spark, monkeypatch, block):
+    """Walks away from one text: large buckets in which many links lie far from any centre, against all pairs."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "ALL_PAIRS", 1)
+    monkeypatch.setattr(minhash, "STARS", (1,))
+    rng = random.Random(5)
+    base, texts = [f"w{i}" for i in range(150)], {}
+    for walk in range(30):
+        words = list(base)
+        for step in range(6):
+            for _ in range(rng.choice([2, 6, 8, 9])):
+                words[rng.randrange(len(words))] = f"x{walk}.{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(words[: rng.choice([150, 150, 130])])
+    df = spark.createDataFrame([(i, t, None, None, "x", 5) for i, t in texts.items()], DOCS)
+    want = brute_components(texts, 2, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 2, 80).collect()} == want
+    assert len({c for _, c in want.values()}) > 5
+
+
+def test_screen_leaves_no_alike_pair_out():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(-(2**63), 2**63 - 1, 4000)
+    for size in (1, 4, 30, 400, 3000):
+        core = rng.choice(pool, size, replace=False)
+        sets = [np.unique(np.concatenate([rng.permutation(core)[: max(1, int(size * share))], rng.choice(pool, size // 8)])) for share in rng.uniform(0.7, 1, 25)]
+        bits = [np.packbits(np.bincount(s & (minhash.BITS - 1), minlength=minhash.BITS) & 1) for s in sets]
+        m = {"n": np.array([len(s) for s in sets]), "class": np.arange(25) // 2, "far": np.arange(25) % 3 == 0, "sketch": np.stack(bits).view(np.uint64)}
+        for two in (False, True):
+            got = {frozenset(map(int, x)) for x in minhash.screen(m, two, 80)}
+            for i in range(25):
+                for j in range(i):
+                    both = len(np.intersect1d(sets[i], sets[j]))
+                    alike = both * 100 >= (len(sets[i]) + len(sets[j]) - both) * 80
+                    apart = m["class"][i] != m["class"][j] and (not two or m["far"][i] != m["far"][j])
+                    assert not (alike and apart) or frozenset((i, j)) in got
+
+
 def test_minhash_of_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c", None, None, None, 1), (1, "d e f", None, None, None, 1), (2, "a b c", None, None, None, 1), (3, "d e f", None, None, None, 1), (None, "a b c", None, None, None, 1), (9, "q " * 5000, None, None, None, 1)], DOCS)
     rows = sorted((r.doc_id if r.doc_id is not None else -1, r.component_id, r.kept) for r in minhash.near_duplicates(df, 2, 80).collect())
