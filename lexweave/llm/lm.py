@@ -7,6 +7,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,14 @@ SHORTLIST, CLASS = 4096, 64
 #: Words whose counts every worker knows; the rest are joined.
 HEAD = 131_072
 EMBED, HIDDEN = 24, 32
-#: Steps that errors run back through, and streams trained side by side; streams scored side by side and steps at a time.
-TRUNCATE, TRAIN_LANES = 16, 64
+#: Steps that errors run back through, and least and most streams trained side by side; streams scored side by side and
+#: steps at a time.
+TRUNCATE, TRAIN_LANES, MOST_LANES = 16, 64, 256
 SCORE_LANES, WINDOW = 512, 64
 #: Tokens that a worker lines up before it scores them.
 LINED_UP = 2_000_000
-#: Share of training documents that the averaged round learns from, and documents of the first round that starts it.
-RATE, START = 1 / 32, 512
+#: Averaged rounds, each over its own part of the training documents, and documents of the round that starts them.
+ROUNDS, START = 4, 512
 #: Stands for the end in the counts; no word holds a blank.
 END = b" "
 
@@ -220,18 +222,23 @@ def line_up(docs: list[np.ndarray], lanes: int, size: int) -> tuple[np.ndarray,
 
 
 def train(model: Gru, docs: list[np.ndarray], rate: float) -> int:
-    """One pass of truncated backpropagation; the state goes on from window to window. Gives the number of tokens."""
+    """One pass of truncated backpropagation; the state goes on from window to window. Gives the number of tokens.
+
+    Many documents make wider batches, which take less time a token and learn as well.
+    """
     if not docs:
         return 0
-    inputs, targets, _ = line_up(docs, TRAIN_LANES, model.n)
+    inputs, targets, _ = line_up(docs, min(MOST_LANES, max(TRAIN_LANES, len(docs) // 8)), model.n)
     adam, h = Adam(model, rate), np.zeros((inputs.shape[1], HIDDEN), np.float32)
-    windows = range(0, len(inputs), TRUNCATE)
+    windows, full = range(0, len(inputs), TRUNCATE), TRUNCATE * inputs.shape[1]
     for done, at in enumerate(windows):
         goal = targets[at : at + TRUNCATE]
         if (live := np.flatnonzero((targets[at:] >= 0).any(0))).size < inputs.shape[1]:
             inputs, targets, h, goal = inputs[:, live], targets[:, live], h[live], goal[:, live]
         adam.rate = rate * (1 - 0.9 * done / len(windows))
         grads, h = model.train_window(inputs[at : at + TRUNCATE], goal, h)
+        for g in grads.values():
+            g *= np.float32((goal >= 0).sum() / full)  # each token counts alike, also where few lanes are left
         adam.apply(grads)
     return int(sum(map(len, docs)) + len(docs))
 
@@ -286,11 +293,12 @@ def count_words(train_docs: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def learn(train_docs: DataFrame, vocab: Vocabulary, rate: float = RATE, start: int = START) -> Gru:
-    """Trains the network on the cluster.
+def learn(train_docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, start: int = START) -> tuple[Gru, int]:
+    """Trains the network on the cluster; gives it and the number of tokens of the averaged rounds.
 
-    The ``start`` documents that come first by a hash give a common start in one task. Then each task trains on the share
-    ``rate`` of its documents, a number that grows with the corpus, and the results are averaged by tokens, in two levels.
+    The ``start`` documents that come first by a hash give a common start in one task. Then a hash deals all documents to
+    ``rounds``. In each, every task trains on all of its documents of the round, from what the round before gave, and the
+    results are averaged by tokens, in two levels; so every document is learnt from and what tasks learn adds up.
     """
     spark = train_docs.sparkSession
     context = spark.sparkContext
@@ -305,7 +313,8 @@ def learn(train_docs: DataFrame, vocab: Vocabulary, rate: float = RATE, start: i
             held, room, tokens, other = [], 0, 0, v.size + 1
             for batch in batches:
                 for text in batch.column(0).to_pylist():
-                    held.append(np.array([v.ids.get(w, other) for w in words(text)], np.int32))
+                    tokenized = words(text)
+                    held.append(np.fromiter(map(v.ids.get, tokenized, repeat(other)), np.int32, len(tokenized)))
                     room += len(held[-1])
                     if room > LINED_UP:
                         tokens += train(model, held, pace)
@@ -322,22 +331,26 @@ def learn(train_docs: DataFrame, vocab: Vocabulary, rate: float = RATE, start: i
     row = map_batches(first, trainer(None, 0.02), schema).first()
     model = Gru(vocab)
     if row is None:
-        return model
-    shared = context.broadcast(bytes(row.weights))
-    share = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(1 << 20)) < int(rate * (1 << 20))
-    own = map_batches(train_docs.where(share).select("text"), trainer(shared, 0.004), schema)
+        return model, 0
+    weights, learnt = bytes(row.weights), 0
 
     def average(pdf):
         n = pdf.tokens.sum()
         flat = sum(np.frombuffer(w, np.float32).astype(np.float64) * (t / n) for t, w in zip(pdf.tokens, pdf.weights, strict=True))
         return pdf.head(1).assign(tokens=n, weights=[flat.astype(np.float32).tobytes()])[["tokens", "weights"]]
 
-    trained = settle(own.withColumn("part", F.spark_partition_id()))
-    groups = max(1, math.isqrt(trained.rdd.getNumPartitions()))
-    half = trained.groupBy(F.col("part") % groups).applyInPandas(average, schema)
-    final = half.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(average, schema).first()
-    model.unpack(np.frombuffer(final.weights if final else row.weights, np.float32))
-    return model
+    for k in range(rounds):
+        shared = context.broadcast(weights)
+        share = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == k
+        own = map_batches(train_docs.where(share).select("text"), trainer(shared, 0.004), schema)
+        trained = settle(own.withColumn("part", F.spark_partition_id()))
+        groups = max(1, math.isqrt(trained.rdd.getNumPartitions()))
+        half = trained.groupBy(F.col("part") % groups).applyInPandas(average, schema)
+        final = half.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(average, schema).first()
+        if final is not None:
+            weights, learnt = bytes(final.weights), learnt + final.tokens
+    model.unpack(np.frombuffer(weights, np.float32))
+    return model, learnt
 
 
 def score_documents(df: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, shortlist: int = SHORTLIST) -> DataFrame:
@@ -361,15 +374,18 @@ def score_documents(df: DataFrame, learn_from: Column | None = None, id_col: str
     listed = top[:shortlist]
     others = total - ends - sum(n for _, n in listed)
     vocab = vocabulary(listed, ends, others)
-    model = learn(training, vocab)
-    shared = spark.sparkContext.broadcast((model, vocab, {w: (i if i < len(listed) else len(listed) + 1, n + 1) for i, (w, n) in enumerate(top)}))
+    model, _ = learn(training, vocab)
+    shared = spark.sparkContext.broadcast((model, vocab, {w: i for i, (w, _) in enumerate(top)}, np.log10(np.array([n + 1 for _, n in top], float))))
     base = math.log10(total + distinct + 1)
     spread = math.log10(others + (distinct - len(listed) - (ends > 0)) + 1)
     end_base = math.log10(ends + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, v, head_words = shared.value
-        missing, other = (v.size + 1, 0), v.size + 1
+        net, v, head_words, head_logs = shared.value
+        missing, other = len(head_words), v.size + 1
+        ids_of = np.arange(missing + 1, dtype=np.int32)
+        ids_of[v.size :] = other
+        logs_of = np.append(head_logs, 0.0)
         held: list[tuple] = []
         room = 0
 
@@ -395,13 +411,12 @@ def score_documents(df: DataFrame, learn_from: Column | None = None, id_col: str
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = words(text)
-                found = [head_words.get(w, missing) for w in tokens]
-                pairs = np.array(found, np.int64).reshape(-1, 2)
-                ids, counts = pairs[:, 0].astype(np.int32), pairs[:, 1]
-                logs = np.log10(np.maximum(counts, 1))
+                found = np.fromiter(map(head_words.get, tokens, repeat(missing)), np.int32, len(tokens))
+                ids, logs = ids_of[found], logs_of[found]
                 off = ids == other
-                rare = Counter(w for w, f in zip(tokens, found, strict=True) if f is missing)
-                held.append((doc_id, ids, int((counts > 0).sum()), float(logs.sum()), int(off.sum()), float(logs[off].sum()), rare))
+                far = np.flatnonzero(found == missing)
+                rare = Counter(tokens[i] for i in far.tolist())
+                held.append((doc_id, ids, len(tokens) - len(far), float(logs.sum()), int(off.sum()), float(logs[off].sum()), rare))
                 room += len(ids) + 1
                 if room > LINED_UP:
                     yield from flush()

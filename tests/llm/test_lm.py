@@ -108,3 +108,15 @@ def test_odd_rows(spark):
     unlearnt = lm.score_documents(df, learn_from=F.lit(False)).collect()
     assert {r.n_known for r in unlearnt} == {0} and {r.train_tokens for r in unlearnt} == {0}
     assert all(np.isfinite(r.score) and r.base_score == 0 for r in unlearnt)
+
+
+def test_every_training_document_is_learnt_from(spark):
+    rng = np.random.default_rng(6)
+    docs = [" ".join(f"w{i}" for i in rng.integers(0, 90, n)) for n in rng.integers(0, 30, 1500)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(5)
+    count = Counter(w for d in docs for w in lm.words(d))
+    top = count.most_common(80)
+    vocab = lm.vocabulary(top, len(docs), sum(count.values()) - sum(n for _, n in top))
+    model, learnt = lm.learn(df, vocab)
+    assert learnt == sum(count.values()) + len(docs)
+    assert all(np.isfinite(p).all() for p in model.parts())
