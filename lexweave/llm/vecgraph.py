@@ -138,8 +138,8 @@ def robust_neighbours(v: np.ndarray, s: Settings) -> list[np.ndarray]:
     return [candidates[i, kept[i]] for i in range(n)]
 
 
-def range_search(v: np.ndarray, adjacency: list[np.ndarray], threshold: float, s: Settings) -> np.ndarray:
-    """Marks for every vector as query those that the search reached: n by n, true where seen and near enough.
+def range_search(v: np.ndarray, adjacency: list[np.ndarray], threshold: float, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Marks for every vector as query those near enough that the search reached, and all that are near enough; n by n.
 
     A greedy search with a beam starts at the medoid; then everything that lies within ``slack`` of the threshold is
     expanded until nothing new turns up.
@@ -187,7 +187,8 @@ def range_search(v: np.ndarray, adjacency: list[np.ndarray], threshold: float, s
             around = table[x[at : at + 100_000]]
             r, c = np.nonzero(around >= 0)
             seen[q[at + r], around[r, c]] = True
-    return seen & (sims >= threshold - 1e-3)
+    near = sims >= threshold - 1e-3
+    return seen & near, near
 
 
 def smallest_label(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -207,7 +208,8 @@ def link_counts(dealt: DataFrame, threshold: float, s: Settings) -> DataFrame:
     """(id, linked, root) a shard and vector: vectors linked with it here (copies counted) and the least id of its group here.
 
     Graphs are built shard by shard, the adjacency lists of a vector are put together, and the search runs in each shard
-    over them. A pair counts in the first of its common shards alone; cosines are taken in double precision.
+    over them. A pair of several common shards is compared in each whether or not the search reached it there, so that all
+    of them agree, and counts in the first alone; cosines are taken in double precision.
     """
 
     def build(t: pa.Table) -> pa.Table:
@@ -229,19 +231,24 @@ def link_counts(dealt: DataFrame, threshold: float, s: Settings) -> DataFrame:
             a = np.array(a or [], np.int64)
             at = np.minimum(np.searchsorted(ids, a), len(ids) - 1)
             adjacency.append(at[ids[at] == a])
-        found = range_search(v.astype(np.float32), adjacency, threshold, s)
+        found, near = range_search(v.astype(np.float32), adjacency, threshold, s)
         found |= found.T
-        a, b = np.nonzero(np.triu(found, 1))
-        exact = np.concatenate([(v[a[i : i + 100_000]] * v[b[i : i + 100_000]]).sum(1) for i in range(0, len(a), 100_000)] or [np.zeros(0)])
-        a, b = a[exact >= threshold], b[exact >= threshold]
+        a, b = np.nonzero(np.triu(near | near.T, 1))
         shards = t.column("shards").to_pylist()
         wide = max(map(len, shards))
         lists = np.array([x + [-1 - k for k in range(len(x), wide)] for x in shards])
-        first = np.full(len(a), np.iinfo(np.int64).max)
-        for k in range(wide):
-            mine = lists[a, k]
-            first = np.where((mine >= 0) & (lists[b] == mine[:, None]).any(1), np.minimum(first, mine), first)
-        counted = first == own
+        linking, counted = np.zeros(len(a), bool), np.zeros(len(a), bool)
+        for at in range(0, len(a), 100_000):
+            i, j = a[at : at + 100_000], b[at : at + 100_000]
+            first, common = np.full(len(i), np.iinfo(np.int64).max), np.zeros(len(i), int)
+            for k in range(wide):
+                mine = lists[i, k]
+                shared = (mine >= 0) & (lists[j] == mine[:, None]).any(1)
+                first = np.where(shared, np.minimum(first, mine), first)
+                common += shared
+            linking[at : at + 100_000] = (found[i, j] | (common > 1)) & ((v[i] * v[j]).sum(1) >= threshold)
+            counted[at : at + 100_000] = first == own
+        a, b, counted = a[linking], b[linking], counted[linking]
         linked = np.zeros(len(ids), np.int64)
         np.add.at(linked, a[counted], sizes[b[counted]])
         np.add.at(linked, b[counted], sizes[a[counted]])

@@ -64,3 +64,14 @@ def test_odd_vectors(spark):
     out = sorted((r.vec_id or -1, r.component_id, r.kept) for r in vecgraph.near_duplicate_vectors(same).collect())
     assert out == [(-1, None, True), (1, 1, True), (1, 1, True), (5, 1, False)]
     assert got(same.limit(0)) == {}
+
+
+def test_pairs_of_two_shards_count_whatever_the_search_reached(spark):
+    """Graphs without edges: the search reaches next to nothing, in either shard."""
+    rng = np.random.default_rng(8)
+    vectors = [vecgraph.unit(v).tolist() for v in 1 + rng.normal(size=(12, 8)) * 0.02]
+    rows = [(shard, i, 1, v, [1, 2]) for shard in (1, 2) for i, v in enumerate(vectors)]
+    dealt = spark.createDataFrame(rows, "shard long, id long, size long, v array<double>, shards array<long>")
+    have = vecgraph.link_counts(dealt, 0.95, vecgraph.Settings(degree=0)).collect()
+    assert {i: sum(r.linked for r in have if r.id == i) for i in range(12)} == dict.fromkeys(range(12), 11)
+    assert {r.root for r in have} == {0}
