@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass
 
@@ -14,13 +15,15 @@ from pyspark.sql import functions as F
 from .common import map_slices, settle
 from .components import components
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Settings:
     """shard: vectors of a cluster shard, about; block: those of a task at most, twice. overlap: shards of a vector.
     near, far: candidates of a node; degree, alpha: what robust pruning leaves; beam: width of the greedy search;
     slack: how far below the threshold the search still expands; audit: queries of the recall audit; goal: recall that
-    ends it; clusters: most centroids, which with sample a centroid bounds what the driver holds."""
+    ends it; widest: overlap, in multiples of the first, after which all pairs are compared instead; clusters: most centroids, which with sample a centroid bounds what the driver holds."""
 
     shard: int = 1500
     block: int = 2000
@@ -33,6 +36,7 @@ class Settings:
     slack: float = 0.05
     audit: int = 200
     goal: float = 0.98
+    widest: int = 4
     clusters: int = 4096
     sample: int = 16
 
@@ -72,14 +76,14 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def deal(classes: DataFrame, s: Settings, overlap: int, n: int, dim: int) -> DataFrame:
+def deal(classes: DataFrame, s: Settings, overlap: int, n: int, dim: int, whole: bool = False) -> DataFrame:
     """(shard, id, size, v, shards): each vector in the shards of its ``overlap`` nearest centroids.
 
     A shard that is larger than a task may be is cut into blocks by a hash, and each pair of blocks is a shard of its own,
-    so that all its vectors still meet.
+    so that all its vectors still meet. ``whole``: one centroid, so that all vectors of the table meet.
     """
     spark = classes.sparkSession
-    k = max(1, min(s.clusters, math.ceil(n * overlap / s.shard) if n > s.shard else 1))
+    k = max(1, min(s.clusters, math.ceil(n * overlap / s.shard) if n > s.shard and not whole else 1))
     taken = classes.orderBy(F.xxhash64("id")).limit(k * s.sample).select("v").collect()
     shared = spark.sparkContext.broadcast(centroids(np.array([r.v for r in taken]).reshape(-1, dim), k).astype(np.float32))
 
@@ -204,12 +208,13 @@ def smallest_label(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = after
 
 
-def link_counts(dealt: DataFrame, threshold: float, s: Settings) -> DataFrame:
+def link_counts(dealt: DataFrame, threshold: float, s: Settings, whole: bool = False) -> DataFrame:
     """(id, linked, root) a shard and vector: vectors linked with it here (copies counted) and the least id of its group here.
 
     Graphs are built shard by shard, the adjacency lists of a vector are put together, and the search runs in each shard
     over them. A pair of several common shards is compared in each whether or not the search reached it there, so that all
-    of them agree, and counts in the first alone; cosines are taken in double precision.
+    of them agree, and counts in the first alone; cosines are taken in double precision. ``whole``: all pairs of a shard are
+    compared, without a search.
     """
 
     def build(t: pa.Table) -> pa.Table:
@@ -246,7 +251,7 @@ def link_counts(dealt: DataFrame, threshold: float, s: Settings) -> DataFrame:
                 shared = (mine >= 0) & (lists[j] == mine[:, None]).any(1)
                 first = np.where(shared, np.minimum(first, mine), first)
                 common += shared
-            linking[at : at + 100_000] = (found[i, j] | (common > 1)) & ((v[i] * v[j]).sum(1) >= threshold)
+            linking[at : at + 100_000] = (found[i, j] | (common > 1) | whole) & ((v[i] * v[j]).sum(1) >= threshold)
             counted[at : at + 100_000] = first == own
         a, b, counted = a[linking], b[linking], counted[linking]
         linked = np.zeros(len(ids), np.int64)
@@ -258,26 +263,36 @@ def link_counts(dealt: DataFrame, threshold: float, s: Settings) -> DataFrame:
 
 
 def audit(classes: DataFrame, linked: DataFrame, threshold: float, queries: int, dim: int) -> float:
-    """Share of the true links of some vectors, found by comparing them with every vector in blocks, that were found."""
-    chosen = classes.orderBy(F.xxhash64("id", F.lit("audit"))).limit(queries).select("id", "v").collect()
-    shared = classes.sparkSession.sparkContext.broadcast((np.array([r.id for r in chosen]), np.array([r.v for r in chosen]).reshape(-1, dim)))
+    """Mean share of the true links of a vector, found by comparing it with every vector in blocks, that were found.
 
-    def count(batch: pa.RecordBatch) -> dict:
-        ids, q = shared.value
-        v = np.array(batch.column(2).flatten()).reshape(-1, dim)
-        near = (v @ q.T >= threshold) & (np.array(batch.column(0))[:, None] != ids[None])
-        return {"id": pa.array(ids, pa.int64()), "true": pa.array((near * np.array(batch.column(1))[:, None]).sum(0), pa.int64())}
+    Vectors that link with others are drawn by a hash; where fewer than a quarter of the queries do, more are drawn, up to
+    16 times as many. Without a link among them the recall is 1.
+    """
+    wanted = queries
+    while True:
+        chosen = classes.orderBy(F.xxhash64("id", F.lit("audit"))).limit(queries).select("id", "v").collect()
+        shared = classes.sparkSession.sparkContext.broadcast((np.array([r.id for r in chosen]), np.array([r.v for r in chosen]).reshape(-1, dim)))
 
-    true = map_slices(classes.select("id", "size", "v"), "id long, true long", count).groupBy("id").agg(F.sum("true").alias("true"))
-    row = true.join(linked, "id", "left").agg(F.sum("true"), F.sum(F.coalesce("linked", F.lit(0)))).first()
-    return 1.0 if not row[0] else row[1] / row[0]
+        def count(batch: pa.RecordBatch, shared=shared) -> dict:
+            ids, q = shared.value
+            v = np.array(batch.column(2).flatten()).reshape(-1, dim)
+            near = (v @ q.T >= threshold) & (np.array(batch.column(0))[:, None] != ids[None])
+            return {"id": pa.array(ids, pa.int64()), "true": pa.array((near * np.array(batch.column(1))[:, None]).sum(0), pa.int64())}
+
+        true = map_slices(classes.select("id", "size", "v"), "id long, true long", count).groupBy("id").agg(F.sum("true").alias("true")).where(F.col("true") > 0)
+        share = F.least(F.coalesce("linked", F.lit(0)) / F.col("true"), F.lit(1.0))
+        n, recall = true.join(linked, "id", "left").agg(F.count("*"), F.avg(share)).first()
+        if 4 * n >= wanted or len(chosen) < queries or queries >= 16 * wanted:
+            return 1.0 if not n else recall
+        queries *= 4
 
 
 def near_duplicate_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", settings: Settings | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept: vectors linked at a cosine of ``threshold`` or more, in double precision.
 
     Equal vectors are one class with all links among them; only a class's smallest id is in the graph. Every vector is in
-    the index. Recall is audited against brute force; below the goal the shards overlap more and the search is repeated.
+    the index. Recall is audited against brute force; below the goal the shards overlap more and the search is repeated;
+    where the widest overlap misses it too, all pairs are compared. The log tells the recall.
     Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing, nor do vectors of other
     length than the most frequent, except with equal ones. Rows of one id are one vertex and count as a link each; a null
     id links with nothing: its component is null and it is kept. An empty table gives no rows; other columns are ignored.
@@ -298,7 +313,12 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.95, id_col: str =
             links = link_counts(deal(main, s, overlap, shape.n, shape.dim), threshold, s)
             totals = links.groupBy("id").agg(F.sum("linked").alias("linked"))
             recall = audit(main, totals, threshold, s.audit, shape.dim)
-            if recall >= s.goal or overlap >= 4 * s.overlap:
+            log.warning("recall %.4f at an overlap of %d shards, goal %.4f", recall, overlap, s.goal)
+            if recall >= s.goal:
+                break
+            if overlap >= s.widest * s.overlap:
+                links = link_counts(deal(main, s, 1, shape.n, shape.dim, whole=True), threshold, s, whole=True)
+                totals = links.groupBy("id").agg(F.sum("linked").alias("linked"))
                 break
             overlap *= 2
         repeated = usable.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("id").alias("own"))

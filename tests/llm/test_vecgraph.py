@@ -75,3 +75,20 @@ def test_pairs_of_two_shards_count_whatever_the_search_reached(spark):
     have = vecgraph.link_counts(dealt, 0.95, vecgraph.Settings(degree=0)).collect()
     assert {i: sum(r.linked for r in have if r.id == i) for i in range(12)} == dict.fromkeys(range(12), 11)
     assert {r.root for r in have} == {0}
+
+
+def test_audit_sees_lost_small_groups_beside_a_hot_one(spark):
+    """Forty vectors that all link with each other, found, and twenty pairs, lost."""
+    eye = np.eye(32)
+    vectors = [eye[0]] * 40 + [eye[1 + i // 2] for i in range(40)]
+    classes = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "id long, v array<double>, size long")
+    linked = spark.createDataFrame([(i, 39) for i in range(40)], "id long, linked long")
+    assert vecgraph.audit(classes, linked, 0.95, 200, 32) == 0.5
+
+
+def test_all_pairs_where_the_widest_overlap_misses_the_goal(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(30, 16))
+    rows = [(i, [float(np.float32(x)) for x in base[i // 4] + rng.normal(size=16) * 0.1]) for i in range(120)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], VECS)
+    assert got(df, degree=0, widest=1, block=20) == brute(rows)
