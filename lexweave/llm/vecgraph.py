@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -287,46 +288,50 @@ def audit(classes: DataFrame, linked: DataFrame, threshold: float, queries: int,
         queries *= 4
 
 
+def _graph(classes: DataFrame, n: int, dim: int, threshold: float, s: Settings) -> DataFrame:
+    """link_counts() of the ``n`` classes of one length, at a recall of the goal or of all pairs."""
+    # A row of an id that leads two classes stands for both.
+    main = classes.where(F.size("v") == dim).groupBy("id").agg(F.min(F.struct("key", "v", "size")).alias("f")).select("id", "f.v", "f.size")
+    overlap = s.overlap
+    while True:
+        links = link_counts(deal(main, s, overlap, n, dim), threshold, s)
+        recall = audit(main, links.groupBy("id").agg(F.sum("linked").alias("linked")), threshold, s.audit, dim)
+        log.warning("recall %.4f at an overlap of %d shards, goal %.4f", recall, overlap, s.goal)
+        if recall >= s.goal:
+            return links
+        if overlap >= s.widest * s.overlap:
+            return link_counts(deal(main, s, 1, n, dim, whole=True), threshold, s, whole=True)
+        overlap *= 2
+
+
 def near_duplicate_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", settings: Settings | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept: vectors linked at a cosine of ``threshold`` or more, in double precision.
 
     Equal vectors are one class with all links among them; only a class's smallest id is in the graph. Every vector is in
     the index. Recall is audited against brute force; below the goal the shards overlap more and the search is repeated;
     where the widest overlap misses it too, all pairs are compared. The log tells the recall.
-    Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing, nor do vectors of other
-    length than the most frequent, except with equal ones. Rows of one id are one vertex and count as a link each; a null
+    Vectors of each length have a graph of their own; those of different lengths don't link. Vectors that are null, empty,
+    zero, or hold a null or non-finite component link with nothing. Rows of one id are one vertex and count as a link each; a null
     id links with nothing: its component is null and it is kept. An empty table gives no rows; other columns are ignored.
     """
     s = settings or Settings()
     rows = settle(prepare(df, id_col, vec_col))
     usable = rows.where("key is not null and id is not null")
     classes = settle(usable.groupBy("key").agg(F.min(F.struct("id", "v")).alias("f"), F.count("*").alias("size")).select("key", "f.id", "f.v", "size"))
-    shape = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    if shape is None:
+    shapes = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").collect()  # lengths are few
+    if not shapes:
         totals = links = None
         reached = df.sparkSession.createDataFrame([], "node long, component long")
     else:
-        # A row of an id that leads two classes stands for both.
-        main = classes.where(F.size("v") == shape.dim).groupBy("id").agg(F.min(F.struct("key", "v", "size")).alias("f")).select("id", "f.v", "f.size")
-        overlap = s.overlap
-        while True:
-            links = link_counts(deal(main, s, overlap, shape.n, shape.dim), threshold, s)
-            totals = links.groupBy("id").agg(F.sum("linked").alias("linked"))
-            recall = audit(main, totals, threshold, s.audit, shape.dim)
-            log.warning("recall %.4f at an overlap of %d shards, goal %.4f", recall, overlap, s.goal)
-            if recall >= s.goal:
-                break
-            if overlap >= s.widest * s.overlap:
-                links = link_counts(deal(main, s, 1, shape.n, shape.dim, whole=True), threshold, s, whole=True)
-                totals = links.groupBy("id").agg(F.sum("linked").alias("linked"))
-                break
-            overlap *= 2
+        graphs = [_graph(classes, shape.n, shape.dim, threshold, s).withColumn("dim", F.lit(shape.dim)) for i, shape in enumerate(shapes) if shape.n > 1 or i == 0]
+        links = reduce(DataFrame.unionByName, graphs)
+        totals = links.groupBy("id", "dim").agg(F.sum("linked").alias("linked"))
         repeated = usable.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("id").alias("own"))
         ties = usable.join(repeated, usable.id == repeated.own, "left_semi").join(classes.select("key", F.col("id").alias("first")), "key").select(F.col("id").alias("a"), F.col("first").alias("b"))
         reached = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(ties))
-    named = classes.select("key", F.col("id").alias("first"), "size")
+    named = classes.select("key", F.col("id").alias("first"), "size", F.size("v").alias("dim"))
     if totals is not None:
-        named = named.join(totals.withColumnRenamed("id", "first"), "first", "left")
+        named = named.join(totals.withColumnRenamed("id", "first"), ["first", "dim"], "left")
     else:
         named = named.withColumn("linked", F.lit(0).cast("long"))
     named = settle(named.join(reached, F.col("first") == F.col("node"), "left").select("key", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "first").alias("component")))

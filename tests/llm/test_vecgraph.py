@@ -92,3 +92,9 @@ def test_all_pairs_where_the_widest_overlap_misses_the_goal(spark):
     rows = [(i, [float(np.float32(x)) for x in base[i // 4] + rng.normal(size=16) * 0.1]) for i in range(120)]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], VECS)
     assert got(df, degree=0, widest=1, block=20) == brute(rows)
+
+
+def test_vectors_of_each_length_link(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.01, 0.0]), (6, [1.0])]
+    have = got(spark.createDataFrame([(*r, "x", "y") for r in rows], VECS))
+    assert have == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (1, 4, True), 5: (1, 4, False), 6: (0, 6, True)}
