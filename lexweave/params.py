@@ -28,3 +28,5 @@ class Params:
 
 
 DEFAULTS = Params()
+#: Sources ranked and candidates kept as in the reference's configuration.
+FULL = Params(sources=200, keep=500)

@@ -20,6 +20,7 @@ from ..operators import ranking as R
 from ..operators import reorder as O
 from ..operators import temporal as T
 from ..operators import vocab as V
+from ..params import FULL
 from ..sources import tables
 from . import induction, pages, phrase_scoring
 from .fixtures import Induction
@@ -31,6 +32,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return induction.context_ranking(Induction(spark, sf_dir))
 
 
+#: Rankings that are also registered, as NAME_full and without SQL, with the reference's sources and candidates.
+_RANKINGS = ("rank_context", "rank_time", "rank_edit", "rank_mrr", "rerank_time", "rank_dump", "accuracy_at_k")
+
+
 def _on(step: Callable[[Induction], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: step(Induction(spark, sf_dir))
 
@@ -239,7 +244,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _on(step) for name, step in _STEPS.items()} | _QUERIES
+    full = {f"{name}_full": (lambda s, d, step=_STEPS[name]: step(Induction(s, d, FULL))) for name in _RANKINGS}
+    full["rank_by_bin_full"] = lambda s, d: induction.by_frequency(s, d, p=FULL)
+    return {name: _on(step) for name, step in _STEPS.items()} | _QUERIES | full
 
 
 def oracle_sql() -> dict[str, str]:

@@ -122,3 +122,11 @@ def test_nothing_but_the_entry_knows_the_training_data_operators():
         if "llm" not in path.relative_to(root).parts:
             assert "llm" not in path.read_text(), path
     assert F is not None
+
+
+def test_full_rankings_go_beyond_the_tenth_candidate(spark):
+    found = registry.queries()
+    rows = found["rank_context_full"](spark, "/root/testdata/sf0.01").select("src", "rk").collect()
+    assert len({r.src for r in rows}) > 20 and max(r.rk for r in rows) > 100
+    got = {r[0]: r for r in found["accuracy_at_k_full"](spark, "/root/testdata/sf0.01").collect()}
+    assert set(got) == set(registry.induction.DEFAULTS.ks)
