@@ -21,13 +21,14 @@ def time_ranking(i: Induction) -> DataFrame:
     return R.rank(filled, i.p.keep)
 
 
-def edit_ranking(i: Induction) -> DataFrame:
-    plain = i.targets.where(F.col("stem").rlike("^[a-z]+$"))
-    return R.rank(E.distance(E.pairs(i.sources.where(F.col("stem").rlike("^[a-z]+$")), plain)), i.p.keep, smaller_better=True)
+def edit_ranking(i: Induction, ascii_only: bool = False) -> DataFrame:
+    """``ascii_only``: words of a to z alone, for which SQL that counts bytes agrees."""
+    usable = F.col("stem").rlike("^[a-z]+$") if ascii_only else F.lit(True)
+    return R.rank(E.distance(E.pairs(i.sources.where(usable), i.targets.where(usable))), i.p.keep, smaller_better=True)
 
 
-def fused_ranking(i: Induction) -> DataFrame:
-    fused = R.fuse([context_ranking(i), time_ranking(i), edit_ranking(i)])
+def fused_ranking(i: Induction, ascii_only: bool = False) -> DataFrame:
+    fused = R.fuse([context_ranking(i), time_ranking(i), edit_ranking(i, ascii_only)])
     return R.rank(fused.withColumn("score", F.round("score", 9)), i.p.keep)
 
 
@@ -55,11 +56,11 @@ def by_frequency(spark: SparkSession, sf_dir: str, bins: int = 4, sample: int =
     return R.rank(scores, p.keep, threshold=0.0, keys=("bin", "src"))
 
 
-def score_token_pairs(spark: SparkSession, sf_dir: str, p: Params = DEFAULTS) -> DataFrame:
+def score_token_pairs(spark: SparkSession, sf_dir: str, p: Params = DEFAULTS, ascii_only: bool = False) -> DataFrame:
     """Features of every source with every target token: src, trg, ph_context, ph_time, lex_context, lex_time, lex_edit."""
     from ..operators import phrases as P
 
     i = Induction(spark, sf_dir, p)
-    ascii_only = F.col("stem").rlike("^[a-z]+$")
-    pairs = E.pairs(i.sources.where(ascii_only), i.targets.where(ascii_only))
+    usable = F.col("stem").rlike("^[a-z]+$") if ascii_only else F.lit(True)
+    pairs = E.pairs(i.sources.where(usable), i.targets.where(usable))
     return P.token_features(P.features(pairs, ph_context=i.context_scores(), ph_time=i.time_scores))

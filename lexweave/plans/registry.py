@@ -33,7 +33,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Rankings that are also registered, as NAME_full and without SQL, with the reference's sources and candidates.
-_RANKINGS = ("rank_context", "rank_time", "rank_edit", "rank_mrr", "rerank_time", "rank_dump", "accuracy_at_k")
+_RANKINGS = ("rank_context", "rank_time", "rerank_time", "rank_dump", "accuracy_at_k")
 
 
 def _on(step: Callable[[Induction], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -100,7 +100,7 @@ def _translit_pairs(i: Induction) -> DataFrame:
 
 
 def _token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(induction.score_token_pairs(spark, sf_dir).select("src", "trg", "lex_context", "lex_time", "lex_edit"), "lex_edit", digits=9)
+    return _rounded(induction.score_token_pairs(spark, sf_dir, ascii_only=True).select("src", "trg", "lex_context", "lex_time", "lex_edit"), "lex_edit", digits=9)
 
 
 def _time_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,8 +197,8 @@ _STEPS: dict[str, Callable[[Induction], DataFrame]] = {
     "score_edit_translit": _translit_pairs,
     "rank_context": induction.context_ranking,
     "rank_time": induction.time_ranking,
-    "rank_edit": induction.edit_ranking,
-    "rank_mrr": induction.fused_ranking,
+    "rank_edit": lambda i: induction.edit_ranking(i, ascii_only=True),
+    "rank_mrr": lambda i: induction.fused_ranking(i, ascii_only=True),
     "rank_best": lambda i: R.best(induction.context_ranking(i)),
     "rerank_time": _rerank,
     "rank_dump": lambda i: R.dump(induction.context_ranking(i), i.dictionary),
@@ -245,6 +245,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     full = {f"{name}_full": (lambda s, d, step=_STEPS[name]: step(Induction(s, d, FULL))) for name in _RANKINGS}
+    full["rank_edit_full"] = lambda s, d: induction.edit_ranking(Induction(s, d, FULL))
+    full["rank_mrr_full"] = lambda s, d: induction.fused_ranking(Induction(s, d, FULL))
     full["rank_by_bin_full"] = lambda s, d: induction.by_frequency(s, d, p=FULL)
     return {name: _on(step) for name, step in _STEPS.items()} | _QUERIES | full
 

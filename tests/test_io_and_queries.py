@@ -130,3 +130,20 @@ def test_full_rankings_go_beyond_the_tenth_candidate(spark):
     assert len({r.src for r in rows}) > 20 and max(r.rk for r in rows) > 100
     got = {r[0]: r for r in found["accuracy_at_k_full"](spark, "/root/testdata/sf0.01").collect()}
     assert set(got) == set(registry.induction.DEFAULTS.ks)
+
+
+def test_edit_ranking_has_accented_words(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, above = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+        return row[-1]
+
+    i = registry.Induction(spark, SF)
+    sources, targets = ("cafe", "naïve"), ("café", "naive", "été", "hôtel")
+    for side, stems in (("sources", sources), ("targets", targets)):
+        i.__dict__[side] = spark.createDataFrame([(x,) for x in stems], "stem string")
+    have = {(r.src, r.trg): r.score for r in registry.induction.edit_ranking(i).collect()}
+    assert have == {(a, b): distance(a, b) for a in sources for b in targets}
