@@ -20,8 +20,8 @@ BANDS, ROWS = 40, 6
 ALL_PAIRS, STARS = 8, (1, 8)
 #: Members that meet one copy of a centre's set.
 SALT = 500
-#: Members of a block, about, and bits of the sketches that blocks are screened by.
-BLOCK, BITS = 400, 2048
+#: Members of a block, about, on either side, and bits of the sketches that blocks are screened by.
+BLOCK, BITS = 4096, 2048
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,10 +85,14 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """id (the node) and hashes of the rows of docs (node, set_key, text) whose text has the set of set_key."""
+
     def run(batch: pa.RecordBatch) -> dict:
-        return {"id": batch.column(0), "hashes": pa.array([shingles(t, width).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))}
+        sets = [shingles(t, width) for t in batch.column(2).to_pylist()]
+        own = [i for i, (s, key) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)) if xxhash.xxh3_128_digest(s.tobytes()) == key]
+        return {"id": batch.column(0).take(pa.array(own, pa.int64())), "hashes": pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))}
 
-    return map_slices(docs, "id long, hashes array<long>", run)
+    return map_slices(docs.select("node", "set_key", "text"), "id long, hashes array<long>", run)
 
 
 def bucket_hubs(members: DataFrame, stars: int, seed: int) -> DataFrame:
@@ -132,54 +136,73 @@ def sketches(sets: DataFrame) -> DataFrame:
     return map_slices(sets.select("id", "hashes"), "id long, sketch binary", run)
 
 
-def screen(m: dict, two: bool, percent: int) -> np.ndarray:
-    """Index pairs of members whose classes differ and whose sketches allow the likeness; of two blocks, pairs across.
+def screen(ask: dict, base: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (asking, base) of different classes whose sketches allow the likeness.
 
-    Sketches differ in no more bits than sets in members, so that no pair as alike as asked is left out. Pairs within
-    the most frequent class are passed over.
+    Sketches differ in no more bits than sets in members, so that no pair as alike as asked is left out. Two members that
+    both ask meet twice and count once.
+    """
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(ask["id"])):
+        js = np.flatnonzero((base["class"] != ask["class"][i]) & (~base["asks"] | (base["id"] > ask["id"][i])))
+        apart = np.bitwise_count(base["sketch"][js] ^ ask["sketch"][i]).sum(1, dtype=np.int64)
+        js = js[apart * (100 + percent) <= (ask["n"][i] + base["n"][js]) * (100 - percent)]
+        left.append(np.full(len(js), i))
+        right.append(js)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def open_groups(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(joint, key, id, n, class, asks) of the large buckets that stars left with several classes (node, component).
+
+    A member outside its bucket's most frequent class asks all members of the bucket; pairs within that class need no
+    answer. Buckets of one most frequent class, such as the forty of a large group of near copies, become one group,
+    where that takes fewer comparisons than each bucket for itself (the union of buckets holds all their pairs).
     """
-    _, code, counts = np.unique(m["class"], return_inverse=True, return_counts=True)
-    odd, found = code != counts.argmax(), [np.zeros((0, 2), np.int64)]
-    order = np.arange(len(code))
-    for i in np.flatnonzero(odd):
-        js = np.flatnonzero((code != code[i]) & (~odd | (order > i)) & ((m["far"] != m["far"][i]) | (not two)))
-        apart = np.bitwise_count(m["sketch"][js] ^ m["sketch"][i]).sum(1, dtype=np.int64)
-        js = js[apart * (100 + percent) <= (m["n"][i] + m["n"][js]) * (100 - percent)]
-        found.append(np.stack([np.full(len(js), i), js], 1))
-    return np.concatenate(found)
-
-
-def block_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """EDGE pairs of large buckets that stars left in different classes (node, component): the rest, without a cap.
-
-    A bucket is cut by size of the set, so that only neighbouring steps can hold alike sets, and each step into blocks
-    of BLOCK members by a hash of the id. Every two blocks that may hold a pair meet in one row; sketches screen there.
+    named = members.join(classes, F.col("id") == F.col("node"), "left").select("band", "id", "n", F.coalesce("component", "id").alias("class"))
+    tally = named.groupBy("band", "class").agg(F.count("*").alias("c"))
+    top = tally.groupBy("band").agg(F.sum("c").alias("size"), F.count("*").alias("classes"), F.max(F.struct("c", "class")).alias("top"))
+    several = top.where(f"size > {ALL_PAIRS} and classes > 1").select("band", F.col("top.class").alias("main"))
+    rest = settle(named.join(several, "band").withColumn("asks", F.col("class") != F.col("main")))
+    each = rest.groupBy("main", "band").agg((F.count("*") * F.count_if("asks")).cast("double").alias("pairs")).groupBy("main").agg(F.sum("pairs").alias("apart"))
+    members_of = rest.groupBy("main", "id").agg(F.bool_or("asks").alias("asks"))
+    once = members_of.groupBy("main").agg((F.count("*").cast("double") * F.count_if("asks")).alias("joined"))
+    joint = each.join(once, "main").where("joined <= apart").select("main")
+    together = rest.join(joint, "main", "left_semi").select(F.lit(True).alias("joint"), F.col("main").alias("key"), "id", "n", "class", "asks").distinct()
+    alone = rest.join(joint, "main", "left_anti").select(F.lit(False).alias("joint"), F.col("band").alias("key"), "id", "n", "class", "asks")
+    return settle(together.unionByName(alone))
+
+
+def rest_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """EDGE pairs of large buckets that stars left in different classes: the rest, without a cap.
+
+    A group of open_groups() is cut by size of the set, so that only neighbouring steps can hold alike sets, and each step
+    into blocks of BLOCK members by a hash. A member lies in one block of its step; one that asks goes to the blocks of
+    three steps, and beyond BLOCK such members they are cut into lots too, so that a task holds two blocks at most.
+    Sketches screen there, so rows and not pairs are shuffled: about three a member, and three a block and asking member.
     """
     step = F.floor(F.log("n") / math.log(101 / percent)).cast("int")
-    named = members.join(classes, F.col("id") == F.col("node"), "left").select("band", "id", "n", F.coalesce("component", "id").alias("class"), step.alias("step"))
-    open_ = named.groupBy("band").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).where(f"size > {ALL_PAIRS} and low <> high").select("band")
-    rest = settle(named.join(open_, "band"))
-    some = sets.join(rest.select("id").distinct(), "id", "left_semi")
-    drawn = settle(sketches(some))
-    parts = rest.groupBy("band", "step").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    near = parts.select("band", (F.col("step") - 1).alias("step"), F.col("parts").alias("above"))
-    below = parts.select("band", (F.col("step") + 1).alias("step"), F.col("parts").alias("below"))
-    spread = parts.join(near, ["band", "step"], "left").join(below, ["band", "step"], "left").na.fill(0, ["above", "below"])
-    own = F.expr("transform(sequence(0, parts - 1), q -> struct(step AS s, step AS t, least(q, part) AS p, greatest(q, part) AS q, part > q AS far))")
-    up = F.expr("transform(filter(sequence(0, above), q -> q < above), q -> struct(step AS s, step + 1 AS t, part AS p, q AS q, false AS far))")
-    down = F.expr("transform(filter(sequence(0, below), q -> q < below), q -> struct(step - 1 AS s, step AS t, q AS p, part AS q, true AS far))")
-    dealt = rest.join(spread, ["band", "step"]).withColumn("part", F.expr("pmod(xxhash64(id), parts)").cast("int"))
-    placed = dealt.select("band", "id", "n", "class", F.explode(F.concat(own, up, down)).alias("b")).join(drawn, "id")
-    two = (F.col("b.s") != F.col("b.t")) | (F.col("b.p") != F.col("b.q"))
+    placed = open_groups(members, classes).withColumn("step", step)
+    drawn = settle(sketches(sets.join(placed.select("id").distinct(), "id", "left_semi")))
+    cut = placed.groupBy("joint", "key", "step").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.ceil(F.count_if("asks") / BLOCK).cast("int").alias("lots"))
+    plan = cut.groupBy("joint", "key").agg(F.map_from_entries(F.collect_list(F.struct("step", F.struct("parts", "lots")))).alias("plan"))  # a few dozen steps
+    dealt = placed.join(plan, ["joint", "key"]).join(drawn, "id")
+    dealt = dealt.withColumn("part", F.expr("int(pmod(xxhash64(id), plan[step].parts))")).withColumn("lot", F.expr("int(pmod(xxhash64(id, 1), greatest(plan[step].lots, 1)))"))
+    near = "filter(array(step - 1, step, step + 1), x -> coalesce(try_element_at(plan, x).{}, 0) > 0)"
+    base = F.expr(f"flatten(transform({near.format('lots')}, s -> transform(sequence(0, plan[s].lots - 1), l -> struct(s AS s, step AS t, part AS p, l AS l, false AS asking))))")
+    ask = F.expr(f"flatten(transform({near.format('parts')}, t -> transform(sequence(0, plan[t].parts - 1), p -> struct(step AS s, t AS t, p AS p, lot AS l, true AS asking))))")
+    met = dealt.select("joint", "key", "id", "n", "class", "asks", "sketch", F.explode(F.when(F.col("asks"), F.concat(base, ask)).otherwise(base)).alias("b"))
 
     def run(group: pa.Table) -> pa.Table:
-        m = {k: group.column(k).to_numpy() for k in ("id", "n", "class", "far")}
+        asking = group.column("asking").to_numpy()
+        m = {k: group.column(k).to_numpy() for k in ("id", "n", "class", "asks")}
         m["sketch"] = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(group), -1)
-        i, j = screen(m, group.column("two")[0].as_py(), percent).T
-        return pa.table(dict(zip(EDGE, (m["id"][i], m["n"][i], m["id"][j], m["n"][j]))))
+        a, b = ({k: x[side] for k, x in m.items()} for side in (asking, ~asking))
+        i, j = screen(a, b, percent)
+        return pa.table(dict(zip(EDGE, (a["id"][i], a["n"][i], b["id"][j], b["n"][j]))))
 
-    met = placed.select("band", "b.s", "b.t", "b.p", "b.q", "id", "n", "class", "sketch", "b.far", two.alias("two"))
-    return met.groupBy("band", "s", "t", "p", "q").applyInArrow(run, "id long, n long, centre long, centre_n long")
+    rows = met.select("joint", "key", "b.s", "b.t", "b.p", "b.l", "id", "n", "class", "asks", "sketch", "b.asking")
+    return rows.groupBy("joint", "key", "s", "t", "p", "l").applyInArrow(run, "id long, n long, centre long, centre_n long")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -197,7 +220,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, firsts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b), or such as give the same classes, among the sets in firsts (id, n, bands).
+    """Confirmed links (a, b) of nodes, or such as give the same classes, among the sets in firsts (node, id, set_key, n, bands).
 
     Buckets are sized first and those of one member dropped; the texts of the others' members are read once for their
     full sets. Small buckets give all pairs, large ones a star. Sets that are then linked with nothing are compared with
@@ -205,18 +228,18 @@ def links(docs: DataFrame, firsts: DataFrame, width: int, percent: int) -> DataF
     blocks, whatever its size. Links that stars found are given as links to the least of their class. Texts are dealt by
     id whatever the size, so that the plan is the same everywhere.
     """
-    every = firsts.select("id", "n", F.explode("bands").alias("band"))
+    every = firsts.select(F.col("node").alias("id"), "n", F.explode("bands").alias("band"))
     shared = every.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band")
     members = settle(every.join(shared, "band", "left_semi"))
-    needed = members.select("id").distinct()
-    sets = settle(shingle_sets(docs.join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), width))
+    needed = firsts.select("id", "node", "set_key").join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    sets = settle(shingle_sets(docs.join(needed.hint("merge"), "id"), width).dropDuplicates(["id"]))
     found, some = None, members
+    fits = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * percent
     for turn, stars in enumerate(STARS):
         hubs = settle(bucket_hubs(members, stars, 100 * turn))
         edges = star_edges(some, hubs)
         if not turn:
             edges = edges.select(EDGE).unionByName(small_pairs(members, hubs))
-        fits = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * percent
         asked = settle(edges.where(fits).select(F.greatest("id", "centre").alias("id"), F.least("id", "centre").alias("centre")).distinct())
         confirmed = settle(confirm(asked, sets, percent))
         found = confirmed if found is None else found.unionByName(confirmed)
@@ -224,8 +247,7 @@ def links(docs: DataFrame, firsts: DataFrame, width: int, percent: int) -> DataF
         some = members.join(linked, "id", "left_anti")
         discard(asked, hubs)
     linked = settle(components(found.select(F.col("id").alias("a"), F.col("centre").alias("b"))))
-    fits = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * percent
-    rest = block_pairs(members, linked, sets, percent).where(fits)
+    rest = rest_pairs(members, linked, sets, percent).where(fits)
     asked = settle(rest.select(F.greatest("id", "centre").alias("id"), F.least("id", "centre").alias("centre")).distinct())
     more = settle(confirm(asked, sets, percent))
     discard(asked, sets, members)
@@ -235,22 +257,28 @@ def links(docs: DataFrame, firsts: DataFrame, width: int, percent: int) -> DataF
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row: documents linked where the sets of word runs are alike by ``percent``.
 
-    Equal sets are one class and only its smallest id goes on, so copies cost no pairs. Candidates come from banded
-    buckets as stars around a centre and are confirmed on the full sets. Words are runs of other than ASCII white space
-    with A-Z lowered. Null or empty texts have size 0 and are linked with nothing. Rows of one id are one document, with
-    the links of any of them; a null id is linked with nothing, its component is null and it is kept. An empty table gives
-    no rows; other columns are ignored.
+    Equal sets are one class, a node of its own even where rows of one id lead several, so copies cost no pairs. Candidates
+    come from banded buckets as stars around a centre and are confirmed on the full sets. Words are runs of other than
+    ASCII white space with A-Z lowered. Null or empty texts have size 0 and are linked with nothing. Texts of any length
+    are hashed whole; a worker holds a slice of 512 rows. Rows of one id are one document, with the links of any of them;
+    a null id is linked with nothing, its component is null and it is kept. An empty table gives no rows; other columns are
+    ignored.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = settle(signatures(docs, width, bands, rows))
     usable = signed.where("n > 0 and id is not null")
-    classes = settle(usable.groupBy("set_key").agg(F.min(F.struct("id", "n", "bands")).alias("f")).select("set_key", "f.*"))
-    joined = links(docs, classes.drop("set_key"), width, percent)
+    firsts = usable.groupBy("set_key").agg(F.min(F.struct("id", "n", "bands")).alias("f")).select("set_key", "f.*")
+    classes = settle(firsts.withColumn("node", F.monotonically_increasing_id()))  # written once, so that numbers stay
+    joined = links(docs, classes, width, percent)
     # Rows of one id with several texts tie their classes together.
     repeated = usable.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("id").alias("own"))
-    ties = usable.join(repeated, usable.id == repeated.own, "left_semi").join(classes.select("set_key", F.col("id").alias("first")), "set_key").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    reached = components(joined.unionByName(ties))
-    named = settle(classes.select("set_key", F.col("id").alias("first")).join(reached, F.col("first") == F.col("node"), "left").select("set_key", F.coalesce("component", "first").alias("component")))
+    several = usable.join(repeated, usable.id == repeated.own, "left_semi").join(classes.select("set_key", "node"), "set_key").select("id", "node").distinct()
+    ties = several.join(several.groupBy("id").agg(F.min("node").alias("b")), "id").select(F.col("node").alias("a"), "b")
+    reached = settle(components(joined.unionByName(ties)))
+    numbers = classes.select("node", "set_key", F.col("id").alias("first"))
+    least = reached.join(numbers, "node").groupBy("component").agg(F.min("first").alias("least"))
+    grouped = numbers.join(reached, "node", "left").join(least, "component", "left")
+    named = settle(grouped.select("set_key", F.coalesce("least", "first").alias("component")))
     out = signed.select("id", "n", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -85,15 +85,28 @@ def test_screen_leaves_no_alike_pair_out():
         core = rng.choice(pool, size, replace=False)
         sets = [np.unique(np.concatenate([rng.permutation(core)[: max(1, int(size * share))], rng.choice(pool, size // 8)])) for share in rng.uniform(0.7, 1, 25)]
         bits = [np.packbits(np.bincount(s & (minhash.BITS - 1), minlength=minhash.BITS) & 1) for s in sets]
-        m = {"n": np.array([len(s) for s in sets]), "class": np.arange(25) // 2, "far": np.arange(25) % 3 == 0, "sketch": np.stack(bits).view(np.uint64)}
-        for two in (False, True):
-            got = {frozenset(map(int, x)) for x in minhash.screen(m, two, 80)}
-            for i in range(25):
-                for j in range(i):
-                    both = len(np.intersect1d(sets[i], sets[j]))
-                    alike = both * 100 >= (len(sets[i]) + len(sets[j]) - both) * 80
-                    apart = m["class"][i] != m["class"][j] and (not two or m["far"][i] != m["far"][j])
-                    assert not (alike and apart) or frozenset((i, j)) in got
+        m = {"id": np.arange(25), "n": np.array([len(s) for s in sets]), "class": np.arange(25) // 2, "asks": np.arange(25) % 3 == 0, "sketch": np.stack(bits).view(np.uint64)}
+        asking = np.flatnonzero(m["asks"])
+        i, j = minhash.screen({k: x[asking] for k, x in m.items()}, m, 80)
+        got = sorted(tuple(sorted((int(asking[a]), int(b)))) for a, b in zip(i, j, strict=True))
+        assert len(set(got)) == len(got)
+        for a in range(25):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                alike = both * 100 >= (len(sets[a]) + len(sets[b]) - both) * 80
+                apart = m["class"][a] != m["class"][b] and (m["asks"][a] or m["asks"][b])
+                assert not (alike and apart) or (b, a) in got
+
+
+def test_minhash_of_ids_with_several_texts(spark):
+    """An id has the links of all its texts, whichever row comes first."""
+    one, two = ([f"{x}{i}" for i in range(60)] for x in "pq")
+    near = lambda words, k: " ".join([*words[:k], "new", *words[k:]])
+    texts = [(1, " ".join(one)), (1, " ".join(two)), (6, near(one, 9)), (7, near(two, 30)), (8, near(one, 40)), (3, "x y z"), (4, "x y z"), (4, " ".join([*two, "end"]))]
+    df = spark.createDataFrame([(i, t, None, None, "x", 5) for i, t in texts], DOCS)
+    for parts in (1, 5):
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df.repartition(parts, "text"), 2, 80).collect()}
+        assert got == {1: 1, 6: 1, 7: 1, 8: 1, 4: 1, 3: 1}
 
 
 def test_minhash_of_odd_rows(spark):
