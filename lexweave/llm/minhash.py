@@ -167,9 +167,9 @@ def open_groups(members: DataFrame, classes: DataFrame) -> DataFrame:
     each = rest.groupBy("main", "band").agg((F.count("*") * F.count_if("asks")).cast("double").alias("pairs")).groupBy("main").agg(F.sum("pairs").alias("apart"))
     members_of = rest.groupBy("main", "id").agg(F.bool_or("asks").alias("asks"))
     once = members_of.groupBy("main").agg((F.count("*").cast("double") * F.count_if("asks")).alias("joined"))
-    joint = each.join(once, "main").where("joined <= apart").select("main")
-    together = rest.join(joint, "main", "left_semi").select(F.lit(True).alias("joint"), F.col("main").alias("key"), "id", "n", "class", "asks").distinct()
-    alone = rest.join(joint, "main", "left_anti").select(F.lit(False).alias("joint"), F.col("band").alias("key"), "id", "n", "class", "asks")
+    joint = rest.select("main", "band").distinct().join(each.join(once, "main").where("joined <= apart").select("main"), "main").select("band")
+    together = rest.join(joint, "band", "left_semi").select(F.lit(True).alias("joint"), F.col("main").alias("key"), "id", "n", "class", "asks").distinct()
+    alone = rest.join(joint, "band", "left_anti").select(F.lit(False).alias("joint"), F.col("band").alias("key"), "id", "n", "class", "asks")
     return settle(together.unionByName(alone))
 
 
