@@ -4,30 +4,29 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE, map_batches, settle
 
-#: Words with an output of their own; they are dealt to classes of CLASS words by frequency. The others share one class.
-SHORTLIST, CLASS = 4096, 64
-#: Words whose counts every worker knows; the rest are joined.
+#: Words with an output of their own, and their classes, smaller ones for frequent words. The others share one class.
+SHORTLIST, CLASSES = 4096, 48
+#: Words whose counts every worker knows, about; the rest are joined.
 HEAD = 131_072
-EMBED, HIDDEN = 24, 32
+EMBED, HIDDEN = 16, 24
 #: Steps that errors run back through, and least and most streams trained side by side; streams scored side by side and
-#: steps at a time.
-TRUNCATE, TRAIN_LANES, MOST_LANES = 16, 64, 256
-SCORE_LANES, WINDOW = 512, 64
+#: tokens of a scored window, about.
+TRUNCATE, TRAIN_LANES, MOST_LANES = 16, 64, 512
+SCORE_LANES, WINDOW = 512, 8192
 #: Tokens that a worker lines up before it scores them.
 LINED_UP = 2_000_000
-#: Averaged rounds, each over its own part of the training documents, and documents of the round that starts them.
+#: Averaged rounds, each over its own part of the training documents, and documents of the round that starts them, about.
 ROUNDS, START = 4, 512
 #: Stands for the end in the counts; no word holds a blank.
 END = b" "
@@ -38,47 +37,67 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """words() of a column of texts: where each text's words begin (one more at the end), and the words."""
+    parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+    offsets, flat = np.array(parts.offsets, np.int64), parts.flatten()
+    offsets -= offsets[0]
+    if pc.min(pc.binary_length(flat)).as_py() == 0:  # a text without words gives an empty one
+        there = np.array(pc.greater(pc.binary_length(flat), 0))
+        offsets, flat = np.concatenate([[0], np.cumsum(there)])[offsets], flat.filter(pa.array(there))
+    return offsets, flat.cast(pa.binary())
+
+
 @dataclass
 class Vocabulary:
     """Shortlist words are 0 to size-1, most frequent first; ``size`` is the end, ``size + 1`` any other word."""
 
-    ids: dict[bytes, int]
+    words: pa.Array
     counts: np.ndarray  # of shortlist words, the end, all others together
-    start: np.ndarray  # first word of each class
+    start: np.ndarray  # first word of each class, and the end of the last
 
     @property
     def size(self) -> int:
-        return len(self.ids)
+        return len(self.words)
+
+    def ids(self, found: pa.Array) -> np.ndarray:
+        return np.array(pc.fill_null(pc.index_in(found, value_set=self.words), self.size + 1), np.int32)
 
 
 def vocabulary(top: list[tuple[bytes, int]], ends: int, others: int) -> Vocabulary:
+    """Class borders grow with the square of their number, which costs least where frequencies fall with the rank."""
     counts = np.array([*(c for _, c in top), ends, others], float)
-    return Vocabulary({w: i for i, (w, _) in enumerate(top)}, counts, np.arange(0, len(top), CLASS))
+    start = np.unique(np.ceil(len(top) * (np.arange(CLASSES + 1) / CLASSES) ** 2).astype(np.int64))
+    return Vocabulary(pa.array([w for w, _ in top], pa.binary()), counts, start)
 
 
 class Gru:
     """Embedding, one gated recurrent layer, and an output in two steps: a class, then a word of the class.
 
     Classes are those of the shortlist, then the end alone, then all other words. Biases start at the words' frequencies,
-    so that training starts from the unigram model.
+    so that training starts from the unigram model. States are held as (HIDDEN, tokens), so that gates are whole blocks.
     """
 
-    NAMES = ("E", "W", "U", "b", "C", "cb", "O", "ob")
+    NAMES = ("E", "W", "U", "C", "O")
 
     def __init__(self, vocab: Vocabulary, seed: int = 0):
         rng = np.random.default_rng(seed)
         n, h = vocab.size, HIDDEN
-        self.n, self.classes = n, len(vocab.start) + 2
+        self.n, self.start, self.classes = n, vocab.start, len(vocab.start) + 1
+        self.rooms: dict[str, np.ndarray] = {}
         self.E = rng.normal(0, 0.1, (n + 2, EMBED)).astype(np.float32)
-        self.W = rng.normal(0, EMBED**-0.5, (EMBED, 3 * h)).astype(np.float32)
-        self.U = rng.normal(0, h**-0.5, (h, 3 * h)).astype(np.float32)
-        self.b = np.zeros(3 * h, np.float32)
-        self.C = np.zeros((h, self.classes), np.float32)
-        self.O = np.zeros((n, h), np.float32)
+        # Last columns are biases: inputs and states have a row of ones below.
+        self.W = rng.normal(0, EMBED**-0.5, (3 * h, EMBED + 1)).astype(np.float32)
+        self.U = rng.normal(0, h**-0.5, (3 * h, h)).astype(np.float32)
+        self.C = np.zeros((self.classes, h + 1), np.float32)
+        self.O = np.zeros((n, h + 1), np.float32)
         words = vocab.counts[:n] + 1
-        mass = np.add.reduceat(words, vocab.start) if n else np.zeros(0)
-        self.cb = np.log(np.concatenate([mass, vocab.counts[n:] + 1])).astype(np.float32)
-        self.ob = np.log(words).astype(np.float32)
+        mass = np.add.reduceat(words, vocab.start[:-1]) if n else np.zeros(0)
+        mass = np.concatenate([mass, vocab.counts[n:] + 1])
+        self.W[:, -1] = 0
+        self.C[:, -1] = np.log(mass / mass.sum())
+        self.O[:, -1] = np.log(words / max(words.sum(), 1))
+        self.class_ids = np.concatenate([np.repeat(np.arange(self.classes - 2), np.diff(vocab.start)), [self.classes - 2, self.classes - 1]]).astype(np.uint8)
 
     def parts(self) -> list[np.ndarray]:
         return [getattr(self, k) for k in self.NAMES]
@@ -92,91 +111,141 @@ class Gru:
             setattr(self, k, flat[at : at + p.size].reshape(p.shape).astype(np.float32))
             at += p.size
 
-    def class_of(self, targets: np.ndarray) -> np.ndarray:
-        """Shortlist words in order of class; the end and the other words are classes of one."""
-        return np.where(targets < self.n, targets // CLASS, self.classes - 2 + targets - self.n)
+    def room(self, name: str, rows: int, columns: int) -> np.ndarray:
+        """An array that later calls use again. Its rows lie apart by no power of two, so that they don't share cache lines."""
+        kept = self.rooms.get(name)
+        if kept is None or len(kept) != rows or kept.shape[1] < columns:
+            kept = self.rooms[name] = np.empty((rows, columns + 80), np.float32)
+        return kept[:, :columns]
 
-    def step(self, gx: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        k = HIDDEN
-        gh = h @ self.U
-        zr = 1 / (1 + np.exp(-(gx[:, : 2 * k] + gh[:, : 2 * k])))
-        z, r = zr[:, :k], zr[:, k:]
-        c = np.tanh(gx[:, 2 * k :] + r * gh[:, 2 * k :])
-        return c + z * (h - c), z, r, c, gh[:, 2 * k :]
+    def embed(self, ins: np.ndarray) -> np.ndarray:
+        """Embeddings of words, with ones in the last column."""
+        x = self.room("x", len(ins), EMBED + 1)
+        x[:, :-1], x[:, -1] = self.E[ins], 1
+        return x
 
-    def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target; of another word that of its class."""
-        classes = self.class_of(targets)
-        logits = states @ self.C + self.cb
-        top = logits.max(1)
-        out = logits[np.arange(len(targets)), classes] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+    def step(self, gx: np.ndarray, h0: np.ndarray, zr: np.ndarray, g: np.ndarray, c: np.ndarray, out: np.ndarray) -> None:
+        """One step from states h0 and inputs gx; writes the gates, the state's share g of the candidate c, and the new state.
+
+        A gate is 1 / (1 + exp(x)).
+        """
+        k = HIDDEN
+        gh = np.matmul(self.U, h0, out=self.room("gh", 3 * k, h0.shape[1]))
+        np.add(gx[: 2 * k], gh[: 2 * k], out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        g[...] = gh[2 * k :]
+        np.multiply(zr[k:], g, out=c)
+        c += gx[2 * k :]
+        np.tanh(c, out=c)
+        np.subtract(h0, c, out=out)
+        out *= zr[:k]
+        out += c
+
+    def by_class(self, targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """An order of tokens by class, and (first word, end, first place, end) of each class of several words that is there."""
+        classes = self.class_ids[targets]
         order = np.argsort(classes, kind="stable")
         bounds = np.searchsorted(classes[order], np.arange(self.classes - 1))
-        for c in range(self.classes - 2):
-            rows = order[bounds[c] : bounds[c + 1]]
-            if len(rows):
-                lo, hi = c * CLASS, min((c + 1) * CLASS, self.n)
-                logits = states[rows] @ self.O[lo:hi].T + self.ob[lo:hi]
-                top = logits.max(1)
-                out[rows] += logits[np.arange(len(rows)), targets[rows] - lo] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        spans = zip(self.start[:-1].tolist(), self.start[1:].tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
+        return order, [x for x in spans if x[3] > x[2] and x[1] > x[0] + 1]
+
+    def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Natural log probability of each target; of another word that of its class. States are (HIDDEN + 1, tokens)."""
+
+        def picked(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+            logits -= logits.max(0)
+            mine = logits[at, np.arange(logits.shape[1])]
+            np.exp(logits, out=logits)
+            return mine - np.log(logits.sum(0))
+
+        out = picked(np.matmul(self.C, states, out=self.room("p", self.classes, len(targets))), self.class_ids[targets])
+        order, spans = self.by_class(targets)
+        states, goal = np.take(states, order, 1), targets[order]
+        for lo, hi, a, b in spans:
+            out[order[a:b]] += picked(self.O[lo:hi] @ states[:, a:b], goal[a:b] - lo)
         return out
 
     def train_window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Gradients over one window (steps, lanes); the state that enters is a constant. -1 as target: nothing there."""
-        steps, k = len(inputs), HIDDEN
-        kept, states = [], np.empty((steps, *h.shape), np.float32)
-        for t in range(steps):
-            h0 = h * (inputs[t] != self.n)[:, None]  # a document starts with the end token as input
-            x = self.E[inputs[t]]
-            h, z, r, c, g = self.step(x @ self.W + self.b, h0)
-            kept.append((h0, x, z, r, c, g))
-            states[t] = h
-        flat, goal = states.reshape(-1, k), targets.ravel()
-        there = np.flatnonzero(goal >= 0)
-        s, y = flat[there], goal[there]
-        grads = {n: np.zeros_like(p) for n, p in zip(self.NAMES, self.parts(), strict=True)}
-        ds = np.zeros_like(s)
-        scale = np.float32(1 / max(len(y), 1))
-        classes = self.class_of(y)
-        p = s @ self.C + self.cb
-        p = np.exp(p - p.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(y)), classes] -= 1
-        p *= scale
-        grads["C"], grads["cb"] = s.T @ p, p.sum(0)
-        ds += p @ self.C.T
-        order = np.argsort(classes, kind="stable")
-        bounds = np.searchsorted(classes[order], np.arange(self.classes - 1))
-        for c in range(self.classes - 2):
-            rows = order[bounds[c] : bounds[c + 1]]
-            if len(rows):
-                lo, hi = c * CLASS, min((c + 1) * CLASS, self.n)
-                p = s[rows] @ self.O[lo:hi].T + self.ob[lo:hi]
-                p = np.exp(p - p.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(rows)), y[rows] - lo] -= 1
-                p *= scale
-                grads["O"][lo:hi], grads["ob"][lo:hi] = p.T @ s[rows], p.sum(0)
-                ds[rows] += p @ self.O[lo:hi]
-        dstates = np.zeros_like(flat)
-        dstates[there] = ds
-        dstates = dstates.reshape(states.shape)
-        dh = np.zeros_like(h)
-        dx = np.empty((steps, len(h), EMBED), np.float32)
+        """Gradients over one window (steps, lanes); the state (HIDDEN, lanes) that enters is a constant. -1 as target: nothing there."""
+        (steps, lanes), k = inputs.shape, HIDDEN
+        ins, goal = inputs.ravel(), targets.ravel()
+        size = steps * lanes
+        spans = [slice(t * lanes, (t + 1) * lanes) for t in range(steps)]
+        goes_on = (inputs != self.n).astype(np.float32)  # a document starts with the end token as input
+        x = self.embed(ins)
+        gx = np.matmul(self.W, x.T, out=self.room("gx", 3 * k, size))
+        before, c, g, zr = (self.room(name, n * k, size) for name, n in (("before", 1), ("c", 1), ("g", 1), ("zr", 2)))
+        states = self.room("states", k + 1, size)
+        states[k] = 1
+        for t, s in enumerate(spans):
+            np.multiply(h, goes_on[t], out=before[:, s])
+            h = states[:k, s]
+            self.step(gx[:, s], before[:, s], zr[:, s], g[:, s], c[:, s], h)
+        if (goal < 0).any():
+            there = np.flatnonzero(goal >= 0)
+            live, goal = states[:, there], goal[there]
+        else:
+            there, live = None, states
+        scale = np.float32(1 / max(len(goal), 1))
+
+        def error(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """Softmax less the target, in place of the logits."""
+            logits -= logits.max(0)
+            np.exp(logits, out=logits)
+            logits *= scale / logits.sum(0)
+            logits[at, np.arange(logits.shape[1])] -= scale
+            return logits
+
+        grads = {"O": np.zeros_like(self.O), "E": np.zeros_like(self.E)}
+        p = error(np.matmul(self.C, live, out=self.room("p", self.classes, len(goal))), self.class_ids[goal])
+        grads["C"] = p @ live.T
+        ds = self.C[:, :k].T @ p
+        order, word_spans = self.by_class(goal)
+        sorted_states, sorted_goal = np.take(live, order, 1), goal[order]
+        sorted_ds = self.room("sorted_ds", k, len(goal))
+        sorted_ds[:] = 0
+        for lo, hi, a, b in word_spans:
+            p = error(self.O[lo:hi] @ sorted_states[:, a:b], sorted_goal[a:b] - lo)
+            grads["O"][lo:hi] = p @ sorted_states[:, a:b].T
+            sorted_ds[:, a:b] = self.O[lo:hi, :k].T @ p
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        ds += np.take(sorted_ds, place, 1)
+        if there is not None:
+            all_ds = np.zeros((k, size), np.float32)
+            all_ds[:, there] = ds
+            ds = all_ds
+        gates, gated = gx, self.room("gated", 3 * k, size)  # errors at the inputs' side take the place of gx
+        dh, one = np.zeros((k, lanes), np.float32), np.empty((k, lanes), np.float32)
         for t in reversed(range(steps)):
-            h0, x, z, r, c, g = kept[t]
-            dh = dh + dstates[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (h0 - c) * z * (1 - z)
-            dr = dc * g * r * (1 - r)
-            gates = np.concatenate([dz, dr, dc], 1)
-            back = np.concatenate([dz, dr, dc * r], 1)
-            grads["W"] += x.T @ gates
-            grads["b"] += gates.sum(0)
-            grads["U"] += h0.T @ back
-            dx[t] = gates @ self.W.T
-            dh = (dh * z + back @ self.U.T) * (inputs[t] != self.n)[:, None]
-        np.add.at(grads["E"], inputs.ravel(), dx.reshape(-1, EMBED))
+            s = spans[t]
+            own, back, z, r, out = gates[:, s], gated[:, s], zr[:k, s], zr[k:, s], c[:, s]
+            dh += ds[:, s]
+            np.subtract(1, z, out=one)
+            np.multiply(out, out, out=own[2 * k :])
+            np.subtract(1, own[2 * k :], out=own[2 * k :])
+            own[2 * k :] *= one
+            own[2 * k :] *= dh
+            np.subtract(out, before[:, s], out=own[:k])
+            own[:k] *= z
+            own[:k] *= one
+            own[:k] *= dh
+            np.subtract(r, 1, out=one)
+            one *= r
+            one *= g[:, s]
+            np.multiply(one, own[2 * k :], out=own[k : 2 * k])
+            back[: 2 * k] = own[: 2 * k]
+            np.multiply(own[2 * k :], r, out=back[2 * k :])
+            dh *= z
+            dh += self.U.T @ back
+            dh *= goes_on[t]
+        grads["W"], grads["U"] = gates @ x, gated @ before.T
+        by_word = np.argsort(ins, kind="stable")
+        found, first = np.unique(ins[by_word], return_index=True)
+        dx = np.matmul(gates.T, self.W[:, :-1], out=self.room("dx", size, EMBED))
+        grads["E"][found] = np.add.reduceat(dx[by_word], first, axis=0)
         return grads, h
 
 
@@ -188,85 +257,102 @@ class Adam:
 
     def apply(self, grads: dict[str, np.ndarray]) -> None:
         self.t += 1
-        fit = self.rate * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        fit = np.float32(self.rate * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
         for k, g in grads.items():
+            m, v = self.m[k], self.v[k]
             np.clip(g, -1, 1, out=g)
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            getattr(self.model, k)[...] -= fit * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)
-
-
-def line_up(docs: list[np.ndarray], lanes: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Deals documents (token ids without the end) to lanes of near equal length, the longest first.
-
-    Gives (steps, lanes) arrays of inputs, targets and documents' numbers; targets are -1 where a lane is through.
-    """
-    lanes = max(1, min(lanes, len(docs)))
-    order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-    loads, dealt = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
-    for i in order:
-        load, k = heapq.heappop(loads)
-        dealt[k].append(i)
-        heapq.heappush(loads, (load + len(docs[i]) + 1, k))
-    steps = max(load for load, _ in loads)
-    inputs, targets, number = np.full((lanes, steps), size, np.int32), np.full((lanes, steps), -1, np.int32), np.zeros((lanes, steps), np.int32)
-    for k, own in enumerate(dealt):
-        at = 0
-        for i in own:
-            n = len(docs[i])
-            inputs[k, at + 1 : at + 1 + n] = docs[i]
-            targets[k, at : at + n], targets[k, at + n] = docs[i], size
-            number[k, at : at + n + 1] = i
-            at += n + 1
-    return inputs.T.copy(), targets.T.copy(), number.T.copy()
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            v *= np.float32(0.99)
+            g *= g
+            g *= np.float32(0.01)
+            v += g
+            np.sqrt(v, out=g)
+            g += np.float32(1e-6)
+            np.divide(m, g, out=g)
+            g *= fit
+            getattr(self.model, k)[...] -= g
 
 
 def train(model: Gru, docs: list[np.ndarray], rate: float) -> int:
     """One pass of truncated backpropagation; the state goes on from window to window. Gives the number of tokens.
 
-    Many documents make wider batches, which take less time a token and learn as well.
+    All documents, each with its end, are one stream that is cut into lanes as long as each other to a token, wherever the
+    cuts fall, so that long documents hold nothing up and nothing is padded. Many tokens make wider batches, which take less
+    time a token.
     """
     if not docs:
         return 0
-    inputs, targets, _ = line_up(docs, min(MOST_LANES, max(TRAIN_LANES, len(docs) // 8)), model.n)
-    adam, h = Adam(model, rate), np.zeros((inputs.shape[1], HIDDEN), np.float32)
-    windows, full = range(0, len(inputs), TRUNCATE), TRUNCATE * inputs.shape[1]
-    for done, at in enumerate(windows):
-        goal = targets[at : at + TRUNCATE]
-        if (live := np.flatnonzero((targets[at:] >= 0).any(0))).size < inputs.shape[1]:
-            inputs, targets, h, goal = inputs[:, live], targets[:, live], h[live], goal[:, live]
-        adam.rate = rate * (1 - 0.9 * done / len(windows))
-        grads, h = model.train_window(inputs[at : at + TRUNCATE], goal, h)
+    stream = np.concatenate([x for d in docs for x in (d, [model.n])]).astype(np.int32)
+    before = np.concatenate([[model.n], stream[:-1]]).astype(np.int32)
+    lanes = min(len(stream), MOST_LANES, max(TRAIN_LANES, len(stream) // (64 * TRUNCATE)))
+    cuts = len(stream) * np.arange(lanes + 1) // lanes
+    longest = int(np.diff(cuts).max())
+    adam, h = Adam(model, rate), np.zeros((HIDDEN, lanes), np.float32)
+    for at in range(0, longest, TRUNCATE):
+        place = cuts[:-1] + np.arange(at, min(at + TRUNCATE, longest))[:, None]
+        over = place >= cuts[1:]
+        place = np.minimum(place, len(stream) - 1)
+        goal = stream[place]
+        goal[over] = -1
+        adam.rate = rate * (1 - 0.9 * at / longest)
+        grads, h = model.train_window(before[place], goal, h)
         for g in grads.values():
-            g *= np.float32((goal >= 0).sum() / full)  # each token counts alike, also where few lanes are left
+            g *= np.float32((goal >= 0).sum() / (TRUNCATE * lanes))  # each token counts alike, also in a short last window
         adam.apply(grads)
-    return int(sum(map(len, docs)) + len(docs))
+    return len(stream)
 
 
 def score(model: Gru, docs: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each complete document, the state carried across windows from its first token to its end."""
-    total = np.zeros(len(docs))
+    """Natural log probability of each complete document, the state carried across windows from its first token to its end.
+
+    Whole documents are dealt to lanes of near equal length, the longest first; lanes are places in one stream, so that a
+    very long text takes no room but its own.
+    """
     if not docs:
-        return total
-    inputs, targets, number = line_up(docs, SCORE_LANES, model.n)
-    table = model.E @ model.W + model.b
-    h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
-    lane = np.arange(inputs.shape[1])
-    last = len(targets) - (targets[::-1] >= 0).argmax(0)  # each lane's length
-    for at in range(0, len(inputs), WINDOW):
-        live = last[lane] > at
+        return np.zeros(0)
+    lanes = min(SCORE_LANES, len(docs))
+    loads, dealt = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
+    for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+        load, k = heapq.heappop(loads)
+        dealt[k].append(i)
+        heapq.heappush(loads, (load + len(docs[i]) + 1, k))
+    stream = np.concatenate([x for own in dealt for i in own for x in (docs[i], [model.n])]).astype(np.int32)
+    before = np.concatenate([[model.n], stream[:-1]]).astype(np.int32)
+    lengths = np.array([load for load, _ in sorted(loads, key=lambda x: x[1])])
+    ends = np.cumsum(lengths)
+    places = ends - lengths
+    logs = np.zeros(len(stream))
+    h = np.zeros((HIDDEN, lanes), np.float32)
+    while True:
+        live = places < ends
         if not live.all():
-            lane, h = lane[live], h[live]
-        ins, goal, num = (x[at : at + WINDOW][:, lane] for x in (inputs, targets, number))
-        states = np.empty((len(ins), len(lane), HIDDEN), np.float32)
-        for t in range(len(ins)):
+            places, ends, h = places[live], ends[live], np.ascontiguousarray(h[:, live])
+        if not (n := len(places)):
+            break
+        steps = int(min(max(TRUNCATE, WINDOW // n), (ends - places).max()))
+        at = places + np.arange(steps)[:, None]
+        there = np.flatnonzero((at < ends).ravel())
+        at = np.minimum(at, len(stream) - 1)
+        ins = before[at]
+        gx = np.matmul(model.W, model.embed(ins.ravel()).T, out=model.room("gx", 3 * HIDDEN, steps * n))
+        states = model.room("states", HIDDEN + 1, steps * n)
+        states[HIDDEN] = 1
+        zr, g, c = (np.empty((k, n), np.float32) for k in (2 * HIDDEN, HIDDEN, HIDDEN))
+        for t in range(steps):
             if (fresh := ins[t] == model.n).any():
-                h = h * ~fresh[:, None]
-            h = model.step(table[ins[t]], h)[0]
-            states[t] = h
-        there = np.flatnonzero(goal.ravel() >= 0)
-        logs = model.log_probs(states.reshape(-1, HIDDEN)[there], goal.ravel()[there])
-        total += np.bincount(num.ravel()[there], logs, len(docs))
+                h = h * ~fresh
+            new = states[:HIDDEN, t * n : (t + 1) * n]
+            model.step(gx[:, t * n : (t + 1) * n], h, zr, g, c, new)
+            h = new
+        at = at.ravel()
+        if len(there) < len(at):
+            states, at = states[:, there], at[there]
+        logs[at] = model.log_probs(states, stream[at])
+        places = places + steps
+    order = [i for own in dealt for i in own]
+    total = np.empty(len(docs))
+    total[order] = np.add.reduceat(logs, np.concatenate([[0], np.cumsum([len(docs[i]) + 1 for i in order])[:-1]]))
     return total
 
 
@@ -274,29 +360,53 @@ def count_words(train_docs: DataFrame) -> DataFrame:
     """(word, n) over all words and ends of the training texts; workers add up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
+        ends = 0
 
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_pydict({"word": pa.array(counter.keys(), pa.binary()), "n": pa.array(counter.values(), pa.int64())})
-            counter.clear()
-            return batch
+        def added() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counter.update(words(text))
-            counter[END] += batch.num_rows
-            if len(counter) > 400_000:
-                yield flush()
-        yield flush()
+            for at in range(0, batch.num_rows, SLICE):
+                _, found = split_words(batch.column(0).slice(at, SLICE))
+                counts = pc.value_counts(found)
+                held.append(pa.table({"word": counts.field(0), "n": counts.field(1)}))
+                if sum(t.num_rows for t in held) > 600_000:
+                    held = [added()]
+                    if held[0].num_rows > 300_000:
+                        yield from held[0].to_batches()
+                        held = []
+            ends += batch.num_rows
+        held.append(pa.table({"word": pa.array([END], pa.binary()), "n": pa.array([ends], pa.int64())}))
+        yield from added().to_batches()
 
     parts = map_batches(train_docs.select("text"), run, "word binary, n long")
-    return parts.groupBy("word").agg(F.sum("n").alias("n"))
+    return parts.where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def learn(train_docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, start: int = START) -> tuple[Gru, int]:
+def most_frequent(counted: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """Words of (word, n), most frequent first: those from the least count at which ``most`` or fewer are as frequent.
+
+    The count comes from a table of how many words have which (exact to 4,096, then in steps of one in 512), so ties
+    are taken or left together and the driver gets no more than ``most`` rows and some 20,000 counts.
+    """
+    step = F.when(F.col("n") <= 4096, F.col("n")).otherwise(4096 + F.floor((F.log(F.col("n").cast("double")) - math.log(4096)) * 512)).cast("long")
+    ranked = counted.where(F.col("word") != F.lit(END)).withColumn("step", step)
+    total, least = 0, None
+    for r in ranked.groupBy("step").agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect():
+        total += r.k
+        if total > most:
+            break
+        least = r.step
+    if least is None:
+        return []
+    return sorted(((bytes(r.word), r.n) for r in ranked.where(F.col("step") >= least).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
+
+
+def learn(train_docs: DataFrame, vocab: Vocabulary, n_docs: int, rounds: int = ROUNDS, start: int = START) -> tuple[Gru, int]:
     """Trains the network on the cluster; gives it and the number of tokens of the averaged rounds.
 
-    The ``start`` documents that come first by a hash give a common start in one task. Then a hash deals all documents to
+    About ``start`` of the ``n_docs`` documents, chosen by a hash, give a common start in one task. Then a hash deals all documents to
     ``rounds``. In each, every task trains on all of its documents of the round, from what the round before gave, and the
     results are averaged by tokens, in two levels; so every document is learnt from and what tasks learn adds up.
     """
@@ -310,12 +420,12 @@ def learn(train_docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, start:
             model = Gru(v)
             if weights is not None:
                 model.unpack(np.frombuffer(weights.value, np.float32))
-            held, room, tokens, other = [], 0, 0, v.size + 1
+            held, room, tokens = [], 0, 0
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    tokenized = words(text)
-                    held.append(np.fromiter(map(v.ids.get, tokenized, repeat(other)), np.int32, len(tokenized)))
-                    room += len(held[-1])
+                for at in range(0, batch.num_rows, SLICE):
+                    offsets, found = split_words(batch.column(0).slice(at, SLICE))
+                    held += np.split(v.ids(found), offsets[1:-1])
+                    room += len(found)
                     if room > LINED_UP:
                         tokens += train(model, held, pace)
                         held, room = [], 0
@@ -325,14 +435,14 @@ def learn(train_docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, start:
 
         return run
 
-    mark = F.xxhash64("doc_id", F.lit("lm"))
+    mark = F.pmod(F.xxhash64("doc_id", "text", F.lit("lm")), F.lit(1 << 40))
     schema = "tokens long, weights binary"
-    first = train_docs.select("text", mark.alias("h")).orderBy("h").limit(start).select("text").coalesce(1)
-    row = map_batches(first, trainer(None, 0.02), schema).first()
+    first = train_docs.where(mark < int((1 << 40) * min(1, start / max(n_docs, 1)))).select("text").coalesce(1)
     model = Gru(vocab)
-    if row is None:
+    if not n_docs:
         return model, 0
-    weights, learnt = bytes(row.weights), 0
+    row = map_batches(first, trainer(None, 0.02), schema).first()
+    weights, learnt = bytes(row.weights) if row else model.packed(), 0
 
     def average(pdf):
         n = pdf.tokens.sum()
@@ -341,7 +451,7 @@ def learn(train_docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, start:
 
     for k in range(rounds):
         shared = context.broadcast(weights)
-        share = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == k
+        share = F.pmod(F.xxhash64("doc_id", "text", F.lit("round")), F.lit(rounds)) == k
         own = map_batches(train_docs.where(share).select("text"), trainer(shared, 0.004), schema)
         trained = settle(own.withColumn("part", F.spark_partition_id()))
         groups = max(1, math.isqrt(trained.rdd.getNumPartitions()))
@@ -359,8 +469,8 @@ def score_documents(df: DataFrame, learn_from: Column | None = None, id_col: str
     Returns doc_id, n_tokens, n_known, train_tokens, base_score and score (log10). Counts cover all training texts. A word
     off the shortlist has the model's probability of the class of such words times its share of their counts, one added
     each and one for a word never seen; so the model's outcomes are the base's. Counts of the ``head`` most frequent words
-    are broadcast (a fixed number); rarer words leave the worker with their documents and meet their counts in a join.
-    Null texts count as empty and have the end alone; null ids are kept; rows of one id are told apart by their place; an
+    are broadcast (a fixed number at most); rarer words leave the worker with their documents and meet their counts in a join.
+    Texts of any length are scored whole, in a worker's room for their tokens. Null texts count as empty and have the end alone; null ids are kept; rows of one id are told apart by their place; an
     empty table gives no rows; other columns are ignored.
     """
     spark = df.sparkSession
@@ -369,61 +479,65 @@ def score_documents(df: DataFrame, learn_from: Column | None = None, id_col: str
     counted = settle(count_words(training))
     total, distinct, ends = counted.agg(F.sum("n"), F.count("*"), F.max(F.when(F.col("word") == F.lit(END), F.col("n")))).first()
     total, ends = total or 0, ends or 0
-    top = [(bytes(r.word), r.n) for r in counted.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(head).collect()]
-    known = {w: n for w, n in top}
+    top = most_frequent(counted, head)
     listed = top[:shortlist]
     others = total - ends - sum(n for _, n in listed)
     vocab = vocabulary(listed, ends, others)
-    model, _ = learn(training, vocab)
-    shared = spark.sparkContext.broadcast((model, vocab, {w: i for i, (w, _) in enumerate(top)}, np.log10(np.array([n + 1 for _, n in top], float))))
+    model, _ = learn(training, vocab, ends)
+    shared = spark.sparkContext.broadcast((model, pa.array([w for w, _ in top], pa.binary()), np.log10(np.array([n + 1 for _, n in top], float))))
     base = math.log10(total + distinct + 1)
     spread = math.log10(others + (distinct - len(listed) - (ends > 0)) + 1)
     end_base = math.log10(ends + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, v, head_words, head_logs = shared.value
-        missing, other = len(head_words), v.size + 1
+        net, head_words, head_logs = shared.value
+        missing, other = len(head_words), net.n + 1
         ids_of = np.arange(missing + 1, dtype=np.int32)
-        ids_of[v.size :] = other
+        ids_of[net.n :] = other
         logs_of = np.append(head_logs, 0.0)
-        held: list[tuple] = []
-        room = 0
+        held: list[pa.RecordBatch] = []
+        ids: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            scores = score(net, [x[1] for x in held]) / math.log(10)
-            for at in range(0, len(held), SLICE):
-                rows = held[at : at + SLICE]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": pa.array([x[0] for x in rows], pa.int64()),
-                        "n_tokens": pa.array([len(x[1]) + 1 for x in rows], pa.int64()),
-                        "n_head": pa.array([x[2] for x in rows], pa.int64()),
-                        "head_logs": pa.array([x[3] for x in rows], pa.float64()),
-                        "n_other": pa.array([x[4] for x in rows], pa.int64()),
-                        "other_logs": pa.array([x[5] for x in rows], pa.float64()),
-                        "net": pa.array(scores[at : at + len(rows)], pa.float64()),
-                        "rare": pa.array([list(x[6].keys()) for x in rows], pa.list_(pa.binary())),
-                        "times": pa.array([list(x[6].values()) for x in rows], pa.list_(pa.int32())),
-                    }
-                )
+            scores, at = score(net, ids) / math.log(10), 0
+            for rows in held:
+                yield rows.append_column("net", pa.array(scores[at : at + rows.num_rows], pa.float64()))
+                at += rows.num_rows
             held.clear()
+            ids.clear()
 
+        room = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = words(text)
-                found = np.fromiter(map(head_words.get, tokens, repeat(missing)), np.int32, len(tokens))
-                ids, logs = ids_of[found], logs_of[found]
-                off = ids == other
+            for at in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(at, SLICE)
+                offsets, tokens = split_words(piece.column(1))
+                found = np.array(pc.fill_null(pc.index_in(tokens, value_set=head_words), missing), np.int64)
+                own, logs = ids_of[found], logs_of[found]
+                off = own == other
+                sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offsets])  # noqa: B023, E731
                 far = np.flatnonzero(found == missing)
-                rare = Counter(tokens[i] for i in far.tolist())
-                held.append((doc_id, ids, len(tokens) - len(far), float(logs.sum()), int(off.sum()), float(logs[off].sum()), rare))
-                room += len(ids) + 1
+                unseen = tokens.take(pa.array(far)).dictionary_encode()
+                rare, times = np.unique(np.searchsorted(offsets, far, "right") - 1 << 32 | np.array(unseen.indices, np.int64), return_counts=True)
+                bounds = pa.array(np.searchsorted(rare >> 32, np.arange(piece.num_rows + 1)), pa.int32())
+                columns = {
+                    "doc_id": piece.column(0),
+                    "n_tokens": pa.array(np.diff(offsets) + 1, pa.int64()),
+                    "n_head": pa.array(sums(found < missing), pa.int64()),
+                    "head_logs": pa.array(sums(logs), pa.float64()),
+                    "n_other": pa.array(sums(off), pa.int64()),
+                    "other_logs": pa.array(sums(logs * off), pa.float64()),
+                    "rare": pa.ListArray.from_arrays(bounds, unseen.dictionary.take(pa.array(rare & 0xFFFFFFFF, pa.int64()))),
+                    "times": pa.ListArray.from_arrays(bounds, pa.array(times, pa.int32())),
+                }
+                held.append(pa.RecordBatch.from_pydict(columns))
+                ids += np.split(own, offsets[1:-1])
+                room += len(own)
                 if room > LINED_UP:
                     yield from flush()
                     room = 0
         yield from flush()
 
-    schema = "doc_id long, n_tokens long, n_head long, head_logs double, n_other long, other_logs double, net double, rare array<binary>, times array<int>"
+    schema = "doc_id long, n_tokens long, n_head long, head_logs double, n_other long, other_logs double, rare array<binary>, times array<int>, net double"
     scored = settle(map_batches(docs, run, schema).withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     met = rare.join(counted, "word").groupBy("row").agg(F.sum("times").alias("n_met"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("met_logs"))

@@ -1,8 +1,10 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from lexweave.llm import lm, queries
 
 SF = "/root/testdata/sf0.01"
@@ -34,11 +36,24 @@ def small_model():
     return vocab, model
 
 
+def plain_step(model, word, h):
+    """The gated unit written out: states as columns."""
+    k = lm.HIDDEN
+    gx, gh = model.W[:, :-1] @ model.E[word].T + model.W[:, -1:], model.U @ h
+    z, r = (1 / (1 + np.exp(gx[s] + gh[s])) for s in (slice(0, k), slice(k, 2 * k)))
+    c = np.tanh(gx[2 * k :] + r * gh[2 * k :])
+    return z * h + (1 - z) * c
+
+
+def with_ones(states):
+    return np.concatenate([states, np.ones_like(states[:1])])
+
+
 def test_next_token_probabilities_add_up():
     vocab, model = small_model()
-    state = np.random.default_rng(2).normal(0, 1, (1, lm.HIDDEN)).astype(np.float32)
+    state = np.random.default_rng(2).normal(0, 1, (lm.HIDDEN, 1)).astype(np.float32)
     all_targets = np.arange(vocab.size + 2)
-    assert math.isclose(np.exp(model.log_probs(np.repeat(state, len(all_targets), 0), all_targets).astype(float)).sum(), 1, rel_tol=1e-4)
+    assert math.isclose(np.exp(model.log_probs(with_ones(np.repeat(state, len(all_targets), 1)), all_targets).astype(float)).sum(), 1, rel_tol=1e-4)
 
 
 def test_gradients_against_differences():
@@ -47,16 +62,15 @@ def test_gradients_against_differences():
         setattr(model, name, part.astype(np.float64))
     rng = np.random.default_rng(4)
     inputs, targets = rng.integers(0, vocab.size + 2, (5, 3)), rng.integers(-1, vocab.size + 2, (5, 3))
-    h = rng.normal(0, 1, (3, lm.HIDDEN))
+    h = rng.normal(0, 1, (lm.HIDDEN, 3))
 
     def loss():
         state, out = h, []
         for t in range(5):
-            x = model.E[inputs[t]]
-            state = model.step(x @ model.W + model.b, state * (inputs[t] != model.n)[:, None])[0]
+            state = plain_step(model, inputs[t], state * (inputs[t] != model.n))
             out.append(state)
         there = np.flatnonzero(targets.ravel() >= 0)
-        return -model.log_probs(np.stack(out).reshape(-1, lm.HIDDEN)[there], targets.ravel()[there]).mean()
+        return -model.log_probs(with_ones(np.concatenate(out, 1)[:, there]), targets.ravel()[there]).mean()
 
     lm_float = np.float32
     np.float32 = np.float64  # the window in double precision, so that differences are sharp
@@ -88,14 +102,42 @@ def test_document_scores_do_not_depend_on_company():
     alone = [lm.score(model, [d])[0] for d in docs]
     assert np.allclose(together, alone, rtol=1e-4)
     for d, total in zip(docs[:5], together, strict=False):  # token by token
-        h, by_hand, last = np.zeros((1, lm.HIDDEN), np.float32), 0.0, vocab.size
+        h, by_hand, last = np.zeros((lm.HIDDEN, 1), np.float32), 0.0, vocab.size
         for t in [*d, vocab.size]:
-            h = model.step(model.E[[last]] @ model.W + model.b, h)[0]
-            by_hand += model.log_probs(h, np.array([t]))[0]
+            h = plain_step(model, [last], h)
+            by_hand += model.log_probs(with_ones(h), np.array([t]))[0]
             last = t
         assert math.isclose(by_hand, total, rel_tol=1e-3)
 
 
+def test_split_words_is_words():
+    texts = [None, "", "  ", "A b", " x\ty\x0b\x0cz\r\n", "\x1c a\x1db \u00a0É é", "end", "\n", "a" * 10, "İ K"]
+    for rows in (texts, texts[3:7], texts[:2], []):
+        column = pa.array([*texts[:2], *rows], pa.string()).slice(2)
+        offsets, found = lm.split_words(column)
+        got = [found.slice(a, b - a).to_pylist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        assert got == [lm.words(t) for t in rows]
+
+
+def test_a_very_long_text_among_short_ones_takes_room_for_its_tokens_alone():
+    vocab, model = small_model()
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(0, vocab.size, n).astype(np.int32) for n in [200_000, *[10] * 600]]
+    tracemalloc.start()
+    scores = lm.score(model, docs)
+    assert lm.train(model, docs, 0.004) == sum(map(len, docs)) + len(docs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(scores).all() and most < 100e6
+
+
+def test_most_frequent_words_come_without_ties_cut(spark):
+    counts = {"a": 10**12, "b": 5000, "c": 5000, "d": 7, "e": 7, "f": 7, "g": 1}
+    df = spark.createDataFrame([(bytearray(w.encode()), n) for w, n in [*counts.items(), (" ", 9)]], "word binary, n long")
+    for most, want in ((100, "abcdefg"), (6, "abcdef"), (5, "abc"), (3, "abc"), (2, "a"), (0, "")):
+        assert [w for w, _ in lm.most_frequent(df, most)] == [x.encode() for x in want]
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "A a b"), (3, "x " * 30000), (4, "</end>   é")]
     df = spark.createDataFrame([(*r, "z", 0.5) for r in rows], "doc_id long, text string, rare string, score double")
@@ -117,6 +159,6 @@ def test_every_training_document_is_learnt_from(spark):
     count = Counter(w for d in docs for w in lm.words(d))
     top = count.most_common(80)
     vocab = lm.vocabulary(top, len(docs), sum(count.values()) - sum(n for _, n in top))
-    model, learnt = lm.learn(df, vocab)
+    model, learnt = lm.learn(df, vocab, len(docs))
     assert learnt == sum(count.values()) + len(docs)
     assert all(np.isfinite(p).all() for p in model.parts())
