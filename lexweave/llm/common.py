@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -31,20 +32,36 @@ def fold(column: str, modulus: int) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; only where that is unset (tests) a local one."""
+    """The shared folder named in spark.checkpoint.dir. Only a local session, as in tests, gets one of its own where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return folder.rstrip("/")
 
 
+#: The folder of this process below each scratch folder, removed when the process ends.
+RUN = f"lexweave-{uuid.uuid4().hex}"
+_roots: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _remove_roots() -> None:
+    for root, spark in _roots.items():
+        if spark.sparkContext._jsc is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _scopes: list[list[DataFrame]] = []
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/lexweave/{uuid.uuid4().hex}"
+    _roots[root := f"{scratch_dir(spark)}/{RUN}"] = spark
+    path = f"{root}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
@@ -82,7 +99,10 @@ BATCH = 1024
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with small batches; a size that the session sets below BATCH stays."""
+    """mapInArrow with small batches; a size that the session sets below BATCH stays.
+
+    Spark reads the size when a plan runs, which may be long after this returns, so the session keeps it.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(name)) <= BATCH:

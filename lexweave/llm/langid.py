@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE, discard, keep_rows, map_batches, map_slices, settle
@@ -112,12 +112,14 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 4) ->
     """Learns from train (doc_id, text, lang; lang not null).
 
     Document frequencies count every row. The classifier is fitted on the ``per_language`` rows of each language that
-    come first by a hash of the id (rows of equal ids together); a fifth of them is held back for the temperature. One pass
-    over the texts gives both.
+    come first by a hash of id and text, rows that agree in both counting once; a fifth of them is held back for the
+    temperature. One pass over the texts gives both. The share of the hashes that is looked at comes from the number of
+    such rows of a language, so that the driver gets a bounded number of rows and no task a whole language.
     """
-    order = F.xxhash64("doc_id")
-    ranked = train.select("lang", order.alias("h")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    limits = {r.lang: r.limit for r in ranked.where(F.col("k") <= per_language).groupBy("lang").agg(F.max("h").alias("limit")).collect()}
+    order = F.xxhash64("doc_id", "text")
+    sizes = train.select("lang", order.alias("h")).groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()  # a row a language
+    # The share of the hashes that holds a quarter more than is asked for; the rest is cut off below.
+    limits = {r.lang: round((min(1.0, 1.25 * per_language / r.n) - 0.5) * 2**64) for r in sizes}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df_counts = np.zeros(BUCKETS, np.int64)
@@ -145,11 +147,11 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 4) ->
     for r in totals.collect():  # a row a bucket at most
         frequency[r.at] = r.n
     idf = np.log((1 + rows) / (1 + frequency)) + 1
-    sample = passed.where("lang is not null").orderBy("h", "lang").collect()  # per_language a language
+    examples_of = passed.where("lang is not null").groupBy("lang", "h").agg(F.first("at").alias("at"), F.first("n").alias("n"))
+    sample = sorted(examples_of.collect(), key=lambda r: (r.h, r.lang))  # a quarter more than per_language a language, about
     discard(passed)
     languages = sorted(limits)
     place = {x: i for i, x in enumerate(languages)}
-    # Rows that tie at the limit are left out beyond the bound.
     taken: dict[str, int] = dict.fromkeys(languages, 0)
     examples = []
     for r in sample:
@@ -182,7 +184,9 @@ def identify(df: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
     """Language of every whole text, learnt from the rows where ``learn`` holds and the language is known.
 
     A null text, one without a letter, and all texts when nothing can be learnt are ``und`` with score 0. Null ids are
-    kept, repeated rows give a row each, an empty table gives no rows; other columns are ignored.
+    kept, repeated rows give a row each, an empty table gives no rows; other columns are ignored. Texts of any length are
+    read whole; a worker holds a slice of 512 rows and the counts of one text. Of languages as likely as each other the
+    first by name is given.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = rows.where(F.col("lang").isNotNull())

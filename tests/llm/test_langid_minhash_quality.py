@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -144,6 +145,66 @@ def test_language_of_odd_rows(spark):
     assert langid.identify(nothing.limit(0)).count() == 0
 
 
+def test_the_sample_of_a_language_is_bounded(spark, monkeypatch):
+    """Rows without id, rows of one id and equal rows: the driver gets the bound and some more, no ties without end."""
+    rows = [(None, f"the cat {i}", "en") for i in range(3000)] + [(None, "same text", "en")] * 3000 + [(7, f"der hund {i}", "de") for i in range(3000)] + [(8, "le chat", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    collected, taught = [], []
+    collect, learn = type(df).collect, langid.Ftrl.learn
+    monkeypatch.setattr(type(df), "collect", lambda self: (collected.append(x := collect(self)), x)[1])
+    monkeypatch.setattr(langid.Ftrl, "learn", lambda self, *x: (taught.append(x[2]), learn(self, *x))[1])
+    model = langid.fit(df, per_language=100, epochs=1)
+    examples = [x for x in collected if x and "h" in x[0]]
+    assert len(examples) == 1 and 200 < len(examples[0]) < 330
+    assert len(taught) <= 201 and model.languages == ["de", "en", "fr"]
+
+
+def test_fit_against_plain_loops(spark):
+    """The same model from nested loops over the formulas of the method."""
+    rows = [(i, f"the cat and {i % 9} dogs of", "en") for i in range(30)] + [(i, f"der hund und {i % 7} katzen", "de") for i in range(30, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, epochs=2)
+    order = [r.doc_id for r in df.orderBy(F.xxhash64("doc_id", "text")).collect()]
+    grams = {i: {} for i, *_ in rows}
+    for i, text, _ in rows:
+        for b in langid.buckets(text).tolist():
+            grams[i][b] = grams[i].get(b, 0) + 1
+    share = {}
+    for g in grams.values():
+        for b in g:
+            share[b] = share.get(b, 0) + 1
+    vectors = {}
+    for i, g in grams.items():
+        x = {b: (1 + math.log(n)) * (math.log(61 / (1 + share[b])) + 1) for b, n in g.items()}
+        size = math.sqrt(sum(q * q for q in x.values()))
+        vectors[i] = {b: q / size for b, q in x.items()}
+    label = {i: ["de", "en"].index(lang) for i, _, lang in rows}
+    z, n = {}, {}
+
+    def weight(b, k):
+        a = z.get((b, k), 0.0)
+        return 0.0 if abs(a) <= 0.02 else -(a - math.copysign(0.02, a)) / ((1.0 + math.sqrt(n.get((b, k), 0.0))) / 1.0 + 0.01)
+
+    learnt, held = [i for k, i in enumerate(order) if k % 5], order[::5]
+    for epoch in range(2):
+        for at in np.random.default_rng(epoch).permutation(len(learnt)):
+            i = learnt[at]
+            w = {(b, k): weight(b, k) for b in vectors[i] for k in (0, 1)}
+            odds = [math.exp(sum(q * w[b, k] for b, q in vectors[i].items())) for k in (0, 1)]
+            for b, q in vectors[i].items():
+                for k in (0, 1):
+                    g = q * (odds[k] / sum(odds) - (k == label[i]))
+                    before = n.get((b, k), 0.0)
+                    z[b, k] = z.get((b, k), 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) * w[b, k]
+                    n[b, k] = before + g * g
+    for b in range(langid.BUCKETS):
+        for k in (0, 1):
+            assert math.isclose(model.weights[b, k], weight(b, k), rel_tol=1e-9, abs_tol=1e-12)
+    logits = np.array([[sum(q * weight(b, k) for b, q in vectors[i].items()) for k in (0, 1)] for i in held])
+    grid = np.exp(np.linspace(-2, 3, 101))
+    assert math.isclose(model.factor, max(grid, key=lambda t: sum(math.log(math.exp(t * x[label[i]]) / sum(math.exp(t * y) for y in x)) for i, x in zip(held, logits, strict=True))))
+
+
 def test_quality_on_held_out_rows(spark):
     rows = {r.doc_id: r for r in queries.op9_quality(spark, SF).collect()}
     labels = [r for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if rows[r.doc_id].held_out]
