@@ -6,9 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of the smaller side that every task gets; a larger one is dealt to blocks.
+FEW, BLOCKS = 4096, 64
+
+
+def product(many: DataFrame, few: DataFrame) -> DataFrame:
+    """All pairs of rows. The second side is counted: up to FEW rows every task gets it, beyond that its rows lie in blocks,
+    to each of which the first side goes, so that no task holds a whole side."""
+    if few.limit(FEW + 1).count() <= FEW:
+        return many.join(F.broadcast(few), how="cross")
+    dealt = few.withColumn("block", F.pmod(F.xxhash64(*few.columns), F.lit(BLOCKS)))
+    sent = many.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
+    return sent.join(dealt.hint("merge"), "block").drop("block")
+
+
 def pairs(sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """All pairs of few sources (a bounded number, by contract) with all targets: both have stem."""
-    return targets.select(F.col("stem").alias("trg")).join(F.broadcast(sources.select(F.col("stem").alias("src"))), how="cross")
+    """All pairs of sources with all targets: both have stem."""
+    return product(targets.select(F.col("stem").alias("trg")), sources.select(F.col("stem").alias("src")))
 
 
 def distance(some: DataFrame) -> DataFrame:

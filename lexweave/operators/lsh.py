@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 BITS, POOL, WORD = 256, 100_000, 64
+#: Features whose directions a task keeps, 2 KB each.
+HELD = 20_000
 MODULUS = 1 << 32
 
 
@@ -39,17 +45,68 @@ def places(feature: Column) -> Column:
     return F.transform(raw, lambda x: F.when(x >= MODULUS // 2, MODULUS - x).otherwise(x) % POOL)
 
 
+def _directions(features: list[str], held: dict[str, np.ndarray]) -> np.ndarray:
+    """gaussian(places()) of each feature, a row a feature; held keeps those of before."""
+    new = [f for f in features if f not in held]
+    if len(held) + len(new) > HELD:
+        held.clear()
+        new = features
+    if new:
+        scale, rest = [], []
+        for f in new:
+            p, h = 1, 0
+            for c in f:
+                p, h = p * 33 % MODULUS, (h * 33 + ord(c)) % MODULUS
+            scale.append(p)
+            rest.append(h)
+        raw = (np.array(scale, np.uint64)[:, None] * np.array(seeds(), np.uint64) + np.array(rest, np.uint64)[:, None]) % np.uint64(MODULUS)
+        i = (np.where(raw >= MODULUS // 2, MODULUS - raw, raw) % POOL).astype(np.int64)
+        u, v = ((i * 48271 + 11) % 2147483647 + 1) / 2147483648.0, ((i * 69621 + 7) % 2147483647) / 2147483647.0
+        held.update(zip(new, np.sqrt(-2 * np.log(u)) * np.cos(2 * math.pi * v), strict=True))
+    return np.stack([held[f] for f in features])
+
+
 def signatures(vectors: DataFrame, keys: tuple[str, ...] = ("side", "stem"), feature: str = "feature", value: str = "v") -> DataFrame:
     """(keys, sig): four 64-bit words, bit k set where the vector's projection on the k-th random direction is positive.
 
-    Features are hashed, and their directions made, once each; products are added up per vector and bit before the shuffle.
+    Entries are dealt by key as they are and sorted there; each task adds up a batch's products with one matrix product a
+    slice, so that no entry is opened into a row a bit, and holds one vector's sums at a time.
     """
-    hashed = vectors.select(feature).distinct().withColumn("directions", F.transform(places(F.col(feature)), gaussian))
-    opened = vectors.join(hashed, feature).select(*keys, F.col(value).alias("v"), F.posexplode("directions").alias("bit", "g"))
-    sums = opened.groupBy(*keys, "bit").agg(F.sum(F.col("v") * F.col("g")).alias("s"))
-    one = F.lit(1).cast("long")
-    words = [F.bit_or(F.when((F.floor(F.col("bit") / WORD) == w) & (F.col("s") > 0), F.call_function("shiftleft", one, (F.col("bit") % WORD).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(BITS // WORD)]
-    return sums.groupBy(*keys).agg(*words).select(*keys, F.array(*(f"w{w}" for w in range(BITS // WORD))).alias("sig"))
+    rows = vectors.select(*keys, F.col(feature).alias("feature"), F.col(value).cast("double").alias("v"))
+    k = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        last, total = None, np.zeros(BITS)
+
+        def out(found: list[tuple], sums: np.ndarray) -> pa.RecordBatch:
+            words = np.packbits(sums > 0, axis=1, bitorder="little").view("<i8")
+            columns = [pa.array([x[i] for x in found], f.type) for i, f in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(words.tolist(), pa.list_(pa.int64()))], [*keys, "sig"])
+
+        kinds: list[pa.Field] = []
+        for batch in batches:
+            kinds = [batch.schema.field(i) for i in range(k)]
+            for at in range(0, batch.num_rows, 4096):
+                piece = batch.slice(at, 4096)
+                own = list(zip(*(piece.column(i).to_pylist() for i in range(k)), strict=True))
+                words = piece.column(k).dictionary_encode()
+                products = _directions(words.dictionary.to_pylist(), held)[np.array(words.indices)] * np.array(piece.column(k + 1))[:, None]
+                first = [i for i, x in enumerate(own) if i == 0 or x != own[i - 1]]
+                sums, found = np.add.reduceat(products, first, axis=0), [own[i] for i in first]
+                if last is not None:
+                    if found[0] == last:
+                        sums[0] += total
+                    else:
+                        sums, found = np.concatenate([total[None], sums]), [last, *found]
+                last, total = found[-1], sums[-1]
+                if len(found) > 1:
+                    yield out(found[:-1], sums[:-1])
+        if last is not None:
+            yield out([last], total[None])
+
+    schema = StructType([*(rows.schema[c] for c in keys), StructField("sig", ArrayType(LongType()))])
+    return rows.where("feature is not null and v is not null").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def empty_signature() -> Column:

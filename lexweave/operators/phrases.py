@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import context as C
+from .edit import product
 from .vocab import spans
 
 PENALTY = 2.718
@@ -51,8 +52,8 @@ def collect_context(rows: DataFrame, phrases: DataFrame, words: DataFrame, longe
 
 
 def all_pairs(sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """A table of every source with every target phrase; sources are few by contract."""
-    return targets.select(F.col("phrase").alias("trg")).join(F.broadcast(sources.select(F.col("phrase").alias("src"))), how="cross")
+    """A table of every source with every target phrase."""
+    return product(targets.select(F.col("phrase").alias("trg")), sources.select(F.col("phrase").alias("src")))
 
 
 def subset(table: DataFrame, sources: DataFrame | None = None, targets: DataFrame | None = None, keep: bool = True) -> DataFrame:
