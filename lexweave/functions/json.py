@@ -23,3 +23,16 @@ def keys(json: Column) -> Column:
 def build(**fields: Column) -> Column:
     """A JSON object; null fields are left out."""
     return F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())))
+
+
+def accumulate(a: Column, b: Column) -> Column:
+    """Two values of a key as one JSON value: the value alone if it is the only one, else an array of both."""
+    both = F.filter(F.array(a, b), lambda x: x.isNotNull())
+    return F.when(F.size(both) == 1, F.get(both, F.lit(0))).when(F.size(both) > 1, F.concat(F.lit("["), F.array_join(both, ","), F.lit("]")))
+
+
+def append(array: Column, value: Column) -> Column:
+    """A JSON array (null: none yet) with one more JSON value at its end; null where the first is no array."""
+    inner = F.trim(F.regexp_extract(array, r"(?s)^\s*\[(.*)\]\s*$", 1))
+    grown = F.when(inner == "", F.concat(F.lit("["), value, F.lit("]"))).otherwise(F.concat(F.lit("["), inner, F.lit(","), value, F.lit("]")))
+    return F.when(array.isNull(), F.concat(F.lit("["), value, F.lit("]"))).when(F.json_array_length(array).isNotNull(), grown)

@@ -37,6 +37,12 @@ def best(ranking: DataFrame) -> DataFrame:
     return ranking.groupBy("src").agg(F.min(F.struct("rk", "trg", "score")).alias("b")).select("src", "b.trg", "b.score")
 
 
+def random_candidate(ranking: DataFrame, seed: int = 1) -> DataFrame:
+    """(src, trg, score): of each source the candidate that comes first by a hash of the pair."""
+    draw = F.xxhash64(F.lit(seed), "src", "trg")
+    return ranking.groupBy("src").agg(F.min(F.struct(draw.alias("h"), "trg", "score")).alias("b")).select("src", "b.trg", "b.score")
+
+
 def within(ranking: DataFrame, lower: float, upper: float) -> DataFrame:
     return ranking.where(F.col("score").between(lower, upper))
 
@@ -68,16 +74,31 @@ def accuracy(ranking: DataFrame, gold: DataFrame, ks: tuple[int, ...], keys: tup
     return found.groupBy(*keys, "k").agg(F.round(100 * F.avg(hit), 2).alias("accuracy"), F.count("*").alias("in_dict"))
 
 
+def numbered(df: DataFrame, *order) -> tuple[DataFrame, int]:
+    """The rows with their number rn from 1 in an order, and how many there are; each task numbers a range.
+
+    The ranges are kept while the plan lives, since they come from a sample; their sizes, a row a range, add up on the driver.
+    """
+    parts = df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).persist()
+    before, starts = 0, []
+    for r in parts.groupBy("part").agg(F.count("*").alias("k")).orderBy("part").collect():
+        starts.append((r.part, before))
+        before += r.k
+    first = df.sparkSession.createDataFrame(starts, "part int, before long")
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return parts.withColumn("rn", own).join(F.broadcast(first), "part").withColumn("rn", F.col("rn") + F.col("before")).drop("part", "before"), before
+
+
 def frequency_bins(vocab: DataFrame, bins: int, sample: int | None = None) -> DataFrame:
     """Classes in bins of equal numbers by falling count, the remainder dropped: (stem, n, bin). A sample is taken by a hash."""
-    total = Window.partitionBy()
-    ranked = vocab.withColumns({"rn": F.row_number().over(Window.orderBy(F.desc("n"), "stem")), "size": F.count("*").over(total)})
-    per = F.floor(F.col("size") / bins)
+    ranked, size = numbered(vocab, F.desc("n"), F.asc("stem"))
+    per = size // bins
+    if not per:
+        return ranked.select("stem", "n", F.lit(0).alias("bin")).limit(0)
     binned = ranked.withColumn("bin", F.floor((F.col("rn") - 1) / per).cast("int")).where(F.col("bin") < bins)
     if sample is not None:
-        each = F.floor(F.least(F.lit(sample), F.col("size")) / bins)
         order = Window.partitionBy("bin").orderBy(F.md5("stem"), "stem")
-        binned = binned.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each)
+        binned = binned.withColumn("k", F.row_number().over(order)).where(F.col("k") <= min(sample, size) // bins)
     return binned.select("stem", "n", "bin")
 
 

@@ -58,6 +58,16 @@ def without_stop_words(vocab: DataFrame, stop_words: DataFrame) -> DataFrame:
     return vocab.join(stop_words.select("side", F.col("word").alias("stem")), ["side", "stem"], "left_anti")
 
 
+def with_context(vocab: DataFrame, context: DataFrame) -> DataFrame:
+    """Classes that have a context: (side, stem) occurs in it."""
+    return vocab.join(context.select("side", "stem").distinct(), ["side", "stem"], "left_semi")
+
+
+def with_time(vocab: DataFrame, tdist: DataFrame) -> DataFrame:
+    """Classes that have a time distribution with something in it."""
+    return vocab.join(tdist.where("v > 0").select("side", "stem").distinct(), ["side", "stem"], "left_semi")
+
+
 def by_count(n: str = "n", word: str = "stem"):
     return [F.desc(n), F.asc(word)]
 

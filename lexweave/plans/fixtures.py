@@ -30,6 +30,20 @@ class Induction:
     sf_dir: str
     p: Params = DEFAULTS
 
+    def release(self) -> None:
+        """Frees what is persisted; plans that still read it make it anew."""
+        for made in self.__dict__.values():
+            if isinstance(made, DataFrame) and made.is_cached:
+                made.unpersist()
+
+    def of(self, sources: DataFrame, targets: DataFrame) -> Induction:
+        """The same induction of other words (side, stem, n), over the counts that are made already."""
+        other = Induction(self.spark, self.sf_dir, self.p)
+        for name in ("corpus", "sents", "counts"):
+            other.__dict__[name] = getattr(self, name)
+        other.__dict__["sources"], other.__dict__["targets"] = sources, targets
+        return other
+
     @cached_property
     def corpus(self) -> DataFrame:
         return tables.corpus(self.spark, self.sf_dir, self.p.days)
@@ -150,10 +164,6 @@ class Induction:
     def token_pairs(self) -> DataFrame:
         return P.links(self.table).select(F.col("a").alias("src"), F.col("b").alias("trg")).distinct()
 
-    @cached_property
-    def plain_table(self) -> DataFrame:
-        return self.table.where(F.col("src").rlike("^[a-z ]+$") & F.col("trg").rlike("^[a-z ]+$"))
-
 
 def alignment_rows(table: DataFrame) -> DataFrame:
     return table.select("src", "trg", X.alignment(F.col("links")).alias("aligned"))

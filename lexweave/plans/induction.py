@@ -21,14 +21,12 @@ def time_ranking(i: Induction) -> DataFrame:
     return R.rank(filled, i.p.keep)
 
 
-def edit_ranking(i: Induction, ascii_only: bool = False) -> DataFrame:
-    """``ascii_only``: words of a to z alone, for which SQL that counts bytes agrees."""
-    usable = F.col("stem").rlike("^[a-z]+$") if ascii_only else F.lit(True)
-    return R.rank(E.distance(E.pairs(i.sources.where(usable), i.targets.where(usable))), i.p.keep, smaller_better=True)
+def edit_ranking(i: Induction) -> DataFrame:
+    return R.rank(E.distance(E.pairs(i.sources, i.targets)), i.p.keep, smaller_better=True)
 
 
-def fused_ranking(i: Induction, ascii_only: bool = False) -> DataFrame:
-    fused = R.fuse([context_ranking(i), time_ranking(i), edit_ranking(i, ascii_only)])
+def fused_ranking(i: Induction) -> DataFrame:
+    fused = R.fuse([context_ranking(i), time_ranking(i), edit_ranking(i)])
     return R.rank(fused.withColumn("score", F.round("score", 9)), i.p.keep)
 
 
@@ -38,29 +36,47 @@ def n_best(spark: SparkSession, sf_dir: str, p: Params = DEFAULTS) -> DataFrame:
 
 
 def induce_lists(spark: SparkSession, sf_dir: str, sources: DataFrame, targets: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Induction over given word lists (stem)."""
+    """Context rankings of given source words among given candidates, lists of stem. Words without a context don't come up."""
     i = Induction(spark, sf_dir, p)
-    for side, words in (("src", sources), ("trg", targets)):
-        chosen = i.vocab.where(F.col("side") == side).join(words.select("stem").distinct(), "stem", "left_semi").select("side", "stem", "n")
-        i.__dict__["sources" if side == "src" else "targets"] = chosen
-    return context_ranking(i)
+    sides = (("src", sources), ("trg", targets))
+    src, trg = (i.vocab.where(F.col("side") == side).join(words.select("stem").distinct(), "stem", "left_semi").select("side", "stem", "n") for side, words in sides)
+    return context_ranking(i.of(src, trg))
+
+
+def binned_sources(i: Induction, bins: int = 4, sample: int = 40) -> DataFrame:
+    """A sample of source words of each frequency bin: (stem, n, bin)."""
+    usable = i.vocab.where("side = 'src'").where(V.occurs(fewer_than=3, more_than=10000))
+    return R.frequency_bins(usable.select("stem", "n"), bins, sample)
+
+
+def rankings_by_bin(i: Induction, bins: int = 4, sample: int = 40) -> dict[str, DataFrame]:
+    """The rankings by time, context and edit distance, and fused, of the words of each bin: bin, src, trg, score, rk."""
+    binned = binned_sources(i, bins, sample).persist()
+    j = i.of(binned.select(F.lit("src").alias("side"), "stem", "n"), i.targets)
+    made = {"time": time_ranking(j), "context": context_ranking(j), "edit": edit_ranking(j)}
+    made["fused"] = R.rank(R.fuse(list(made.values())).withColumn("score", F.round("score", 9)), i.p.keep)
+    named = binned.select(F.col("stem").alias("src"), "bin")
+    return {name: found.join(named, "src").select("bin", "src", "trg", "score", "rk") for name, found in made.items()}
 
 
 def by_frequency(spark: SparkSession, sf_dir: str, bins: int = 4, sample: int = 40, p: Params = DEFAULTS) -> DataFrame:
     """Context rankings of a sample of source words from each frequency bin: bin, src, trg, score, rk."""
-    i = Induction(spark, sf_dir, p)
-    usable = i.vocab.where("side = 'src'").where(V.occurs(fewer_than=3, more_than=10000))
-    binned = R.frequency_bins(usable.select("stem", "n"), bins, sample)
-    i.__dict__["sources"] = binned.select(F.lit("src").alias("side"), "stem", "n")
-    scores = i.context_scores().join(binned.select(F.col("stem").alias("src"), "bin"), "src")
-    return R.rank(scores, p.keep, threshold=0.0, keys=("bin", "src"))
+    return rankings_by_bin(Induction(spark, sf_dir, p), bins, sample)["context"]
+
+
+def accuracy_by_bin(i: Induction, names: tuple[str, ...] = ("time", "context", "edit", "fused")) -> DataFrame:
+    """(ranking, bin, k, accuracy, in_dict): the evaluation of each ranking within each frequency bin."""
+    made, out = rankings_by_bin(i), None
+    for name in names:
+        one = R.accuracy(made[name], i.dictionary, i.p.ks, keys=("bin",)).withColumn("ranking", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-def score_token_pairs(spark: SparkSession, sf_dir: str, p: Params = DEFAULTS, ascii_only: bool = False) -> DataFrame:
+def score_token_pairs(spark: SparkSession, sf_dir: str, p: Params = DEFAULTS) -> DataFrame:
     """Features of every source with every target token: src, trg, ph_context, ph_time, lex_context, lex_time, lex_edit."""
     from ..operators import phrases as P
 
     i = Induction(spark, sf_dir, p)
-    usable = F.col("stem").rlike("^[a-z]+$") if ascii_only else F.lit(True)
-    pairs = E.pairs(i.sources.where(usable), i.targets.where(usable))
+    pairs = E.pairs(i.sources, i.targets)
     return P.token_features(P.features(pairs, ph_context=i.context_scores(), ph_time=i.time_scores))

@@ -91,10 +91,23 @@ raw_time AS MATERIALIZED (
 time_scores AS MATERIALIZED (SELECT src, trg, round(score, 9) AS score FROM raw_time)
 """
 
-EDIT = """,
+# DuckDB's levenshtein counts bytes. Words hold no capitals and no digits, so these stand for the other letters, one each.
+ODD = """,
+odd AS MATERIALIZED (
+  SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS f, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 1, count(*)::INT) AS t
+  FROM (SELECT DISTINCT unnest(string_split(stem, '')) AS c FROM vocab) WHERE unicode(c) > 127)
+"""
+
+
+def lev(a: str, b: str) -> str:
+    one, two = (f"translate({x}, (SELECT f FROM odd), (SELECT t FROM odd))" for x in (a, b))
+    return f"levenshtein({one}, {two})"
+
+
+PLAIN = "translate({}, 'éèêàçùôîâ', 'eeeacuoia')"
+EDIT = ODD + f""",
 edit_scores AS MATERIALIZED (
-  SELECT s.stem AS src, t.stem AS trg, CAST(levenshtein(s.stem, t.stem) AS DOUBLE) AS score FROM sources s, targets t
-  WHERE regexp_matches(s.stem, '^[a-z]+$') AND regexp_matches(t.stem, '^[a-z]+$'))
+  SELECT s.stem AS src, t.stem AS trg, CAST({lev("s.stem", "t.stem")} AS DOUBLE) AS score FROM sources s, targets t)
 """
 
 
@@ -202,10 +215,10 @@ lex AS MATERIALIZED (
   LEFT JOIN (SELECT l.* FROM linked l WHERE l.a IN (SELECT phrase FROM listed WHERE side = 'src') AND l.b IN (SELECT phrase FROM listed WHERE side = 'trg')) l ON l.src = p.src AND l.trg = p.trg
   LEFT JOIN t_ctx c ON c.src = l.a AND c.trg = l.b LEFT JOIN t_time t ON t.src = l.a AND t.trg = l.b GROUP BY 1, 2)
 """
-LEX_EDIT = """,
+LEX_EDIT = ODD + f""",
 ledit AS MATERIALIZED (
-  SELECT src, trg, sum(2 * levenshtein(a, b)) / sum(2 * (length(a) + length(b)) / 2.0) AS lex_edit FROM linked
-  WHERE regexp_matches(src, '^[a-z ]+$') AND regexp_matches(trg, '^[a-z ]+$') GROUP BY 1, 2)
+  SELECT src, trg, sum(2 * CASE WHEN {PLAIN.format("a")} <> a THEN {lev(PLAIN.format("a"), "b")} ELSE {lev("a", "b")} END) / sum(2 * (length(a) + length(b)) / 2.0) AS lex_edit FROM linked
+  GROUP BY 1, 2)
 """
 
 ORDER = PHRASE + """,
@@ -232,15 +245,39 @@ osc AS MATERIALIZED (
   FROM ptab p LEFT JOIN ev b ON b.src = p.src AND b.trg = p.trg AND b.rel = 'before' LEFT JOIN ev a ON a.src = p.src AND a.trg = p.trg AND a.rel = 'after')
 """
 
-LSH = f""",
-ftr AS MATERIALIZED (SELECT DISTINCT ctx AS f FROM wctx),
-bits0 AS (
+def lsh(vectors: str, keys: str = "side, stem", name: str = "sgn") -> str:
+    """The sign of each of 256 projections of the vectors (keys, f, v)."""
+    return f""",
+{name}_h AS (
   SELECT f, b, list_reduce(list_prepend(s::BIGINT, [unicode(c)::BIGINT FOR c IN regexp_extract_all(f, '.')]), LAMBDA h, c: (h * 33 + c) % 4294967296) AS h
-  FROM ftr, (SELECT unnest(range(256)) AS b, unnest({seeds()}) AS s)),
-bits1 AS (SELECT f, b, (CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END) % 100000 AS i FROM bits0),
-bits2 AS MATERIALIZED (
-  SELECT f, b, sqrt(-2 * ln(((i * 48271 + 11) % 2147483647 + 1) / 2147483648.0::DOUBLE)) * cos(2 * pi() * (((i * 69621 + 7) % 2147483647) / 2147483647.0::DOUBLE)) AS g FROM bits1),
-sgn AS MATERIALIZED (SELECT w.side, w.stem, x.b, sum(w.w * x.g) > 0 AS bit FROM wctx w JOIN bits2 x ON x.f = w.ctx GROUP BY 1, 2, 3)
+  FROM (SELECT DISTINCT f FROM {vectors}), (SELECT unnest(range(256)) AS b, unnest({seeds()}) AS s)),
+{name}_i AS (SELECT f, b, (CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END) % 100000 AS i FROM {name}_h),
+{name}_g AS MATERIALIZED (
+  SELECT f, b, sqrt(-2 * ln(((i * 48271 + 11) % 2147483647 + 1) / 2147483648.0::DOUBLE)) * cos(2 * pi() * (((i * 69621 + 7) % 2147483647) / 2147483647.0::DOUBLE)) AS g FROM {name}_i),
+{name} AS MATERIALIZED (SELECT {keys}, b, sum(w.v * x.g) > 0 AS bit FROM {vectors} w JOIN {name}_g x USING (f) GROUP BY {keys}, b)
+"""
+
+
+def packed(name: str) -> str:
+    """Four words of 64 bits in hexadecimal digits, highest first, of each (side, stem)."""
+    return f""",
+{name}_digits AS (SELECT side, stem, b // 64 AS word, (b % 64) // 4 AS place, sum(CASE WHEN bit THEN 1 << (b % 4) ELSE 0 END)::INT AS digit FROM {name} GROUP BY ALL),
+{name}_packed AS MATERIALIZED (SELECT side, stem, string_agg(substr('0123456789ABCDEF', digit + 1, 1), '' ORDER BY word, place DESC) AS sig FROM {name}_digits GROUP BY 1, 2)
+"""
+
+
+LSH = ", wvec AS (SELECT side, stem, ctx AS f, w AS v FROM wctx)" + lsh("wvec")
+DUMPED = ", cvec AS (SELECT side, stem, ctx AS f, ctx_n AS v FROM pctx), tvec AS (SELECT side, stem, dim::VARCHAR AS f, v FROM pvec)" + lsh("cvec", name="csg") + packed("csg") + lsh("tvec", name="tsg") + packed("tsg")
+ORDER_LSH = ORDER + """,
+ovec AS MATERIALIZED (
+  SELECT side, rel, phrase AS stem, ctx_phrase AS f, n::DOUBLE AS v FROM pord WHERE side = 'trg'
+  UNION ALL SELECT o.side, o.rel, o.phrase, t.trg, sum(o.n)::DOUBLE FROM pord o JOIN (SELECT DISTINCT src, trg FROM ptab) t ON t.src = o.ctx_phrase WHERE o.side = 'src' GROUP BY ALL)
+""" + lsh("ovec", "side, rel, stem") + """,
+combos AS (SELECT * FROM (VALUES ('b_mono', 'before', 'before'), ('b_swap', 'before', 'after'), ('b_disc', 'before', 'disc'), ('a_mono', 'after', 'after'), ('a_swap', 'after', 'before'), ('a_disc', 'after', 'disc')) c(name, r1, r2)),
+apart AS MATERIALIZED (
+  SELECT p.src, p.trg, c.name, round(greatest(0, cos(pi() * sum(CASE WHEN coalesce(x.bit, false) <> coalesce(y.bit, false) THEN 1 ELSE 0 END) / 256.0)), 6) AS score
+  FROM (SELECT DISTINCT src, trg FROM ptab) p CROSS JOIN combos c CROSS JOIN (SELECT unnest(range(256)) AS b) bits
+  LEFT JOIN sgn x ON x.side = 'src' AND x.rel = c.r1 AND x.stem = p.src AND x.b = bits.b LEFT JOIN sgn y ON y.side = 'trg' AND y.rel = c.r2 AND y.stem = p.trg AND y.b = bits.b GROUP BY 1, 2, 3)
 """
 
 NEWS = r"""
@@ -291,6 +328,16 @@ ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, la
 """
 
 
+SOURCES = "sources AS MATERIALIZED (SELECT side, stem, n FROM top WHERE side = 'src' AND rn <= 20)"
+BINNED = """us AS (SELECT stem, n, row_number() OVER (ORDER BY n DESC, stem) AS rn, count(*) OVER () AS c FROM vocab WHERE side = 'src' AND n > 3 AND n <= 10000),
+            bn AS (SELECT *, (rn - 1) // (c // 4) AS bin FROM us WHERE (rn - 1) // (c // 4) < 4),
+            binned AS MATERIALIZED (SELECT stem, n, bin::INT AS bin FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5(stem), stem) AS k FROM bn) WHERE k <= least(40, c) // 4),
+            sources AS MATERIALIZED (SELECT 'src' AS side, stem, n FROM binned)"""
+TARGETS = "targets AS MATERIALIZED (SELECT side, stem, n FROM vocab WHERE side = 'trg' AND n > 5)"
+GIVEN_SOURCES = "sources AS MATERIALIZED (SELECT side, stem, n FROM vocab WHERE side = 'src' AND stem IN (SELECT src FROM dict WHERE rn % 3 = 1))"
+GIVEN_TARGETS = "targets AS MATERIALIZED (SELECT side, stem, n FROM vocab WHERE side = 'trg' AND stem IN (SELECT trg FROM dict WHERE rn % 2 = 0))"
+
+
 def sql(*ctes: str, select: str) -> str:
     return "WITH " + "".join(ctes) + "\n" + select
 
@@ -310,7 +357,7 @@ def all_sql() -> dict[str, str]:
         "max_token_counts": sql(BASE, select="SELECT side, max_n, total_n::BIGINT AS total_n FROM totals"),
         "sentence_split": sql(BASE, select="SELECT side, doc, line_no::INT AS line_no, count(*) AS sentences, sum(len(toks))::BIGINT AS words FROM (SELECT * FROM sent WHERE len(toks) > 0 AND NOT (len(toks) = 1 AND toks[1] = '')) GROUP BY 1, 2, 3"),
         "phrase_sentences": sql(BASE, PHRASE, select="SELECT side, doc, count(*) AS sentences, sum(len(toks))::BIGINT AS tokens FROM psent WHERE len(toks) > 0 GROUP BY 1, 2"),
-        "ngrams": sql(BASE, PHRASE, select="SELECT side, phrase, n_tok::INT AS n_tok, n FROM pcounts WHERE n > 3"),
+        "ngrams": sql(BASE, PHRASE, select="SELECT side, phrase, n_tok::INT AS n_tok, n FROM pcounts"),
         "phrase_counts": sql(BASE, PHRASE, select="SELECT side, phrase, n_tok::INT AS n_tok, n FROM pcounts JOIN listed USING (side, phrase)"),
         "dict_resolved": sql(BASE, select="SELECT d.src, d.trg, a.n AS src_n, b.n AS trg_n FROM dict d JOIN vocab a ON a.side = 'src' AND a.stem = d.src JOIN vocab b ON b.side = 'trg' AND b.stem = d.trg"),
         "dict_pruned": sql(BASE, select="SELECT src, count(*) AS translations FROM (SELECT src, trg FROM dict UNION ALL SELECT a.src, b.trg FROM dict a JOIN dict b ON b.rn = a.rn + 1 WHERE a.rn % 3 = 0) GROUP BY src HAVING count(*) < 2"),
@@ -339,10 +386,7 @@ def all_sql() -> dict[str, str]:
         "freq_bins": sql(BASE, """, us AS (SELECT stem, n, row_number() OVER (ORDER BY n DESC, stem) AS rn, count(*) OVER () AS c FROM vocab WHERE side = 'src' AND n > 3 AND n <= 10000),
             bn AS (SELECT *, (rn - 1) // (c // 4) AS bin FROM us WHERE (rn - 1) // (c // 4) < 4)""", select="SELECT stem, n, bin::INT AS bin FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5(stem), stem) AS k FROM bn) WHERE k <= least(40, c) // 4"),
         "freq_bands": sql(BASE, select="SELECT stem, n, floor((n - 5) / ((105 - 5) / 10.0))::BIGINT + 1 AS band FROM vocab WHERE side = 'src' AND n >= 5 AND n < 105"),
-        "rank_by_bin": sql(BASE.replace("sources AS MATERIALIZED (SELECT side, stem, n FROM top WHERE side = 'src' AND rn <= 20)", """us AS (SELECT stem, n, row_number() OVER (ORDER BY n DESC, stem) AS rn, count(*) OVER () AS c FROM vocab WHERE side = 'src' AND n > 3 AND n <= 10000),
-            bn AS (SELECT *, (rn - 1) // (c // 4) AS bin FROM us WHERE (rn - 1) // (c // 4) < 4),
-            binned AS MATERIALIZED (SELECT stem, n, bin::INT AS bin FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5(stem), stem) AS k FROM bn) WHERE k <= least(40, c) // 4),
-            sources AS MATERIALIZED (SELECT 'src' AS side, stem, n FROM binned)"""), CONTEXT, scored("idf", "cosine"), ", bs AS MATERIALIZED (SELECT b.bin, s.* FROM context_scores s JOIN binned b ON b.stem = s.src)" + ranked("r_bin", "bs", where="score > 0", keys="bin, src"), select="SELECT bin, src, trg, score, rk FROM r_bin"),
+        "rank_by_bin": sql(BASE.replace(SOURCES, BINNED), CONTEXT, scored("idf", "cosine"), ", bs AS MATERIALIZED (SELECT b.bin, s.* FROM context_scores s JOIN binned b ON b.stem = s.src)" + ranked("r_bin", "bs", where="score > 0", keys="bin, src"), select="SELECT bin, src, trg, score, rk FROM r_bin"),
         "time_bins": sql(BASE, TIME, select="SELECT side, stem, bin, v FROM tdist"),
         "time_rebin_tumbling": "SELECT user_id::VARCHAR AS stem, (date_diff('day', DATE '2024-01-01', ts::DATE) // 3)::INT AS bin, count(*)::DOUBLE AS v FROM events GROUP BY 1, 2",
         "time_rebin_sliding": """WITH d AS (SELECT user_id::VARCHAR AS stem, date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS bin, count(*)::DOUBLE AS v FROM events GROUP BY 1, 2),
@@ -351,14 +395,12 @@ def all_sql() -> dict[str, str]:
         "time_normalized": """WITH d AS (SELECT user_id::VARCHAR AS stem, date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS bin, count(*)::DOUBLE AS v FROM events GROUP BY 1, 2)
             SELECT stem, bin, round(v / sum(v) OVER (PARTITION BY stem), 9) AS v FROM d""",
         "time_align": sql(BASE, TIME, select="SELECT side, count(DISTINCT bin) AS bins, sum(v) AS v FROM tdist WHERE bin IN (SELECT bin FROM bins) GROUP BY side"),
-        "time_merge": "SELECT date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS bin, (user_id % 10)::VARCHAR AS stem, count(*)::DOUBLE AS v FROM events GROUP BY 1, 2",
+        "time_merge": "SELECT bin, stem, sum(CASE WHEN bin >= 10 AND bin < 15 THEN 2 ELSE 1 END)::DOUBLE AS v FROM (SELECT date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS bin, (user_id % 10)::VARCHAR AS stem FROM events) GROUP BY 1, 2",
         "score_time_cosine": sql(BASE, TIME, select="SELECT src, trg, round(score, 6) AS score FROM raw_time"),
         "score_edit": sql(BASE, EDIT, select="SELECT src, trg, score FROM edit_scores"),
-        "score_edit_translit": sql(BASE, select="""SELECT s.stem AS src, t.stem AS trg, levenshtein(s.stem, translate(t.stem, 'éèêàçùôîâ', 'eeeacuoia'))::DOUBLE AS score FROM sources s, targets t
-            WHERE regexp_matches(s.stem, '^[a-z]+$') AND regexp_matches(translate(t.stem, 'éèêàçùôîâ', 'eeeacuoia'), '^[a-z]+$')"""),
-        "score_tokens": sql(BASE, CONTEXT, scored("idf", "cosine"), TIME, select="""SELECT s.stem AS src, t.stem AS trg, coalesce(c.score, 0) AS lex_context, coalesce(x.score, 0) AS lex_time, round(levenshtein(s.stem, t.stem) / ((length(s.stem) + length(t.stem)) / 2.0), 9) AS lex_edit
-            FROM sources s CROSS JOIN targets t LEFT JOIN context_scores c ON c.src = s.stem AND c.trg = t.stem LEFT JOIN time_scores x ON x.src = s.stem AND x.trg = t.stem
-            WHERE regexp_matches(s.stem, '^[a-z]+$') AND regexp_matches(t.stem, '^[a-z]+$')"""),
+        "score_edit_translit": sql(BASE, ODD, select=f"""SELECT s.stem AS src, t.stem AS trg, (CASE WHEN {PLAIN.format("s.stem")} <> s.stem THEN {lev(PLAIN.format("s.stem"), "t.stem")} ELSE {lev("s.stem", PLAIN.format("t.stem"))} END)::DOUBLE AS score FROM sources s, targets t"""),
+        "score_tokens": sql(BASE, CONTEXT, scored("idf", "cosine"), TIME, ODD, select=f"""SELECT s.stem AS src, t.stem AS trg, coalesce(c.score, 0) AS lex_context, coalesce(x.score, 0) AS lex_time, round({lev("s.stem", "t.stem")} / ((length(s.stem) + length(t.stem)) / 2.0), 9) AS lex_edit
+            FROM sources s CROSS JOIN targets t LEFT JOIN context_scores c ON c.src = s.stem AND c.trg = t.stem LEFT JOIN time_scores x ON x.src = s.stem AND x.trg = t.stem"""),
         "context_projected_prob": sql(BASE, CONTEXT, PROB, select="SELECT stem, ctx, round(ctx_n, 6) AS ctx_n, round(corp_n, 6) AS corp_n FROM pproj"),
         "score_s1_prob": sql(BASE, CONTEXT, PROB, scored("idf", "cosine", "pboth_ctx"), select="SELECT src, trg, round(score, 6) AS score FROM raw_scores"),
         "phrase_table_subset": sql(BASE, PHRASE, select="SELECT src, trg FROM ptab WHERE src IN (SELECT stem FROM sources)"),
@@ -375,9 +417,23 @@ def all_sql() -> dict[str, str]:
             FROM pord o JOIN pcounts c ON c.side = o.side AND c.phrase = o.ctx_phrase) WHERE r <= 3"""),
         "order_scores": sql(BASE, ORDER_SCORES, select="SELECT src, trg, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("b_mono", "b_swap", "b_disc", "a_mono", "a_swap", "a_disc")) + " FROM osc"),
         "reordering_table_text": sql(BASE, ORDER_SCORES, select="SELECT src || ' ||| ' || trg || ' ||| ' || " + " || ' ' || ".join(f"CASE WHEN {c} IS NULL THEN '0.333333' ELSE printf('%.8f', {c}) END" for c in ("b_mono", "b_swap", "b_disc", "a_mono", "a_swap", "a_disc")) + " AS line FROM osc"),
-        "lsh_signatures": sql(BASE, CONTEXT, weighted("idf"), LSH, select="SELECT side, stem, string_agg(CASE WHEN bit THEN '1' ELSE '0' END, '' ORDER BY b) AS bits FROM sgn WHERE side = 'src' GROUP BY 1, 2"),
+        "lsh_signatures": sql(BASE, CONTEXT, weighted("idf"), LSH, select="SELECT side, stem, string_agg(CASE WHEN bit THEN '1' ELSE '0' END, '' ORDER BY b) AS bits FROM sgn GROUP BY 1, 2"),
         "lsh_cosine": sql(BASE, CONTEXT, weighted("idf"), LSH, select="""SELECT a.stem AS src, b.stem AS trg, round(greatest(0, cos(pi() * sum(CASE WHEN a.bit <> b.bit THEN 1 ELSE 0 END) / 256.0)), 6) AS score
-            FROM sgn a JOIN sgn b ON a.b = b.b JOIN targets t ON t.stem = b.stem AND t.n > 50 WHERE a.side = 'src' AND b.side = 'trg' GROUP BY 1, 2"""),
+            FROM sgn a JOIN sgn b ON a.b = b.b WHERE a.side = 'src' AND b.side = 'trg' GROUP BY 1, 2"""),
+        "order_scores_lsh": sql(BASE, ORDER_LSH, select="SELECT src, trg, " + ", ".join(f"max(score) FILTER (name = '{c}') AS {c}" for c in ("b_mono", "b_swap", "b_disc", "a_mono", "a_swap", "a_disc")) + " FROM apart GROUP BY 1, 2"),
+        "signature_dump": sql(BASE, PHRASE, CWORDS, PHRASE_CONTEXT, PHRASE_TIME, DUMPED, select="SELECT side, stem, c.sig AS context, t.sig AS time FROM csg_packed c FULL JOIN tsg_packed t USING (side, stem)"),
+        "vocab_with_context": sql(BASE, CONTEXT, select="SELECT side, stem, n FROM vocab WHERE (side, stem) IN (SELECT side, stem FROM ctx)"),
+        "vocab_with_time": sql(BASE, TIME, select="SELECT side, stem, n FROM vocab WHERE (side, stem) IN (SELECT side, stem FROM tdist)"),
+        "vocab_collected": sql(BASE, select="SELECT side, stem FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY stem) AS r FROM counts WHERE length(stem) > 2) WHERE r <= 1000"),
+        "vocab_without_top": sql(BASE, select="SELECT side, stem, n FROM top WHERE rn > 30 AND n > 5"),
+        "context_pruned_by_corpus": sql(BASE, CONTEXT, select="SELECT side, stem, ctx, corp_n FROM (SELECT *, row_number() OVER (PARTITION BY side, stem ORDER BY corp_n DESC, ctx) AS r FROM ctx) WHERE r <= 5"),
+        "ranking_band": sql(BASE, CONTEXT_RANK, select="SELECT src, trg, score, rk FROM r_ctx WHERE score BETWEEN 0.2 AND 0.6"),
+        "random_candidate": sql(BASE, CONTEXT_RANK, select="SELECT DISTINCT src, 1::BIGINT AS listed FROM r_ctx"),
+        "rank_given_lists": sql(BASE.replace(SOURCES, GIVEN_SOURCES).replace(TARGETS, GIVEN_TARGETS), CONTEXT_RANK, select="SELECT src, trg, score, rk FROM r_ctx"),
+        "accuracy_by_bin": sql(BASE.replace(SOURCES, BINNED), CONTEXT, scored("idf", "cosine"), ", bs AS MATERIALIZED (SELECT b.bin, s.* FROM context_scores s JOIN binned b ON b.stem = s.src)" + ranked("r_bin", "bs", where="score > 0", keys="bin, src"), """, gold AS (SELECT r.bin, r.src, min(CASE WHEN d.trg IS NOT NULL THEN r.rk END) AS b FROM r_bin r LEFT JOIN dict d ON d.src = r.src AND d.trg = r.trg WHERE r.src IN (SELECT src FROM dict) GROUP BY 1, 2),
+            ks AS (SELECT unnest([1, 5, 10, 20, 30, 40, 50, 60, 80, 100, 200, 300, 400, 500]) AS k)""", select="SELECT bin, k::INT AS k, round(100 * avg(CASE WHEN b <= k THEN 1.0 ELSE 0.0 END), 2) AS accuracy, count(*) AS in_dict, 'context' AS ranking FROM gold, ks GROUP BY bin, k"),
+        "page_languages_filled": "WITH" + DETECT.format(values=values) + """, told AS (SELECT a.doc_id, a.lang, (a.n >= 3 AND a.n >= 1.2 * b.n) AS reliable FROM ordered a JOIN ordered b USING (doc_id) WHERE a.r = 1 AND b.r = 2)
+            SELECT doc_id::VARCHAR AS url, unnest([1, 2])::INT AS segment_id, CASE WHEN doc_id % 3 = 0 THEN d.lang WHEN t.reliable THEN t.lang END AS lang FROM documents d JOIN told t USING (doc_id) WHERE d.lang IN ('en', 'fr')""",
         "pages_versions": "WITH" + PAGES + "SELECT url, segment_id, fetched, lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, md5(content) AS content_md5 FROM pv WHERE content <> ''",
         "pages_merge": "WITH" + MERGED + "SELECT url, segment_id, fetched, lang, md5(content) AS content_md5 FROM merged",
         "page_html_lang": "WITH" + PAGES + "SELECT url, lang FROM pv",

@@ -20,7 +20,7 @@ from ..operators import ranking as R
 from ..operators import reorder as O
 from ..operators import temporal as T
 from ..operators import vocab as V
-from ..params import FULL
+from ..params import DEFAULTS, FULL, Params
 from ..sources import tables
 from . import induction, pages, phrase_scoring
 from .fixtures import Induction
@@ -36,8 +36,19 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RANKINGS = ("rank_context", "rank_time", "rerank_time", "rank_dump", "accuracy_at_k")
 
 
+_last: list[Induction] = []
+
+
+def _fresh(spark: SparkSession, sf_dir: str, p: Params = DEFAULTS) -> Induction:
+    """An induction for a query; what the query before has kept in memory goes."""
+    while _last:
+        _last.pop().release()
+    _last.append(Induction(spark, sf_dir, p))
+    return _last[-1]
+
+
 def _on(step: Callable[[Induction], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: step(Induction(spark, sf_dir))
+    return lambda spark, sf_dir: step(_fresh(spark, sf_dir))
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -84,35 +95,44 @@ def _rerank(i: Induction) -> DataFrame:
 
 
 def _bins(i: Induction) -> DataFrame:
-    usable = i.vocab.where("side = 'src'").where(V.occurs(fewer_than=3, more_than=10000))
-    return R.frequency_bins(usable.select("stem", "n"), 4, 40)
+    return induction.binned_sources(i)
 
 
 def _edit_pairs(i: Induction) -> DataFrame:
-    plain = F.col("stem").rlike("^[a-z]+$")
-    return E.distance(E.pairs(i.sources.where(plain), i.targets.where(plain)))
+    return E.distance(E.pairs(i.sources, i.targets))
 
 
 def _translit_pairs(i: Induction) -> DataFrame:
-    plain = F.translate("stem", "éèêàçùôîâ", "eeeacuoia").rlike("^[a-z]+$")
-    some = E.pairs(i.sources.where(F.col("stem").rlike("^[a-z]+$")), i.targets.where(plain))
-    return E.translit_distance(some, D.first_target(D.accents(i.vocab)))
+    return E.translit_distance(E.pairs(i.sources, i.targets), D.first_target(D.accents(i.vocab)))
 
 
 def _token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(induction.score_token_pairs(spark, sf_dir, ascii_only=True).select("src", "trg", "lex_context", "lex_time", "lex_edit"), "lex_edit", digits=9)
+    return _rounded(induction.score_token_pairs(spark, sf_dir).select("src", "trg", "lex_context", "lex_time", "lex_edit"), "lex_edit", digits=9)
+
+
+def _given_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third dictionary word as a source, every second dictionary target as a candidate."""
+    entries = Induction(spark, sf_dir).dictionary
+    return induction.induce_lists(spark, sf_dir, entries.where("rn % 3 = 1").select(F.col("src").alias("stem")), entries.where("rn % 2 = 0").select(F.col("trg").alias("stem")))
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English and French documents as pages, two versions each, of which every third page knows its language."""
+    docs = tables.read(spark, sf_dir, "documents").where("lang in ('en', 'fr')")
+    known = F.when(F.col("doc_id") % 3 == 0, F.col("lang"))
+    versions = docs.select(F.col("doc_id").cast("string").alias("url"), known.alias("lang"), "text", F.explode(F.array(F.lit(1), F.lit(2))).alias("segment_id"))
+    versions = versions.select("url", "lang", "segment_id", F.col("segment_id").alias("fetched"), F.when(F.col("segment_id") == 1, F.col("text")).otherwise(F.lit("")).alias("content"))
+    return detect.fill_language(versions).select("url", "segment_id", "lang")
 
 
 def _time_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = tables.daily_events(spark, sf_dir).withColumn("stem", (F.col("stem").cast("long") % 10).cast("string"))
-    early, late = daily.where("bin < 15"), daily.where("bin >= 10 and bin >= 15")
+    early, late = daily.where("bin < 15"), daily.where("bin >= 10")
     return T.merge(early, late)
 
 
 def _table_text(i: Induction) -> DataFrame:
-    scored = phrase_scoring.scored_table(i)
-    plain = scored.where(F.col("src").rlike("^[a-z ]+$") & F.col("trg").rlike("^[a-z ]+$"))
-    return plain.select(P.text_line("phrase_lexical", digits=6).alias("line"))
+    return phrase_scoring.scored_table(i).select(P.text_line("phrase_lexical", digits=6).alias("line"))
 
 
 def _order_pruned(i: Induction) -> DataFrame:
@@ -120,17 +140,18 @@ def _order_pruned(i: Induction) -> DataFrame:
 
 
 def _signature_bits(i: Induction) -> DataFrame:
-    sigs = S.signatures(i.weighted.where("side = 'src'").withColumnRenamed("ctx", "feature").withColumnRenamed("w", "v"))
+    sigs = S.signatures(i.weighted.withColumnRenamed("ctx", "feature").withColumnRenamed("w", "v"))
     bit = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.getbit(F.element_at("sig", (F.floor(b / 64) + 1).cast("int")), b % 64).cast("string"))
     return sigs.select("side", "stem", F.array_join(bit, "").alias("bits"))
 
 
 def _lsh_cosine(i: Induction) -> DataFrame:
-    common = i.targets.where("n > 50")
-    vectors = i.weighted.join(i.sources.unionByName(common).select("side", "stem"), ["side", "stem"], "left_semi")
-    sigs = S.signatures(vectors.withColumnRenamed("ctx", "feature").withColumnRenamed("w", "v"))
-    pairs = E.pairs(i.sources, common)
-    return _rounded(S.pair_scores(pairs, sigs), "score")
+    sigs = S.signatures(i.weighted.withColumnRenamed("ctx", "feature").withColumnRenamed("w", "v"))
+    return _rounded(S.pair_scores(E.pairs(i.sources, i.targets), sigs), "score")
+
+
+def _dumped(i: Induction) -> DataFrame:
+    return phrase_scoring.signature_dump(i).withColumns({"context": F.hex("context"), "time": F.hex("time")})
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +194,7 @@ _STEPS: dict[str, Callable[[Induction], DataFrame]] = {
     "max_token_counts": lambda i: i.totals,
     "sentence_split": _sentence_split,
     "phrase_sentences": lambda i: i.phrase_rows.groupBy("side", "doc").agg(F.count("*").alias("sentences"), F.sum(F.size("toks")).alias("tokens")),
-    "ngrams": lambda i: V.phrase_counts(i.spans).where("n > 3"),
+    "ngrams": lambda i: V.phrase_counts(i.spans),
     "phrase_counts": lambda i: V.phrase_counts(i.spans, i.listed),
     "dict_resolved": lambda i: D.resolve(i.dictionary, i.vocab),
     "dict_pruned": _pruned,
@@ -197,8 +218,16 @@ _STEPS: dict[str, Callable[[Induction], DataFrame]] = {
     "score_edit_translit": _translit_pairs,
     "rank_context": induction.context_ranking,
     "rank_time": induction.time_ranking,
-    "rank_edit": lambda i: induction.edit_ranking(i, ascii_only=True),
-    "rank_mrr": lambda i: induction.fused_ranking(i, ascii_only=True),
+    "rank_edit": induction.edit_ranking,
+    "rank_mrr": induction.fused_ranking,
+    "accuracy_by_bin": lambda i: induction.accuracy_by_bin(i, ("context",)),
+    "random_candidate": lambda i: R.random_candidate(induction.context_ranking(i)).join(induction.context_ranking(i), ["src", "trg", "score"]).groupBy("src").agg(F.count("*").alias("listed")),
+    "vocab_with_context": lambda i: V.with_context(i.vocab, i.context),
+    "vocab_with_time": lambda i: V.with_time(i.vocab, i.time),
+    "vocab_collected": lambda i: V.collect_vocabulary(i.sents, V.longer_than(i.p.min_length), most=1000),
+    "vocab_without_top": lambda i: V.without_most_frequent(i.vocab, 30).where(V.occurs(fewer_than=5)).select("side", "stem", "n"),
+    "context_pruned_by_corpus": lambda i: C.prune(i.context, 5, by="corp_n").select("side", "stem", "ctx", "corp_n"),
+    "ranking_band": lambda i: R.within(induction.context_ranking(i), 0.2, 0.6),
     "rank_best": lambda i: R.best(induction.context_ranking(i)),
     "rerank_time": _rerank,
     "rank_dump": lambda i: R.dump(induction.context_ranking(i), i.dictionary),
@@ -211,7 +240,7 @@ _STEPS: dict[str, Callable[[Induction], DataFrame]] = {
     "phrase_time": lambda i: i.phrase_time,
     "phrase_features": lambda i: _rounded(phrase_scoring.phrase_features(i).select("src", "trg", "ph_context", "ph_time"), "ph_context", "ph_time"),
     "lex_features": lambda i: _rounded(phrase_scoring.lexical_features(i), "lex_context", "lex_time"),
-    "lex_edit": lambda i: _rounded(P.lexical_edit(i.plain_table, D.first_target(D.accents(i.vocab.where("side = 'src'")))), "lex_edit"),
+    "lex_edit": lambda i: _rounded(P.lexical_edit(i.table, D.first_target(D.accents(i.vocab.where("side = 'src'")))), "lex_edit"),
     "phrase_table_text": _table_text,
     "phrase_order_counts": phrase_scoring.order_counts,
     "phrase_order_pruned": _order_pruned,
@@ -220,12 +249,14 @@ _STEPS: dict[str, Callable[[Induction], DataFrame]] = {
     "order_scores_lsh": lambda i: _rounded(S.order_scores(phrase_scoring.order_counts(i), i.table), *_ORDER),
     "lsh_signatures": _signature_bits,
     "lsh_cosine": _lsh_cosine,
-    "signature_dump": phrase_scoring.signature_dump,
+    "signature_dump": _dumped,
 }
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rank_by_bin": induction.by_frequency,
     "score_tokens": _token_scores,
+    "rank_given_lists": _given_lists,
+    "page_languages_filled": _filled,
     "time_rebin_tumbling": lambda s, d: T.tumbling(tables.daily_events(s, d), 3),
     "time_rebin_sliding": lambda s, d: T.sliding(tables.daily_events(s, d), 3),
     "time_normalized": lambda s, d: _rounded(T.normalize(tables.daily_events(s, d)), "v", digits=9),
@@ -244,9 +275,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    full = {f"{name}_full": (lambda s, d, step=_STEPS[name]: step(Induction(s, d, FULL))) for name in _RANKINGS}
-    full["rank_edit_full"] = lambda s, d: induction.edit_ranking(Induction(s, d, FULL))
-    full["rank_mrr_full"] = lambda s, d: induction.fused_ranking(Induction(s, d, FULL))
+    full = {f"{name}_full": (lambda s, d, step=_STEPS[name]: step(_fresh(s, d, FULL))) for name in _RANKINGS}
+    full["accuracy_by_bin_full"] = lambda s, d: induction.accuracy_by_bin(_fresh(s, d, FULL))
+    full["rank_edit_full"] = lambda s, d: induction.edit_ranking(_fresh(s, d, FULL))
+    full["rank_mrr_full"] = lambda s, d: induction.fused_ranking(_fresh(s, d, FULL))
     full["rank_by_bin_full"] = lambda s, d: induction.by_frequency(s, d, p=FULL)
     return {name: _on(step) for name, step in _STEPS.items()} | _QUERIES | full
 

@@ -19,9 +19,11 @@ def pages_xml(pages: DataFrame, path: str) -> None:
 
 
 def dated_corpus(corpus: DataFrame, path: str) -> None:
-    """Folders lang, year and day; rejected rows go to a folder of their own."""
-    corpus.where("not rejected").select("lang", "year", "day", "text").write.partitionBy("lang", "year", "day").text(f"{path}/days")
-    corpus.where("rejected").select(F.concat_ws("\t", "lang", "modified", "text").alias("text")).write.text(f"{path}/rejected")
+    """Folders lang, year and day, to which later runs add; rejected rows, and those without a language of letters or
+    without a day, go to a folder of their own."""
+    good = F.coalesce(~F.col("rejected") & F.col("lang").rlike("^[a-zA-Z][a-zA-Z_-]*$") & F.col("day").isNotNull(), F.lit(False))
+    corpus.where(good).select("lang", "year", "day", "text").write.mode("append").partitionBy("lang", "year", "day").text(f"{path}/days")
+    corpus.where(~good).select(F.concat_ws("\t", "lang", "modified", "text").alias("text")).write.mode("append").text(f"{path}/rejected")
 
 
 def lines(df: DataFrame, line, path: str, *order: str) -> None:

@@ -328,3 +328,47 @@ def test_json(spark):
     assert value(df, json.opt(F.col("j"), "a.b", "int")) == 3 and value(df, json.opt(F.col("j"), "c", "int", 7)) == 7
     assert value(df, json.has(F.col("j"), "c")) and value(df, json.keys(F.col("j"))) == ["a", "c"]
     assert value(df, json.build(x=F.lit(1), y=F.lit(None).cast("string"))) == '{"x":1}'
+
+
+@pytest.mark.parametrize("few", [0, 2, 4096])
+def test_product_in_blocks_is_the_product(spark, monkeypatch, few):
+    monkeypatch.setattr(edit, "FEW", few)
+    src, trg = (spark.createDataFrame([(f"{side}{k}",) for k in range(n)], "stem string") for side, n in (("s", 7), ("t", 9)))
+    assert sorted(map(tuple, edit.pairs(src, trg).select("src", "trg").collect())) == [(f"s{i}", f"t{j}") for i in range(7) for j in range(9)]
+
+
+def test_numbers_over_ranges(spark):
+    v = spark.createDataFrame([(f"w{k:03}", k % 7) for k in range(200)], "stem string, n int").repartition(5)
+    ranked, size = ranking.numbered(v, F.desc("n"), F.asc("stem"))
+    want = sorted(((k % 7, f"w{k:03}") for k in range(200)), key=lambda x: (-x[0], x[1]))
+    assert size == 200 and [(r.n, r.stem) for r in sorted(ranked.collect(), key=lambda r: r.rn)] == want
+    assert sorted(r.rn for r in ranked.collect()) == list(range(1, 201))
+    assert ranking.frequency_bins(v.limit(0), 4).count() == ranking.frequency_bins(v.limit(3), 4).count() == 0
+
+
+def test_a_normalised_series_keeps_its_bins(spark):
+    t = spark.createDataFrame([("a", 0, 1.0), ("a", 4, 3.0)], "stem string, bin int, v double")
+    for rebin in (temporal.tumbling, temporal.sliding):
+        assert rebin(t, 2).count() > 0
+        with pytest.raises(ValueError):
+            rebin(temporal.normalize(t).where("bin > 0"), 2)
+
+
+def test_classes_with_context_and_time(spark):
+    v = spark.createDataFrame([("src", "a", 3), ("src", "b", 2), ("trg", "a", 1)], "side string, stem string, n int")
+    c = spark.createDataFrame([("src", "a", "x")], "side string, stem string, ctx string")
+    t = spark.createDataFrame([("src", "b", 0, 0.0), ("trg", "a", 0, 1.0)], "side string, stem string, bin int, v double")
+    assert [tuple(r) for r in vocab.with_context(v, c).collect()] == [("src", "a", 3)]
+    assert [tuple(r) for r in vocab.with_time(v, t).collect()] == [("trg", "a", 1)]
+
+
+def test_random_candidate_is_one_of_them_and_stays(spark):
+    r = spark.createDataFrame([("a", f"t{k}", 1.0 / (k + 1), float(k)) for k in range(9)] + [("b", "u", 0.5, 1.0)], "src string, trg string, score double, rk double")
+    drawn = [sorted(map(tuple, ranking.random_candidate(x, seed).collect())) for x in (r, r.repartition(5)) for seed in (1, 2, 3)]
+    assert drawn[:3] == drawn[3:] and all(x[1] == ("b", "u", 0.5) for x in drawn) and len({x[0] for x in drawn}) > 1
+
+
+def test_json_arrays(spark):
+    df = spark.createDataFrame([("1", '"x"', "[]", "[1, 2]", '{"k": 1}', None)], "a string, b string, e string, l string, o string, n string")
+    got = df.select(json.accumulate(F.col("a"), F.col("b")), json.accumulate(F.col("n"), F.col("b")), json.accumulate(F.col("n"), F.col("n")), json.append(F.col("e"), F.col("a")), json.append(F.col("l"), F.col("b")), json.append(F.col("n"), F.col("a")), json.append(F.col("o"), F.col("a"))).first()
+    assert tuple(got) == ('[1,"x"]', '"x"', None, "[1]", '[1, 2,"x"]', "[1]", None)

@@ -100,7 +100,7 @@ def plain(value):
     return round(float(value), 6) if isinstance(value, (int, float)) and not isinstance(value, bool) else str(value)
 
 
-@pytest.mark.parametrize("name", ["vocab_filtered", "prefix_classes", "dict_pruned", "context_counts", "score_s3", "rank_context", "phrase_context", "phrase_order_counts", "order_scores", "lsh_signatures", "pages_merge", "page_dates", "time_rebin_sliding", "lang_detect"])
+@pytest.mark.parametrize("name", ["vocab_filtered", "prefix_classes", "dict_pruned", "context_counts", "score_s3", "rank_context", "phrase_context", "phrase_order_counts", "order_scores", "lsh_signatures", "order_scores_lsh", "rank_mrr", "accuracy_by_bin", "rank_given_lists", "page_languages_filled", "score_edit_translit", "pages_merge", "page_dates", "time_rebin_sliding", "lang_detect"])
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -147,3 +147,28 @@ def test_edit_ranking_has_accented_words(spark):
         i.__dict__[side] = spark.createDataFrame([(x,) for x in stems], "stem string")
     have = {(r.src, r.trg): r.score for r in registry.induction.edit_ranking(i).collect()}
     assert have == {(a, b): distance(a, b) for a in sources for b in targets}
+
+
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_have_no_single_task_and_no_row_a_bit(spark):
+    """Frequency bins number ranges, time scores are dot products, signatures open no entry into 256 rows."""
+    found = registry.queries()
+    assert "SinglePartition" not in executed(found["freq_bins"](spark, SF))
+    assert "Join [bin" not in executed(found["score_time_cosine"](spark, SF)).replace("SortMergeJoin", "Join").replace("BroadcastHashJoin", "Join")
+    plan = executed(found["lsh_signatures"](spark, SF))
+    assert "directions" not in plan and "MapInArrow" in plan
+
+
+def test_dated_corpus_takes_more_and_turns_bad_rows_away(spark, tmp_path):
+    from datetime import date
+
+    rows = [("en", 2005, date(2005, 1, 2), False, 1, "a"), ("../x", 2005, date(2005, 1, 2), False, 1, "b"), (None, 2005, None, None, 1, "c"), ("fr", 1900, date(1900, 1, 2), True, 1, "d")]
+    df = spark.createDataFrame(rows, "lang string, year int, day date, rejected boolean, modified long, text string")
+    for _ in range(2):
+        sinks.dated_corpus(df, str(tmp_path / "dated"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "dated/days/lang=en/year=2005/day=2005-01-02")).collect()] == ["a", "a"]
+    assert sorted(r.value[-1] for r in spark.read.text(str(tmp_path / "dated/rejected")).collect()) == ["b", "b", "c", "c", "d", "d"]
