@@ -10,7 +10,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_slices, settle
@@ -21,24 +21,31 @@ log = logging.getLogger(__name__)
 
 @dataclass(frozen=True)
 class Settings:
-    """shard: vectors of a cluster shard, about; block: those of a task at most, twice. overlap: shards of a vector.
-    near, far: candidates of a node; degree, alpha: what robust pruning leaves; beam: width of the greedy search;
-    slack: how far below the threshold the search still expands; audit: queries of the recall audit; goal: recall that
-    ends it; widest: overlap, in multiples of the first, after which all pairs are compared instead; clusters: most centroids, which with sample a centroid bounds what the driver holds."""
+    """shard: vectors of a cluster shard, about; most: vectors of a shard beyond which it is split again. block: those of
+    a block where all pairs are compared. overlap: shards of a vector. near: candidates of a node from its own batch; far: those
+    drawn at random; degree, alpha: what robust pruning leaves; medoids: where searches start; beam: width of the greedy search; batch: nodes that enter
+    the graph, and queries that run, together; slack: how far below the threshold the search still expands; audit: queries
+    of the recall audit; goal: recall that ends it; widest: overlap, in multiples of the first, after which all pairs are
+    compared instead; clusters: most centroids that one k-means makes, levels: most times that shards are split, sample:
+    vectors a centroid that k-means looks at, about, which bounds what the driver or a task holds."""
 
     shard: int = 1500
+    most: int = 4000
     block: int = 2000
     overlap: int = 3
-    near: int = 24
-    far: int = 16
+    near: int = 8
+    far: int = 8
     degree: int = 20
     alpha: float = 1.2
+    medoids: int = 24
     beam: int = 24
+    batch: int = 256
     slack: float = 0.05
     audit: int = 200
     goal: float = 0.98
     widest: int = 4
     clusters: int = 4096
+    levels: int = 4
     sample: int = 16
 
 
@@ -77,123 +84,201 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def deal(classes: DataFrame, s: Settings, overlap: int, n: int, dim: int, whole: bool = False) -> DataFrame:
-    """(shard, id, size, v, shards): each vector in the shards of its ``overlap`` nearest centroids.
+def drawn(rows: DataFrame, rate: Column, seed: int) -> DataFrame:
+    """Rows of a share of the hashes of id; nothing is sorted."""
+    return rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) < F.floor(rate * (1 << 40)))
 
-    A shard that is larger than a task may be is cut into blocks by a hash, and each pair of blocks is a shard of its own,
-    so that all its vectors still meet. ``whole``: one centroid, so that all vectors of the table meet.
+
+def nearest(v: np.ndarray, c: np.ndarray, m: int) -> np.ndarray:
+    """The m nearest centroids of each vector, the nearest first."""
+    sims = v @ c.T
+    m = min(m, len(c))
+    top = np.argpartition(-sims, m - 1, axis=1)[:, :m] if m < len(c) else np.tile(np.arange(m), (len(v), 1))
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, 1), axis=1, kind="stable"), 1)
+
+
+def deal(classes: DataFrame, s: Settings, overlap: int, n: int, dim: int) -> DataFrame:
+    """(shard, id, size, v, home, shards): each vector in the shards of its ``overlap`` nearest centroids, of which the
+    nearest is its home.
+
+    The first centroids come from a sample on the driver. Shards that are larger than a task may take are split by
+    centroids of their own, each in a task from a sample, until none is or the levels are used up; there a vector that is at
+    home goes to the nearest ``overlap`` parts again, and others to the nearest one. So the number of centroids grows with
+    the table, and none but the first are gathered.
     """
     spark = classes.sparkSession
-    k = max(1, min(s.clusters, math.ceil(n * overlap / s.shard) if n > s.shard and not whole else 1))
-    taken = classes.orderBy(F.xxhash64("id")).limit(k * s.sample).select("v").collect()
-    shared = spark.sparkContext.broadcast(centroids(np.array([r.v for r in taken]).reshape(-1, dim), k).astype(np.float32))
-
-    def nearest(batch: pa.RecordBatch) -> dict:
-        c = shared.value
-        v = np.array(batch.column(2).flatten(), np.float32).reshape(-1, dim)
-        m = min(overlap, len(c))
-        sims = v @ c.T
-        top = np.argpartition(-sims, m - 1, axis=1)[:, :m] if m < len(c) else np.tile(np.arange(m), (len(v), 1))
+    k = max(1, min(s.clusters, math.ceil(n * overlap / s.shard) if n > s.shard else 1))
+    taken = drawn(classes, F.lit(min(1.0, k * s.sample / max(n, 1))), 1).select("id", "v").collect()
+    taken = taken or classes.limit(1).select("id", "v").collect()
+    sample = np.array([r.v for r in sorted(taken)]).reshape(-1, dim)
+    shared = spark.sparkContext.broadcast(centroids(sample, k).astype(np.float32))
+
+    def first(batch: pa.RecordBatch) -> dict:
+        top = nearest(np.array(batch.column(2).flatten(), np.float32).reshape(-1, dim), shared.value, overlap)
         return {"id": batch.column(0), "size": batch.column(1), "v": batch.column(2), "near": pa.array(top.tolist(), pa.list_(pa.int64()))}
 
-    near = settle(map_slices(classes.select("id", "size", "v"), "id long, size long, v array<double>, near array<long>", nearest))
-    loads = {r.c: r.n for r in near.select(F.explode("near").alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect()}  # a row a centroid
-    blocks = spark.sparkContext.broadcast({c: math.ceil(x / s.block) for c, x in loads.items() if x > 2 * s.block})
-
-    def place(batch: pa.RecordBatch) -> dict:
-        out = []
-        for i, own in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            shards = []
-            for c in own:
-                n_blocks = blocks.value.get(c, 1)
-                if n_blocks == 1:
-                    shards.append(c << 40)
-                else:
-                    b = xxhash.xxh3_64_intdigest(i.to_bytes(8, "little", signed=True)) % n_blocks
-                    shards += [c << 40 | min(b, o) << 20 | max(b, o) for o in range(n_blocks) if o != b]
-            out.append(sorted(shards))
-        return {"id": batch.column(0), "size": batch.column(1), "v": batch.column(2), "shards": pa.array(out, pa.list_(pa.int64()))}
-
-    placed = map_slices(near, "id long, size long, v array<double>, shards array<long>", place)
-    return settle(placed.select(F.explode("shards").alias("shard"), "id", "size", "v", "shards"))
-
-
-def robust_neighbours(v: np.ndarray, s: Settings) -> list[np.ndarray]:
-    """For each vector up to ``degree`` others: a candidate stays unless one kept before is nearer to it by ``alpha``."""
-    n = len(v)
-    if n == 1:
-        return [np.zeros(0, int)]
-    sims = v @ v.T
-    np.fill_diagonal(sims, -2)
-    near = min(s.near, n - 1)
-    candidates = np.argpartition(-sims, near - 1, axis=1)[:, :near]
-    candidates = np.concatenate([candidates, np.random.default_rng(n).integers(0, n, (n, s.far))], 1)
-    rows = np.arange(n)[:, None]
-    mine = sims[rows, candidates]
-    order = np.argsort(-mine, axis=1, kind="stable")
-    candidates, mine = np.take_along_axis(candidates, order, 1), np.take_along_axis(mine, order, 1)
+    near = map_slices(classes.select("id", "size", "v"), "id long, size long, v array<double>, near array<long>", first)
+    rows = settle(near.select("id", "size", "v", F.posexplode("near").alias("at", "shard")))
+
+    def parts_of(t: pa.Table) -> pa.Table:
+        order = np.argsort(np.array(t.column("id")))
+        v = np.array(t.column("v").combine_chunks().flatten()).reshape(-1, dim)[order]
+        made = centroids(v, min(s.clusters, t.column("k")[0].as_py()))
+        return pa.table({"shard": t.column("shard").slice(0, 1), "centres": pa.array([made.ravel().tolist()], pa.list_(pa.float64()))})
+
+    def part(left: pa.Table, right: pa.Table) -> pa.Table:
+        c = np.array(right.column("centres").combine_chunks().flatten(), np.float32).reshape(-1, dim) if len(right) else np.zeros((1, dim), np.float32)
+        v = np.array(left.column("v").combine_chunks().flatten(), np.float32).reshape(-1, dim)
+        top, home = nearest(v, c, overlap), np.array(left.column("at")) == 0
+        take = home[:, None] | (np.arange(top.shape[1]) == 0)
+        r, q = np.nonzero(take)
+        own = left.take(pa.array(r))
+        return pa.table({"id": own["id"], "size": own["size"], "v": own["v"], "at": pa.array(np.where(home[r], q, np.array(own["at"])), pa.int32()), "shard": own["shard"], "part": pa.array(top[r, q], pa.int64())})
+
+    for level in range(s.levels):
+        large = rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > s.most)
+        large = settle(large.withColumn("k", F.least(F.lit(s.clusters), F.ceil(F.col("n") / s.shard)).cast("int")))
+        if large.isEmpty():
+            break
+        joined = rows.join(large, "shard")
+        made = drawn(joined, F.least(F.lit(1.0), F.col("k") * s.sample / F.col("n")), level + 2).select("shard", "id", "v", "k").groupBy("shard").applyInArrow(parts_of, "shard long, centres array<double>")
+        salted = joined.withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 20_000))).select("shard", "salt", "id", "size", "v", "at")
+        sent = made.join(large, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / 20_000) - 1)).alias("salt"), "centres")
+        dealt = salted.groupBy("shard", "salt").cogroup(sent.groupBy("shard", "salt")).applyInArrow(part, "id long, size long, v array<double>, at int, shard long, part long")
+        named = dealt.withColumn("shard", F.xxhash64("shard", "part")).drop("part")
+        rows = settle(rows.join(large, "shard", "left_anti").unionByName(named))
+    lists = rows.groupBy("id").agg(F.min_by("shard", "at").alias("home"), F.collect_set("shard").alias("shards"))  # a few shards a vector
+    return settle(rows.drop("at").distinct().join(lists, "id").select("shard", "id", "size", "v", "home", "shards"))
+
+
+def robust_prune(v: np.ndarray, own: np.ndarray, candidates: np.ndarray, s: Settings) -> np.ndarray:
+    """For each node up to ``degree`` of its candidates (-1: none): one stays unless one kept before is nearer to it by ``alpha``."""
+    order = np.sort(candidates, 1)
+    order[:, 1:][order[:, 1:] == order[:, :-1]] = -1
+    order[order == own[:, None]] = -1
+    around = v[order]
+    mine = np.where(order >= 0, np.einsum("bmd,bd->bm", around, v[own]), -2)
+    by = np.argsort(-mine, axis=1, kind="stable")[:, : 3 * s.degree]
+    order, mine, around = np.take_along_axis(order, by, 1), np.take_along_axis(mine, by, 1), np.take_along_axis(around, by[:, :, None], 1)
     distance = np.sqrt(np.maximum(2 - 2 * mine, 0))
-    alive, kept = candidates != rows, np.zeros(candidates.shape, bool)
-    for j in range(candidates.shape[1]):
+    between = np.sqrt(np.maximum(2 - 2 * (around @ around.transpose(0, 2, 1)), 0))
+    alive, kept = order >= 0, np.zeros(order.shape, bool)
+    for j in range(order.shape[1]):
         take = alive[:, j] & (kept.sum(1) < s.degree)
         kept[:, j] = take
-        between = np.sqrt(np.maximum(2 - 2 * sims[candidates[:, j : j + 1], candidates], 0))
-        between[candidates == candidates[:, j : j + 1]] = 0
-        alive &= ~(take[:, None] & (s.alpha * between <= distance))
-    return [candidates[i, kept[i]] for i in range(n)]
-
-
-def range_search(v: np.ndarray, adjacency: list[np.ndarray], threshold: float, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Marks for every vector as query those near enough that the search reached, and all that are near enough; n by n.
-
-    A greedy search with a beam starts at the medoid; then everything that lies within ``slack`` of the threshold is
-    expanded until nothing new turns up.
-    """
-    n = len(v)
-    sims = v @ v.T
-    width = max(1, max(map(len, adjacency)))
-    table = np.full((n, width), -1)
-    for i, a in enumerate(adjacency):
-        table[i, : len(a)] = a
-    medoid = int((v @ v.mean(0)).argmax())
-    seen = np.zeros((n, n), bool)
-    rows = np.arange(n)
-    seen[:, medoid] = True
-    beam = np.full((n, s.beam), -1)
-    beam[:, 0] = medoid
-    done = np.zeros((n, s.beam), bool)
-    live = rows
+        alive &= ~(take[:, None] & (s.alpha * between[:, j] <= distance))
+        alive[:, j] = False
+    place = np.argsort(~kept, axis=1, kind="stable")[:, : s.degree]
+    out = np.full((len(own), s.degree), -1)
+    out[:, : place.shape[1]] = np.where(np.take_along_axis(kept, place, 1), np.take_along_axis(order, place, 1), -1)
+    return out
+
+
+def medoids(v: np.ndarray, s: Settings) -> np.ndarray:
+    """The vectors nearest to a few centroids; searches start there."""
+    k = min(s.medoids, max(1, math.isqrt(len(v))))
+    return np.unique((v @ centroids(v, k, 4).T.astype(v.dtype)).argmax(0))
+
+
+def greedy(v: np.ndarray, table: np.ndarray, queries: np.ndarray, starts: np.ndarray, beam: int, cut: float = 2.0) -> tuple:
+    """Searches the graph for each query vector from some nodes: (nodes of the beam, -1 where it isn't full; queries by
+    nodes, which were looked at; query, node and similarity of those looked at that are as near as ``cut``). Only nodes that
+    are reached are compared."""
+    n, beam = len(queries), max(beam, len(starts))
+    seen = np.zeros((n, len(v)), bool)
+    seen[:, starts] = True
+    ids, sims, done = np.full((n, beam), -1), np.full((n, beam), -3.0, np.float32), np.ones((n, beam), bool)
+    ids[:, : len(starts)], sims[:, : len(starts)], done[:, : len(starts)] = starts, queries @ v[starts].T, False
+    q, k = np.nonzero(sims >= cut)
+    reached = [(q, ids[q, k], sims[q, k])]
+    live = np.arange(n)
     while len(live):
-        b, d = beam[live], done[live]
-        score = np.where((b >= 0) & ~d, sims[live[:, None], b], -3)
+        score = np.where(done[live], -4, sims[live])
         at = score.argmax(1)
         go = score[np.arange(len(live)), at] > -3
-        live, b, d, at = live[go], b[go], d[go], at[go]
+        live, at = live[go], at[go]
         if not len(live):
             break
-        d[np.arange(len(live)), at] = True
-        next_ones = table[b[np.arange(len(live)), at]]
-        fresh = (next_ones >= 0) & ~seen[live[:, None], next_ones]
+        done[live, at] = True
+        around = table[ids[live, at]]
+        fresh = (around >= 0) & ~seen[live[:, None], around]
         r, c = np.nonzero(fresh)
-        seen[live[r], next_ones[r, c]] = True
-        ids = np.concatenate([b, np.where(fresh, next_ones, -1)], 1)
-        flags = np.concatenate([d, np.zeros(next_ones.shape, bool)], 1)
-        score = np.where(ids >= 0, sims[live[:, None], ids], -3)
-        best = np.argsort(-score, axis=1, kind="stable")[:, : s.beam]
-        beam[live], done[live] = np.take_along_axis(ids, best, 1), np.take_along_axis(flags, best, 1)
-    within = sims >= threshold - s.slack
-    opened = np.zeros((n, n), bool)
-    while True:
-        q, x = np.nonzero(seen & within & ~opened)
-        if not len(q):
-            break
-        opened[q, x] = True
-        for at in range(0, len(q), 100_000):
-            around = table[x[at : at + 100_000]]
-            r, c = np.nonzero(around >= 0)
-            seen[q[at + r], around[r, c]] = True
-    near = sims >= threshold - 1e-3
-    return seen & near, near
+        q, x = live[r], around[r, c]
+        seen[q, x] = True
+        new = np.full(around.shape, -3.0, np.float32)
+        new[r, c] = close = np.einsum("ij,ij->i", v[x], queries[q])
+        near = close >= cut
+        reached.append((q[near], x[near], close[near]))
+        all_ids, all_sims = np.concatenate([ids[live], np.where(fresh, around, -1)], 1), np.concatenate([sims[live], new], 1)
+        all_done = np.concatenate([done[live], ~fresh], 1)
+        best = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
+        ids[live], sims[live], done[live] = (np.take_along_axis(x, best, 1) for x in (all_ids, all_sims, all_done))
+    return ids, seen, tuple(np.concatenate(x) for x in zip(*reached, strict=True))
+
+
+def build_graph(v: np.ndarray, s: Settings) -> np.ndarray:
+    """Neighbours of each node (-1: none). The medoids come first, the others in batches that double: each is searched for in the graph so far, and
+    what the search ends at, near ones of its own batch and some drawn at random are its candidates for robust pruning;
+    links back are pruned likewise."""
+    n = len(v)
+    rng = np.random.default_rng(n)
+    order = rng.permutation(n)
+    table = np.full((n, s.degree), -1)
+    starts = medoids(v, s)
+    order = np.concatenate([starts, order[~np.isin(order, starts)]])
+    table[starts] = robust_prune(v, starts, np.tile(starts, (len(starts), 1)), s)
+    at = size = len(starts)
+    while at < n:
+        batch = order[at : at + size]
+        found = greedy(v, table, v[batch], starts, s.beam)[0]
+        drawn_ones = order[rng.integers(0, at, (len(batch), s.far))]
+        inside = v[batch] @ v[batch].T
+        close = batch[np.argsort(-inside, axis=1, kind="stable")[:, : s.near + 1]]
+        table[batch] = robust_prune(v, batch, np.concatenate([found, drawn_ones, close], 1), s)
+        r, c = np.nonzero(table[batch] >= 0)
+        back, new = table[batch][r, c], batch[r]
+        by = np.argsort(back, kind="stable")
+        back, new = back[by], new[by]
+        heads, first, counts = np.unique(back, return_index=True, return_counts=True)
+        slot = np.arange(len(back)) - np.repeat(first, counts)
+        grown = np.full((len(heads), s.degree + max(1, min(int(counts.max(initial=0)), 4 * s.degree))), -1)
+        grown[:, : s.degree] = table[heads]
+        fits = slot < grown.shape[1] - s.degree
+        grown[np.repeat(np.arange(len(heads)), counts)[fits], s.degree + slot[fits]] = new[fits]
+        table[heads] = robust_prune(v, heads, grown, s)
+        at, size = at + size, min(2 * size, s.batch)
+    return table
+
+
+def range_search(v: np.ndarray, table: np.ndarray, queries: np.ndarray, threshold: float, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) of what the search reached at ``threshold`` less a margin for single precision; queries are nodes.
+
+    A greedy search with a beam starts at the medoids; then everything that lies within ``slack`` of the threshold is
+    expanded until nothing new turns up. Only nodes that are reached are compared.
+    """
+    starts = medoids(v, s)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(queries), s.batch):
+        own = queries[at : at + s.batch]
+        _, seen, (q, x, near) = greedy(v, table, v[own], starts, s.beam, threshold - s.slack)
+        while len(q):
+            hit = near >= threshold - 1e-3
+            left.append(own[q[hit]])
+            right.append(x[hit])
+            next_q, next_x, next_near = [], [], []
+            for k in range(0, len(q), 20_000):
+                around = table[x[k : k + 20_000]]
+                r, c = np.nonzero((around >= 0) & ~seen[q[k : k + 20_000, None], around])
+                pair = np.unique(q[k + r] * len(v) + around[r, c])
+                a, y = pair // len(v), pair % len(v)
+                seen[a, y] = True
+                close = np.einsum("ij,ij->i", v[own[a]], v[y])
+                keep = close >= threshold - s.slack
+                next_q.append(a[keep])
+                next_x.append(y[keep])
+                next_near.append(close[keep])
+            q, x, near = (np.concatenate(z) for z in (next_q, next_x, next_near))
+    return np.concatenate(left), np.concatenate(right)
 
 
 def smallest_label(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -209,58 +294,93 @@ def smallest_label(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = after
 
 
-def link_counts(dealt: DataFrame, threshold: float, s: Settings, whole: bool = False) -> DataFrame:
-    """(id, linked, root) a shard and vector: vectors linked with it here (copies counted) and the least id of its group here.
+def exact(v: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether each pair is linked, in double precision."""
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), 100_000):
+        out[at : at + 100_000] = (v[i[at : at + 100_000]] * v[j[at : at + 100_000]]).sum(1) >= threshold
+    return out
+
+
+def tally(ids: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, counted: np.ndarray) -> pa.Table:
+    """(id, linked, root) of links a to b, of which the ``counted`` add the size of b to a."""
+    linked = np.zeros(len(ids), np.int64)
+    np.add.at(linked, a[counted], sizes[b[counted]])
+    return pa.table({"id": pa.array(ids), "linked": pa.array(linked), "root": pa.array(ids[smallest_label(len(ids), a, b)])})
+
 
-    Graphs are built shard by shard, the adjacency lists of a vector are put together, and the search runs in each shard
-    over them. A pair of several common shards is compared in each whether or not the search reached it there, so that all
-    of them agree, and counts in the first alone; cosines are taken in double precision. ``whole``: all pairs of a shard are
-    compared, without a search.
+def link_counts(dealt: DataFrame, threshold: float, s: Settings) -> DataFrame:
+    """(id, linked, root) a shard and vector: vectors linked with it that count here (copies counted) and the least id of its group here.
+
+    Graphs are built shard by shard and the adjacency lists of a vector are put together. Each vector is searched for in
+    its home over these lists, once. What it finds there counts for it; it counts for the other one too where that one
+    has no chance to find it, since its home lacks this vector. So a pair of several common shards counts once for either.
+    Cosines are taken in double precision.
     """
 
-    def build(t: pa.Table) -> pa.Table:
+    def in_order(t: pa.Table, kind) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        t = t.take(pa.array(np.argsort(np.array(t.column("id")))))
         ids = np.array(t.column("id"))
-        v = np.array(t.column("v").combine_chunks().flatten(), np.float32).reshape(len(ids), -1)
-        return pa.table({"id": pa.array(ids), "next": pa.array([ids[a].tolist() for a in robust_neighbours(v, s)], pa.list_(pa.int64()))})
+        return t, ids, np.array(t.column("v").combine_chunks().flatten(), kind).reshape(len(ids), -1)
+
+    def build(t: pa.Table) -> pa.Table:
+        t, ids, v = in_order(t, np.float32)
+        table = build_graph(v, s)
+        return pa.table({"id": pa.array(ids), "next": pa.array([ids[a[a >= 0]].tolist() for a in table], pa.list_(pa.int64()))})
 
     built = dealt.select("shard", "id", "v").groupBy("shard").applyInArrow(build, "id long, next array<long>")
     joined = built.select("id", F.explode("next").alias("next")).groupBy("id").agg(F.collect_set("next").alias("next"))  # degree times shards
 
     def search(t: pa.Table) -> pa.Table:
-        ids = np.array(t.column("id"))
-        order = np.argsort(ids)
-        t = t.take(pa.array(order))
-        ids, sizes, own = ids[order], np.array(t.column("size")), t.column("shard")[0].as_py()
-        v = np.array(t.column("v").combine_chunks().flatten(), np.float64).reshape(len(ids), -1)
-        adjacency = []
-        for a in t.column("next").to_pylist():
-            a = np.array(a or [], np.int64)
+        t, ids, v = in_order(t, np.float64)
+        sizes, own, home = np.array(t.column("size")), t.column("shard")[0].as_py(), np.array(t.column("home"))
+        lists = [np.array(a or [], np.int64) for a in t.column("next").to_pylist()]
+        table = np.full((len(ids), max(1, max(map(len, lists)))), -1)
+        for i, a in enumerate(lists):
             at = np.minimum(np.searchsorted(ids, a), len(ids) - 1)
-            adjacency.append(at[ids[at] == a])
-        found, near = range_search(v.astype(np.float32), adjacency, threshold, s)
-        found |= found.T
-        a, b = np.nonzero(np.triu(near | near.T, 1))
-        shards = t.column("shards").to_pylist()
-        wide = max(map(len, shards))
-        lists = np.array([x + [-1 - k for k in range(len(x), wide)] for x in shards])
-        linking, counted = np.zeros(len(a), bool), np.zeros(len(a), bool)
-        for at in range(0, len(a), 100_000):
-            i, j = a[at : at + 100_000], b[at : at + 100_000]
-            first, common = np.full(len(i), np.iinfo(np.int64).max), np.zeros(len(i), int)
-            for k in range(wide):
-                mine = lists[i, k]
-                shared = (mine >= 0) & (lists[j] == mine[:, None]).any(1)
-                first = np.where(shared, np.minimum(first, mine), first)
-                common += shared
-            linking[at : at + 100_000] = (found[i, j] | (common > 1) | whole) & ((v[i] * v[j]).sum(1) >= threshold)
-            counted[at : at + 100_000] = first == own
-        a, b, counted = a[linking], b[linking], counted[linking]
-        linked = np.zeros(len(ids), np.int64)
-        np.add.at(linked, a[counted], sizes[b[counted]])
-        np.add.at(linked, b[counted], sizes[a[counted]])
-        return pa.table({"id": pa.array(ids), "linked": pa.array(linked), "root": pa.array(ids[smallest_label(len(ids), a, b)])})
-
-    return settle(dealt.join(joined, "id", "left").select("shard", "id", "size", "v", "shards", "next").groupBy("shard").applyInArrow(search, "id long, linked long, root long"))
+            at = at[ids[at] == a]
+            table[i, : len(at)] = at
+        i, j = range_search(v.astype(np.float32), table, np.flatnonzero(home == own), threshold, s)
+        good = (i != j) & exact(v, i, j, threshold)
+        i, j = i[good], j[good]
+        both = home[j] == own  # at home here too: the link counts both ways, whichever search found it
+        pairs = np.unique(np.concatenate([i * len(ids) + j, (j * len(ids) + i)[both]]))
+        i, j = pairs // len(ids), pairs % len(ids)
+        shards = [set(x) for x in t.column("shards").to_pylist()]
+        alone = np.array([home[y] != own and int(home[y]) not in shards[x] for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+        a, b = np.concatenate([i, j[alone]]), np.concatenate([j, i[alone]])
+        return tally(ids, sizes, a, b, np.ones(len(a), bool))
+
+    searched = dealt.join(joined, "id", "left").select("shard", "id", "size", "v", "home", "shards", "next")
+    return settle(searched.groupBy("shard").applyInArrow(search, "id long, linked long, root long"))
+
+
+def all_link_counts(classes: DataFrame, n: int, threshold: float, s: Settings) -> DataFrame:
+    """link_counts() of all pairs of vectors, compared in blocks without an index; its work grows with the square of n."""
+    blocks = math.ceil(n / s.block)
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    sent = classes.withColumn("own", own).withColumn("other", other)
+    placed = sent.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "size", "v")
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, sizes, block = np.array(t.column("id")), np.array(t.column("size")), np.array(t.column("own"))
+        v = np.array(t.column("v").combine_chunks().flatten()).reshape(len(ids), -1)
+        one = np.flatnonzero(block == t.column("p")[0].as_py())
+        two = np.flatnonzero(block == t.column("q")[0].as_py())
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(one), 256):
+            i, j = np.nonzero(v[one[at : at + 256]] @ v[two].T >= threshold - 1e-9)
+            i, j = one[at + i], two[j]
+            good = (i != j) & exact(v, i, j, threshold)
+            a.append(i[good])
+            b.append(j[good])
+        i, j = np.concatenate(a), np.concatenate(b)
+        if t.column("p")[0] != t.column("q")[0]:
+            i, j = np.concatenate([i, j]), np.concatenate([j, i])
+        return tally(ids, sizes, i, j, np.ones(len(i), bool))
+
+    return settle(placed.groupBy("p", "q").applyInArrow(compare, "id long, linked long, root long"))
 
 
 def audit(classes: DataFrame, linked: DataFrame, threshold: float, queries: int, dim: int) -> float:
@@ -269,9 +389,9 @@ def audit(classes: DataFrame, linked: DataFrame, threshold: float, queries: int,
     Vectors that link with others are drawn by a hash; where fewer than a quarter of the queries do, more are drawn, up to
     16 times as many. Without a link among them the recall is 1.
     """
-    wanted = queries
+    wanted, total = queries, classes.count()
     while True:
-        chosen = classes.orderBy(F.xxhash64("id", F.lit("audit"))).limit(queries).select("id", "v").collect()
+        chosen = drawn(classes, F.lit(min(1.0, queries / max(total, 1))), 99).select("id", "v").collect()
         shared = classes.sparkSession.sparkContext.broadcast((np.array([r.id for r in chosen]), np.array([r.v for r in chosen]).reshape(-1, dim)))
 
         def count(batch: pa.RecordBatch, shared=shared) -> dict:
@@ -283,15 +403,14 @@ def audit(classes: DataFrame, linked: DataFrame, threshold: float, queries: int,
         true = map_slices(classes.select("id", "size", "v"), "id long, true long", count).groupBy("id").agg(F.sum("true").alias("true")).where(F.col("true") > 0)
         share = F.least(F.coalesce("linked", F.lit(0)) / F.col("true"), F.lit(1.0))
         n, recall = true.join(linked, "id", "left").agg(F.count("*"), F.avg(share)).first()
-        if 4 * n >= wanted or len(chosen) < queries or queries >= 16 * wanted:
+        if 4 * n >= wanted or queries >= min(total, 16 * wanted):
             return 1.0 if not n else recall
         queries *= 4
 
 
 def _graph(classes: DataFrame, n: int, dim: int, threshold: float, s: Settings) -> DataFrame:
     """link_counts() of the ``n`` classes of one length, at a recall of the goal or of all pairs."""
-    # A row of an id that leads two classes stands for both.
-    main = classes.where(F.size("v") == dim).groupBy("id").agg(F.min(F.struct("key", "v", "size")).alias("f")).select("id", "f.v", "f.size")
+    main = classes.where(F.size("v") == dim).select("id", "v", "size")
     overlap = s.overlap
     while True:
         links = link_counts(deal(main, s, overlap, n, dim), threshold, s)
@@ -300,15 +419,15 @@ def _graph(classes: DataFrame, n: int, dim: int, threshold: float, s: Settings)
         if recall >= s.goal:
             return links
         if overlap >= s.widest * s.overlap:
-            return link_counts(deal(main, s, 1, n, dim, whole=True), threshold, s, whole=True)
+            return all_link_counts(main, n, threshold, s)
         overlap *= 2
 
 
 def near_duplicate_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", settings: Settings | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept: vectors linked at a cosine of ``threshold`` or more, in double precision.
 
-    Equal vectors are one class with all links among them; only a class's smallest id is in the graph. Every vector is in
-    the index. Recall is audited against brute force; below the goal the shards overlap more and the search is repeated;
+    Equal vectors are one class with all links among them, and a node of its own even where rows of one id have several.
+    Every vector is in the index. Long vectors are held as they are, a shard of them in a task. Recall is audited against brute force; below the goal the shards overlap more and the search is repeated;
     where the widest overlap misses it too, all pairs are compared. The log tells the recall.
     Vectors of each length have a graph of their own; those of different lengths don't link. Vectors that are null, empty,
     zero, or hold a null or non-finite component link with nothing. Rows of one id are one vertex and count as a link each; a null
@@ -317,24 +436,21 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.95, id_col: str =
     s = settings or Settings()
     rows = settle(prepare(df, id_col, vec_col))
     usable = rows.where("key is not null and id is not null")
-    classes = settle(usable.groupBy("key").agg(F.min(F.struct("id", "v")).alias("f"), F.count("*").alias("size")).select("key", "f.id", "f.v", "size"))
+    firsts = usable.groupBy("key").agg(F.min(F.struct("id", "v")).alias("f"), F.count("*").alias("size"))
+    classes = settle(firsts.select("key", F.col("f.id").alias("first"), "f.v", "size").withColumn("id", F.monotonically_increasing_id()))  # written once, so that numbers stay
     shapes = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").collect()  # lengths are few
-    if not shapes:
-        totals = links = None
-        reached = df.sparkSession.createDataFrame([], "node long, component long")
-    else:
-        graphs = [_graph(classes, shape.n, shape.dim, threshold, s).withColumn("dim", F.lit(shape.dim)) for i, shape in enumerate(shapes) if shape.n > 1 or i == 0]
-        links = reduce(DataFrame.unionByName, graphs)
-        totals = links.groupBy("id", "dim").agg(F.sum("linked").alias("linked"))
-        repeated = usable.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("id").alias("own"))
-        ties = usable.join(repeated, usable.id == repeated.own, "left_semi").join(classes.select("key", F.col("id").alias("first")), "key").select(F.col("id").alias("a"), F.col("first").alias("b"))
-        reached = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(ties))
-    named = classes.select("key", F.col("id").alias("first"), "size", F.size("v").alias("dim"))
-    if totals is not None:
-        named = named.join(totals.withColumnRenamed("id", "first"), ["first", "dim"], "left")
-    else:
-        named = named.withColumn("linked", F.lit(0).cast("long"))
-    named = settle(named.join(reached, F.col("first") == F.col("node"), "left").select("key", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "first").alias("component")))
+    graphs = [_graph(classes, shape.n, shape.dim, threshold, s) for shape in shapes if shape.n > 1]
+    links = reduce(DataFrame.unionByName, graphs) if graphs else df.sparkSession.createDataFrame([], "id long, linked long, root long")
+    totals = links.groupBy("id").agg(F.sum("linked").alias("linked"))
+    # Rows of one id with several vectors tie their classes together.
+    repeated = usable.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("id").alias("own"))
+    several = usable.join(repeated, usable.id == repeated.own, "left_semi").join(classes.select("key", F.col("id").alias("node")), "key").select("id", "node").distinct()
+    ties = several.join(several.groupBy("id").agg(F.min("node").alias("b")), "id").select(F.col("node").alias("a"), "b")
+    reached = settle(components(links.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(ties)))
+    numbers = classes.select(F.col("id").alias("node"), "key", "first", "size")
+    least = reached.join(numbers, "node").groupBy("component").agg(F.min("first").alias("least"))
+    joined = numbers.join(totals.withColumnRenamed("id", "node"), "node", "left").join(reached, "node", "left").join(least, "component", "left")
+    named = settle(joined.select("key", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("least", "first").alias("component")))
     out = rows.select("id", "key").withColumn("key", F.when(F.col("id").isNotNull(), F.col("key"))).join(named, "key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -37,9 +37,9 @@ def test_vectors_against_all_pairs(spark):
     assert {r.vec_id: tuple(r)[1:] for r in queries.op7_vecgraph(spark, SF).collect()} == brute(rows)
 
 
-@pytest.mark.parametrize("settings", [{}, {"shard": 60, "block": 50}])
+@pytest.mark.parametrize("settings", [{}, {"shard": 60, "most": 100}, {"shard": 60, "most": 100, "clusters": 3, "levels": 3}])
 def test_groups_of_copies_and_near_copies(spark, settings):
-    """Small shards and blocks, so that shards overlap and the hot group is cut into pairs of blocks."""
+    """Small shards, so that they overlap and the hot group is split, also by a tree of few centroids."""
     rng = np.random.default_rng(3)
     base = rng.normal(size=(150, 16))
     rows = [base[i] for i in range(150)]
@@ -66,15 +66,43 @@ def test_odd_vectors(spark):
     assert got(same.limit(0)) == {}
 
 
-def test_pairs_of_two_shards_count_whatever_the_search_reached(spark):
-    """Graphs without edges: the search reaches next to nothing, in either shard."""
+def test_pairs_of_two_shards_count_once_for_either(spark):
+    """All vectors lie in two shards and are at home in one; a third is seen as a visitor by vectors that its home lacks."""
     rng = np.random.default_rng(8)
-    vectors = [vecgraph.unit(v).tolist() for v in 1 + rng.normal(size=(12, 8)) * 0.02]
-    rows = [(shard, i, 1, v, [1, 2]) for shard in (1, 2) for i, v in enumerate(vectors)]
-    dealt = spark.createDataFrame(rows, "shard long, id long, size long, v array<double>, shards array<long>")
-    have = vecgraph.link_counts(dealt, 0.95, vecgraph.Settings(degree=0)).collect()
-    assert {i: sum(r.linked for r in have if r.id == i) for i in range(12)} == dict.fromkeys(range(12), 11)
-    assert {r.root for r in have} == {0}
+    vectors = [vecgraph.unit(v).tolist() for v in 1 + rng.normal(size=(13, 8)) * 0.02]
+    rows = [(shard, i, 1, v, 1 + i % 2, [1, 2]) for shard in (1, 2) for i, v in enumerate(vectors[:12])]
+    rows += [(1, 12, 1, vectors[12], 3, [1, 3]), (3, 12, 1, vectors[12], 3, [1, 3])]
+    dealt = spark.createDataFrame(rows, "shard long, id long, size long, v array<double>, home long, shards array<long>")
+    have = vecgraph.link_counts(dealt, 0.95, vecgraph.Settings()).collect()
+    # Those at home in shard 2 don't meet the visitor of shard 1 in a home of either.
+    want = {i: 12 if i % 2 == 0 else 11 for i in range(12)} | {12: 6}
+    assert {i: sum(r.linked for r in have if r.id == i) for i in range(13)} == want
+    assert {r.root for r in have if r.id != 12} == {0}
+
+
+def test_graph_search_reaches_small_groups_beside_a_dense_one():
+    rng = np.random.default_rng(0)
+    c = rng.normal(size=(60, 64))
+    v = np.concatenate([c[rng.integers(0, 60, 900)] + rng.normal(size=(900, 64)) * 0.9, c[0] + rng.normal(size=(300, 64)) * 0.15, c[1:].repeat(3, 0) + rng.normal(size=(177, 64)) * 0.12])
+    v = (v / np.sqrt((v**2).sum(1, keepdims=True))).astype(np.float32)
+    s = vecgraph.Settings()
+    table = vecgraph.build_graph(v, s)
+    assert table.shape == (len(v), s.degree) and all(len(set(a[a >= 0])) == (a >= 0).sum() for a in table)
+    i, j = vecgraph.range_search(v, table, np.arange(len(v)), 0.95, s)
+    near = v @ v.T >= 0.95
+    found = np.eye(len(v), dtype=bool)
+    found[i, j] = True
+    recall = (found & near).sum(1) / near.sum(1)
+    print("recall by vector", recall.mean())
+    assert recall.mean() > 0.99 and not (found & (v @ v.T < 0.948)).any()
+
+
+def test_ids_with_several_vectors_have_the_links_of_each(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (5, [1.0, 0.05]), (6, [0.05, 1.0]), (7, [-1.0, 0.3])]
+    for parts in (1, 4):
+        df = spark.createDataFrame([(*r, "x", "y") for r in rows], VECS).repartition(parts, "embedding")
+        have = sorted((r.vec_id, r.n_links, r.component_id) for r in vecgraph.near_duplicate_vectors(df).collect())
+        assert have == [(1, 1, 1), (1, 1, 1), (5, 1, 1), (6, 1, 1), (7, 0, 7)]
 
 
 def test_audit_sees_lost_small_groups_beside_a_hot_one(spark):
