@@ -187,7 +187,7 @@ def word_bpe(path: str) -> WordBpe:
 def encode_texts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of every whole text: doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit).
 
-    A null text counts as empty and has no ids; null ids stay null; repeated rows give a row each; an empty table gives
+    Texts of any length are encoded whole, in time that grows with them. A null text counts as empty and has no ids; null ids stay null; repeated rows give a row each; an empty table gives
     no rows; other columns are ignored.
     """
 

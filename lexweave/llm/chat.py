@@ -104,7 +104,7 @@ def format_turns(df: DataFrame, parts_col: str = "parts", trained: tuple[str, ..
 
     Returns conv_id, turn, formatted, loss (spans of ``formatted`` that are trained on: the whole content of turns whose
     role is in ``trained``), attachments (type, ref, place in ``formatted``, tokens) and tokens after expansion.
-    A null role is empty; null parts and null texts are empty content; null ids and turns stay null; repeated rows give a
+    Texts of any length are formatted whole, a slice of rows at a time. A null role is empty; null parts and null texts are empty content; null ids and turns stay null; repeated rows give a
     segment each; an empty table gives no rows; other columns are ignored. A part of unknown type is an error.
     """
     rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.col(parts_col).cast(PART).alias("parts"))

@@ -167,7 +167,7 @@ def edit_study(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     The next document is that of the next smaller id, after the last the first. Texts are dealt once into ranges of the
     id and read in order, so that neighbours meet; a range's first and last text go along with its rows, and the few last
     ones are finished from the first text of the range after.
-    Null texts count as empty; null ids come last; rows of one id are ordered by a hash of the text; a lone row follows
+    Very long texts are hashed block by block. Null texts count as empty; null ids come last; rows of one id are ordered by a hash of the text; a lone row follows
     itself; an empty table gives no rows; other columns are ignored.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -129,7 +129,7 @@ def score_quality(df: DataFrame, labels: DataFrame, learn: Column | None = None,
     ``labels`` has doc_id and label; ``learn`` (a condition on doc_id) says which of them may be learnt from. Texts are
     read once; their statistics are settled. Null and empty texts have the statistics of an empty text. Null labels and
     labels of absent rows count for nothing, repeated labels count each; with a class missing every score is the share of
-    ones, or 0.5 without labels. Null ids are scored, repeated rows give a row each, an empty table gives no rows; other
+    ones, or 0.5 without labels; a score of just 0.5 predicts 1. Texts of any length are read whole. Null ids are scored, repeated rows give a row each, an empty table gives no rows; other
     columns are ignored.
     """
     stats = settle(text_statistics(df, id_col, text_col))

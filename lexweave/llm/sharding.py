@@ -46,7 +46,7 @@ def shard_by_bytes(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text
     Every row goes to the shard in whose equal share of the bytes its middle lies, so that a shard's bytes are off by
     less than the largest row. Only ids, sizes and checksums are shuffled, never texts.
 
-    Null ids come first; a null text has size 0 and the checksum of empty text; rows with equal ids are ordered by
+    Texts of any length are sized whole, on the JVM. Null ids come first; a null text has size 0 and the checksum of empty text; rows with equal ids are ordered by
     checksum, then size, then scan order; an empty table gives no rows; other columns are ignored.
     Returns: the id, size, text_crc32, shard, slot (place within its shard, from 0), start (bytes before it).
     """

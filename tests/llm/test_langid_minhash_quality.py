@@ -214,6 +214,48 @@ def test_quality_on_held_out_rows(spark):
     assert sum(a > b for a in ones for b in zeros) >= 0.97 * len(ones) * len(zeros)
 
 
+def test_quality_against_plain_loops(spark):
+    """The discriminant from nested loops: moments, shrinkage, elimination for determinant and distance."""
+    rng = random.Random(4)
+    good = [" ".join(rng.choice(["The", "river", "runs", "slowly.", "We", "saw", "it,", "then"]) for _ in range(rng.randrange(20, 60))) for _ in range(40)]
+    bad = [" ".join(rng.choice(["BUY", "now!!!", "$$$", "http://x", "click", "77"]) for _ in range(rng.randrange(3, 50))) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate([*good, *bad])), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(70)], "doc_id long, label int")
+    have = {r.doc_id: r.score for r in quality.score_quality(docs, labels).collect()}
+    rows, d = [quality.statistics(t) for t in [*good, *bad]], quality.SIZE
+    mean = [sum(r[i] for r in rows) / 70 for i in range(d)]
+    scale = [math.sqrt(max(sum((r[i] - mean[i]) ** 2 for r in rows) / 70, 1e-9)) for i in range(d)]
+    z = [[(r[i] - mean[i]) / scale[i] for i in range(d)] for r in rows]
+    groups = {1: z[:40], 0: z[40:]}
+    centre = {c: [sum(r[i] for r in g) / len(g) for i in range(d)] for c, g in groups.items()}
+    spread = {c: [[sum((r[i] - centre[c][i]) * (r[j] - centre[c][j]) for r in g) / len(g) for j in range(d)] for i in range(d)] for c, g in groups.items()}
+
+    def log_density(x, c):
+        a = [[0.0] * d for _ in range(d)]
+        for i in range(d):
+            for j in range(d):
+                shared = sum(len(g) / 70 * spread[k][i][j] for k, g in groups.items())
+                v = (1 - quality.POOL) * spread[c][i][j] + quality.POOL * shared
+                a[i][j] = v + quality.RIDGE if i == j else v * (1 - quality.DIAGONAL)
+        b = [x[i] - centre[c][i] for i in range(d)]
+        whole, log_det = list(b), 0.0
+        for i in range(d):  # elimination; the matrix is positive definite
+            log_det += math.log(a[i][i])
+            for k in range(i + 1, d):
+                f = a[k][i] / a[i][i]
+                for j in range(i, d):
+                    a[k][j] -= f * a[i][j]
+                b[k] -= f * b[i]
+        solved = [0.0] * d
+        for i in reversed(range(d)):
+            solved[i] = (b[i] - sum(a[i][j] * solved[j] for j in range(i + 1, d))) / a[i][i]
+        return math.log(len(groups[c]) / 70) - 0.5 * log_det - 0.5 * sum(p * q for p, q in zip(whole, solved, strict=True))
+
+    for i in range(0, 70, 3):
+        apart = log_density(z[i], 1) - log_density(z[i], 0)
+        assert math.isclose(have[i], 1 / (1 + math.exp(-max(-500, min(500, apart)))), rel_tol=1e-4, abs_tol=1e-6)
+
+
 def test_quality_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, None, None, None, 0), (2, "", None, None, None, 0), (None, "a b", None, None, None, 0), (2, "word " * 9000, None, None, None, 0)], DOCS)
     none = spark.createDataFrame([(1, None), (77, 1)], "doc_id long, label int")

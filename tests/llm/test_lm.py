@@ -138,6 +138,37 @@ def test_most_frequent_words_come_without_ties_cut(spark):
         assert [w for w, _ in lm.most_frequent(df, most)] == [x.encode() for x in want]
 
 
+def test_scores_of_documents_against_plain_loops(spark, monkeypatch):
+    """The score column from the fitted weights: softmax over classes, over the class's words, a share for other words."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{int(i)}" for i in rng.zipf(1.5, n) % 300) for n in rng.integers(0, 40, 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fitted, learn = [], lm.learn
+    monkeypatch.setattr(lm, "learn", lambda docs, vocab, n: fitted.append((learn(docs, vocab, n)[0], vocab)) or (fitted[-1][0], 0))
+    have = {r.doc_id: r.score for r in lm.score_documents(df, learn_from=df.doc_id % 3 != 0, shortlist=50).collect()}
+    model, vocab = fitted[0]
+    count = Counter(w for i, t in enumerate(texts) if i % 3 for w in lm.words(t))
+    own = {w: i for i, w in enumerate(vocab.words.to_pylist())}
+    others = [w for w in count if w not in own]
+    mass = sum(count[w] for w in others) + len(others) + 1
+    for i, text in enumerate(texts):
+        h, last, total = np.zeros((lm.HIDDEN, 1), np.float32), vocab.size, 0.0
+        for w in [*lm.words(text), None]:
+            target = vocab.size if w is None else own.get(w, vocab.size + 1)
+            h = plain_step(model, [last], h)
+            odds = [math.exp(float(x)) for x in (model.C @ with_ones(h))[:, 0]]
+            c = int(model.class_ids[target])
+            total += math.log10(odds[c] / sum(odds))
+            if target < vocab.size:
+                lo, hi = int(model.start[c]), int(model.start[c + 1])
+                inside = [math.exp(float(x)) for x in (model.O[lo:hi] @ with_ones(h))[:, 0]]
+                total += math.log10(inside[target - lo] / sum(inside))
+            elif w is not None:
+                total += math.log10((count[w] + 1) / mass)
+            last = target
+        assert math.isclose(total, have[i], rel_tol=1e-4, abs_tol=1e-4)
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "A a b"), (3, "x " * 30000), (4, "</end>   é")]
     df = spark.createDataFrame([(*r, "z", 0.5) for r in rows], "doc_id long, text string, rare string, score double")

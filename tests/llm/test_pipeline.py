@@ -49,3 +49,18 @@ def test_stages_of_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.limit(0), SF).count() == 0
     assert langid.keep_identified(odd).count() == 4
+
+
+def test_stages_keep_other_columns_whatever_their_names(spark):
+    names = ["score", "label", "id", "n", "h", "kept", "component_id", "lang_pred", "set_key", "node", "x"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    long_one = spark.createDataFrame([(-1, "Long words and some more, " * 40_000, "en", "s", 1)], docs.schema)
+    df = docs.unionByName(long_one)
+    for k, name in enumerate(names):
+        df = df.withColumn(name, F.lit(k))
+    df = df.cache()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns
+        assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(range(len(names)))}
+    assert corpus_pipeline.pack(spark, df, SF).where("doc_id = -1").count() > 1
