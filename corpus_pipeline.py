@@ -1,6 +1,9 @@
 """A corpus pipeline of four stages: quality, language, near-duplicates, packing.
 
-Every stage works on all that its predecessor kept. The first three give back the columns of documents.
+Every stage works on all that its predecessor kept. The first three give back the columns of documents, and any further
+columns, whatever their names. Null texts count as empty: they have a quality, but no language, so the second stage lets
+them go. Rows of one id are judged each for itself by the first two stages and are one document to the third; rows without
+an id stay there. Texts of any length are read whole. Empty tables give empty tables.
 """
 
 from __future__ import annotations
