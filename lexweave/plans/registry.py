@@ -22,7 +22,7 @@ from ..operators import temporal as T
 from ..operators import vocab as V
 from ..params import DEFAULTS, FULL, Params
 from ..sources import tables
-from . import induction, pages, phrase_scoring
+from . import induction, pages, phrase_scoring, round_trips
 from .fixtures import Induction
 from .oracle import all_sql
 
@@ -280,8 +280,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     full["rank_edit_full"] = lambda s, d: induction.edit_ranking(_fresh(s, d, FULL))
     full["rank_mrr_full"] = lambda s, d: induction.fused_ranking(_fresh(s, d, FULL))
     full["rank_by_bin_full"] = lambda s, d: induction.by_frequency(s, d, p=FULL)
-    return {name: _on(step) for name, step in _STEPS.items()} | _QUERIES | full
+    return {name: _on(step) for name, step in _STEPS.items()} | _QUERIES | round_trips.QUERIES | full
 
 
 def oracle_sql() -> dict[str, str]:
-    return all_sql()
+    return all_sql() | round_trips.oracle_sql()

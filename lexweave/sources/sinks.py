@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 
 def by_language(pages: DataFrame, path: str) -> None:
     """A folder a language; pages without one go to ``none``."""
@@ -53,7 +55,6 @@ def dictionary(entries: DataFrame, path: str) -> None:
 def cache(df: DataFrame, path: str) -> DataFrame:
     """Writes classes or properties once; later calls read what is there."""
     spark: SparkSession = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not files.exists(spark, f"{path}/_SUCCESS"):
         df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

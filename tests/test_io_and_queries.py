@@ -5,9 +5,9 @@ from datetime import date, datetime
 
 import duckdb
 import pytest
-from lexweave.plans import registry
+from lexweave.plans import registry, round_trips
 from lexweave.plans.pages import news_versions
-from lexweave.sources import readers, sinks
+from lexweave.sources import files, readers, sinks
 from lexweave.streaming import incremental
 from pyspark.sql import functions as F
 
@@ -75,12 +75,44 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert ("a", 2) in {(r.stem, r.n) for r in spark.table("daily").collect()}
-    pages = spark.createDataFrame([("u", "1", 5, None, "en", "x"), ("u", "1", 4, None, "en", "x")], "url string, segment_id string, fetched long, modified long, lang string, content string")
-    pages.write.parquet(str(tmp_path / "pages"))
-    q = incremental.merge_pages(spark.readStream.schema(pages.schema).parquet(str(tmp_path / "pages")), str(tmp_path / "merged"), str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert [r.fetched for r in spark.read.parquet(str(tmp_path / "merged/0")).collect()] == [4]
+
+
+def test_merged_pages_rewrite_touched_buckets_only(spark, tmp_path):
+    form = "url string, segment_id string, fetched long, modified long, lang string, content string"
+    folder, source = str(tmp_path / "merged"), str(tmp_path / "pages")
+
+    def run(rows):
+        spark.createDataFrame(rows, form).coalesce(1).write.mode("append").parquet(source)
+        q = incremental.merge_pages(spark.readStream.schema(form).parquet(source), folder, str(tmp_path / "cp"), buckets=4).start()
+        q.processAllAvailable()
+        q.stop()
+
+    assert incremental.merged_pages(spark, folder) is None
+    run([(f"u{k}", "1", 5, None, "en", "x") for k in range(40)] + [("u0", "1", 4, None, "en", "x")])
+    run([("u0", "2", 3, None, None, "x"), ("u0", "2", 9, None, None, "y"), ("new", "2", 9, None, "fr", "z")])
+    rows = {(r.url, r.fetched, r.lang, r.content) for r in incremental.merged_pages(spark, folder).collect()}
+    assert rows == {(f"u{k}", 5, "en", "x") for k in range(1, 40)} | {("u0", 3, "en", "x"), ("u0", 9, "en", "y"), ("new", 9, "fr", "z")}
+    touched = files.matching(spark, f"{folder}/generation=1/bucket=*")
+    assert 1 <= len(touched) <= 2
+    incremental.tidy(spark, folder)
+    assert len(files.matching(spark, f"{folder}/generation=*/bucket=*")) == 4
+    assert {(r.url, r.fetched, r.lang, r.content) for r in incremental.merged_pages(spark, folder).collect()} == rows
+
+
+def test_listing_by_depth_and_sampling(spark, tmp_path):
+    for path in ("a.txt", "x/b.txt", "x/y/c.txt", "x/d.gz"):
+        put(tmp_path / "deep" / path, "1\n")
+    names = lambda *a, **k: sorted(r.path.rsplit("/", 1)[1] for r in files.listed(spark, *a, **k).collect())
+    assert names(str(tmp_path / "deep")) == ["a.txt"]
+    assert names(f"file://{tmp_path}/deep/", 2, "*.txt") == ["a.txt", "b.txt"]
+    assert names(str(tmp_path / "deep"), 3) == ["a.txt", "b.txt", "c.txt", "d.gz"]
+    titles = spark.createDataFrame([(f"/x/{k}.{side}",) for k in range(400) for side in ("en", "fr")], "path string")
+    kept = [r.path[:-3] for r in titles.where(readers.sampled(0.25)).collect()]
+    assert 50 < len(set(kept)) < 150 and len(kept) == 2 * len(set(kept))
+    assert [r.path for r in titles.where(readers.name_between("12.", "n")).collect()] == ["/x/12.en"]
+    left = spark.createDataFrame([("f/a.en",), ("f/b.en",)], "doc string")
+    assert readers.same_files(left, spark.createDataFrame([("g/a.fr",), ("g/b.fr",)], "doc string"))
+    assert not readers.same_files(left, spark.createDataFrame([("g/a.fr",)], "doc string"))
 
 
 def test_entry(spark):
@@ -100,7 +132,7 @@ def plain(value):
     return round(float(value), 6) if isinstance(value, (int, float)) and not isinstance(value, bool) else str(value)
 
 
-@pytest.mark.parametrize("name", ["vocab_filtered", "prefix_classes", "dict_pruned", "context_counts", "score_s3", "rank_context", "phrase_context", "phrase_order_counts", "order_scores", "lsh_signatures", "order_scores_lsh", "rank_mrr", "accuracy_by_bin", "rank_given_lists", "page_languages_filled", "score_edit_translit", "pages_merge", "page_dates", "time_rebin_sliding", "lang_detect"])
+@pytest.mark.parametrize("name", ["vocab_filtered", "prefix_classes", "dict_pruned", "context_counts", "score_s3", "rank_context", "phrase_context", "phrase_order_counts", "order_scores", "lsh_signatures", "order_scores_lsh", "rank_mrr", "accuracy_by_bin", "rank_given_lists", "page_languages_filled", "score_edit_translit", "pages_merge", "page_dates", "time_rebin_sliding", "lang_detect", *round_trips.QUERIES])
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
