@@ -92,3 +92,9 @@ def score_by_name(ctx: DataFrame, dictionary: DataFrame, totals: DataFrame, name
     weight, kind = SCORERS[name]
     both = project(ctx, dictionary).unionByName(ctx.where("side = 'trg'").select("side", "stem", "ctx", "ctx_n", "corp_n"))
     return score(weigh(both, totals, weight), kind)
+
+
+def common_topics(a: Column, b: Column) -> Column:
+    """How many pairs of equal ids two arrays of topics make; ids that repeat count each time, null has none."""
+    own = F.transform(a, lambda x: F.size(F.filter(b, lambda y: x == y)))
+    return F.coalesce(F.aggregate(own, F.lit(0), lambda s, n: s + n), F.lit(0))

@@ -143,3 +143,8 @@ def phrase_counts(found: DataFrame, listed: DataFrame | None = None) -> DataFram
     """(side, phrase, n_tok, n) of n-grams, of listed (side, phrase) ones only if given."""
     rows = found if listed is None else found.join(listed.select("side", "phrase"), ["side", "phrase"], "left_semi")
     return rows.groupBy("side", "phrase", "n_tok").agg(F.count("*").alias("n"))
+
+
+def classes_met(classes: DataFrame, some: DataFrame) -> DataFrame:
+    """The classes (side, stem) that are also among ``some``."""
+    return classes.join(some.select("side", "stem"), ["side", "stem"], "left_semi")

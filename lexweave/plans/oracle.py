@@ -443,6 +443,9 @@ def all_sql() -> dict[str, str]:
         "lang_stats": "WITH" + NEWS + r"SELECT coalesce(lang, 'none') AS lang, count(DISTINCT url) AS pages, count(*) AS versions, sum(len([x FOR x IN regexp_split_to_array(content, '[\s\x{000b}]+') IF x <> '']))::BIGINT AS words FROM told GROUP BY 1",
         "page_links": r"""SELECT url, count(*) AS links, count(DISTINCT target) AS targets FROM (SELECT url, regexp_extract(a, '(?i)href="([^"]*)"', 1) AS target FROM (SELECT url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href="[^"]*"[^>]*>[^<]*</a>')) AS a FROM pages)) GROUP BY url""",
         "lang_detect": "WITH" + DETECT.format(values=values) + "SELECT a.doc_id, a.lang, (a.n >= 3 AND a.n >= 1.2 * b.n) AS reliable FROM ordered a JOIN ordered b USING (doc_id) WHERE a.r = 1 AND b.r = 2",
+        "page_bbc_english": "SELECT page_id, page_id % 7 NOT IN (4, 5) AND page_id % 3 < 2 AS english FROM pages",
+        "classes_met": sql(BASE, select=f"SELECT * FROM ({classes.format(stem='stem[1:5]')}) WHERE (side, stem) IN (SELECT side, stem[1:5] FROM vocab WHERE n > 20)"),
+        "common_topics": sql(BASE, ", sl AS (SELECT rn, unnest(string_split(src, '')) AS x FROM dict), tl AS (SELECT rn, unnest(string_split(trg, '')) AS x FROM dict)", select="SELECT src, trg, count(t.x) AS common FROM dict JOIN sl USING (rn) LEFT JOIN tl t ON t.rn = dict.rn AND t.x = sl.x GROUP BY src, trg"),
         "json_fields": "SELECT event_id, (props->>'$.k')::BIGINT AS k, -1::BIGINT AS missing, to_json(struct_pack(id := event_id, type := event_type))::VARCHAR AS built FROM events",
     }
     for name, (weight, kind) in {"binary": ("binary", "cosine"), "s0": ("count", "cosine"), "s1": ("idf", "cosine"), "s2": ("idf", "dice"), "s3": ("idf", "dice_cosine"), "tfidf": ("idf", "product")}.items():

@@ -177,6 +177,25 @@ def _detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "documents").select("doc_id", told.alias("d")).select("doc_id", "d.lang", "d.reliable")
 
 
+def _bbc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page addresses under several hosts and sections of the site, each marked."""
+    host = F.element_at(F.array(*map(F.lit, ("http://www.bbc.co.uk/", "http://News.BBC.co.uk/", "http://bbc.co.uk/"))), (F.col("page_id") % 3 + 1).cast("int"))
+    section = F.element_at(F.array(*map(F.lit, ("hi/english/", "english/", "local/", "2/", "russian/", "3/", "Low/English/"))), (F.col("page_id") % 7 + 1).cast("int"))
+    url = F.concat(host, section, "page_id")
+    return tables.read(spark, sf_dir, "pages").select("page_id", L.bbc_english(url).alias("english"))
+
+
+def _classes_met(i: Induction) -> DataFrame:
+    frequent = V.prefix_classes(i.vocab.where("n > 20"))
+    return _classes(V.classes_met(V.prefix_classes(i.vocab), frequent))
+
+
+def _topics(i: Induction) -> DataFrame:
+    """Letters stand for topics."""
+    letters = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.substring(c, k, F.lit(1)))
+    return i.dictionary.select("src", "trg", C.common_topics(letters("src"), letters("trg")).cast("long").alias("common"))
+
+
 def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
     props = F.col("props")
     return tables.read(spark, sf_dir, "events").select("event_id", J.opt(props, "k", "bigint").alias("k"), J.opt(props, "missing", "bigint", -1).alias("missing"), J.build(id=F.col("event_id"), type=F.col("event_type")).alias("built"))
@@ -191,6 +210,8 @@ _STEPS: dict[str, Callable[[Induction], DataFrame]] = {
     "vocab_without_stop_words": _stop_words,
     "prefix_classes": lambda i: _classes(V.prefix_classes(i.vocab)),
     "suffix_classes": lambda i: _classes(V.suffix_classes(i.vocab)),
+    "classes_met": _classes_met,
+    "common_topics": _topics,
     "max_token_counts": lambda i: i.totals,
     "sentence_split": _sentence_split,
     "phrase_sentences": lambda i: i.phrase_rows.groupBy("side", "doc").agg(F.count("*").alias("sentences"), F.sum(F.size("toks")).alias("tokens")),
@@ -265,6 +286,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pages_merge": _merged,
     "page_html_lang": lambda s, d: tables.read(s, d, "pages").select("url", L.html_language(F.col("html")).alias("lang")),
     "page_url_lang": lambda s, d: pages.news_versions(s, d).select("url", L.url_language(F.col("url")).alias("lang")),
+    "page_bbc_english": _bbc,
     "page_dates": lambda s, d: PG.language_and_date(pages.news_versions(s, d)).select("url", "lang", "modified"),
     "dated_corpus": _dated,
     "lang_stats": lambda s, d: PG.language_statistics(PG.language_and_date(pages.news_versions(s, d))),

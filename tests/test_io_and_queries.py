@@ -132,7 +132,7 @@ def plain(value):
     return round(float(value), 6) if isinstance(value, (int, float)) and not isinstance(value, bool) else str(value)
 
 
-@pytest.mark.parametrize("name", ["vocab_filtered", "prefix_classes", "dict_pruned", "context_counts", "score_s3", "rank_context", "phrase_context", "phrase_order_counts", "order_scores", "lsh_signatures", "order_scores_lsh", "rank_mrr", "accuracy_by_bin", "rank_given_lists", "page_languages_filled", "score_edit_translit", "pages_merge", "page_dates", "time_rebin_sliding", "lang_detect", *round_trips.QUERIES])
+@pytest.mark.parametrize("name", ["vocab_filtered", "prefix_classes", "dict_pruned", "context_counts", "score_s3", "rank_context", "phrase_context", "phrase_order_counts", "order_scores", "lsh_signatures", "order_scores_lsh", "rank_mrr", "accuracy_by_bin", "rank_given_lists", "page_languages_filled", "score_edit_translit", "pages_merge", "page_dates", "time_rebin_sliding", "lang_detect", "page_bbc_english", "classes_met", "common_topics", *round_trips.QUERIES])
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
