@@ -91,10 +91,10 @@ def url_language(url: Column) -> Column:
 
 
 # What follows the first dot of the addresses of one site's English pages.
-BBC_ENGLISH = (r"^bbc.co.uk/(hi/|low/)?english/", r"^bbc.co.uk/local/", r"^bbc.co.uk/[12]/")
+ENGLISH_PAGES = (r"^bbc.co.uk/(hi/|low/)?english/", r"^bbc.co.uk/local/", r"^bbc.co.uk/[12]/")
 
 
 def bbc_english(url: Column) -> Column:
     """Whether what follows an address's first dot, in any case, is of that site's English pages."""
     rest = F.lower(F.substring(url, F.instr(url, ".") + 1, F.length(url)))
-    return F.coalesce(rest.rlike("|".join(BBC_ENGLISH)), F.lit(False))
+    return F.coalesce(rest.rlike("|".join(ENGLISH_PAGES)), F.lit(False))
