@@ -21,18 +21,23 @@ def word_form(word: Column, case_sensitive: bool = False) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Words between delimiters. A leading empty word stays and takes a place; trailing empty words go."""
-    parts = F.split(text, WORD_DELIMITERS)
-    cut = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.when(cut == F.array(F.lit("")), F.array().cast("array<string>")).otherwise(cut)
+    """Words between delimiters. A leading empty word stays and takes a place; trailing empty words go.
+
+    An empty part is the first or the last one, so that the text is split once and each part is looked at once.
+    """
+    return F.filter(F.split(text, WORD_DELIMITERS), lambda w, i: (w != "") | ((i == 0) & has_words(text)))
+
+
+def has_words(text: Column) -> Column:
+    """Whether words() finds any; it ends at the first letter that belongs to one."""
+    return text.rlike("[^" + WORD_DELIMITERS[1:-1])
 
 
 def sentences(line: Column, one_a_line: bool = False) -> Column:
     """Likely sentences; their delimiters are lost. Trailing empty ones go."""
     if one_a_line:
         return F.array(line)
-    parts = F.split(line, SENTENCE_DELIMITERS)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.filter(F.split(line, SENTENCE_DELIMITERS), lambda x, i: (x != "") | ((i == 0) & (line != "")))
 
 
 def phrase_sentences(line: Column, one_a_line: bool = False) -> Column:
@@ -49,6 +54,10 @@ def tokens(sentence: Column) -> Column:
     return F.filter(F.split(sentence, r"\s+"), lambda t: t != "")
 
 
+def has_tokens(sentence: Column) -> Column:
+    return sentence.rlike(r"\S")
+
+
 def ngrams(toks: Column, longest: int) -> Column:
     """All spans of up to ``longest`` tokens (less than 0: of any length), by start, then length: struct(pos, n, text)."""
     size = F.size(toks)

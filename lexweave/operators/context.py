@@ -6,21 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .sizes import FEW_ENTRIES, held
 
 
 def collect(sents: DataFrame, stems: DataFrame, words: DataFrame, left: int = 2, right: int = 2, positions: bool = False) -> DataFrame:
     """(side, stem, ctx, ctx_n, corp_n): how often a context word of ``words`` (side, stem, n) stands near each of ``stems``.
 
-    Windows are cut inside each sentence's array, without a self-join; stems are filtered before windows are opened out.
+    Windows are cut inside each sentence's array, without a self-join. The context words, as few as the dictionary, go to
+    every task, and pairs are counted there before any is sent; the classes are looked up among the counts.
     """
     windows = (X.window_words_at if positions else X.window_words)(F.col("toks"), left, right)
     near = sents.select("side", F.explode(windows).alias("w")).select("side", "w.stem", "w.around")
-    near = near.join(stems.select("side", "stem"), ["side", "stem"], "left_semi")
     pairs = near.select("side", "stem", F.explode("around").alias("ctx"))
     plain = F.substring_index("ctx", "|s:", 1) if positions else F.col("ctx")
     known = words.select("side", F.col("stem").alias("plain"), F.col("n").alias("corp_n"))
-    found = pairs.withColumn("plain", plain).join(known, ["side", "plain"])
-    return found.groupBy("side", "stem", "ctx").agg(F.count("*").cast("double").alias("ctx_n"), F.max("corp_n").cast("double").alias("corp_n"))
+    found = pairs.withColumn("plain", plain).join(held(known), ["side", "plain"])
+    counted = found.groupBy("side", "stem", "ctx").agg(F.count("*").cast("double").alias("ctx_n"), F.max("corp_n").cast("double").alias("corp_n"))
+    return counted.join(stems.select("side", "stem"), ["side", "stem"], "left_semi")
 
 
 def prune(ctx: DataFrame, keep: int, by: str = "ctx_n") -> DataFrame:
@@ -46,21 +48,29 @@ WEIGHTS = {"binary": lambda: F.lit(1.0), "count": lambda: F.col("ctx_n"), "idf":
 
 
 def weigh(projected: DataFrame, totals: DataFrame, weight: str = "idf") -> DataFrame:
-    """(side, stem, ctx, w); of several sources of one context word the largest weight stays. totals: (side, max_n)."""
+    """(side, stem, ctx, w); of several sources of one context word the largest weight stays. totals: (side, max_n).
+
+    Only projected contexts can hold a word several times; the target side is as it was counted, a row a word, and stays.
+    """
     weighted = projected.join(F.broadcast(totals.select("side", "max_n")), "side")  # a row a side
-    return weighted.select("side", "stem", "ctx", WEIGHTS[weight]().alias("w")).groupBy("side", "stem", "ctx").agg(F.max("w").alias("w"))
+    weighted = weighted.select("side", "stem", "ctx", WEIGHTS[weight]().alias("w"))
+    once = weighted.where("side <> 'trg'").groupBy("side", "stem", "ctx").agg(F.max("w").alias("w"))
+    return once.unionByName(weighted.where("side = 'trg'"))
 
 
 def dot_products(wctx: DataFrame) -> DataFrame:
-    """(src, trg, dot, shared1, shared2, n1, n2): sums over shared context words, and whole norms made once a vector.
+    """(src, trg, dot, shared_trg, n_src, n_trg): sums over shared context words, and whole norms made once a vector.
 
-    Pairs without a shared word don't come up: the join goes over context words, not over pairs.
+    Pairs without a shared word don't come up: the join goes over context words, not over pairs. Target vectors are dealt by
+    word once, for norms and sums alike. The vectors of the few sources go to every task, so that a context word of many
+    targets is no hot key; where they are too many, both sides are shuffled by context word.
     """
-    norm = F.sum(F.col("w") * F.col("w"))
-    src, trg = (wctx.where(F.col("side") == s).select(F.col("stem").alias(s), "ctx", F.col("w").alias(f"w_{s}")) for s in ("src", "trg"))
-    norms = {s: wctx.where(F.col("side") == s).groupBy(F.col("stem").alias(s)).agg(norm.alias(f"n_{s}")) for s in ("src", "trg")}
-    met = src.join(trg, "ctx").groupBy("src", "trg").agg(F.sum(F.col("w_src") * F.col("w_trg")).alias("dot"), norm_of("w_trg").alias("shared_trg"))
-    return met.join(norms["src"], "src").join(norms["trg"], "trg")
+    vectors = {}
+    for s in ("src", "trg"):
+        own = wctx.where(F.col("side") == s).select(F.col("stem").alias(s), "ctx", F.col("w").alias(f"w_{s}"))
+        vectors[s] = own.withColumn(f"n_{s}", norm_of(f"w_{s}").over(Window.partitionBy(s)))
+    met = vectors["trg"].join(held(vectors["src"], FEW_ENTRIES), "ctx")
+    return met.groupBy("src", "trg").agg(F.sum(F.col("w_src") * F.col("w_trg")).alias("dot"), norm_of("w_trg").alias("shared_trg"), F.max("n_src").alias("n_src"), F.max("n_trg").alias("n_trg"))
 
 
 def norm_of(column: str) -> Column:

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import is_few
 
-#: Rows of the smaller side that every task gets; a larger one is dealt to blocks.
-FEW, BLOCKS = 4096, 64
+#: Blocks that a larger smaller side is dealt to.
+BLOCKS = 64
 
 
 def product(many: DataFrame, few: DataFrame) -> DataFrame:
     """All pairs of rows. The second side is counted: up to FEW rows every task gets it, beyond that its rows lie in blocks,
     to each of which the first side goes, so that no task holds a whole side."""
-    if few.limit(FEW + 1).count() <= FEW:
+    if is_few(few):
         return many.join(F.broadcast(few), how="cross")
     dealt = few.withColumn("block", F.pmod(F.xxhash64(*few.columns), F.lit(BLOCKS)))
     sent = many.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from . import context as C
 from .edit import product
+from .sizes import held, is_few
 from .vocab import spans
 
 PENALTY = 2.718
@@ -25,8 +26,9 @@ LAYOUTS = {
 def collect_context(rows: DataFrame, phrases: DataFrame, words: DataFrame, longest: int = 3, left: int = 2, right: int = 2) -> DataFrame:
     """(side, stem, ctx, ctx_n, corp_n) of listed phrases (side, phrase): the nearest words that end before or start after.
 
-    Listed occurrences are found first; only they meet their sentence again, whose words lie inside white-space tokens, so
-    that neighbours are cut from arrays. A few tokens suffice unless many hold no word.
+    Neighbours are cut from the array of a sentence, whose words lie inside white-space tokens; a few tokens suffice unless
+    many hold no word. Few phrases go to every task, where a sentence goes with its spans until they are looked up. Of many
+    the occurrences are found first, and only they meet their sentence again.
     """
     key = ["side", "doc", "day_idx", "line_no", "sent_no"]
     reach = 4 * max(left, right) + 4
@@ -42,12 +44,15 @@ def collect_context(rows: DataFrame, phrases: DataFrame, words: DataFrame, longe
         some = F.when((F.size(near) >= right) | (size - end <= reach), near).otherwise(F.flatten(F.slice(F.col("inner"), end + 1, size)))
         return F.slice(some, F.lit(1), F.lit(right))
 
-    hits = spans(rows, longest).join(phrases.select("side", "phrase"), ["side", "phrase"], "left_semi")
-    inner = F.transform("toks", lambda t: F.filter(X.words(t), lambda w: w != ""))
-    found = hits.join(rows.select(*key, inner.alias("inner")), key)
+    listed = phrases.select("side", "phrase")
+    if is_few(listed):
+        found = spans(rows, longest, "toks").join(F.broadcast(listed), ["side", "phrase"], "left_semi")
+    else:
+        found = spans(rows, longest).join(listed, ["side", "phrase"], "left_semi").join(rows.select(*key, "toks"), key)
+    found = found.withColumn("inner", F.transform("toks", lambda t: F.filter(X.words(t), lambda w: w != "")))
     known = words.select("side", F.col("stem").alias("ctx"), F.col("n").alias("corp_n"))
     around = F.concat(before(F.col("pos")), after(F.col("pos") + F.col("n_tok")))
-    pairs = found.select("side", F.col("phrase").alias("stem"), F.explode(around).alias("ctx")).join(known, ["side", "ctx"])
+    pairs = found.select("side", F.col("phrase").alias("stem"), F.explode(around).alias("ctx")).join(held(known), ["side", "ctx"])
     return pairs.groupBy("side", "stem", "ctx").agg(F.count("*").cast("double").alias("ctx_n"), F.max("corp_n").cast("double").alias("corp_n"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .sizes import held
 
 SENTENCE = ["side", "doc", "line_no", "sent_no"]
 THIRD = "0.333333"
@@ -14,10 +15,10 @@ THIRD = "0.333333"
 def occurrences(corpus: DataFrame, phrases: DataFrame, longest: int = 3, one_a_line: bool = False) -> DataFrame:
     """Spans of listed phrases (side, phrase) with the widths of the gaps around them: SENTENCE, pos, n_tok, phrase, gap_before, gap_after."""
     sents = corpus.select("side", "doc", "line_no", F.posexplode(X.phrase_sentences(F.col("line"), one_a_line)).alias("sent_no", "sent"))
-    sents = sents.withColumn("sent", F.trim("sent")).withColumns({"toks": F.transform(X.tokens(F.col("sent")), F.lower), "gaps": F.transform(F.regexp_extract_all("sent", F.lit(r"\s+"), F.lit(0)), F.length)})
-    found = sents.where(F.size("toks") > 0).select(*SENTENCE, "gaps", F.explode(X.ngrams(F.col("toks"), longest)).alias("g"))
+    sents = sents.where(X.has_tokens(F.col("sent"))).withColumn("sent", F.trim("sent")).withColumns({"toks": F.transform(X.tokens(F.col("sent")), F.lower), "gaps": F.transform(F.regexp_extract_all("sent", F.lit(r"\s+"), F.lit(0)), F.length)})
+    found = sents.select(*SENTENCE, "gaps", F.explode(X.ngrams(F.col("toks"), longest)).alias("g"))
     found = found.select(*SENTENCE, "g.pos", F.col("g.n").alias("n_tok"), F.col("g.text").alias("phrase"), F.get("gaps", F.col("g.pos") - 1).alias("gap_before"), F.get("gaps", F.col("g.pos") + F.col("g.n") - 1).alias("gap_after"))
-    return found.join(phrases.select("side", "phrase"), ["side", "phrase"], "left_semi")
+    return found.join(held(phrases.select("side", "phrase")), ["side", "phrase"], "left_semi")
 
 
 def neighbours(found: DataFrame, gap: int = 2, longest_only: bool = True) -> DataFrame:

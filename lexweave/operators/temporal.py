@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .edit import product
+from .sizes import held
+from .vocab import token_rows
 
 
 def collect_words(sents: DataFrame, stems: DataFrame) -> DataFrame:
-    """(side, stem, bin, v): occurrences by day of the given classes."""
-    toks = sents.select("side", "day_idx", F.explode("toks").alias("stem")).join(stems.select("side", "stem"), ["side", "stem"], "left_semi")
-    return toks.groupBy("side", "stem", F.col("day_idx").alias("bin")).agg(F.count("*").cast("double").alias("v"))
+    """(side, stem, bin, v): occurrences by day of the given classes, which are looked up among the counts."""
+    counted = token_rows(sents, "side", "day_idx").groupBy("side", "stem", F.col("day_idx").alias("bin")).agg(F.count("*").cast("double").alias("v"))
+    return counted.join(stems.select("side", "stem"), ["side", "stem"], "left_semi")
 
 
 def collect_phrases(spans: DataFrame, phrases: DataFrame) -> DataFrame:
     """(side, phrase, bin, v)"""
-    rows = spans.join(phrases.select("side", "phrase"), ["side", "phrase"], "left_semi")
+    rows = spans.join(held(phrases.select("side", "phrase")), ["side", "phrase"], "left_semi")
     return rows.groupBy("side", "phrase", F.col("day_idx").alias("bin")).agg(F.count("*").cast("double").alias("v"))
 
 

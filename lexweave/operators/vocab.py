@@ -8,18 +8,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .sizes import held
 
 
 def sentence_tokens(corpus: DataFrame, one_a_line: bool = False, case_sensitive: bool = False) -> DataFrame:
-    """(side, doc, day_idx, line_no, sent_no, toks): one row a sentence, its words in one array."""
+    """(side, doc, day_idx, line_no, sent_no, toks): one row a sentence, its words in one array.
+
+    Sentences without words are told by the text: a filter on the array would split each sentence a second time.
+    """
     sents = corpus.select("side", "doc", "day_idx", "line_no", F.posexplode(X.sentences(F.col("line"), one_a_line)).alias("sent_no", "sent"))
-    toks = X.words(F.col("sent"))
-    return sents.select("side", "doc", "day_idx", "line_no", "sent_no", F.transform(toks, lambda t: X.word_form(t, case_sensitive)).alias("toks")).where(F.size("toks") > 0)
+    toks = F.transform(X.words(F.col("sent")), lambda t: X.word_form(t, case_sensitive))
+    return sents.where(X.has_words(F.col("sent"))).select("side", "doc", "day_idx", "line_no", "sent_no", toks.alias("toks"))
+
+
+def token_rows(sents: DataFrame, *columns: str) -> DataFrame:
+    """The columns and stem: a row a word that isn't empty. Opening the bare array would have it made twice, for a filter."""
+    return sents.select(*columns, F.explode(F.filter("toks", lambda t: t != "")).alias("stem"))
 
 
 def word_counts(sents: DataFrame) -> DataFrame:
     """(side, stem, n)"""
-    return sents.select("side", F.explode("toks").alias("stem")).where("stem <> ''").groupBy("side", "stem").agg(F.count("*").alias("n"))
+    return token_rows(sents, "side").groupBy("side", "stem").agg(F.count("*").alias("n"))
 
 
 def not_garbage(word: str = "stem") -> Column:
@@ -91,7 +100,7 @@ def hash_sample(vocab: DataFrame, top: int, seed: int = 1) -> DataFrame:
 
 def collect_vocabulary(sents: DataFrame, *filters: Column, most: int | None = None) -> DataFrame:
     """Distinct word forms that pass the filters, at most the first ``most`` by side and word."""
-    found = keep_all(sents.select("side", F.explode("toks").alias("stem")).where("stem <> ''").distinct(), *filters)
+    found = keep_all(token_rows(sents, "side").distinct(), *filters)
     if most is None:
         return found
     return found.withColumn("rn", F.row_number().over(Window.partitionBy("side").orderBy("stem"))).where(F.col("rn") <= most).drop("rn")
@@ -131,17 +140,19 @@ def dictionary_coverage(vocab: DataFrame, dictionary: DataFrame) -> DataFrame:
 def phrase_rows(corpus: DataFrame, one_a_line: bool = False) -> DataFrame:
     """(side, doc, day_idx, line_no, sent_no, sent, toks) for phrases: sentences keep their punctuation, tokens are lower-cased."""
     sents = corpus.select("side", "doc", "day_idx", "line_no", F.posexplode(X.phrase_sentences(F.col("line"), one_a_line)).alias("sent_no", "sent"))
-    return sents.withColumn("toks", F.transform(X.tokens(F.col("sent")), F.lower)).where(F.size("toks") > 0)
+    return sents.where(X.has_tokens(F.col("sent"))).withColumn("toks", F.transform(X.tokens(F.col("sent")), F.lower))
 
 
-def spans(rows: DataFrame, longest: int) -> DataFrame:
-    """Every n-gram occurrence: side, doc, day_idx, line_no, sent_no, pos, n_tok, phrase."""
-    return rows.select("side", "doc", "day_idx", "line_no", "sent_no", F.explode(X.ngrams(F.col("toks"), longest)).alias("g")).select("side", "doc", "day_idx", "line_no", "sent_no", "g.pos", F.col("g.n").alias("n_tok"), F.col("g.text").alias("phrase"))
+def spans(rows: DataFrame, longest: int, *carried: str) -> DataFrame:
+    """Every n-gram occurrence: side, doc, day_idx, line_no, sent_no, further columns, pos, n_tok, phrase."""
+    kept = ("side", "doc", "day_idx", "line_no", "sent_no", *carried)
+    opened = rows.select(*kept, F.explode(X.ngrams(F.col("toks"), longest)).alias("g"))
+    return opened.select(*kept, "g.pos", F.col("g.n").alias("n_tok"), F.col("g.text").alias("phrase"))
 
 
 def phrase_counts(found: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """(side, phrase, n_tok, n) of n-grams, of listed (side, phrase) ones only if given."""
-    rows = found if listed is None else found.join(listed.select("side", "phrase"), ["side", "phrase"], "left_semi")
+    rows = found if listed is None else found.join(held(listed.select("side", "phrase")), ["side", "phrase"], "left_semi")
     return rows.groupBy("side", "phrase", "n_tok").agg(F.count("*").alias("n"))
 
 

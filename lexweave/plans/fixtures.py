@@ -62,7 +62,7 @@ class Induction:
 
     @cached_property
     def dictionary(self) -> DataFrame:
-        return D.rank_dictionary(self.vocab, self.p.dictionary)
+        return D.rank_dictionary(self.vocab, self.p.dictionary).persist()
 
     @cached_property
     def totals(self) -> DataFrame:
@@ -82,7 +82,7 @@ class Induction:
 
     @cached_property
     def context_words(self) -> DataFrame:
-        return D.members(self.vocab, self.dictionary)
+        return D.members(self.vocab, self.dictionary).persist()
 
     @cached_property
     def context(self) -> DataFrame:

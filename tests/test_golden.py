@@ -5,7 +5,7 @@ from datetime import datetime
 
 import pytest
 from lexweave.functions import dates, json, languages, text
-from lexweave.operators import context, dicts, edit, lsh, pages, phrases, ranking, reorder, temporal, vocab
+from lexweave.operators import context, dicts, edit, lsh, pages, phrases, ranking, reorder, sizes, temporal, vocab
 from lexweave.sources import readers
 from pyspark.sql import functions as F
 
@@ -332,11 +332,32 @@ def test_json(spark):
 
 @pytest.mark.parametrize("few", [0, 2, 4096])
 def test_product_in_blocks_is_the_product(spark, monkeypatch, few):
-    monkeypatch.setattr(edit, "FEW", few)
+    monkeypatch.setattr(sizes, "FEW", few)
     src, trg = (spark.createDataFrame([(f"{side}{k}",) for k in range(n)], "stem string") for side, n in (("s", 7), ("t", 9)))
     assert sorted(map(tuple, edit.pairs(src, trg).select("src", "trg").collect())) == [(f"s{i}", f"t{j}") for i in range(7) for j in range(9)]
 
 
+@pytest.mark.parametrize("few", [0, 4096])
+def test_contexts_and_scores_whatever_the_sides_size(spark, monkeypatch, few):
+    monkeypatch.setattr(sizes, "FEW", few)
+    monkeypatch.setattr(context, "FEW_ENTRIES", few)
+    corpus = spark.createDataFrame([("src", 1, 0, 0, "a b, c. ...a c b! ", "x"), ("trg", 2, 0, 0, "u v w", "x")], "side string, doc long, day_idx int, line_no int, line string, extra string")
+    words = spark.createDataFrame([("src", "b", 5), ("trg", "v", 7)], "side string, stem string, n long")
+    near = context.collect(vocab.sentence_tokens(corpus), spark.createDataFrame([("src", "a"), ("trg", "u")], "side string, stem string"), words)
+    assert rows(near, "side", "stem", "ctx", "ctx_n", "corp_n") == [("src", "a", "b", 2.0, 5.0), ("trg", "u", "v", 1.0, 7.0)]
+    listed = spark.createDataFrame([("src", "a c")], "side string, phrase string")
+    around = phrases.collect_context(vocab.phrase_rows(corpus), listed, words)
+    assert rows(around, "stem", "ctx", "ctx_n") == [("a c", "b", 1.0)]
+    vectors = spark.createDataFrame([("src", "a", "v", 3.0), ("src", "a", "w", 4.0), ("trg", "u", "v", 2.0), ("trg", "t", "z", 1.0)], "side string, stem string, ctx string, w double")
+    assert rows(context.dot_products(vectors), "src", "trg", "dot", "shared_trg", "n_src", "n_trg") == [("a", "u", 6.0, 4.0, 25.0, 4.0)]
+
+
+def test_words_and_sentences_at_the_ends(spark):
+    lines = ["", ".", " ", ",a", "a.", "..a..b", "-"]
+    assert [value(one(spark, t=t), text.words(F.col("t"))) for t in lines] == [[], [], [], ["", "a"], ["a"], ["", "a", "b"], []]
+    assert [value(one(spark, t=t), text.sentences(F.col("t"))) for t in lines] == [[], [""], [" "], [",a"], ["a"], ["", "a", "b"], ["-"]]
+
+
 def test_numbers_over_ranges(spark):
     v = spark.createDataFrame([(f"w{k:03}", k % 7) for k in range(200)], "stem string, n int").repartition(5)
     ranked, size = ranking.numbered(v, F.desc("n"), F.asc("stem"))
