@@ -45,11 +45,11 @@ def collect_context(rows: DataFrame, phrases: DataFrame, words: DataFrame, longe
         return F.slice(some, F.lit(1), F.lit(right))
 
     listed = phrases.select("side", "phrase")
+    rows = rows.withColumn("inner", F.transform("toks", lambda t: F.filter(X.words(t), lambda w: w != "")))
     if is_few(listed):
-        found = spans(rows, longest, "toks").join(F.broadcast(listed), ["side", "phrase"], "left_semi")
+        found = spans(rows, longest, "inner").join(F.broadcast(listed), ["side", "phrase"], "left_semi")
     else:
-        found = spans(rows, longest).join(listed, ["side", "phrase"], "left_semi").join(rows.select(*key, "toks"), key)
-    found = found.withColumn("inner", F.transform("toks", lambda t: F.filter(X.words(t), lambda w: w != "")))
+        found = spans(rows, longest).join(listed, ["side", "phrase"], "left_semi").join(rows.select(*key, "inner"), key)
     known = words.select("side", F.col("stem").alias("ctx"), F.col("n").alias("corp_n"))
     around = F.concat(before(F.col("pos")), after(F.col("pos") + F.col("n_tok")))
     pairs = found.select("side", F.col("phrase").alias("stem"), F.explode(around).alias("ctx")).join(held(known), ["side", "ctx"])
