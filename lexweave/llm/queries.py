@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, ctph, langid, lm, minhash, packing, quality, sharding, vecgraph
+from . import align, bpe, chat, ctph, langid, lm, minhash, packing, pieces, quality, repair, sharding, vecgraph
 from .common import fold, table
 
 
@@ -74,8 +74,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return repair.repair_summary(repair.damage(rows), rows.select("conv_id").distinct())
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    out = align.weigh_links(docs, token_file("byte_bpe_50k.json"), token_file("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = token_file("piece_bpe_32k.model")
+    rows = pieces.decode_ids(pieces.encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"), model), model)
+    spelt = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return rows.select("doc_id", "n_tokens", F.sha2(spelt, 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm, op2_sharding, op3_langid, op4_chat, op5_fingerprints, op6_packing, op7_vecgraph, op8_minhash, op9_quality, op10_bpe)}
+    return {f.__name__: f for f in (op1_lm, op2_sharding, op3_langid, op4_chat, op5_fingerprints, op6_packing, op7_vecgraph, op8_minhash, op9_quality, op10_bpe, op11_repair, op12_align, op13_pieces)}
 
 
 _REACH = """
