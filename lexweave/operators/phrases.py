@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import context as C
+from . import matcher as M
 from .edit import product
-from .sizes import held, is_few
-from .vocab import spans
+from .sizes import held
+from .vocab import listed_spans
 
 PENALTY = 2.718
 # Names and order of the feature slots, and the layouts that are written.
@@ -27,8 +28,8 @@ def collect_context(rows: DataFrame, phrases: DataFrame, words: DataFrame, longe
     """(side, stem, ctx, ctx_n, corp_n) of listed phrases (side, phrase): the nearest words that end before or start after.
 
     Neighbours are cut from the array of a sentence, whose words lie inside white-space tokens; a few tokens suffice unless
-    many hold no word. Few phrases go to every task, where a sentence goes with its spans until they are looked up. Of many
-    the occurrences are found first, and only they meet their sentence again.
+    many hold no word. Phrases are looked up where a sentence lies, and only sentences that hold one are split into words.
+    Where they are too many for that, their occurrences are found by a join and meet their sentence again.
     """
     key = ["side", "doc", "day_idx", "line_no", "sent_no"]
     reach = 4 * max(left, right) + 4
@@ -44,12 +45,11 @@ def collect_context(rows: DataFrame, phrases: DataFrame, words: DataFrame, longe
         some = F.when((F.size(near) >= right) | (size - end <= reach), near).otherwise(F.flatten(F.slice(F.col("inner"), end + 1, size)))
         return F.slice(some, F.lit(1), F.lit(right))
 
-    listed = phrases.select("side", "phrase")
-    rows = rows.withColumn("inner", F.transform("toks", lambda t: F.filter(X.words(t), lambda w: w != "")))
-    if is_few(listed):
-        found = spans(rows, longest, "inner").join(F.broadcast(listed), ["side", "phrase"], "left_semi")
+    inner = F.transform("toks", lambda t: F.filter(X.words(t), lambda w: w != ""))
+    if (trie := M.trie_of(phrases)) is not None:
+        found = M.open_hits(M.with_hits(rows.select("side", "toks"), trie, longest).withColumn("inner", inner), "side", "inner")
     else:
-        found = spans(rows, longest).join(listed, ["side", "phrase"], "left_semi").join(rows.select(*key, "inner"), key)
+        found = listed_spans(rows, phrases, longest, *key).join(rows.select(*key, inner.alias("inner")), key)
     known = words.select("side", F.col("stem").alias("ctx"), F.col("n").alias("corp_n"))
     around = F.concat(before(F.col("pos")), after(F.col("pos") + F.col("n_tok")))
     pairs = found.select("side", F.col("phrase").alias("stem"), F.explode(around).alias("ctx")).join(held(known), ["side", "ctx"])

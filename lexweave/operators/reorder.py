@@ -6,17 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import matcher as M
 from .sizes import held
 
 SENTENCE = ["side", "doc", "line_no", "sent_no"]
 THIRD = "0.333333"
 
 
+def spaced_rows(corpus: DataFrame, one_a_line: bool = False) -> DataFrame:
+    """Sentences with their lower-cased tokens and the widths of the gaps after them: SENTENCE, toks, gaps."""
+    sents = corpus.select("side", "doc", "line_no", F.posexplode(X.phrase_sentences(F.col("line"), one_a_line)).alias("sent_no", "sent"))
+    sents = sents.where(X.has_tokens(F.col("sent"))).withColumn("sent", F.trim("sent"))
+    gaps = F.transform(F.regexp_extract_all("sent", F.lit(r"\s+"), F.lit(0)), F.length)
+    return sents.select(*SENTENCE, F.transform(X.tokens(F.col("sent")), F.lower).alias("toks"), gaps.alias("gaps"))
+
+
+def neighbour_counts(corpus: DataFrame, phrases: DataFrame, longest: int = 3, gap: int = 2, longest_only: bool = True, one_a_line: bool = False) -> DataFrame:
+    """(side, phrase, rel, ctx_phrase, n) as from neighbours(), for listed phrases (side, phrase) of a corpus.
+
+    Phrases that a trie of bounded size holds are found and met inside each sentence, so nothing but counts is shuffled; of
+    more phrases the occurrences meet in joins.
+    """
+    trie = M.trie_of(phrases)
+    if trie is None:
+        return neighbours(occurrences(corpus, phrases, longest, one_a_line), gap, longest_only)
+    return M.neighbour_counts(spaced_rows(corpus, one_a_line).select("side", "toks", "gaps"), trie, longest, gap, longest_only)
+
+
 def occurrences(corpus: DataFrame, phrases: DataFrame, longest: int = 3, one_a_line: bool = False) -> DataFrame:
     """Spans of listed phrases (side, phrase) with the widths of the gaps around them: SENTENCE, pos, n_tok, phrase, gap_before, gap_after."""
-    sents = corpus.select("side", "doc", "line_no", F.posexplode(X.phrase_sentences(F.col("line"), one_a_line)).alias("sent_no", "sent"))
-    sents = sents.where(X.has_tokens(F.col("sent"))).withColumn("sent", F.trim("sent")).withColumns({"toks": F.transform(X.tokens(F.col("sent")), F.lower), "gaps": F.transform(F.regexp_extract_all("sent", F.lit(r"\s+"), F.lit(0)), F.length)})
-    found = sents.select(*SENTENCE, "gaps", F.explode(X.ngrams(F.col("toks"), longest)).alias("g"))
+    found = spaced_rows(corpus, one_a_line).select(*SENTENCE, "gaps", F.explode(X.ngrams(F.col("toks"), longest)).alias("g"))
     found = found.select(*SENTENCE, "g.pos", F.col("g.n").alias("n_tok"), F.col("g.text").alias("phrase"), F.get("gaps", F.col("g.pos") - 1).alias("gap_before"), F.get("gaps", F.col("g.pos") + F.col("g.n") - 1).alias("gap_after"))
     return found.join(held(phrases.select("side", "phrase")), ["side", "phrase"], "left_semi")
 

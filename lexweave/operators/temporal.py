@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .edit import product
-from .sizes import held
 from .vocab import token_rows
 
 
@@ -16,10 +15,9 @@ def collect_words(sents: DataFrame, stems: DataFrame) -> DataFrame:
     return counted.join(stems.select("side", "stem"), ["side", "stem"], "left_semi")
 
 
-def collect_phrases(spans: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(side, phrase, bin, v)"""
-    rows = spans.join(held(phrases.select("side", "phrase")), ["side", "phrase"], "left_semi")
-    return rows.groupBy("side", "phrase", F.col("day_idx").alias("bin")).agg(F.count("*").cast("double").alias("v"))
+def collect_phrases(found: DataFrame) -> DataFrame:
+    """(side, phrase, bin, v): occurrences (side, phrase, day_idx) by day."""
+    return found.groupBy("side", "phrase", F.col("day_idx").alias("bin")).agg(F.count("*").cast("double").alias("v"))
 
 
 def days_with_text(corpus: DataFrame) -> DataFrame:

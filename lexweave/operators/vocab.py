@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import matcher as M
 from .sizes import held
 
 
@@ -150,6 +151,27 @@ def spans(rows: DataFrame, longest: int, *carried: str) -> DataFrame:
     return opened.select(*kept, "g.pos", F.col("g.n").alias("n_tok"), F.col("g.text").alias("phrase"))
 
 
+def listed_spans(rows: DataFrame, listed: DataFrame, longest: int, *kept: str) -> DataFrame:
+    """Occurrences of listed phrases (side, phrase): the kept columns of phrase_rows (side among them), pos, n_tok, phrase.
+
+    Phrases that a trie of bounded size holds are looked up where the sentences lie, and nothing but hits leaves them; of more
+    phrases all n-grams are opened and meet them in a join.
+    """
+    if (trie := M.trie_of(listed)) is None:
+        return spans(rows, longest).join(listed.select("side", "phrase"), ["side", "phrase"], "left_semi").select(*kept, "pos", "n_tok", "phrase")
+    return M.open_hits(M.with_hits(rows.select(*kept, "toks"), trie, longest), *kept)
+
+
+def counts_of_known(rows: DataFrame, words: DataFrame, longest: int) -> DataFrame:
+    """(phrase, n_tok, n) of the n-grams of one side's sentences that hold none but listed words (stem)."""
+    listed = [r.stem for r in words.select("stem").distinct().limit(M.TRIE + 1).collect()]
+    if len(listed) <= M.TRIE:
+        return M.word_spans(rows.select("toks"), sorted(listed), longest)
+    counts = phrase_counts(spans(rows, longest))
+    unknown = counts.select("phrase", F.explode(F.split("phrase", " ")).alias("stem")).join(words.select("stem").distinct(), "stem", "left_anti")
+    return counts.join(unknown.select("phrase").distinct(), "phrase", "left_anti").select("phrase", "n_tok", "n")
+
+
 def phrase_counts(found: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """(side, phrase, n_tok, n) of n-grams, of listed (side, phrase) ones only if given."""
     rows = found if listed is None else found.join(held(listed.select("side", "phrase")), ["side", "phrase"], "left_semi")

@@ -126,10 +126,14 @@ class Induction:
     def spans(self) -> DataFrame:
         return V.spans(self.phrase_rows, self.p.ngram)
 
+    @cached_property
+    def listed_spans(self) -> DataFrame:
+        return V.listed_spans(self.phrase_rows, self.listed, self.p.ngram, "side", "day_idx")
+
     @cached_property
     def table(self) -> DataFrame:
         """(src, trg, fwd, bwd): the most frequent source phrases of dictionary words, translated word by word."""
-        counts = V.phrase_counts(self.spans.where("side = 'src'"))
+        counts = V.counts_of_known(self.phrase_rows.where("side = 'src'"), self.dictionary.select(F.col("src").alias("stem")), self.p.ngram)
         toks = counts.select("phrase", "n", "n_tok", F.posexplode(F.split("phrase", " ")).alias("i", "src"))
         known = toks.join(self.dictionary.select("src", "trg"), "src").groupBy("phrase", "n", "n_tok").agg(F.count("*").alias("k"), F.sort_array(F.collect_list(F.struct("i", "trg"))).alias("t"))
         whole = known.where("k = n_tok").select(F.col("phrase").alias("src"), F.array_join(F.transform("t", lambda x: x.trg), " ").alias("trg"), "n", "n_tok")
@@ -148,7 +152,7 @@ class Induction:
 
     @cached_property
     def phrase_time(self) -> DataFrame:
-        return T.collect_phrases(self.spans, self.listed).persist()
+        return T.collect_phrases(self.listed_spans).persist()
 
     @cached_property
     def phrase_time_vectors(self) -> DataFrame:

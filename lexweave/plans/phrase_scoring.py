@@ -33,7 +33,7 @@ def scored_table(i: Induction) -> DataFrame:
 
 
 def order_counts(i: Induction, longest_only: bool = True) -> DataFrame:
-    return O.neighbours(O.occurrences(i.corpus, i.listed, i.p.ngram), i.p.gap, longest_only)
+    return O.neighbour_counts(i.corpus, i.listed, i.p.ngram, i.p.gap, longest_only)
 
 
 def order_scores(i: Induction) -> DataFrame:

@@ -136,7 +136,7 @@ def _table_text(i: Induction) -> DataFrame:
 
 
 def _order_pruned(i: Induction) -> DataFrame:
-    return O.prune(phrase_scoring.order_counts(i), V.phrase_counts(i.spans, i.listed), 3).select("side", "phrase", "rel", "ctx_phrase")
+    return O.prune(phrase_scoring.order_counts(i), V.phrase_counts(i.listed_spans), 3).select("side", "phrase", "rel", "ctx_phrase")
 
 
 def _signature_bits(i: Induction) -> DataFrame:
@@ -216,7 +216,7 @@ _STEPS: dict[str, Callable[[Induction], DataFrame]] = {
     "sentence_split": _sentence_split,
     "phrase_sentences": lambda i: i.phrase_rows.groupBy("side", "doc").agg(F.count("*").alias("sentences"), F.sum(F.size("toks")).alias("tokens")),
     "ngrams": lambda i: V.phrase_counts(i.spans),
-    "phrase_counts": lambda i: V.phrase_counts(i.spans, i.listed),
+    "phrase_counts": lambda i: V.phrase_counts(i.listed_spans),
     "dict_resolved": lambda i: D.resolve(i.dictionary, i.vocab),
     "dict_pruned": _pruned,
     "dict_retain": lambda i: D.keep_sources(i.dictionary.select("src", "trg"), _sources(i)),
