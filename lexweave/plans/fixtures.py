@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import best as B
 from ..operators import context as C
 from ..operators import dicts as D
+from ..operators import edit as E
 from ..operators import phrases as P
 from ..operators import temporal as T
 from ..operators import vocab as V
@@ -116,6 +118,36 @@ class Induction:
     def time_scores(self) -> DataFrame:
         return self.raw_time_scores.withColumn("score", F.round("score", 9))
 
+    def best_context(self, name: str = "s1") -> DataFrame:
+        """Context scores of at least the ``keep`` best targets of each source; all of them where the sources are too many for every task."""
+        weight, kind = C.SCORERS[name]
+        both = C.project(self.context, self.dictionary.select("src", "trg")).unionByName(self.context.where("side = 'trg'"))
+        vectors = C.weigh(both, self.totals, weight).select("side", "stem", F.col("ctx").alias("dim"), F.col("w").alias("v"))
+        matrix = B.source_matrix(vectors)
+        return self.context_scores(name) if matrix is None else B.best_products(vectors, matrix, self.p.keep, kind)
+
+    @cached_property
+    def best_time(self) -> DataFrame:
+        """Time scores, as best_context."""
+        matrix = B.source_matrix(self.time_vectors)
+        return self.time_scores if matrix is None else B.best_products(self.time_vectors, matrix, self.p.keep).persist()
+
+    @cached_property
+    def time_vectors(self) -> DataFrame:
+        return self.time_prepared.select("side", "stem", F.col("bin").alias("dim"), "v")
+
+    def time_scores_of(self, pairs: DataFrame) -> DataFrame:
+        """Time scores of some pairs (src, trg) that share a bin."""
+        return P.pair_cosine(self.time_vectors, pairs).where("score <> 0").withColumn("score", F.round("score", 9))
+
+    @cached_property
+    def best_edit(self) -> DataFrame:
+        """Edit distances, as best_context."""
+        rows = B.few_sources(self.sources.select("stem"))
+        if rows is None:
+            return E.distance(E.pairs(self.sources, self.targets))
+        return B.nearest_words([(r.stem, r.stem) for r in rows], self.targets.select("stem", F.col("stem").alias("word")), self.p.keep)
+
     # Phrases.
 
     @cached_property

@@ -13,16 +13,16 @@ from .fixtures import Induction
 
 
 def context_ranking(i: Induction, scorer: str = "s1") -> DataFrame:
-    return R.rank(i.context_scores(scorer), i.p.keep, threshold=0.0)
+    return R.rank(i.best_context(scorer), i.p.keep, threshold=0.0)
 
 
 def time_ranking(i: Induction) -> DataFrame:
-    filled = R.fill_zeros(i.time_scores, i.sources, i.targets, i.p.keep)
+    filled = R.fill_zeros(i.best_time, i.sources, i.targets, i.p.keep)
     return R.rank(filled, i.p.keep)
 
 
 def edit_ranking(i: Induction) -> DataFrame:
-    return R.rank(E.distance(E.pairs(i.sources, i.targets)), i.p.keep, smaller_better=True)
+    return R.rank(i.best_edit, i.p.keep, smaller_better=True)
 
 
 def fused_ranking(i: Induction) -> DataFrame:

@@ -91,7 +91,8 @@ def _score_prob(i: Induction) -> DataFrame:
 
 
 def _rerank(i: Induction) -> DataFrame:
-    return R.rerank(induction.context_ranking(i), i.time_scores)
+    ranking = induction.context_ranking(i)
+    return R.rerank(ranking, i.time_scores_of(ranking.select("src", "trg")))
 
 
 def _bins(i: Induction) -> DataFrame:
