@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import profiles as P
+
 # Frequent short words of four languages.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for was with as be by on are this from or an",
@@ -30,8 +32,20 @@ def function_word_detector(text: Column, least: int = 3, lead: float = 1.2) -> C
     return F.struct(first.lang.alias("lang"), ((first.n >= least) & (first.n >= lead * second.n)).alias("reliable"))
 
 
-def fill_language(versions: DataFrame, detector: Callable[[Column], Column] = function_word_detector) -> DataFrame:
-    """Pages without language get that of their first version with content, if the detector calls it reliable."""
-    first = versions.where("content <> ''").groupBy("url").agg(F.min_by("content", F.struct("fetched", "segment_id")).alias("sample"))
-    told = first.select("url", detector(F.col("sample")).alias("d")).where("d.reliable").select("url", F.col("d.lang").alias("detected"))
+def by_function_words(samples: DataFrame) -> DataFrame:
+    """(url, lang) of the samples (url, text) whose language their frequent words tell reliably."""
+    return samples.select("url", function_word_detector(F.col("text")).alias("d")).where("d.reliable").select("url", "d.lang")
+
+
+def by_profiles(learnt: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A detector by n-gram profiles, learnt from (lang, text)."""
+    profiles = P.learn(learnt)
+    return lambda samples: P.tell(samples, profiles).where("reliable").select("url", "lang")
+
+
+def fill_language(versions: DataFrame, detector: Callable[[DataFrame], DataFrame] = by_function_words) -> DataFrame:
+    """Pages without language get that of their first version with content, if the detector, from (url, text) to (url, lang),
+    gives one. Pages that know theirs are not looked at."""
+    first = versions.where("content <> '' and lang is null").groupBy("url").agg(F.min_by("content", F.struct("fetched", "segment_id")).alias("text"))
+    told = detector(first).withColumnRenamed("lang", "detected")
     return versions.join(told, "url", "left").withColumn("lang", F.coalesce("lang", "detected")).drop("detected")

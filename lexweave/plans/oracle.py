@@ -327,6 +327,23 @@ grid AS (SELECT d.doc_id, l.lang, coalesce(h.n, 0) AS n FROM documents d CROSS J
 ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang DESC) AS r FROM grid)
 """
 
+PROFILES = """
+plain AS (SELECT doc_id, lang, trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', ' ', 'g')) AS t FROM documents),
+padded AS (SELECT doc_id, lang, ' ' || t || ' ' AS t FROM plain WHERE t <> ''),
+chars AS (SELECT doc_id, string_split(t, '') AS c FROM padded),
+opened AS (SELECT doc_id, unnest([c[i] FOR i IN range(1, len(c) + 1)] || [c[i] || c[i + 1] FOR i IN range(1, len(c))] || [c[i] || c[i + 1] || c[i + 2] FOR i IN range(1, len(c) - 1)]) AS g FROM chars),
+grams AS MATERIALIZED (
+  SELECT doc_id, g, count(*) AS n FROM opened GROUP BY 1, 2),
+learnt AS (SELECT lang, g, sum(n) AS n FROM grams JOIN padded USING (doc_id) WHERE lang IS NOT NULL AND {learnt} GROUP BY 1, 2),
+profile AS MATERIALIZED (SELECT * FROM (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) AS rk FROM learnt) WHERE rk <= 300),
+own AS MATERIALIZED (SELECT * FROM (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, g) AS rk FROM grams) WHERE rk <= 300),
+far AS (
+  SELECT o.doc_id, l.lang, sum(coalesce(abs(p.rk - o.rk), 300))::BIGINT AS distance, count(*) AS k
+  FROM own o CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN profile p ON p.lang = l.lang AND p.g = o.g GROUP BY 1, 2),
+nearest AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, lang) AS r, lead(distance) OVER (PARTITION BY doc_id ORDER BY distance, lang) AS second FROM far),
+told AS (SELECT doc_id, lang, distance, k >= 20 AND 50 * (coalesce(second, 1099511627776) - distance) >= distance AS reliable FROM nearest WHERE r = 1)
+"""
+
 
 SOURCES = "sources AS MATERIALIZED (SELECT side, stem, n FROM top WHERE side = 'src' AND rn <= 20)"
 BINNED = """us AS (SELECT stem, n, row_number() OVER (ORDER BY n DESC, stem) AS rn, count(*) OVER () AS c FROM vocab WHERE side = 'src' AND n > 3 AND n <= 10000),
@@ -358,13 +375,13 @@ def all_sql() -> dict[str, str]:
         "sentence_split": sql(BASE, select="SELECT side, doc, line_no::INT AS line_no, count(*) AS sentences, sum(len(toks))::BIGINT AS words FROM (SELECT * FROM sent WHERE len(toks) > 0 AND NOT (len(toks) = 1 AND toks[1] = '')) GROUP BY 1, 2, 3"),
         "phrase_sentences": sql(BASE, PHRASE, select="SELECT side, doc, count(*) AS sentences, sum(len(toks))::BIGINT AS tokens FROM psent WHERE len(toks) > 0 GROUP BY 1, 2"),
         "ngrams": sql(BASE, PHRASE, select="SELECT side, phrase, n_tok::INT AS n_tok, n FROM pcounts"),
-        "phrase_counts": sql(BASE, PHRASE, select="SELECT side, phrase, n_tok::INT AS n_tok, n FROM pcounts JOIN listed USING (side, phrase)"),
-        "dict_resolved": sql(BASE, select="SELECT d.src, d.trg, a.n AS src_n, b.n AS trg_n FROM dict d JOIN vocab a ON a.side = 'src' AND a.stem = d.src JOIN vocab b ON b.side = 'trg' AND b.stem = d.trg"),
+        "phrase_counts": sql(BASE, PHRASE, select="SELECT side, phrase, n_tok::INT AS n_tok, n FROM pcounts WHERE (side, phrase) IN (SELECT side, phrase FROM listed)"),
+        "dict_resolved": sql(BASE, select="SELECT max(stem) FILTER (side = 'src') AS src, max(stem) FILTER (side = 'trg') AS trg, max(n) FILTER (side = 'src') AS src_n, max(n) FILTER (side = 'trg') AS trg_n FROM top WHERE rn <= 500 GROUP BY rn HAVING count(*) = 2"),
         "dict_pruned": sql(BASE, select="SELECT src, count(*) AS translations FROM (SELECT src, trg FROM dict UNION ALL SELECT a.src, b.trg FROM dict a JOIN dict b ON b.rn = a.rn + 1 WHERE a.rn % 3 = 0) GROUP BY src HAVING count(*) < 2"),
         "dict_retain": sql(BASE, select="SELECT src, trg FROM dict WHERE src IN (SELECT stem FROM sources)"),
         "dict_remove": sql(BASE, select="SELECT src, trg FROM dict WHERE src NOT IN (SELECT stem FROM sources)"),
         "dict_coverage": sql(BASE, select="SELECT count(*) AS types, count(d.src) AS covered_types, sum(n)::BIGINT AS tokens, sum(CASE WHEN d.src IS NOT NULL THEN n END)::BIGINT AS covered_tokens FROM vocab v LEFT JOIN dict d ON d.src = v.stem WHERE side = 'src'"),
-        "dict_identity": sql(BASE, select="SELECT a.stem AS src, a.stem AS trg FROM vocab a JOIN vocab b ON a.stem = b.stem WHERE a.side = 'src' AND b.side = 'trg'"),
+        "dict_identity": sql(BASE, select="SELECT stem AS src, stem AS trg FROM vocab GROUP BY stem HAVING count(DISTINCT side) = 2"),
         "induction_sources": sql(BASE, select="SELECT n, stem FROM sources"),
         "context_counts": sql(BASE, CONTEXT, select="SELECT side, stem, ctx, ctx_n, corp_n FROM ctx"),
         "context_positions": sql(BASE, CONTEXT, select="""SELECT a.side, a.tok AS stem, b.tok || '|s:' || (b.pos - a.pos) AS ctx, CAST(count(*) AS DOUBLE) AS ctx_n
@@ -432,8 +449,8 @@ def all_sql() -> dict[str, str]:
         "rank_given_lists": sql(BASE.replace(SOURCES, GIVEN_SOURCES).replace(TARGETS, GIVEN_TARGETS), CONTEXT_RANK, select="SELECT src, trg, score, rk FROM r_ctx"),
         "accuracy_by_bin": sql(BASE.replace(SOURCES, BINNED), CONTEXT, scored("idf", "cosine"), ", bs AS MATERIALIZED (SELECT b.bin, s.* FROM context_scores s JOIN binned b ON b.stem = s.src)" + ranked("r_bin", "bs", where="score > 0", keys="bin, src"), """, gold AS (SELECT r.bin, r.src, min(CASE WHEN d.trg IS NOT NULL THEN r.rk END) AS b FROM r_bin r LEFT JOIN dict d ON d.src = r.src AND d.trg = r.trg WHERE r.src IN (SELECT src FROM dict) GROUP BY 1, 2),
             ks AS (SELECT unnest([1, 5, 10, 20, 30, 40, 50, 60, 80, 100, 200, 300, 400, 500]) AS k)""", select="SELECT bin, k::INT AS k, round(100 * avg(CASE WHEN b <= k THEN 1.0 ELSE 0.0 END), 2) AS accuracy, count(*) AS in_dict, 'context' AS ranking FROM gold, ks GROUP BY bin, k"),
-        "page_languages_filled": "WITH" + DETECT.format(values=values) + """, told AS (SELECT a.doc_id, a.lang, (a.n >= 3 AND a.n >= 1.2 * b.n) AS reliable FROM ordered a JOIN ordered b USING (doc_id) WHERE a.r = 1 AND b.r = 2)
-            SELECT doc_id::VARCHAR AS url, unnest([1, 2])::INT AS segment_id, CASE WHEN doc_id % 3 = 0 THEN d.lang WHEN t.reliable THEN t.lang END AS lang FROM documents d JOIN told t USING (doc_id) WHERE d.lang IN ('en', 'fr')""",
+        "page_languages_filled": "WITH" + PROFILES.format(learnt="doc_id % 3 = 0") + """SELECT doc_id::VARCHAR AS url, unnest([1, 2])::INT AS segment_id, CASE WHEN d.doc_id % 3 = 0 THEN d.lang WHEN t.reliable THEN t.lang END AS lang FROM documents d LEFT JOIN told t USING (doc_id)""",
+        "lang_profiles": "WITH" + PROFILES.format(learnt="doc_id % 4 <> 2") + "SELECT doc_id, t.lang, t.distance, coalesce(t.reliable, false) AS reliable FROM documents d LEFT JOIN told t USING (doc_id)",
         "pages_versions": "WITH" + PAGES + "SELECT url, segment_id, fetched, lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, md5(content) AS content_md5 FROM pv WHERE content <> ''",
         "pages_merge": "WITH" + MERGED + "SELECT url, segment_id, fetched, lang, md5(content) AS content_md5 FROM merged",
         "page_html_lang": "WITH" + PAGES + "SELECT url, lang FROM pv",

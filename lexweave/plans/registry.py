@@ -16,6 +16,7 @@ from ..operators import edit as E
 from ..operators import lsh as S
 from ..operators import pages as PG
 from ..operators import phrases as P
+from ..operators import profiles
 from ..operators import ranking as R
 from ..operators import reorder as O
 from ..operators import temporal as T
@@ -118,12 +119,20 @@ def _given_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English and French documents as pages, two versions each, of which every third page knows its language."""
-    docs = tables.read(spark, sf_dir, "documents").where("lang in ('en', 'fr')")
+    """All documents as pages, two versions each, of which every third page knows its language; the others' is told by those."""
+    docs = tables.read(spark, sf_dir, "documents")
     known = F.when(F.col("doc_id") % 3 == 0, F.col("lang"))
     versions = docs.select(F.col("doc_id").cast("string").alias("url"), known.alias("lang"), "text", F.explode(F.array(F.lit(1), F.lit(2))).alias("segment_id"))
     versions = versions.select("url", "lang", "segment_id", F.col("segment_id").alias("fetched"), F.when(F.col("segment_id") == 1, F.col("text")).otherwise(F.lit("")).alias("content"))
-    return detect.fill_language(versions).select("url", "segment_id", "lang")
+    learnt = docs.where("doc_id % 3 = 0").select("lang", "text")
+    return detect.fill_language(versions, detect.by_profiles(learnt)).select("url", "segment_id", "lang")
+
+
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by profiles of three quarters of them."""
+    docs = tables.read(spark, sf_dir, "documents")
+    told = profiles.tell(docs.select("doc_id", "text"), profiles.learn(docs.where("doc_id % 4 <> 2").select("lang", "text")))
+    return told.select("doc_id", "lang", "distance", "reliable")
 
 
 def _time_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,6 +302,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lang_stats": lambda s, d: PG.language_statistics(PG.language_and_date(pages.news_versions(s, d))),
     "page_links": _links,
     "lang_detect": _detect,
+    "lang_profiles": _profiles,
     "json_fields": _json,
 }
 
