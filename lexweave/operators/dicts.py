@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.draws import drawn
 from .vocab import most_frequent
 
 
@@ -73,7 +74,7 @@ def keep_sources(dictionary: DataFrame, sources: DataFrame, keep: bool = True) -
 
 def split(dictionary: DataFrame, share: float, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """Two parts of the dictionary by sources, decided by a hash of the source alone."""
-    inside = F.pmod(F.xxhash64(F.lit(seed), "src"), F.lit(1_000_000)) < int(share * 1_000_000)
+    inside = drawn(share, "src", seed=seed)
     return dictionary.where(inside), dictionary.where(~inside)
 
 
@@ -86,8 +87,3 @@ def accents(vocab: DataFrame) -> DataFrame:
     """A transliteration dictionary of words with accents: each beside its plain form."""
     plain = F.translate("stem", "éèêàçùôîâ", "eeeacuoia")
     return vocab.select(F.col("stem").alias("src"), plain.alias("trg")).where("src <> trg").distinct()
-
-
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """Adds a dense id over the given order; for dictionary encoding of bounded vocabularies."""
-    return df.withColumn("id", F.row_number().over(Window.orderBy(*order)))

@@ -56,13 +56,15 @@ def single_versions(versions: DataFrame) -> DataFrame:
 
 
 def merge(*datasets: DataFrame) -> DataFrame:
-    """Union of page datasets with single versions; a page's language is that of the first dataset that knows it."""
+    """Union of page datasets with single versions; a page's language is that of the first dataset that knows it, found
+    without the contents."""
     every = None
     for k, d in enumerate(datasets):
         d = d.withColumn("dataset", F.lit(k))
         every = d if every is None else every.unionByName(d)
-    lang = F.first("lang", ignorenulls=True).over(Window.partitionBy("url").orderBy("dataset", "fetched").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return single_versions(every.withColumn("lang", lang)).drop("dataset")
+    known = every.where("lang is not null").groupBy("url").agg(F.min_by("lang", F.struct("dataset", "fetched", "segment_id")).alias("lang"))
+    columns = [c for c in every.columns if c != "dataset"]
+    return single_versions(every.drop("lang").join(known, "url", "left").select(*columns))
 
 
 def page_properties(datasets: DataFrame) -> DataFrame:
@@ -90,12 +92,12 @@ def dated(versions: DataFrame) -> DataFrame:
 
 
 def dated_corpus(versions: DataFrame, first_year: int = 2000, last_year: int = 2011) -> DataFrame:
-    """(lang, year, day, rejected, modified, text): distinct trimmed contents of each language and moment, put together.
+    """(lang, year, day, rejected, modified, text): the distinct trimmed contents of each language and moment, a row each, so
+    that a day of any size is many rows; the writer puts them into the day's files.
 
     Years outside the span are marked as rejected.
     """
-    rows = dated(versions).select("lang", "modified", F.trim("content").alias("content")).distinct()
-    text = rows.groupBy("lang", "modified").agg(F.array_join(F.sort_array(F.collect_list("content")), "\n").alias("text"))
+    text = dated(versions).select("lang", "modified", F.trim("content").alias("text")).distinct()
     day = F.to_date(F.timestamp_millis("modified"))
     year = F.year(day)
     return text.select("lang", year.alias("year"), day.alias("day"), (~year.between(first_year, last_year)).alias("rejected"), "modified", "text")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import order_of
+
 
 def rank(scores: DataFrame, keep: int, threshold: float | None = None, smaller_better: bool = False, keys: tuple[str, ...] = ("src",)) -> DataFrame:
     """The ``keep`` best targets of each source, with average ranks of ties among those kept: keys, trg, score, rk.
@@ -39,7 +41,7 @@ def best(ranking: DataFrame) -> DataFrame:
 
 def random_candidate(ranking: DataFrame, seed: int = 1) -> DataFrame:
     """(src, trg, score): of each source the candidate that comes first by a hash of the pair."""
-    draw = F.xxhash64(F.lit(seed), "src", "trg")
+    draw = order_of("src", "trg", seed=seed)
     return ranking.groupBy("src").agg(F.min(F.struct(draw.alias("h"), "trg", "score")).alias("b")).select("src", "b.trg", "b.score")
 
 

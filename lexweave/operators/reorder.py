@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.draws import drawn
 from . import matcher as M
 from .sizes import held
 
@@ -60,7 +61,7 @@ def neighbours(found: DataFrame, gap: int = 2, longest_only: bool = True) -> Dat
 
 def sample(pctx: DataFrame, share: float, seed: int = 1) -> DataFrame:
     """Keeps a share of the neighbours, decided by a hash of phrase and neighbour."""
-    return pctx.where(F.pmod(F.xxhash64(F.lit(seed), "side", "phrase", "rel", "ctx_phrase"), F.lit(1_000_000)) < int(share * 1_000_000))
+    return pctx.where(drawn(share, "side", "phrase", "rel", "ctx_phrase", seed=seed))
 
 
 def prune(pctx: DataFrame, counts: DataFrame, keep: int) -> DataFrame:

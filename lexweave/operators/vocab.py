@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.draws import order_of
 from . import matcher as M
 from .sizes import held
 
@@ -95,7 +96,7 @@ def most_frequent(vocab: DataFrame, top: int) -> DataFrame:
 
 def hash_sample(vocab: DataFrame, top: int, seed: int = 1) -> DataFrame:
     """Each side's first ``top`` classes in an order that depends on the class and the seed alone."""
-    order = [F.xxhash64(F.lit(seed), "stem"), F.asc("stem")]
+    order = [order_of("stem", seed=seed), F.asc("stem")]
     return vocab.withColumn("rn", F.row_number().over(Window.partitionBy("side").orderBy(*order))).where(F.col("rn") <= top).drop("rn")
 
 

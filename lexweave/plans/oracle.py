@@ -355,6 +355,15 @@ GIVEN_SOURCES = "sources AS MATERIALIZED (SELECT side, stem, n FROM vocab WHERE
 GIVEN_TARGETS = "targets AS MATERIALIZED (SELECT side, stem, n FROM vocab WHERE side = 'trg' AND stem IN (SELECT trg FROM dict WHERE rn % 2 = 0))"
 
 
+def draw(*columns: str) -> str:
+    return f"md5(concat_ws(chr(1), '1', {', '.join(columns)}))"
+
+
+def share(*columns: str) -> str:
+    """In millionths."""
+    return f"(('0x' || substr({draw(*columns)}, 1, 8))::BIGINT % 1000000)"
+
+
 def sql(*ctes: str, select: str) -> str:
     return "WITH " + "".join(ctes) + "\n" + select
 
@@ -439,13 +448,24 @@ def all_sql() -> dict[str, str]:
             FROM sgn a JOIN sgn b ON a.b = b.b WHERE a.side = 'src' AND b.side = 'trg' GROUP BY 1, 2"""),
         "order_scores_lsh": sql(BASE, ORDER_LSH, select="SELECT src, trg, " + ", ".join(f"max(score) FILTER (name = '{c}') AS {c}" for c in ("b_mono", "b_swap", "b_disc", "a_mono", "a_swap", "a_disc")) + " FROM apart GROUP BY 1, 2"),
         "signature_dump": sql(BASE, PHRASE, CWORDS, PHRASE_CONTEXT, PHRASE_TIME, DUMPED, select="SELECT side, stem, c.sig AS context, t.sig AS time FROM csg_packed c FULL JOIN tsg_packed t USING (side, stem)"),
-        "vocab_with_context": sql(BASE, CONTEXT, select="SELECT side, stem, n FROM vocab WHERE (side, stem) IN (SELECT side, stem FROM ctx)"),
+        "vocab_with_context": sql(BASE, CONTEXT, select="SELECT side, stem, n FROM vocab JOIN (SELECT DISTINCT side, stem FROM ctx) USING (side, stem)"),
         "vocab_with_time": sql(BASE, TIME, select="SELECT side, stem, n FROM vocab WHERE (side, stem) IN (SELECT side, stem FROM tdist)"),
         "vocab_collected": sql(BASE, select="SELECT side, stem FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY stem) AS r FROM counts WHERE length(stem) > 2) WHERE r <= 1000"),
         "vocab_without_top": sql(BASE, select="SELECT side, stem, n FROM top WHERE rn > 30 AND n > 5"),
         "context_pruned_by_corpus": sql(BASE, CONTEXT, select="SELECT side, stem, ctx, corp_n FROM (SELECT *, row_number() OVER (PARTITION BY side, stem ORDER BY corp_n DESC, ctx) AS r FROM ctx) WHERE r <= 5"),
         "ranking_band": sql(BASE, CONTEXT_RANK, select="SELECT src, trg, score, rk FROM r_ctx WHERE score BETWEEN 0.2 AND 0.6"),
-        "random_candidate": sql(BASE, CONTEXT_RANK, select="SELECT DISTINCT src, 1::BIGINT AS listed FROM r_ctx"),
+        "random_candidate": sql(BASE, CONTEXT_RANK, select=f"SELECT src, arg_min(trg, struct_pack(h := {draw('src', 'trg')}, trg := trg)) AS trg, arg_min(score, struct_pack(h := {draw('src', 'trg')}, trg := trg)) AS score FROM r_ctx GROUP BY src"),
+        "vocab_sampled": sql(BASE, select=f"SELECT side, stem, n FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY {draw('stem')}, stem) AS r FROM vocab) WHERE r <= 100"),
+        "dict_split": sql(BASE, select=f"SELECT src, trg, CASE WHEN {share('src')} < 300000 THEN 'one' ELSE 'other' END AS part FROM dict"),
+        "phrase_order_sampled": sql(BASE, ORDER, select=f"SELECT side, phrase, rel, ctx_phrase, n FROM pord WHERE {share('side', 'phrase', 'rel', 'ctx_phrase')} < 250000"),
+        "phrase_targets": sql(BASE, PHRASE, select="SELECT DISTINCT trg FROM ptab WHERE src IN (SELECT stem FROM sources)"),
+        "accuracy_by_bin_all": sql(BASE.replace(SOURCES, BINNED), FUSED, """, r_all AS MATERIALIZED (SELECT 'time' AS ranking, src, trg, rk FROM r_time UNION ALL SELECT 'context', src, trg, rk FROM r_ctx
+            UNION ALL SELECT 'edit', src, trg, rk FROM r_edit UNION ALL SELECT 'fused', src, trg, rk FROM r_mrr),
+            gold AS (SELECT r.ranking, b.bin, r.src, min(CASE WHEN d.trg IS NOT NULL THEN r.rk END) AS b FROM r_all r JOIN binned b ON b.stem = r.src LEFT JOIN dict d ON d.src = r.src AND d.trg = r.trg WHERE r.src IN (SELECT src FROM dict) GROUP BY 1, 2, 3),
+            ks AS (SELECT unnest([1, 5, 10, 20, 30, 40, 50, 60, 80, 100, 200, 300, 400, 500]) AS k)""", select="SELECT ranking, bin, k::INT AS k, round(100 * avg(CASE WHEN b <= k THEN 1.0 ELSE 0.0 END), 2) AS accuracy, count(*) AS in_dict FROM gold, ks GROUP BY ranking, bin, k"),
+        "page_properties": """WITH p AS (SELECT url, 0 AS dataset, 'size' AS key, length(html)::VARCHAR AS value FROM pages UNION ALL SELECT url, 1, 'size', '0' FROM pages UNION ALL SELECT url, 1, 'again', page_id::VARCHAR FROM pages WHERE page_id % 2 = 0
+            UNION ALL SELECT url, 1, 'again', '' FROM pages), f AS (SELECT *, rank() OVER (PARTITION BY url, key ORDER BY dataset) AS r FROM p WHERE value <> '')
+            SELECT url, key, array_to_string(list_sort(list(value)), ' ') AS "values" FROM f WHERE r = 1 GROUP BY 1, 2""",
         "rank_given_lists": sql(BASE.replace(SOURCES, GIVEN_SOURCES).replace(TARGETS, GIVEN_TARGETS), CONTEXT_RANK, select="SELECT src, trg, score, rk FROM r_ctx"),
         "accuracy_by_bin": sql(BASE.replace(SOURCES, BINNED), CONTEXT, scored("idf", "cosine"), ", bs AS MATERIALIZED (SELECT b.bin, s.* FROM context_scores s JOIN binned b ON b.stem = s.src)" + ranked("r_bin", "bs", where="score > 0", keys="bin, src"), """, gold AS (SELECT r.bin, r.src, min(CASE WHEN d.trg IS NOT NULL THEN r.rk END) AS b FROM r_bin r LEFT JOIN dict d ON d.src = r.src AND d.trg = r.trg WHERE r.src IN (SELECT src FROM dict) GROUP BY 1, 2),
             ks AS (SELECT unnest([1, 5, 10, 20, 30, 40, 50, 60, 80, 100, 200, 300, 400, 500]) AS k)""", select="SELECT bin, k::INT AS k, round(100 * avg(CASE WHEN b <= k THEN 1.0 ELSE 0.0 END), 2) AS accuracy, count(*) AS in_dict, 'context' AS ranking FROM gold, ks GROUP BY bin, k"),
@@ -456,7 +476,7 @@ def all_sql() -> dict[str, str]:
         "page_html_lang": "WITH" + PAGES + "SELECT url, lang FROM pv",
         "page_url_lang": "WITH" + NEWS + "SELECT url, CASE WHEN page_id % 8 = 7 THEN NULL ELSE lang END AS lang FROM told",
         "page_dates": "WITH" + NEWS + "SELECT url, lang, modified FROM told",
-        "dated_corpus": "WITH" + NEWS + "SELECT lang, year(make_timestamp(modified * 1000))::INT AS year, make_timestamp(modified * 1000)::DATE::VARCHAR AS day, false AS rejected, modified, md5(string_agg(content, chr(10) ORDER BY content)) AS text_md5 FROM (SELECT DISTINCT lang, modified, content FROM told WHERE modified IS NOT NULL AND lang IS NOT NULL) GROUP BY lang, modified",
+        "dated_corpus": "WITH" + NEWS + "SELECT lang, year(make_timestamp(modified * 1000))::INT AS year, make_timestamp(modified * 1000)::DATE::VARCHAR AS day, false AS rejected, modified, md5(content) AS text_md5 FROM (SELECT DISTINCT lang, modified, content FROM told WHERE modified IS NOT NULL AND lang IS NOT NULL)",
         "lang_stats": "WITH" + NEWS + r"SELECT coalesce(lang, 'none') AS lang, count(DISTINCT url) AS pages, count(*) AS versions, sum(len([x FOR x IN regexp_split_to_array(content, '[\s\x{000b}]+') IF x <> '']))::BIGINT AS words FROM told GROUP BY 1",
         "page_links": r"""SELECT url, count(*) AS links, count(DISTINCT target) AS targets FROM (SELECT url, regexp_extract(a, '(?i)href="([^"]*)"', 1) AS target FROM (SELECT url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href="[^"]*"[^>]*>[^<]*</a>')) AS a FROM pages)) GROUP BY url""",
         "lang_detect": "WITH" + DETECT.format(values=values) + "SELECT a.doc_id, a.lang, (a.n >= 3 AND a.n >= 1.2 * b.n) AS reliable FROM ordered a JOIN ordered b USING (doc_id) WHERE a.r = 1 AND b.r = 2",

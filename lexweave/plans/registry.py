@@ -96,6 +96,11 @@ def _rerank(i: Induction) -> DataFrame:
     return R.rerank(ranking, i.time_scores_of(ranking.select("src", "trg")))
 
 
+def _split(i: Induction) -> DataFrame:
+    one, other = D.split(i.dictionary.select("src", "trg"), 0.3)
+    return one.withColumn("part", F.lit("one")).unionByName(other.withColumn("part", F.lit("other")))
+
+
 def _bins(i: Induction) -> DataFrame:
     return induction.binned_sources(i)
 
@@ -187,6 +192,15 @@ def _detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "documents").select("doc_id", told.alias("d")).select("doc_id", "d.lang", "d.reliable")
 
 
+def _properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two datasets of page properties; the first one's sizes stay, and only the second knows which pages came again."""
+    page = tables.read(spark, sf_dir, "pages")
+    again = F.when(F.col("page_id") % 2 == 0, F.col("page_id").cast("string"))
+    entries = [(0, "size", F.length("html").cast("string")), (1, "size", F.lit("0")), (1, "again", again), (1, "again", F.lit(""))]
+    rows = page.select("url", F.explode(F.array(*(F.struct(F.lit(d).alias("dataset"), F.lit(k).alias("key"), v.alias("value")) for d, k, v in entries))).alias("e")).select("url", "e.*")
+    return PG.page_properties(rows).select("url", F.explode("props").alias("key", "v")).select("url", "key", F.array_join("v", " ").alias("values"))
+
+
 def _bbc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page addresses under several hosts and sections of the site, each marked."""
     host = F.element_at(F.array(*map(F.lit, ("http://www.bbc.co.uk/", "http://News.BBC.co.uk/", "http://bbc.co.uk/"))), (F.col("page_id") % 3 + 1).cast("int"))
@@ -252,7 +266,12 @@ _STEPS: dict[str, Callable[[Induction], DataFrame]] = {
     "rank_edit": induction.edit_ranking,
     "rank_mrr": induction.fused_ranking,
     "accuracy_by_bin": lambda i: induction.accuracy_by_bin(i, ("context",)),
-    "random_candidate": lambda i: R.random_candidate(induction.context_ranking(i)).join(induction.context_ranking(i), ["src", "trg", "score"]).groupBy("src").agg(F.count("*").alias("listed")),
+    "accuracy_by_bin_all": induction.accuracy_by_bin,
+    "random_candidate": lambda i: R.random_candidate(induction.context_ranking(i)),
+    "vocab_sampled": lambda i: V.hash_sample(i.vocab, 100).select("side", "stem", "n"),
+    "dict_split": _split,
+    "phrase_order_sampled": lambda i: O.sample(phrase_scoring.order_counts(i), 0.25),
+    "phrase_targets": lambda i: P.targets_of(i.table, _sources(i)),
     "vocab_with_context": lambda i: V.with_context(i.vocab, i.context),
     "vocab_with_time": lambda i: V.with_time(i.vocab, i.time),
     "vocab_collected": lambda i: V.collect_vocabulary(i.sents, V.longer_than(i.p.min_length), most=1000),
@@ -294,6 +313,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "time_merge": _time_merge,
     "pages_versions": _versions,
     "pages_merge": _merged,
+    "page_properties": _properties,
     "page_html_lang": lambda s, d: tables.read(s, d, "pages").select("url", L.html_language(F.col("html")).alias("lang")),
     "page_url_lang": lambda s, d: pages.news_versions(s, d).select("url", L.url_language(F.col("url")).alias("lang")),
     "page_bbc_english": _bbc,

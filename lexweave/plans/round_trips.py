@@ -18,7 +18,7 @@ from ..operators import vocab as V
 from ..sources import files, readers, sinks, tables
 from . import pages
 from .fixtures import Induction
-from .oracle import BASE, PAGES, PROB, all_sql
+from .oracle import BASE, PAGES, PROB, all_sql, share
 
 START, END = date(2010, 1, 1), date(2010, 1, 31)
 
@@ -62,6 +62,10 @@ def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summed(readers.open_corpus("crawls", spark, _written(spark, sf_dir, _crawl_name()), "src", START, END, titles=wanted))
 
 
+def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summed(readers.open_corpus("crawls", spark, _written(spark, sf_dir, _crawl_name()), "src", START, END, share=0.4))
+
+
 def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("p/"), F.lpad(F.pmod("doc_id", F.lit(12)).cast("string"), 2, "0"), F.lit(".txt"))
     return _summed(readers.open_corpus("wikitemp", spark, _written(spark, sf_dir, name), "src"))
@@ -84,20 +88,19 @@ def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two files whose lines of one number belong together; their order is the dictionary's."""
-    ranked, folder = _induction(spark, sf_dir).dictionary.repartition(1).sortWithinPartitions("rn"), files.scratch(spark)
+    """Two folders of files whose lines of one number belong together; their order is the dictionary's."""
+    ranked, folder = _induction(spark, sf_dir).dictionary.repartitionByRange(5, "rn").sortWithinPartitions("rn"), files.scratch(spark)
     for side in ("src", "trg"):
         ranked.select(side).write.text(f"{folder}/{side}")
-    paths = [files.matching(spark, f"{folder}/{side}/part-*")[0] for side in ("src", "trg")]
-    return readers.parallel_dictionary(spark, *paths)
+    return readers.parallel_dictionary(spark, f"{folder}/src", f"{folder}/trg")
 
 
 def _probable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair stands twice; the later probability counts."""
     once = D.probabilistic(_induction(spark, sf_dir).dictionary)
-    rows = once.withColumn("prob", F.explode(F.array(F.lit(0.01), F.col("prob")))).repartition(1).sortWithinPartitions((F.col("prob") != 0.01))
-    sinks.dictionary(rows, path := files.scratch(spark))
-    return readers.probabilistic_dictionary(spark, files.matching(spark, f"{path}/part-*")[0])
+    rows = once.withColumn("prob", F.explode(F.array(F.lit(0.01), F.col("prob")))).repartitionByRange(5, F.col("prob") != 0.01, "src")
+    sinks.dictionary(rows.sortWithinPartitions(F.col("prob") != 0.01, "src"), path := files.scratch(spark))
+    return readers.probabilistic_dictionary(spark, path)
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "files_proceedings": _proceedings,
     "files_crawl": _crawl,
     "files_crawl_titles": _titles,
+    "files_crawl_sampled": _sampled,
     "files_as_bins": _bins,
     "files_by_depth": _depth,
     "file_dictionary": _dictionary,
@@ -203,6 +207,8 @@ def oracle_sql() -> dict[str, str]:
         "files_proceedings": f"{_LINES}SELECT 'src' AS side, (doc_id % 30)::INT AS day_idx, {_SUMS} GROUP BY 2",
         "files_crawl": f"{_LINES}SELECT 'src' AS side, (doc_id % 30 - 2)::INT AS day_idx, {_SUMS} WHERE doc_id % 30 BETWEEN 2 AND 18 GROUP BY 2",
         "files_crawl_titles": f"{_LINES}SELECT 'src' AS side, (doc_id % 30)::INT AS day_idx, {_SUMS} WHERE doc_id % 30 IN (3, 13) GROUP BY 2",
+        "files_crawl_sampled": f"""{_LINES}, t AS (SELECT *, (DATE '2010-01-01' + (doc_id % 30)::INT)::DATE AS day FROM d)
+            SELECT 'src' AS side, (doc_id % 30)::INT AS day_idx, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM t WHERE {share("year(day) || '-' || month(day) || '-' || day(day) || '.'")} < 400000 GROUP BY 2""",
         "files_as_bins": f"{_LINES}SELECT 'src' AS side, (dense_rank() OVER (ORDER BY doc_id % 12) - 1)::INT AS day_idx, {_SUMS} GROUP BY doc_id % 12",
         "files_by_depth": "SELECT DISTINCT (doc_id % 6)::VARCHAR || '.txt' AS name FROM documents WHERE lang = 'en' AND text IS NOT NULL AND doc_id % 3 < 2",
         "file_dictionary": f"{on_dict}SELECT DISTINCT src, trg FROM dict WHERE {clean}",

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.draws import drawn
 
 
 def _lines(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8", recursive: bool = False, glob: str | None = None) -> DataFrame:
@@ -37,7 +38,7 @@ def sampled(share: float, path: str = "path", seed: int = 1) -> Column:
     languages keep the same titles."""
     name = name_of(F.col(path))
     title = F.substring(name, F.lit(1), F.length(name) - 3)
-    return F.pmod(F.xxhash64(F.lit(seed), title), F.lit(1_000_000)) < int(share * 1_000_000)
+    return drawn(share, title, seed=seed)
 
 
 def plain(spark: SparkSession, folder: str, side: str, regex: str = ".*", encoding: str = "UTF-8") -> DataFrame:
@@ -91,9 +92,18 @@ def same_files(src: DataFrame, trg: DataFrame) -> bool:
 
 
 def numbered_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """(line_no, line) of one file, numbered in order."""
-    whole = spark.read.option("encoding", encoding).text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\r?\n")).alias("line_no", "line"))
+    """(line_no, line) of a file, or of a folder's files by name, numbered in order from 0.
+
+    Files are read in splits, as any other. A split's lines are counted where they are read, the counts, one a split, add up
+    in order of file and place, and each line's place in its split makes its number.
+    """
+    lines = spark.read.option("encoding", encoding).option("lineSep", "\n").text(path)
+    split = ["_metadata.file_path", "_metadata.file_block_start"]
+    lines = lines.select(*(F.col(c).alias(a) for c, a in zip(split, ("file", "start"), strict=True)), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    sizes = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("file", "start", (before - F.col("first")).alias("shift"))
+    return lines.join(offsets, ["file", "start"]).select((F.col("at") + F.col("shift")).alias("line_no"), "line")
 
 
 def dictionary(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
