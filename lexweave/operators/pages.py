@@ -38,11 +38,26 @@ def build_versions(chunks: DataFrame) -> DataFrame:
     """(url, segment_id, fetched, modified, lang, title, content) from a crawl's records
     (url, segment_id, kind, fetched, modified, html, title, content): kinds fetch, raw, parse, text.
 
-    Incomplete versions, without content or fetch time, are left out.
+    Where records have them, metadata (meta, a map of lists) of the raw and the parsed record are put together, the raw one's
+    keys first, and links (an array of target and anchor) are the parsed record's. Incomplete versions, without content or
+    fetch time, are left out.
     """
-    of = lambda kind, column: F.max(F.when(F.col("kind") == kind, F.col(column))).alias(column)
-    built = chunks.groupBy("url", "segment_id").agg(of("fetch", "fetched"), of("fetch", "modified"), of("raw", "html"), of("parse", "title"), of("text", "content"))
-    return complete(built).select("url", "segment_id", "fetched", "modified", L.html_language(F.col("html")).alias("lang"), "title", "content")
+    of = lambda kind, column: F.max(F.when(F.col("kind") == kind, F.col(column)))
+    nested = []
+    if "meta" in chunks.columns:
+        entries = lambda kind: F.coalesce(of(kind, "entries"), F.array().cast("array<struct<key:string,value:array<string>>>"))
+        chunks = chunks.withColumn("entries", F.sort_array(F.map_entries(drop_empty(F.col("meta")))))
+        nested.append(F.struct(entries("raw").alias("raw"), entries("parse").alias("parse")).alias("entries"))
+    if "links" in chunks.columns:
+        nested.append(F.coalesce(of("parse", "links"), F.array().cast(LINKS)).alias("links"))
+    flat = [of("fetch", "fetched").alias("fetched"), of("fetch", "modified").alias("modified"), of("raw", "html").alias("html"), of("parse", "title").alias("title"), of("text", "content").alias("content")]
+    built = complete(chunks.groupBy("url", "segment_id").agg(*flat, *nested))
+    kept = ["url", "segment_id", "fetched", "modified", L.html_language(F.col("html")).alias("lang"), "title", "content"]
+    if "meta" in chunks.columns:
+        own = F.map_from_entries("entries.raw")
+        more = F.filter("entries.parse", lambda e: ~F.map_contains_key(own, e.key))
+        kept.append(F.map_from_entries(F.concat("entries.raw", more)).alias("meta"))
+    return built.select(*kept, *(["links"] if "links" in chunks.columns else []))
 
 
 def complete(versions: DataFrame) -> DataFrame:
@@ -67,6 +82,18 @@ def merge(*datasets: DataFrame) -> DataFrame:
     return single_versions(every.drop("lang").join(known, "url", "left").select(*columns))
 
 
+def merged_properties(*datasets: DataFrame) -> DataFrame:
+    """(url, props) of page versions with metadata (meta): of each key the values of the first dataset that has it, and there
+    of the version fetched first."""
+    every = None
+    for k, d in enumerate(datasets):
+        rows = d.select("url", F.lit(k).alias("set"), "fetched", F.explode(drop_empty(F.col("meta"))).alias("key", "v"))
+        every = rows if every is None else every.unionByName(rows)
+    first = every.groupBy("url", "key").agg(F.min(F.struct("set", "fetched", "v")).alias("x"))
+    entries = F.sort_array(F.collect_list(F.struct("key", F.col("x.v").alias("value"))))
+    return first.groupBy("url").agg(F.map_from_entries(entries).alias("props"))
+
+
 def page_properties(datasets: DataFrame) -> DataFrame:
     """(url, props): of (url, dataset, key, value) the values of the first dataset that has a key."""
     order = Window.partitionBy("url", "key").orderBy("dataset")
@@ -110,7 +137,20 @@ def language_statistics(versions: DataFrame) -> DataFrame:
 
 
 def out_links(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(url, target, anchor) of every link in a page."""
-    found = F.regexp_extract_all(html, F.lit(r"(?i)<a\s[^>]*href=\"[^\"]*\"[^>]*>[^<]*</a>"), F.lit(0))
-    one = pages.select("url", F.posexplode(found).alias("link_no", "a"))
-    return one.select("url", "link_no", F.regexp_extract("a", r"(?i)href=\"([^\"]*)\"", 1).alias("target"), F.regexp_extract("a", r">([^<]*)<", 1).alias("anchor"))
+    """(url, link_no, target, anchor) of every link in a page."""
+    return pages.select("url", F.posexplode(links_of(F.col(html))).alias("link_no", "link")).select("url", "link_no", "link.target", "link.anchor")
+
+
+LINKS = "array<struct<target:string,anchor:string>>"
+#: An anchor element: its address, quoted or not, and what stands in it.
+LINK = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>(.*?)</a\s*>"""
+
+
+def links_of(html: Column) -> Column:
+    """A page's links in order, as an array of target and anchor; tags within an anchor are left out."""
+    def one(a: Column) -> Column:
+        target = F.regexp_replace(F.regexp_extract(a, LINK, 1), "^[\"']|[\"']$", "")
+        anchor = F.regexp_replace(F.regexp_replace(F.regexp_extract(a, LINK, 2), "<[^>]*>", ""), r"\s+", " ")
+        return F.struct(F.trim(target).alias("target"), F.trim(anchor).alias("anchor"))
+
+    return F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(LINK), F.lit(0)), one)

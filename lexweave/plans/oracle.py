@@ -309,6 +309,8 @@ PAGES = r"""
 pv AS MATERIALIZED (
   SELECT page_id, url, page_id % 3 AS segment_id, page_id * 1000 AS fetched, html,
     trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\s\x{000b}]+', ' ', 'g')) AS content,
+    array_to_string([trim(regexp_replace(regexp_extract(a, 'href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1, 'i'), '^["'']|["'']$', '', 'g')) || ' ' ||
+      trim(regexp_replace(regexp_replace(a, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) FOR a IN regexp_extract_all(html, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)[^>]*>.*?</a\s*>')], chr(10)) AS links,
     nullif(lower(regexp_extract(regexp_extract(html, '(?i)<html[^>]*>'), '(?i)\slang\s*=\s*"*([^\s=">]+)"*', 1)), '') AS lang FROM pages)
 """
 MERGED = PAGES + """,
@@ -316,7 +318,7 @@ every_page AS (
   SELECT page_id, url, segment_id, fetched, lang, content FROM pv
   UNION ALL SELECT page_id, url, segment_id, fetched + 500, 'xx', CASE WHEN page_id % 4 = 0 THEN content || ' new' ELSE content END FROM pv WHERE page_id % 2 = 0),
 merged AS MATERIALIZED (
-  SELECT e.url, e.segment_id, e.fetched, coalesce(p.lang, CASE WHEN e.page_id % 2 = 0 THEN 'xx' END) AS lang, e.content FROM (
+  SELECT e.url, e.segment_id, e.fetched, p.page_id, length(p.html) AS size, p.links, coalesce(p.lang, CASE WHEN e.page_id % 2 = 0 THEN 'xx' END) AS lang, e.content FROM (
     SELECT *, row_number() OVER (PARTITION BY url, content ORDER BY fetched, segment_id) AS r FROM every_page) e JOIN pv p ON p.url = e.url WHERE r = 1)
 """
 DETECT = """
@@ -471,8 +473,8 @@ def all_sql() -> dict[str, str]:
             ks AS (SELECT unnest([1, 5, 10, 20, 30, 40, 50, 60, 80, 100, 200, 300, 400, 500]) AS k)""", select="SELECT bin, k::INT AS k, round(100 * avg(CASE WHEN b <= k THEN 1.0 ELSE 0.0 END), 2) AS accuracy, count(*) AS in_dict, 'context' AS ranking FROM gold, ks GROUP BY bin, k"),
         "page_languages_filled": "WITH" + PROFILES.format(learnt="doc_id % 3 = 0") + """SELECT doc_id::VARCHAR AS url, unnest([1, 2])::INT AS segment_id, CASE WHEN d.doc_id % 3 = 0 THEN d.lang WHEN t.reliable THEN t.lang END AS lang FROM documents d LEFT JOIN told t USING (doc_id)""",
         "lang_profiles": "WITH" + PROFILES.format(learnt="doc_id % 4 <> 2") + "SELECT doc_id, t.lang, t.distance, coalesce(t.reliable, false) AS reliable FROM documents d LEFT JOIN told t USING (doc_id)",
-        "pages_versions": "WITH" + PAGES + "SELECT url, segment_id, fetched, lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, md5(content) AS content_md5 FROM pv WHERE content <> ''",
-        "pages_merge": "WITH" + MERGED + "SELECT url, segment_id, fetched, lang, md5(content) AS content_md5 FROM merged",
+        "pages_versions": "WITH" + PAGES + "SELECT url, segment_id, fetched, lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, md5(content) AS content_md5, 'size=' || length(html) || ',' || length(html) || ' characters' || CASE WHEN title <> '' THEN ';title=' || title ELSE '' END AS meta, links FROM pv WHERE content <> ''",
+        "pages_merge": "WITH" + MERGED + "SELECT url, segment_id, fetched, lang, md5(content) AS content_md5, CASE WHEN page_id % 2 = 0 THEN 'again=yes;' ELSE '' END || 'crawl=first;size=' || size || ',' || size || ' characters' AS props, links FROM merged",
         "page_html_lang": "WITH" + PAGES + "SELECT url, lang FROM pv",
         "page_url_lang": "WITH" + NEWS + "SELECT url, CASE WHEN page_id % 8 = 7 THEN NULL ELSE lang END AS lang FROM told",
         "page_dates": "WITH" + NEWS + "SELECT url, lang, modified FROM told",
@@ -483,6 +485,8 @@ def all_sql() -> dict[str, str]:
         "page_bbc_english": "SELECT page_id, page_id % 7 NOT IN (4, 5) AND page_id % 3 < 2 AS english FROM pages",
         "classes_met": sql(BASE, select=f"SELECT * FROM ({classes.format(stem='stem[1:5]')}) WHERE (side, stem) IN (SELECT side, stem[1:5] FROM vocab WHERE n > 20)"),
         "common_topics": sql(BASE, ", sl AS (SELECT rn, unnest(string_split(src, '')) AS x FROM dict), tl AS (SELECT rn, unnest(string_split(trg, '')) AS x FROM dict)", select="SELECT src, trg, count(t.x) AS common FROM dict JOIN sl USING (rn) LEFT JOIN tl t ON t.rn = dict.rn AND t.x = sl.x GROUP BY src, trg"),
+        "json_trees": """SELECT event_id, (props->>'$.k')::BIGINT AS k, event_id % 7 AS tag, true AS on, -1::BIGINT AS wrong, '-' AS missing, 3 AS tags, 'VOID' AS second, 'OBJECT' AS kind,
+            '["' || event_type || '",null,' || (event_id % 7) || ',[1]]' AS longer FROM events""",
         "json_fields": "SELECT event_id, (props->>'$.k')::BIGINT AS k, -1::BIGINT AS missing, to_json(struct_pack(id := event_id, type := event_type))::VARCHAR AS built FROM events",
     }
     for name, (weight, kind) in {"binary": ("binary", "cosine"), "s0": ("count", "cosine"), "s1": ("idf", "cosine"), "s2": ("idf", "dice"), "s3": ("idf", "dice_cosine"), "tfidf": ("idf", "product")}.items():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import languages as L
@@ -43,19 +43,36 @@ def news_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def described() -> Column:
+    """A page's metadata, a key with two values, and one without any."""
+    size = F.length("html").cast("string")
+    return F.create_map(F.lit("size"), F.array(size, F.concat(size, F.lit(" characters"))), F.lit("none"), F.array(F.lit(""))).alias("meta")
+
+
+def meta_text(column: str = "meta") -> Column:
+    """A map of lists as text, by key."""
+    return F.array_join(F.transform(F.sort_array(F.map_entries(column)), lambda e: F.concat(e.key, F.lit("="), F.array_join(e.value, ","))), ";")
+
+
+def links_text() -> Column:
+    return F.array_join(F.transform("links", lambda x: F.concat(x.target, F.lit(" "), x.anchor)), "\n")
+
+
 def recrawled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two datasets: the pages, and a later crawl of the even ones, of which every fourth has new content."""
-    first = tables.page_versions(spark, sf_dir).select("url", "segment_id", "fetched", F.lit(None).cast("long").alias("modified"), L.html_language(F.col("html")).alias("lang"), "content")
-    later = first.where("fetched / 1000 % 2 = 0").withColumns({"content": F.when(F.col("fetched") / 1000 % 4 == 0, F.concat("content", F.lit(" new"))).otherwise(F.col("content")), "fetched": F.col("fetched") + 500, "lang": F.lit("xx")})
+    first = tables.page_versions(spark, sf_dir).select("url", "segment_id", "fetched", F.lit(None).cast("long").alias("modified"), L.html_language(F.col("html")).alias("lang"), "content", described(), P.links_of(F.col("html")).alias("links"))
+    again = F.create_map(F.lit("crawl"), F.array(F.lit("second")), F.lit("again"), F.array(F.lit("yes"), F.lit("")))
+    first = first.withColumn("meta", F.map_concat("meta", F.create_map(F.lit("crawl"), F.array(F.lit("first")))))
+    later = first.where("fetched / 1000 % 2 = 0").withColumns({"content": F.when(F.col("fetched") / 1000 % 4 == 0, F.concat("content", F.lit(" new"))).otherwise(F.col("content")), "fetched": F.col("fetched") + 500, "lang": F.lit("xx"), "meta": again})
     return first, later
 
 
 def crawl_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(url, segment_id, kind, fetched, modified, html, title, content): the pages as a crawl's four kinds of records."""
+    """(url, segment_id, kind, fetched, modified, html, title, content, meta, links): the pages as a crawl's four kinds of records."""
     base = tables.page_versions(spark, sf_dir)
-    empty = {"fetched": "long", "modified": "long", "html": "string", "title": "string", "content": "string"}
+    empty = {"fetched": "long", "modified": "long", "html": "string", "title": "string", "content": "string", "meta": "map<string,array<string>>", "links": P.LINKS}
     title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
-    kinds = {"fetch": {"fetched": F.col("fetched")}, "raw": {"html": F.col("html")}, "parse": {"title": title}, "text": {"content": F.col("content")}}
+    kinds = {"fetch": {"fetched": F.col("fetched")}, "raw": {"html": F.col("html"), "meta": described()}, "parse": {"title": title, "links": P.links_of(F.col("html")), "meta": F.create_map(F.lit("size"), F.array(F.lit("0")), F.lit("title"), F.array(title))}, "text": {"content": F.col("content")}}
     out = None
     for kind, own in kinds.items():
         rows = base.select("url", "segment_id", F.lit(kind).alias("kind"), *((own[c] if c in own else F.lit(None)).cast(t).alias(c) for c, t in empty.items()))

@@ -171,11 +171,14 @@ def _dumped(i: Induction) -> DataFrame:
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = PG.build_versions(pages.crawl_records(spark, sf_dir))
-    return built.select("url", "segment_id", "fetched", "lang", "title", F.md5("content").alias("content_md5"))
+    return built.select("url", "segment_id", "fetched", "lang", "title", F.md5("content").alias("content_md5"), pages.meta_text().alias("meta"), pages.links_text().alias("links"))
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PG.merge(*pages.recrawled(spark, sf_dir)).select("url", "segment_id", "fetched", "lang", F.md5("content").alias("content_md5"))
+    """Merged versions with their links, and each page's metadata."""
+    datasets = pages.recrawled(spark, sf_dir)
+    merged = PG.merge(*datasets).join(PG.merged_properties(*datasets), "url", "left")
+    return merged.select("url", "segment_id", "fetched", "lang", F.md5("content").alias("content_md5"), pages.meta_text("props").alias("props"), pages.links_text().alias("links"))
 
 
 def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,6 +228,17 @@ def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "events").select("event_id", J.opt(props, "k", "bigint").alias("k"), J.opt(props, "missing", "bigint", -1).alias("missing"), J.build(id=F.col("event_id"), type=F.col("event_type")).alias("built"))
 
 
+def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of events inside a tree of objects and arrays, read by path and kind; some values are missing or of another kind."""
+    text = F.concat(F.lit('{"id":'), "event_id", F.lit(',"tags":["'), "event_type", F.lit('",null,'), F.col("event_id") % 7, F.lit('],"nest":{"props":'), "props", F.lit(',"on":true}}'))
+    rows = tables.read(spark, sf_dir, "events").select("event_id", "event_type", J.parse(text).alias("t"))
+    return rows.select(
+        "event_id", J.get(F.col("t"), "nest.props.k", "bigint").alias("k"), J.get(F.col("t"), "tags[2]", "bigint").alias("tag"), J.get(F.col("t"), "nest.on", "boolean").alias("on"),
+        J.get(F.col("t"), "nest.props", "bigint", -1).alias("wrong"), J.get(F.col("t"), "nest.none", "string", "-").alias("missing"), F.size(J.get(F.col("t"), "tags", "array<variant>")).alias("tags"),
+        J.kind_of(F.col("t"), "tags[1]").alias("second"), J.kind_of(F.col("t"), "nest").alias("kind"), J.with_element(F.col("t"), "tags", J.parse(F.lit("[1]"))).alias("longer"),
+    )
+
+
 _ORDER = ("b_mono", "b_swap", "b_disc", "a_mono", "a_swap", "a_disc")
 
 _STEPS: dict[str, Callable[[Induction], DataFrame]] = {
@@ -324,6 +338,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lang_detect": _detect,
     "lang_profiles": _profiles,
     "json_fields": _json,
+    "json_trees": _trees,
 }
 
 

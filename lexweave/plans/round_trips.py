@@ -134,9 +134,25 @@ def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    version = tables.page_versions(spark, sf_dir).select("url", "segment_id", "fetched", F.lit(None).cast("long").alias("modified"), F.lit("en").alias("lang"), "html").withColumnRenamed("html", "content")
+    version = tables.page_versions(spark, sf_dir).select("url", "segment_id", "fetched", F.lit(None).cast("long").alias("modified"), F.lit("en").alias("lang"), pages.described(), PG.links_of(F.col("html")).alias("links"), "html").withColumnRenamed("html", "content")
     sinks.pages_xml(version, path := files.scratch(spark))
-    return readers.pages_xml(spark, f"{path}/lang=en").select("url", F.col("segment_id").cast("long").alias("segment_id"), "fetched", "lang", F.md5("content").alias("content_md5"))
+    return readers.pages_xml(spark, f"{path}/lang=en").select("url", F.col("segment_id").cast("long").alias("segment_id"), "fetched", "lang", F.md5("content").alias("content_md5"), pages.meta_text().alias("meta"), pages.links_text().alias("links"))
+
+
+def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl's segments as sequence files, written, read and built."""
+    folder, records, read = files.scratch(spark), pages.crawl_records(spark, sf_dir), None
+    for segment in range(3):
+        for kind in ("fetch", "raw", "parse", "text"):
+            sinks.crawl_sequences(records.where((F.col("segment_id") == segment) & (F.col("kind") == kind)), folder, str(segment), kind)
+        rows = readers.crawl_sequences(spark, folder, str(segment))
+        read = rows if read is None else read.unionByName(rows)
+    return _built(read)
+
+
+def _built(records: DataFrame) -> DataFrame:
+    built = PG.build_versions(records)
+    return built.select("url", F.col("segment_id").cast("long").alias("segment_id"), "fetched", "lang", "title", F.md5("content").alias("content_md5"), pages.meta_text().alias("meta"), pages.links_text().alias("links"))
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,8 +162,7 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     for path in files.matching(spark, f"{folder}/parts/segment=*/kind=*"):
         segment, kind = (x.split("=")[1] for x in path.rsplit("/", 2)[1:])
         files.rename(spark, path, f"{folder}/segments/{segment}/{kind}")
-    built = PG.build_versions(readers.crawl_chunks(spark, folder))
-    return built.select("url", F.col("segment_id").cast("long").alias("segment_id"), "fetched", "lang", "title", F.md5("content").alias("content_md5"))
+    return _built(readers.crawl_chunks(spark, folder))
 
 
 def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,6 +204,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "file_phrase_table": _table,
     "file_pages_xml": _xml,
     "files_crawl_segments": _segments,
+    "files_crawl_sequences": _sequences,
     "file_class_cache": _cached,
     "files_by_language": _by_language,
     "files_dated_corpus": _dated,
@@ -218,8 +234,9 @@ def oracle_sql() -> dict[str, str]:
         "file_stop_words": f"{on_dict}SELECT 'src' AS side, src AS word FROM dict UNION SELECT 'src', trg FROM dict",
         "file_phrase_list": f"{on_dict}SELECT src AS phrase FROM dict UNION SELECT src || ' ' || trg FROM dict",
         "file_phrase_table": f"{on_dict}SELECT src || ' ' || src AS src, trg, '[[0],null]' AS fwd, '[[0]]' AS bwd, 0.5::DOUBLE AS fe, 0.25::DOUBLE AS lex_fe, 0.125::DOUBLE AS ef, 0.75::DOUBLE AS lex_ef, 2.718::DOUBLE AS penalty FROM dict",
-        "file_pages_xml": f"WITH {PAGES} SELECT url, segment_id, fetched, 'en' AS lang, md5(html) AS content_md5 FROM pv",
+        "file_pages_xml": f"WITH {PAGES} SELECT url, segment_id, fetched, 'en' AS lang, md5(html) AS content_md5, 'none=;size=' || length(html) || ',' || length(html) || ' characters' AS meta, links FROM pv",
         "files_crawl_segments": shared["pages_versions"],
+        "files_crawl_sequences": shared["pages_versions"],
         "file_class_cache": shared["prefix_classes"],
         "files_by_language": "SELECT CASE WHEN doc_id % 5 <> 0 AND lang IS NOT NULL THEN lang ELSE 'none' END AS lang, count(*) AS pages, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1",
         "files_dated_corpus": "SELECT lang, day, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM (SELECT lang, (DATE '2010-01-01' + (doc_id % 30)::INT)::DATE::VARCHAR AS day, unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang IS NOT NULL AND doc_id % 7 <> 0) GROUP BY 1, 2",

@@ -162,19 +162,39 @@ def phrase_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pages_xml(spark: SparkSession, path: str) -> DataFrame:
-    """(url, segment_id, fetched, modified, lang, content) of <Page> elements; contents are decoded."""
-    schema = "_URL string, _lang string, PageVersion array<struct<_segment:string,_fetched:bigint,_modified:bigint,ParsedContent:string>>"
+    """(url, segment_id, fetched, modified, lang, content, meta, links) of <Page> elements; contents are decoded, what a
+    version lacks of metadata and links is empty."""
+    nested = "Metadata:array<struct<_key:string,Value:array<string>>>,Link:array<struct<_to:string,_anchor:string>>"
+    schema = f"_URL string, _lang string, PageVersion array<struct<_segment:string,_fetched:bigint,_modified:bigint,ParsedContent:string,{nested}>>"
     pages = spark.read.format("xml").option("rowTag", "Page").schema(schema).load(path)
     one = pages.select(F.col("_URL").alias("url"), F.col("_lang").alias("lang"), F.explode("PageVersion").alias("v"))
-    return one.select("url", F.col("v._segment").alias("segment_id"), F.col("v._fetched").alias("fetched"), F.col("v._modified").alias("modified"), "lang", F.decode(F.unbase64("v.ParsedContent"), "UTF-8").alias("content"))
+    entries = F.transform("v.Metadata", lambda e: F.struct(e["_key"].alias("key"), e.Value.alias("value")))
+    meta = F.map_from_entries(F.coalesce(entries, F.array().cast("array<struct<key:string,value:array<string>>>")))
+    links = F.coalesce(F.transform("v.Link", lambda x: F.struct(x["_to"].alias("target"), F.coalesce(x["_anchor"], F.lit("")).alias("anchor"))), F.array().cast("array<struct<target:string,anchor:string>>"))
+    return one.select("url", F.col("v._segment").alias("segment_id"), F.col("v._fetched").alias("fetched"), F.col("v._modified").alias("modified"), "lang", F.decode(F.unbase64("v.ParsedContent"), "UTF-8").alias("content"), meta.alias("meta"), links.alias("links"))
 
 
 def crawl_chunks(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("fetch", "raw", "parse", "text")) -> DataFrame:
     """A crawl's records from <folder>/segments/<id>/<kind>/*.json, each kind to be left out at will."""
     from ..operators.pages import segment_of
 
-    schema = "url string, fetched bigint, modified bigint, html string, title string, content string"
-    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").json(f"{folder}/segments")
+    rows = spark.read.schema(RECORD).option("recursiveFileLookup", "true").json(f"{folder}/segments")
     path = F.col("_metadata.file_path")
     rows = rows.select("*", segment_of(path).alias("segment_id"), F.regexp_extract(path, r"/segments/[^/]+/([^/]+)/", 1).alias("kind"))
     return rows.where(F.col("kind").isin(*kinds))
+
+
+#: Fields of a crawl's record; a kind of record has some of them.
+RECORD = "url string, fetched bigint, modified bigint, html string, title string, content string, meta map<string,array<string>>, links array<struct<target:string,anchor:string>>"
+
+
+def crawl_sequences(spark: SparkSession, folder: str, segment: str, kinds: tuple[str, ...] = ("fetch", "raw", "parse", "text")) -> DataFrame:
+    """A segment's records from Hadoop sequence files <folder>/segments/<segment>/<kind>: address and record, both Text, the
+    record as JSON. Each kind may be left out. No DataFrame source reads such files, so their pairs come from an RDD."""
+    out = None
+    for kind in kinds:
+        pairs = spark.sparkContext.sequenceFile(f"{folder}/segments/{segment}/{kind}", "org.apache.hadoop.io.Text", "org.apache.hadoop.io.Text")
+        rows = spark.createDataFrame(pairs, "url string, record string").select("url", F.from_json("record", RECORD).alias("r"))
+        rows = rows.select("url", *(F.col(f"r.{c}") for c in ("fetched", "modified", "html", "title", "content", "meta", "links")), F.lit(segment).alias("segment_id"), F.lit(kind).alias("kind"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

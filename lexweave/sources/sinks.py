@@ -14,12 +14,24 @@ def by_language(pages: DataFrame, path: str) -> None:
 
 
 def pages_xml(pages: DataFrame, path: str) -> None:
-    """<Page> elements by language, contents in base64."""
-    version = F.struct(F.col("segment_id").cast("string").alias("_segment"), F.col("fetched").alias("_fetched"), F.col("modified").alias("_modified"), F.base64(F.encode("content", "UTF-8")).alias("ParsedContent"))
+    """<Page> elements by language, contents in base64; metadata (meta) and links, where there are such columns, by version."""
+    nested = []
+    if "meta" in pages.columns:
+        nested.append(F.transform(F.sort_array(F.map_entries("meta")), lambda e: F.struct(e.key.alias("_key"), e.value.alias("Value"))).alias("Metadata"))
+    if "links" in pages.columns:
+        nested.append(F.transform("links", lambda x: F.struct(x.target.alias("_to"), x.anchor.alias("_anchor"))).alias("Link"))
+    version = F.struct(F.col("segment_id").cast("string").alias("_segment"), F.col("fetched").alias("_fetched"), F.col("modified").alias("_modified"), F.base64(F.encode("content", "UTF-8")).alias("ParsedContent"), *nested)
     rows = pages.groupBy(F.col("url").alias("_URL"), F.col("lang").alias("_lang")).agg(F.sort_array(F.collect_list(version)).alias("PageVersion"))
     rows.withColumn("lang", F.coalesce("_lang", F.lit("none"))).write.partitionBy("lang").format("xml").option("rootTag", "Pages").option("rowTag", "Page").save(path)
 
 
+def crawl_sequences(records: DataFrame, folder: str, segment: str, kind: str) -> None:
+    """Records of one segment and kind as Hadoop sequence files of address and JSON; see readers.crawl_sequences."""
+    fields = [c for c in ("fetched", "modified", "html", "title", "content", "meta", "links") if c in records.columns]
+    pairs = records.select("url", F.to_json(F.struct(*fields)).alias("record"))
+    pairs.rdd.map(tuple).saveAsSequenceFile(f"{folder}/segments/{segment}/{kind}")
+
+
 def dated_corpus(corpus: DataFrame, path: str) -> None:
     """Folders lang, year and day, to which later runs add; rejected rows, and those without a language of letters or
     without a day, go to a folder of their own."""
