@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .counting import count_words
 from .edit import product
-from .vocab import token_rows
 
 
 def collect_words(sents: DataFrame, stems: DataFrame) -> DataFrame:
     """(side, stem, bin, v): occurrences by day of the given classes, which are looked up among the counts."""
-    counted = token_rows(sents, "side", "day_idx").groupBy("side", "stem", F.col("day_idx").alias("bin")).agg(F.count("*").cast("double").alias("v"))
+    counted = count_words(sents, "side", "day_idx").select("side", "stem", F.col("day_idx").alias("bin"), F.col("n").cast("double").alias("v"))
     return counted.join(stems.select("side", "stem"), ["side", "stem"], "left_semi")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.draws import order_of
 from . import matcher as M
+from .counting import count_words
 from .sizes import held
 
 
@@ -30,7 +31,7 @@ def token_rows(sents: DataFrame, *columns: str) -> DataFrame:
 
 def word_counts(sents: DataFrame) -> DataFrame:
     """(side, stem, n)"""
-    return token_rows(sents, "side").groupBy("side", "stem").agg(F.count("*").alias("n"))
+    return count_words(sents, "side")
 
 
 def not_garbage(word: str = "stem") -> Column:
