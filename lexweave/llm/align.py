@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, settle
+from .common import settle
 from .packing import byte_alphabet
-from .pieces import gather, lists, piece_bpe
+from .pieces import gather, lists, map_texts, piece_bpe
 
+#: Bytes of text that are aligned together; arrays of their tokens and links take some hundred times as much.
+BYTES = 1 << 20
 #: Parts that an id pair's rows are dealt to before they are added up.
 SALT = 16
 #: Pairs whose counts go to every task: the most frequent ones, about 2 MB. The others meet their documents in a join.
@@ -134,7 +136,7 @@ def align_texts(df: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id",
         }
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_slices(rows, ALIGNED, run)
+    return map_texts(rows, ALIGNED, BYTES, run)
 
 
 def pair_counts(opened: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -12,11 +13,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import map_batches, map_slices
 
 MARK = "▁"
 #: Characters of chunks that a worker keeps segmented, and the longest chunk that it keeps.
-KEPT, LONGEST = 8_000_000, 64
+KEPT, LONGEST = 6_000_000, 64
+#: Bytes of text that are encoded together.
+BYTES = 1 << 22
 #: The rank of a pair that makes no piece.
 NO_PIECE = 1 << 30
 
@@ -71,27 +74,32 @@ class PieceBpe:
         ranks = {s: i for i, s in enumerate(sorted(set(self.score.values()), reverse=True))}
         made = sorted((self.id[p[:k]] * len(self.offset) + self.id[p[k:]], ranks[s], self.id[p]) for p, s in self.score.items() for k in range(1, len(p)) if p[:k] in self.id and p[k:] in self.id)
         self.pairs, self.pair_rank, self.pair_piece = (np.array(x, np.int64) for x in zip(*made, strict=True))
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         self.held = 0
 
-    def segment(self, chunks: list[str]) -> list[list[int]]:
-        """Ids of each chunk: the neighbours of the best score merge, the leftmost first, until no two make a piece.
+    def segment(self, chunks: list[str]) -> list[bytes]:
+        """Ids (32-bit) of each chunk: the neighbours of the best score merge, the leftmost first, until no two make a piece.
 
         Chunks of up to LONGEST characters go side by side through arrays, one merge a chunk and round.
         """
-        out: list[list[int]] = [[] for _ in chunks]
+        out = [b""] * len(chunks)
         short = [i for i, c in enumerate(chunks) if len(c) <= LONGEST]
-        flat, ends = self.merge_rounds([chunks[i] for i in short]) if short else (np.empty(0, np.int64), [])
-        flat, at = flat.tolist(), 0
-        for i, end in zip(short, ends, strict=True):
-            ids = flat[at:end]
-            out[i] = ids if min(ids) >= 0 else [x for t in ids for x in ((t,) if t >= 0 else self.spelt(chr(~t)))]
-            at = end
+        if short:
+            flat, ends = self.merge_rounds([chunks[i] for i in short])
+            starts = np.concatenate([[0], ends[:-1]])
+            raw, lost = flat.astype(np.int32).tobytes(), np.minimum.reduceat(flat, starts) < 0
+            for i, x, y in zip(short, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
+                out[i] = raw[x:y]
+            for k in np.flatnonzero(lost):
+                out[short[k]] = self.packed(self.spelt(chr(~t)) if t < 0 else [t] for t in flat[starts[k] : ends[k]].tolist())
         for i, chunk in enumerate(chunks):
             if len(chunk) > LONGEST:
-                out[i] = [x for p in self.merged_long(chunk) for x in ((self.id[p],) if p in self.id else self.spelt(p))]
+                out[i] = self.packed([self.id[p]] if p in self.id else self.spelt(p) for p in self.merged_long(chunk))
         return out
 
+    def packed(self, ids: Iterable[list[int]]) -> bytes:
+        return np.fromiter(chain.from_iterable(ids), np.int32).tobytes()
+
     def spelt(self, text: str) -> list[int]:
         return [self.byte[b] for b in text.encode()]
 
@@ -153,17 +161,18 @@ class PieceBpe:
                 heapq.heappush(heap, (-s, h, len(parts[h]) + size))
         return [p for p in parts if p is not None]
 
-    def table(self, chunks: list[str]) -> list[list[int]]:
+    def table(self, chunks: list[str]) -> list[bytes]:
         """Ids of distinct chunks; those not known yet are segmented together."""
-        new = [c for c in chunks if c not in self.known]
         if self.held > KEPT:
             self.known.clear()
-            self.held, new = 0, chunks
-        fresh = dict(zip(new, self.segment(new), strict=True))
-        out = [fresh[c] if c in fresh else self.known[c] for c in chunks]
-        fresh = {c: ids for c, ids in fresh.items() if len(c) <= LONGEST}
-        self.known |= fresh
-        self.held += sum(map(len, fresh))
+            self.held = 0
+        out = list(map(self.known.get, chunks))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(new, self.segment([chunks[i] for i in new]), strict=True):
+            out[i] = ids
+            if len(c := chunks[i]) <= LONGEST:
+                self.known[c] = ids
+                self.held += len(c)
         return out
 
     def chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -189,8 +198,8 @@ class PieceBpe:
         chunks, counts = self.chunks(pc.fill_null(texts, "").cast(pa.large_string()))
         table = chunks.dictionary_encode()
         pieces = self.table(table.dictionary.to_pylist())
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
-        flat = np.fromiter(chain.from_iterable(pieces), np.int32, offsets[-1])
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64) // 4
+        flat = np.frombuffer(b"".join(pieces), np.int32)
         ids, ends = gather(flat, offsets, table.indices.to_numpy().astype(np.int64))
         return ids, np.concatenate([[0], ends]).astype(np.int64)[np.cumsum(counts)]
 
@@ -239,6 +248,30 @@ def lists(flat: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat, kind))
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts have at most ``most`` bytes together, or a single text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def map_texts(df: DataFrame, schema: str, most: int, fn: Callable[[pa.RecordBatch], dict]) -> DataFrame:
+    """mapInArrow over (doc_id, text) in slices of at most ``most`` bytes of text, which bounds what a worker holds."""
+    columns = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in by_bytes(batch, 1, most):
+                out = fn(piece)
+                yield pa.RecordBatch.from_pydict({c: out[c] for c in columns})
+
+    return map_batches(df, run, schema)
+
+
 def encode_texts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of every whole text, without begin or end: doc_id, n_tokens, ids (array of int).
 
@@ -253,7 +286,7 @@ def encode_texts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
         return {"doc_id": batch.column(0), "n_tokens": pa.array(np.diff(ends, prepend=0), pa.int64()), "ids": lists(ids, ends, pa.int32())}
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_slices(rows, "doc_id long, n_tokens long, ids array<int>", run)
+    return map_texts(rows, "doc_id long, n_tokens long, ids array<int>", BYTES, run)
 
 
 def decode_ids(df: DataFrame, model: str) -> DataFrame:
