@@ -403,6 +403,17 @@ def most_frequent(counted: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r.word), r.n) for r in ranked.where(F.col("step") >= least).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
 
 
+def start_sample(train_docs: DataFrame, n_docs: int, start: int) -> DataFrame:
+    """The texts of about ``start`` of ``n_docs`` documents, chosen and ordered by a hash (ties by text), in one partition.
+
+    They are found where the documents lie, in as many tasks as any scan has; only what is chosen comes together. Rows that
+    agree in id and text have one hash: all or none of them are chosen.
+    """
+    mark = F.pmod(F.xxhash64("doc_id", "text", F.lit("lm")), F.lit(1 << 40))
+    chosen = train_docs.select("text", mark.alias("mark")).where(F.col("mark") < int((1 << 40) * min(1, start / max(n_docs, 1))))
+    return chosen.repartition(1).sortWithinPartitions("mark", "text").select("text")
+
+
 def learn(train_docs: DataFrame, vocab: Vocabulary, n_docs: int, rounds: int = ROUNDS, start: int = START) -> tuple[Gru, int]:
     """Trains the network on the cluster; gives it and the number of tokens of the averaged rounds.
 
@@ -435,13 +446,11 @@ def learn(train_docs: DataFrame, vocab: Vocabulary, n_docs: int, rounds: int = R
 
         return run
 
-    mark = F.pmod(F.xxhash64("doc_id", "text", F.lit("lm")), F.lit(1 << 40))
     schema = "tokens long, weights binary"
-    first = train_docs.where(mark < int((1 << 40) * min(1, start / max(n_docs, 1)))).select("text").coalesce(1)
     model = Gru(vocab)
     if not n_docs:
         return model, 0
-    row = map_batches(first, trainer(None, 0.02), schema).first()
+    row = map_batches(start_sample(train_docs, n_docs, start), trainer(None, 0.02), schema).first()
     weights, learnt = bytes(row.weights) if row else model.packed(), 0
 
     def average(pdf):

@@ -26,6 +26,16 @@ def test_base_scores_and_held_out_gain(spark):
     assert sum(better) > 0 and sum(x > 0 for x in better) > 0.7 * len(better)
 
 
+def test_start_sample_is_found_in_many_tasks(spark):
+    docs = spark.range(0, 4000, 1, 12).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    some = lm.start_sample(docs, 4000, 300)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and plan.index("Exchange SinglePartition") < plan.index("Filter") and some.rdd.getNumPartitions() == 1
+    texts = [r.text for r in some.collect()]
+    assert 200 < len(texts) < 400 and texts == [r.text for r in lm.start_sample(docs.repartition(5), 4000, 300).collect()]
+    assert lm.start_sample(docs.unionByName(docs), 4000, 300).count() == 2 * len(texts)  # ties by hash: all or none
+
+
 def small_model():
     top = [(f"w{i}".encode(), 300 - i) for i in range(150)]
     vocab = lm.vocabulary(top, 40, 500)
