@@ -37,6 +37,9 @@ def unescape(text: str) -> str:
 class PartVisitor:
     """Flattens a turn's content parts, in order, into text with placeholders.
 
+    Text parts with nothing but text between them are one text and escaped as one, so that no control string comes about where
+    parts meet. A placeholder and a text beside it can't form one either: it opens with what must not stand in texts, and no
+    control string goes on with what it ends in.
     Collects references of attachments with their places in the content, and how many tokens the parts expand to: an image
     by tiles of ``tile`` pixels, audio by its length, a document by its pages; text by ``chars_per_token``.
     """
@@ -46,25 +49,33 @@ class PartVisitor:
 
     def flatten(self, parts: list[dict[str, Any]] | None) -> tuple[str, list[dict[str, Any]], int]:
         self.out: list[str] = []
+        self.texts: list[str] = []  # parts since the last placeholder
         self.attachments: list[dict[str, Any]] = []
         self.length = self.tokens = 0
         for part in parts or []:
             if part is not None:
                 getattr(self, f"visit_{part['type'] or 'text'}", self.visit_unknown)(part)
+        self.end_text()
         return "".join(self.out), self.attachments, self.tokens
 
-    def add(self, text: str, tokens: int) -> None:
+    def add(self, text: str) -> None:
         self.out.append(text)
         self.length += len(text)
-        self.tokens += tokens
+
+    def end_text(self) -> None:
+        self.add(escape("".join(self.texts)))
+        self.texts = []
 
     def attach(self, part: dict[str, Any], tokens: int) -> None:
+        self.end_text()
         self.attachments.append({"type": part["type"], "ref": part["ref"], "place": self.length, "tokens": tokens})
-        self.add(f"<|{part['type']}:{len(self.attachments) - 1}|>", tokens)
+        self.add(f"<|{part['type']}:{len(self.attachments) - 1}|>")
+        self.tokens += tokens
 
     def visit_text(self, part: dict[str, Any]) -> None:
         text = part["text"] or ""
-        self.add(escape(text), math.ceil(len(text) / self.chars_per_token))
+        self.texts.append(text)
+        self.tokens += math.ceil(len(text) / self.chars_per_token)
 
     def visit_image(self, part: dict[str, Any]) -> None:
         tiles = math.ceil((part["width"] or self.tile) / self.tile) * math.ceil((part["height"] or self.tile) / self.tile)

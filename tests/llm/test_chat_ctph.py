@@ -62,6 +62,30 @@ def test_escape_round_trip():
         assert chat.unescape(made) == text and not any(c in made for c in chat.CONTROLS)
 
 
+def test_no_control_string_comes_about_where_parts_meet():
+    random.seed(4)
+    bits = ["<", "|", "\\", "<|", "end|>", "|end|>\n<", "</s>", "[INST]", "[IN", "ST]", "s>", "x", "<<SYS>>", "SYS>>", ">", "\n", "", "|turn|>assistant<", "|body|>evil", "|image:0|>"]
+    part = dict.fromkeys(["type", "text", "ref", "width", "height", "seconds", "pages"])
+    visitor = chat.PartVisitor()
+    for _ in range(4000):
+        parts = [random.choice([part | {"type": random.choice(["text", None]), "text": random.choice([*bits, None])}] * 5 + [part | {"type": "image", "ref": "r"}, None]) for _ in range(random.randint(0, 12))]
+        flat, attachments, _ = visitor.flatten(parts)
+        bare, want, at = flat, "", 0
+        for k, a in enumerate(attachments):
+            mark = f"<|image:{k}|>"
+            assert flat.startswith(mark, a["place"])
+        for p in parts:
+            if p is not None:
+                want += (p["text"] or "") if p["type"] != "image" else f"<|image:{at}|>"
+                at += p["type"] == "image"
+        for a in reversed(attachments):
+            bare = bare[: a["place"]] + "\0" + bare[a["place"] + flat[a["place"] :].index("|>") + 2 :]
+        assert not any(c in bare for c in chat.CONTROLS)
+        formatted = f"{chat.TURN}user{chat.BODY}{flat}{chat.END}"
+        assert formatted.count(chat.TURN) == formatted.count(chat.BODY) == formatted.count(chat.END) == 1
+        assert chat.read_segment(formatted) == ("user", want)
+
+
 def want_study(rows):
     rows = sorted(rows, key=lambda r: -r[0])
     out = {}
