@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -250,15 +251,15 @@ def build_graph(v: np.ndarray, s: Settings) -> np.ndarray:
     return table
 
 
-def range_search(v: np.ndarray, table: np.ndarray, queries: np.ndarray, threshold: float, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) of what the search reached at ``threshold`` less a margin for single precision; queries are nodes.
+def range_search(v: np.ndarray, table: np.ndarray, queries: np.ndarray, threshold: float, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) of what the search reached at ``threshold`` less a margin for single precision, a batch of queries at a time; queries are nodes.
 
     A greedy search with a beam starts at the medoids; then everything that lies within ``slack`` of the threshold is
     expanded until nothing new turns up. Only nodes that are reached are compared.
     """
     starts = medoids(v, s)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(queries), s.batch):
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         own = queries[at : at + s.batch]
         _, seen, (q, x, near) = greedy(v, table, v[own], starts, s.beam, threshold - s.slack)
         while len(q):
@@ -278,7 +279,7 @@ def range_search(v: np.ndarray, table: np.ndarray, queries: np.ndarray, threshol
                 next_x.append(y[keep])
                 next_near.append(close[keep])
             q, x, near = (np.concatenate(z) for z in (next_q, next_x, next_near))
-    return np.concatenate(left), np.concatenate(right)
+        yield np.concatenate(left), np.concatenate(right)
 
 
 def smallest_label(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -309,6 +310,76 @@ def tally(ids: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, coun
     return pa.table({"id": pa.array(ids), "linked": pa.array(linked), "root": pa.array(ids[smallest_label(len(ids), a, b)])})
 
 
+class Links:
+    """Links among ``n`` nodes, a bit each, read some rows at a time."""
+
+    ROWS = 256
+
+    def __init__(self, n: int):
+        self.n = n
+        self.bits = np.zeros((n, (n + 7) // 8), np.uint8)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        some, at = np.unique(i, return_inverse=True)
+        rows = np.zeros((len(some), self.n), bool)
+        rows[at, j] = True
+        self.bits[some] |= np.packbits(rows, axis=1, bitorder="little")
+
+    def rows(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """Slices of rows, with what each row links to or is linked from by a row; nothing where it has no link of its own side."""
+        for at in range(0, self.n, self.ROWS):
+            own = slice(at, min(at + self.ROWS, self.n))
+            there = np.unpackbits(self.bits[own], axis=1, count=self.n, bitorder="little").view(bool)
+            back = np.unpackbits(self.bits[:, at // 8 : (own.stop + 7) // 8], axis=1, bitorder="little").view(bool)[:, : own.stop - at].T
+            yield own, there | back
+
+
+def shard_links(t: pa.Table, threshold: float, s: Settings) -> pa.Table:
+    """(id, linked, root) of one shard's vectors (shard, id, size, v, home, shards, next); see link_counts().
+
+    Links are kept as bits, the square of the shard in eighths of a byte, and all counts are sums over some rows of them; no
+    list of pairs is held beyond a batch of queries.
+    """
+    t, ids, v = in_order(t, np.float64)
+    n, sizes, own, home = len(ids), np.array(t.column("size")), t.column("shard")[0].as_py(), np.array(t.column("home"))
+    lists = [np.array(a or [], np.int64) for a in t.column("next").to_pylist()]
+    table = np.full((n, max(1, max(map(len, lists)))), -1)
+    for i, a in enumerate(lists):
+        at = np.minimum(np.searchsorted(ids, a), n - 1)
+        at = at[ids[at] == a]
+        table[i, : len(at)] = at
+    found = Links(n)
+    for i, j in range_search(v.astype(np.float32), table, np.flatnonzero(home == own), threshold, s):
+        good = (i != j) & exact(v, i, j, threshold)
+        found.add(i[good], j[good])
+    homes, at_home = np.unique(home, return_inverse=True)
+    number = {h: k for k, h in enumerate(homes.tolist())}
+    held = np.zeros((n, len(homes)), bool)  # whether a vector lies in a shard that is some vector's home
+    for x, some in enumerate(t.column("shards").to_pylist()):
+        held[x, [number[h] for h in some if h in number]] = True
+    linked, label, before, mine = np.zeros(n, np.int64), np.arange(n), None, home == own
+    for rows, met in found.rows():
+        met = met & mine[rows, None]  # only what is at home here counts; a link between two such counts both ways
+        linked[rows] += met @ sizes
+        alone = met & ~mine & ~held[rows][:, at_home]
+        linked += sizes[rows] @ alone
+    while before is None or (label != before).any():
+        before = label.copy()
+        for rows, met in found.rows():
+            low = np.minimum(np.where(met, label, n).min(axis=1), label[rows])
+            label = np.minimum(label, np.where(met, low[:, None], n).min(axis=0))
+            label[rows] = np.minimum(label[rows], low)
+        label = label[label]
+    return pa.table({"id": pa.array(ids), "linked": pa.array(linked), "root": pa.array(ids[label])})
+
+
+def in_order(t: pa.Table, kind) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """A shard's rows by id, their ids and vectors."""
+    t = t.take(pa.array(np.argsort(np.array(t.column("id")))))
+    ids = np.array(t.column("id"))
+    return t, ids, np.array(t.column("v").combine_chunks().flatten(), kind).reshape(len(ids), -1)
+
+
 def link_counts(dealt: DataFrame, threshold: float, s: Settings) -> DataFrame:
     """(id, linked, root) a shard and vector: vectors linked with it that count here (copies counted) and the least id of its group here.
 
@@ -318,11 +389,6 @@ def link_counts(dealt: DataFrame, threshold: float, s: Settings) -> DataFrame:
     Cosines are taken in double precision.
     """
 
-    def in_order(t: pa.Table, kind) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-        t = t.take(pa.array(np.argsort(np.array(t.column("id")))))
-        ids = np.array(t.column("id"))
-        return t, ids, np.array(t.column("v").combine_chunks().flatten(), kind).reshape(len(ids), -1)
-
     def build(t: pa.Table) -> pa.Table:
         t, ids, v = in_order(t, np.float32)
         table = build_graph(v, s)
@@ -332,24 +398,7 @@ def link_counts(dealt: DataFrame, threshold: float, s: Settings) -> DataFrame:
     joined = built.select("id", F.explode("next").alias("next")).groupBy("id").agg(F.collect_set("next").alias("next"))  # degree times shards
 
     def search(t: pa.Table) -> pa.Table:
-        t, ids, v = in_order(t, np.float64)
-        sizes, own, home = np.array(t.column("size")), t.column("shard")[0].as_py(), np.array(t.column("home"))
-        lists = [np.array(a or [], np.int64) for a in t.column("next").to_pylist()]
-        table = np.full((len(ids), max(1, max(map(len, lists)))), -1)
-        for i, a in enumerate(lists):
-            at = np.minimum(np.searchsorted(ids, a), len(ids) - 1)
-            at = at[ids[at] == a]
-            table[i, : len(at)] = at
-        i, j = range_search(v.astype(np.float32), table, np.flatnonzero(home == own), threshold, s)
-        good = (i != j) & exact(v, i, j, threshold)
-        i, j = i[good], j[good]
-        both = home[j] == own  # at home here too: the link counts both ways, whichever search found it
-        pairs = np.unique(np.concatenate([i * len(ids) + j, (j * len(ids) + i)[both]]))
-        i, j = pairs // len(ids), pairs % len(ids)
-        shards = [set(x) for x in t.column("shards").to_pylist()]
-        alone = np.array([home[y] != own and int(home[y]) not in shards[x] for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
-        a, b = np.concatenate([i, j[alone]]), np.concatenate([j, i[alone]])
-        return tally(ids, sizes, a, b, np.ones(len(a), bool))
+        return shard_links(t, threshold, s)
 
     searched = dealt.join(joined, "id", "left").select("shard", "id", "size", "v", "home", "shards", "next")
     return settle(searched.groupBy("shard").applyInArrow(search, "id long, linked long, root long"))

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from lexweave.llm import queries, vecgraph
 
@@ -88,7 +91,7 @@ def test_graph_search_reaches_small_groups_beside_a_dense_one():
     s = vecgraph.Settings()
     table = vecgraph.build_graph(v, s)
     assert table.shape == (len(v), s.degree) and all(len(set(a[a >= 0])) == (a >= 0).sum() for a in table)
-    i, j = vecgraph.range_search(v, table, np.arange(len(v)), 0.95, s)
+    i, j = (np.concatenate(x) for x in zip(*vecgraph.range_search(v, table, np.arange(len(v)), 0.95, s), strict=True))
     near = v @ v.T >= 0.95
     found = np.eye(len(v), dtype=bool)
     found[i, j] = True
@@ -97,6 +100,37 @@ def test_graph_search_reaches_small_groups_beside_a_dense_one():
     assert recall.mean() > 0.99 and not (found & (v @ v.T < 0.948)).any()
 
 
+def test_a_dense_full_shard_is_counted_in_little_memory():
+    """Nearly all of 4,000 vectors link with each other: some 15 million pairs."""
+    rng = np.random.default_rng(1)
+    s, n = vecgraph.Settings(), vecgraph.Settings().most
+    v = np.concatenate([1 + rng.normal(size=(n - 40, 64)) * 0.16, rng.normal(size=(40, 64))])
+    v = np.array([vecgraph.unit(x) for x in v])
+    table = vecgraph.build_graph(v.astype(np.float32), s)
+    home = np.where(np.arange(n) % 10 == 3, 2, 1)
+    shard = pa.table({
+        "shard": [1] * n, "id": range(n), "size": [1 + i % 3 for i in range(n)], "v": v.tolist(), "home": home.tolist(),
+        "shards": [[1, 2] if h == 2 or i % 2 else [1] for i, h in enumerate(home.tolist())], "next": [a[a >= 0].tolist() for a in table],
+    })
+    tracemalloc.start()
+    out = vecgraph.shard_links(shard, 0.95, s)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6, peak
+    near = (v @ v.T >= 0.95) & ~np.eye(n, dtype=bool)
+    mine, sizes = home == 1, 1 + np.arange(n) % 3
+    found = np.zeros((n, n), bool)
+    for i, j in vecgraph.range_search(v.astype(np.float32), table, np.flatnonzero(mine), 0.95, s):
+        found[i, j] = True
+    found &= near
+    counted = (found | found.T) & mine[:, None]
+    assert found.sum() > 10_000_000 and counted.sum() > 0.95 * (near & mine[:, None]).sum()
+    lone = counted & ~mine & (np.arange(n) % 2 == 0)[:, None]  # a visitor whose home lacks the one that found it
+    assert (np.array(out.column("linked")) == counted @ sizes + sizes @ lone).all()
+    root = np.array(out.column("root"))
+    assert (root[: n - 40] == 0).all() and (root[n - 40 :] == np.arange(n - 40, n)).all()
+
+
 def test_ids_with_several_vectors_have_the_links_of_each(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (5, [1.0, 0.05]), (6, [0.05, 1.0]), (7, [-1.0, 0.3])]
     for parts in (1, 4):
