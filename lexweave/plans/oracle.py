@@ -370,6 +370,11 @@ def sql(*ctes: str, select: str) -> str:
     return "WITH " + "".join(ctes) + "\n" + select
 
 
+def full_size(query: str, sources: int, keep: int) -> str:
+    """A ranking's SQL with more sources and candidates."""
+    return query.replace(SOURCES, SOURCES.replace("rn <= 20", f"rn <= {sources}")).replace("rn <= 10)", f"rn <= {keep})")
+
+
 def all_sql() -> dict[str, str]:
     from ..operators.detect import FUNCTION_WORDS
 
@@ -422,6 +427,9 @@ def all_sql() -> dict[str, str]:
             SELECT stem, j::INT AS bin, sum(v) AS v FROM e WHERE j <= greatest(0, last - 2) GROUP BY 1, 2""",
         "time_normalized": """WITH d AS (SELECT user_id::VARCHAR AS stem, date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS bin, count(*)::DOUBLE AS v FROM events GROUP BY 1, 2)
             SELECT stem, bin, round(v / sum(v) OVER (PARTITION BY stem), 9) AS v FROM d""",
+        "time_guards": """WITH d AS (SELECT user_id AS u, date_diff('day', DATE '2024-01-01', ts::DATE) AS bin FROM events GROUP BY 1, 2)
+            SELECT 'tumbling 3' AS "window", false AS refused, count(*) AS bins FROM (SELECT DISTINCT u, bin // 3 FROM d)
+            UNION ALL SELECT w, true, (SELECT count(*) FROM d) FROM (SELECT unnest(['tumbling 0', 'sliding -1', 'tumbling normalised', 'sliding normalised']) AS w)""",
         "time_align": sql(BASE, TIME, select="SELECT side, count(DISTINCT bin) AS bins, sum(v) AS v FROM tdist WHERE bin IN (SELECT bin FROM bins) GROUP BY side"),
         "time_merge": "SELECT bin, stem, sum(CASE WHEN bin >= 10 AND bin < 15 THEN 2 ELSE 1 END)::DOUBLE AS v FROM (SELECT date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS bin, (user_id % 10)::VARCHAR AS stem FROM events) GROUP BY 1, 2",
         "score_time_cosine": sql(BASE, TIME, select="SELECT src, trg, round(score, 6) AS score FROM raw_time"),

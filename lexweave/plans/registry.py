@@ -25,7 +25,7 @@ from ..params import DEFAULTS, FULL, Params
 from ..sources import tables
 from . import induction, pages, phrase_scoring, round_trips
 from .fixtures import Induction
-from .oracle import all_sql
+from .oracle import all_sql, full_size
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return induction.context_ranking(Induction(spark, sf_dir))
 
 
-#: Rankings that are also registered, as NAME_full and without SQL, with the reference's sources and candidates.
+#: Rankings that are also registered, as NAME_full, with the reference's sources and candidates.
 _RANKINGS = ("rank_context", "rank_time", "rerank_time", "rank_dump", "accuracy_at_k")
 
 
@@ -140,6 +140,20 @@ def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "lang", "distance", "reliable")
 
 
+def _guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which ways to put daily counts into other bins are refused, and how many bins the others give."""
+    daily = tables.daily_events(spark, sf_dir)
+    ready, out = T.normalize(daily), None
+    for name, window, series, size in (("tumbling 3", T.tumbling, daily, 3), ("tumbling 0", T.tumbling, daily, 0), ("sliding -1", T.sliding, daily, -1), ("tumbling normalised", T.tumbling, ready, 3), ("sliding normalised", T.sliding, ready, 3)):
+        try:
+            bins = window(series, size).agg(F.count("*").alias("bins")).withColumn("refused", F.lit(False))
+        except ValueError:
+            bins = series.agg(F.count("*").alias("bins")).withColumn("refused", F.lit(True))
+        row = bins.select(F.lit(name).alias("window"), "refused", "bins")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def _time_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = tables.daily_events(spark, sf_dir).withColumn("stem", (F.col("stem").cast("long") % 10).cast("string"))
     early, late = daily.where("bin < 15"), daily.where("bin >= 10")
@@ -323,6 +337,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_languages_filled": _filled,
     "time_rebin_tumbling": lambda s, d: T.tumbling(tables.daily_events(s, d), 3),
     "time_rebin_sliding": lambda s, d: T.sliding(tables.daily_events(s, d), 3),
+    "time_guards": _guards,
     "time_normalized": lambda s, d: _rounded(T.normalize(tables.daily_events(s, d)), "v", digits=9),
     "time_merge": _time_merge,
     "pages_versions": _versions,
@@ -352,4 +367,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return all_sql() | round_trips.oracle_sql()
+    shared = all_sql()
+    twins = {f"{n}_full": shared[n] for n in (*_RANKINGS, "rank_edit", "rank_mrr", "rank_by_bin")} | {"accuracy_by_bin_full": shared["accuracy_by_bin_all"]}
+    return shared | round_trips.oracle_sql() | {n: full_size(q, FULL.sources, FULL.keep) for n, q in twins.items()}

@@ -66,6 +66,16 @@ def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summed(readers.open_corpus("crawls", spark, _written(spark, sf_dir, _crawl_name()), "src", START, END, share=0.4))
 
 
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether English and French files have the same titles: all of them, and with a French file left out."""
+    folder = files.scratch(spark)
+    docs = tables.read(spark, sf_dir, "documents").where("lang in ('en', 'fr') and text is not null and doc_id is not null")
+    files.write_named(docs.select(F.concat("lang", F.lit("/"), F.pmod("doc_id", F.lit(5)).cast("string"), F.lit("."), "lang").alias("name"), F.col("text").alias("value")), folder)
+    src, trg = readers.plain(spark, f"{folder}/en", "src"), readers.plain(spark, f"{folder}/fr", "trg")
+    fewer = trg.where(~F.col("doc").endswith("/3.fr"))
+    return spark.createDataFrame([("all", readers.same_files(src, trg)), ("fewer", readers.same_files(src, fewer))], "files string, same boolean")
+
+
 def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("p/"), F.lpad(F.pmod("doc_id", F.lit(12)).cast("string"), 2, "0"), F.lit(".txt"))
     return _summed(readers.open_corpus("wikitemp", spark, _written(spark, sf_dir, name), "src"))
@@ -193,6 +203,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "files_crawl": _crawl,
     "files_crawl_titles": _titles,
     "files_crawl_sampled": _sampled,
+    "files_aligned": _aligned,
     "files_as_bins": _bins,
     "files_by_depth": _depth,
     "file_dictionary": _dictionary,
@@ -225,6 +236,8 @@ def oracle_sql() -> dict[str, str]:
         "files_crawl_titles": f"{_LINES}SELECT 'src' AS side, (doc_id % 30)::INT AS day_idx, {_SUMS} WHERE doc_id % 30 IN (3, 13) GROUP BY 2",
         "files_crawl_sampled": f"""{_LINES}, t AS (SELECT *, (DATE '2010-01-01' + (doc_id % 30)::INT)::DATE AS day FROM d)
             SELECT 'src' AS side, (doc_id % 30)::INT AS day_idx, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM t WHERE {share("year(day) || '-' || month(day) || '-' || day(day) || '.'")} < 400000 GROUP BY 2""",
+        "files_aligned": """WITH t AS (SELECT DISTINCT lang, doc_id % 5 AS title FROM documents WHERE lang IN ('en', 'fr')), k AS (SELECT title, count(*) AS n FROM t GROUP BY 1)
+            SELECT 'all' AS files, min(n) = 2 AS same FROM k UNION ALL SELECT 'fewer', min(n) = 2 AND count(*) FILTER (title = 3) = 0 FROM k""",
         "files_as_bins": f"{_LINES}SELECT 'src' AS side, (dense_rank() OVER (ORDER BY doc_id % 12) - 1)::INT AS day_idx, {_SUMS} GROUP BY doc_id % 12",
         "files_by_depth": "SELECT DISTINCT (doc_id % 6)::VARCHAR || '.txt' AS name FROM documents WHERE lang = 'en' AND text IS NOT NULL AND doc_id % 3 < 2",
         "file_dictionary": f"{on_dict}SELECT DISTINCT src, trg FROM dict WHERE {clean}",
