@@ -59,5 +59,10 @@ def accumulate(a: Column, b: Column) -> Column:
 
 
 def append(array: Column, value: Column) -> Column:
-    """A JSON array (null: none yet) with one more JSON value at its end; null where the first is no array."""
-    return with_element(parse(F.coalesce(array, F.lit("[]"))), "", parse(value))
+    """A JSON array (null: none yet) with one more JSON value at its end; null where the first is no array.
+
+    The text before it stays as it is written; with_element() does the same to a tree.
+    """
+    inner = F.trim(F.regexp_extract(array, r"(?s)^\s*\[(.*)\]\s*$", 1))
+    grown = F.when(inner == "", F.concat(F.lit("["), value, F.lit("]"))).otherwise(F.concat(F.lit("["), inner, F.lit(","), value, F.lit("]")))
+    return F.when(array.isNull(), F.concat(F.lit("["), value, F.lit("]"))).when(F.json_array_length(array).isNotNull(), grown)

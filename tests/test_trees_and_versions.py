@@ -26,7 +26,7 @@ def test_json_trees(spark):
 
 def test_appending_to_json_arrays(spark):
     df = spark.createDataFrame([("[]",), ('[1, "a,]"]',), (None,), ("{}",), ("no",)], "j string")
-    assert [r.x for r in df.select(J.append(F.col("j"), F.lit('{"b":[2]}')).alias("x")).collect()] == ['[{"b":[2]}]', '[1,"a,]",{"b":[2]}]', '[{"b":[2]}]', None, None]
+    assert [r.x for r in df.select(J.append(F.col("j"), F.lit('{"b":[2]}')).alias("x")).collect()] == ['[{"b":[2]}]', '[1, "a,]",{"b":[2]}]', '[{"b":[2]}]', None, None]
 
 
 def test_links_with_any_quotes_and_tags_inside(spark):
