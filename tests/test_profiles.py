@@ -57,3 +57,25 @@ def test_no_profiles_and_no_pages(spark):
     versions = spark.createDataFrame([("u", None, 1, 1, "the of and to"), ("v", "fr", 1, 1, "the of and to")], "url string, lang string, segment_id int, fetched int, content string")
     assert {r.url: r.lang for r in detect.fill_language(versions).collect()} == {"u": "en", "v": "fr"}
     assert detect.fill_language(versions.limit(0)).count() == 0
+
+
+def test_grams_of_long_texts_are_counted_in_parts_of_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [" abba baab ", "", " où été " * 40, " x ", "é" * 300]
+    want = {(i, g): n for i, t in enumerate(texts) for g, n in Counter(t[k : k + n] for n in (1, 2, 3) for k in range(len(t) - n + 1)).items()}
+    monkeypatch.setattr(profiles, "PART", 7)
+    for dense in (1, 1 << 22):
+        monkeypatch.setattr(profiles, "DENSE", dense)
+        row, gram, n = profiles.count_grams(pa.array(texts))
+        named = ["".join(chr(c) for c in ((g >> 42) & 0x1FFFFF, (g >> 21) & 0x1FFFFF, g & 0x1FFFFF) if c) for g in gram.tolist()]
+        assert dict(zip(zip(row.tolist(), named, strict=True), n.tolist(), strict=True)) == want and len(row) == len(want)
+    assert [p.num_rows for p in profiles.parts(pa.RecordBatch.from_arrays([pa.array(texts)], ["t"]), 0)] == [1, 1, 1, 1, 1]
+    monkeypatch.undo()
+    batch = pa.RecordBatch.from_arrays([pa.array([" some words of a text " * 150] * 4000)], ["t"])  # 13 million characters
+    tracemalloc.start()
+    for part in profiles.parts(batch, 0):
+        profiles.count_grams(part.column(0))
+    assert tracemalloc.get_traced_memory()[1] < 256 << 20
