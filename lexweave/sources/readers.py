@@ -184,8 +184,8 @@ def crawl_chunks(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("fe
     return rows.where(F.col("kind").isin(*kinds))
 
 
-#: Fields of a crawl's record; a kind of record has some of them.
-RECORD = "url string, fetched bigint, modified bigint, html string, title string, content string, meta map<string,array<string>>, links array<struct<target:string,anchor:string>>"
+#: Fields of a crawl's record; a kind of record has some of them, and those of one version share the number record, if any.
+RECORD = "url string, record bigint, fetched bigint, modified bigint, html string, title string, content string, meta map<string,array<string>>, links array<struct<target:string,anchor:string>>"
 
 
 def crawl_sequences(spark: SparkSession, folder: str, segment: str, kinds: tuple[str, ...] = ("fetch", "raw", "parse", "text")) -> DataFrame:
@@ -195,6 +195,6 @@ def crawl_sequences(spark: SparkSession, folder: str, segment: str, kinds: tuple
     for kind in kinds:
         pairs = spark.sparkContext.sequenceFile(f"{folder}/segments/{segment}/{kind}", "org.apache.hadoop.io.Text", "org.apache.hadoop.io.Text")
         rows = spark.createDataFrame(pairs, "url string, record string").select("url", F.from_json("record", RECORD).alias("r"))
-        rows = rows.select("url", *(F.col(f"r.{c}") for c in ("fetched", "modified", "html", "title", "content", "meta", "links")), F.lit(segment).alias("segment_id"), F.lit(kind).alias("kind"))
+        rows = rows.select("url", *(F.col(f"r.{c}") for c in ("record", "fetched", "modified", "html", "title", "content", "meta", "links")), F.lit(segment).alias("segment_id"), F.lit(kind).alias("kind"))
         out = rows if out is None else out.unionByName(rows)
     return out

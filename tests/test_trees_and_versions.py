@@ -63,3 +63,25 @@ def test_sequence_files(spark, tmp_path):
     sinks.crawl_sequences(rows, f"file://{tmp_path}", "20100101", "raw")
     back = readers.crawl_sequences(spark, f"file://{tmp_path}", "20100101", kinds=("raw",))
     assert sorted((r.url, r.fetched, r.meta, r.links, r.segment_id, r.kind) for r in back.collect()) == [("u", 1, {"k": ["é", ""]}, [("t", "a")], "20100101", "raw"), ("v\n", None, None, None, "20100101", "raw")]
+
+
+def test_pages_that_share_an_address_and_segment_stay_apart(spark, tmp_path):
+    from collections import Counter
+
+    from lexweave.plans import registry, round_trips
+
+    html = '<html lang="%s"><title>t%d</title><a href="/%d">x</a> same %s</html>'
+    rows = [(0, "u", html % ("en", 0, 0, "")), (3, "u", html % ("fr", 3, 3, "")), (6, "u", html % ("de", 6, 6, "more")), (1, "u", html % ("es", 1, 1, "")), (2, "v", html % ("en", 2, 2, "")), (4, "w", "<html>none</html>"), (5, "w", "<html>none</html>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    names = ("pages_versions", "files_crawl_segments", "files_crawl_sequences")
+    for name in names:
+        got = (registry.queries() | round_trips.QUERIES)[name](spark, str(tmp_path)).collect()
+        assert sorted((r.url, r.fetched, r.title) for r in got) == sorted((url, 1000 * k, f"t{k}" if k < 4 or k == 6 else "") for k, url, _ in rows)
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for name in (*names, "pages_merge"):
+        got = (registry.queries() | round_trips.QUERIES)[name](spark, str(tmp_path))
+        want = con.execute(f"select {', '.join(got.columns)} from ({(registry.oracle_sql() | round_trips.oracle_sql())[name]})").fetchall()
+        assert Counter(tuple(r) for r in got.collect()) == Counter(want), name
