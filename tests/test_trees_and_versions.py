@@ -85,3 +85,16 @@ def test_pages_that_share_an_address_and_segment_stay_apart(spark, tmp_path):
         got = (registry.queries() | round_trips.QUERIES)[name](spark, str(tmp_path))
         want = con.execute(f"select {', '.join(got.columns)} from ({(registry.oracle_sql() | round_trips.oracle_sql())[name]})").fetchall()
         assert Counter(tuple(r) for r in got.collect()) == Counter(want), name
+
+
+def test_a_moments_texts_are_put_together_in_order(spark, tmp_path):
+    import hashlib
+
+    from lexweave.plans import registry
+
+    html = "<html lang=en><body>%s</body></html>"
+    texts = {0: "b", 168: "a", 336: "b", 504: "é c", 3: "x", 8: "y"}  # a moment every 168 pages; 336 repeats a content
+    spark.createDataFrame([(k, f"u{k}", html % t) for k, t in texts.items()], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {(r.lang, r.day): r.text_md5 for r in registry.queries()["dated_corpus"](spark, str(tmp_path)).collect()}
+    want = {("ru", "2008-01-01"): "a\nb\né c", ("ru", "2010-04-04"): "x", ("ru", "2008-09-09"): "y"}
+    assert got == {k: hashlib.md5(t.encode()).hexdigest() for k, t in want.items()}
