@@ -40,3 +40,16 @@ def test_contexts_without_words_or_sentences(spark, sents):
     df, _ = sents
     words = spark.createDataFrame([("src", "a", 1)], "side string, stem string, n long")
     assert context.collect(df, words, words.limit(0)).count() == 0 and context.collect(df.limit(0), words, words).count() == 0
+
+
+def test_ngrams_are_counted_before_they_are_opened(spark):
+    from lexweave.operators import vocab
+
+    rows = [("src", ["a", "b", "a", "b", "a"]), ("trg", ["a", "b"]), ("src", ["é"]), ("src", []), ("trg", ["b", "a", "b", "c"])]
+    df = spark.createDataFrame([(s, 1, 0, 0, k, t) for k, (s, t) in enumerate(rows)], "side string, doc long, day_idx int, line_no int, sent_no int, toks array<string>")
+    for longest in (1, 3, 9, -1):
+        want = sorted(tuple(r) for r in vocab.phrase_counts(vocab.spans(df.repartition(2), longest)).collect())
+        counted = vocab.ngram_counts(df.coalesce(1), longest)
+        assert sorted(tuple(r) for r in counted.collect()) == want
+        if longest > 0:
+            assert "Generate" not in counted._jdf.queryExecution().executedPlan().toString()
