@@ -94,3 +94,17 @@ def test_a_file_of_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sum(sizes) == 4000 and len(sizes) >= 4 and max(sizes) < 2000
+
+
+def test_bins_make_only_the_rankings_that_are_asked_for(monkeypatch):
+    from lexweave.plans import induction
+
+    class Rows:
+        def __getattr__(self, name):
+            return lambda *args, **kw: self
+
+    asked = []
+    monkeypatch.setattr(induction, "RANKINGS", {n: (lambda j, n=n: asked.append(n) or Rows()) for n in induction.RANKINGS})
+    monkeypatch.setattr(induction, "binned_sources", lambda *args: Rows())
+    monkeypatch.setattr(induction, "F", Rows())
+    assert list(induction.rankings_by_bin(Rows(), names=("context",))) == ["context"] and asked == ["context"]
