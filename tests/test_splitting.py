@@ -108,3 +108,14 @@ def test_bins_make_only_the_rankings_that_are_asked_for(monkeypatch):
     monkeypatch.setattr(induction, "binned_sources", lambda *args: Rows())
     monkeypatch.setattr(induction, "F", Rows())
     assert list(induction.rankings_by_bin(Rows(), names=("context",))) == ["context"] and asked == ["context"]
+
+
+def test_an_induction_filters_its_words_once(spark):
+    from lexweave.plans.fixtures import Induction
+
+    i = Induction(spark, "/root/testdata/sf0.001")
+    j = i.of(i.sources, i.targets)
+    assert i.vocab.is_cached and i.sources.is_cached and i.totals.is_cached
+    assert j.vocab is i.vocab and j.dictionary is i.dictionary and j.totals is i.totals and j.context_words is i.context_words
+    i.release()
+    assert not (i.vocab.is_cached or i.sources.is_cached or i.totals.is_cached)
