@@ -28,6 +28,8 @@ SCORE_LANES, WINDOW = 512, 8192
 LINED_UP = 2_000_000
 #: Averaged rounds, each over its own part of the training documents, and documents of the round that starts them, about.
 ROUNDS, START = 4, 512
+#: Logits of this size need no shift before exp(), whose sums stay far within single precision.
+SAFE = 40
 #: Stands for the end in the counts; no word holds a blank.
 END = b" "
 
@@ -60,6 +62,11 @@ class Vocabulary:
     def size(self) -> int:
         return len(self.words)
 
+    @property
+    def kind(self) -> type:
+        """The numbers that ids are stored as."""
+        return np.uint16 if self.size + 2 <= 1 << 16 else np.int32
+
     def ids(self, found: pa.Array) -> np.ndarray:
         return np.array(pc.fill_null(pc.index_in(found, value_set=self.words), self.size + 1), np.int32)
 
@@ -143,6 +150,10 @@ class Gru:
         out *= zr[:k]
         out += c
 
+    def wide(self) -> bool:
+        """Whether logits may be large. States lie within 1, so the weights of an output bound its logit."""
+        return max(np.abs(w).sum(1).max(initial=0) for w in (self.C, self.O)) > SAFE
+
     def by_class(self, targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
         """An order of tokens by class, and (first word, end, first place, end) of each class of several words that is there."""
         classes = self.class_ids[targets]
@@ -154,8 +165,11 @@ class Gru:
     def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probability of each target; of another word that of its class. States are (HIDDEN + 1, tokens)."""
 
+        wide = self.wide() or np.abs(states).max(initial=0) > 1
+
         def picked(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-            logits -= logits.max(0)
+            if wide:
+                logits -= logits.max(0)
             mine = logits[at, np.arange(logits.shape[1])]
             np.exp(logits, out=logits)
             return mine - np.log(logits.sum(0))
@@ -188,11 +202,12 @@ class Gru:
             live, goal = states[:, there], goal[there]
         else:
             there, live = None, states
-        scale = np.float32(1 / max(len(goal), 1))
+        scale, wide = np.float32(1 / max(len(goal), 1)), self.wide() or np.abs(live).max(initial=0) > 1
 
         def error(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
             """Softmax less the target, in place of the logits."""
-            logits -= logits.max(0)
+            if wide:
+                logits -= logits.max(0)
             np.exp(logits, out=logits)
             logits *= scale / logits.sum(0)
             logits[at, np.arange(logits.shape[1])] -= scale
@@ -403,15 +418,47 @@ def most_frequent(counted: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r.word), r.n) for r in ranked.where(F.col("step") >= least).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
 
 
+def draws() -> list[Column]:
+    """Hashes that documents are drawn by: into the start sample (mark), and into rounds (deal)."""
+    return [F.pmod(F.xxhash64("doc_id", "text", F.lit("lm")), F.lit(1 << 40)).alias("mark"), F.xxhash64("doc_id", "text", F.lit("round")).alias("deal")]
+
+
 def start_sample(train_docs: DataFrame, n_docs: int, start: int) -> DataFrame:
-    """The texts of about ``start`` of ``n_docs`` documents, chosen and ordered by a hash (ties by text), in one partition.
+    """The texts, or ids where they are made, of about ``start`` of ``n_docs`` documents, chosen and ordered by a hash (ties by
+    text), in one partition.
 
     They are found where the documents lie, in as many tasks as any scan has; only what is chosen comes together. Rows that
     agree in id and text have one hash: all or none of them are chosen.
     """
-    mark = F.pmod(F.xxhash64("doc_id", "text", F.lit("lm")), F.lit(1 << 40))
-    chosen = train_docs.select("text", mark.alias("mark")).where(F.col("mark") < int((1 << 40) * min(1, start / max(n_docs, 1))))
-    return chosen.repartition(1).sortWithinPartitions("mark", "text").select("text")
+    if "ids" not in train_docs.columns:
+        train_docs = train_docs.select("text", *draws())
+    own = train_docs.columns[0]
+    chosen = train_docs.select(own, "mark").where(F.col("mark") < int((1 << 40) * min(1, start / max(n_docs, 1))))
+    return chosen.repartition(1).sortWithinPartitions("mark", own).select(own)
+
+
+def with_ids(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(ids, mark, deal): the shortlist's ids of each text as bytes, and the hashes by which it is drawn."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(at, SLICE)
+                offsets, found = split_words(piece.column(0))
+                yield pa.RecordBatch.from_arrays([packed_ids(v.ids(found).astype(v.kind), offsets), *piece.columns[1:]], ["ids", "mark", "deal"])
+
+    return map_batches(docs.select("text", *draws()), run, "ids binary, mark long, deal long")
+
+
+def packed_ids(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A column of the bytes of each text's ids, whose places in ids the offsets tell."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * ids.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
+
+
+def unpacked_ids(column: pa.Array, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
 
 def learn(train_docs: DataFrame, vocab: Vocabulary, n_docs: int, rounds: int = ROUNDS, start: int = START) -> tuple[Gru, int]:
@@ -419,7 +466,8 @@ def learn(train_docs: DataFrame, vocab: Vocabulary, n_docs: int, rounds: int = R
 
     About ``start`` of the ``n_docs`` documents, chosen by a hash, give a common start in one task. Then a hash deals all documents to
     ``rounds``. In each, every task trains on all of its documents of the round, from what the round before gave, and the
-    results are averaged by tokens, in two levels; so every document is learnt from and what tasks learn adds up.
+    results are averaged by tokens, in two levels; so every document is learnt from and what tasks learn adds up. train_docs:
+    doc_id and text, which are turned into ids once, or what with_ids gives.
     """
     spark = train_docs.sparkSession
     context = spark.sparkContext
@@ -434,9 +482,8 @@ def learn(train_docs: DataFrame, vocab: Vocabulary, n_docs: int, rounds: int = R
             held, room, tokens = [], 0, 0
             for batch in batches:
                 for at in range(0, batch.num_rows, SLICE):
-                    offsets, found = split_words(batch.column(0).slice(at, SLICE))
-                    held += np.split(v.ids(found), offsets[1:-1])
-                    room += len(found)
+                    held += (own := unpacked_ids(batch.column(0).slice(at, SLICE), v.kind))
+                    room += sum(map(len, own))
                     if room > LINED_UP:
                         tokens += train(model, held, pace)
                         held, room = [], 0
@@ -450,6 +497,9 @@ def learn(train_docs: DataFrame, vocab: Vocabulary, n_docs: int, rounds: int = R
     model = Gru(vocab)
     if not n_docs:
         return model, 0
+    if "ids" not in train_docs.columns:
+        train_docs = settle(with_ids(train_docs, vocab))
+    train_docs = train_docs.select("ids", "mark", "deal")
     row = map_batches(start_sample(train_docs, n_docs, start), trainer(None, 0.02), schema).first()
     weights, learnt = bytes(row.weights) if row else model.packed(), 0
 
@@ -460,8 +510,7 @@ def learn(train_docs: DataFrame, vocab: Vocabulary, n_docs: int, rounds: int = R
 
     for k in range(rounds):
         shared = context.broadcast(weights)
-        share = F.pmod(F.xxhash64("doc_id", "text", F.lit("round")), F.lit(rounds)) == k
-        own = map_batches(train_docs.where(share).select("text"), trainer(shared, 0.004), schema)
+        own = map_batches(train_docs.where(F.pmod("deal", F.lit(rounds)) == k).select("ids"), trainer(shared, 0.004), schema)
         trained = settle(own.withColumn("part", F.spark_partition_id()))
         groups = max(1, math.isqrt(trained.rdd.getNumPartitions()))
         half = trained.groupBy(F.col("part") % groups).applyInPandas(average, schema)
@@ -479,43 +528,31 @@ def score_documents(df: DataFrame, learn_from: Column | None = None, id_col: str
     off the shortlist has the model's probability of the class of such words times its share of their counts, one added
     each and one for a word never seen; so the model's outcomes are the base's. Counts of the ``head`` most frequent words
     are broadcast (a fixed number at most); rarer words leave the worker with their documents and meet their counts in a join.
-    Texts of any length are scored whole, in a worker's room for their tokens. Null texts count as empty and have the end alone; null ids are kept; rows of one id are told apart by their place; an
+    Texts are split and turned into ids once for training and scoring, and scored whole at any length, in a worker's room for
+    their tokens. Null texts count as empty and have the end alone; null ids are kept; rows of one id are told apart by their place; an
     empty table gives no rows; other columns are ignored.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    training = docs.where(learn_from) if learn_from is not None else docs
-    counted = settle(count_words(training))
+    learnt = F.lit(True) if learn_from is None else learn_from
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), learnt.alias("learn"))
+    counted = settle(count_words(docs.where("learn")))
     total, distinct, ends = counted.agg(F.sum("n"), F.count("*"), F.max(F.when(F.col("word") == F.lit(END), F.col("n")))).first()
     total, ends = total or 0, ends or 0
     top = most_frequent(counted, head)
     listed = top[:shortlist]
     others = total - ends - sum(n for _, n in listed)
     vocab = vocabulary(listed, ends, others)
-    model, _ = learn(training, vocab, ends)
-    shared = spark.sparkContext.broadcast((model, pa.array([w for w, _ in top], pa.binary()), np.log10(np.array([n + 1 for _, n in top], float))))
+    shared = spark.sparkContext.broadcast((vocab.size, vocab.kind, pa.array([w for w, _ in top], pa.binary()), np.log10(np.array([n + 1 for _, n in top], float))))
     base = math.log10(total + distinct + 1)
     spread = math.log10(others + (distinct - len(listed) - (ends > 0)) + 1)
     end_base = math.log10(ends + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, head_words, head_logs = shared.value
-        missing, other = len(head_words), net.n + 1
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, kind, head_words, head_logs = shared.value
+        missing, other = len(head_words), known + 1
         ids_of = np.arange(missing + 1, dtype=np.int32)
-        ids_of[net.n :] = other
+        ids_of[known:] = other
         logs_of = np.append(head_logs, 0.0)
-        held: list[pa.RecordBatch] = []
-        ids: list[np.ndarray] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            scores, at = score(net, ids) / math.log(10), 0
-            for rows in held:
-                yield rows.append_column("net", pa.array(scores[at : at + rows.num_rows], pa.float64()))
-                at += rows.num_rows
-            held.clear()
-            ids.clear()
-
-        room = 0
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
@@ -537,20 +574,46 @@ def score_documents(df: DataFrame, learn_from: Column | None = None, id_col: str
                     "other_logs": pa.array(sums(logs * off), pa.float64()),
                     "rare": pa.ListArray.from_arrays(bounds, unseen.dictionary.take(pa.array(rare & 0xFFFFFFFF, pa.int64()))),
                     "times": pa.ListArray.from_arrays(bounds, pa.array(times, pa.int32())),
+                    "ids": packed_ids(own.astype(kind), offsets),
+                    **dict(zip(("learn", "mark", "deal"), piece.columns[2:], strict=True)),
                 }
-                held.append(pa.RecordBatch.from_pydict(columns))
-                ids += np.split(own, offsets[1:-1])
-                room += len(own)
+                yield pa.RecordBatch.from_pydict(columns)
+
+    sums = "doc_id long, n_tokens long, n_head long, head_logs double, n_other long, other_logs double"
+    schema = f"{sums}, rare array<binary>, times array<int>, ids binary, learn boolean, mark long, deal long"
+    coded = settle(map_batches(docs.select("doc_id", "text", "learn", *draws()), code, schema).withColumn("row", F.monotonically_increasing_id()))
+    model, _ = learn(coded.where("learn"), vocab, ends)
+    net, kind = spark.sparkContext.broadcast(model), vocab.kind
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        ids: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            scores, at = score(net.value, ids) / math.log(10), 0
+            for rows in held:
+                yield rows.append_column("net", pa.array(scores[at : at + rows.num_rows], pa.float64()))
+                at += rows.num_rows
+            held.clear()
+            ids.clear()
+
+        room = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(at, SLICE)
+                ids += (own := unpacked_ids(piece.column(0), kind))
+                held.append(piece.select(range(1, piece.num_columns)))
+                room += sum(map(len, own))
                 if room > LINED_UP:
                     yield from flush()
                     room = 0
         yield from flush()
 
-    schema = "doc_id long, n_tokens long, n_head long, head_logs double, n_other long, other_logs double, rare array<binary>, times array<int>, net double"
-    scored = settle(map_batches(docs, run, schema).withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    plain = coded.drop("ids", "rare", "times", "learn", "mark", "deal")
+    scored = settle(map_batches(coded.select("ids", *plain.columns), run, f"{sums}, row long, net double"))
+    rare = coded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     met = rare.join(counted, "word").groupBy("row").agg(F.sum("times").alias("n_met"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("met_logs"))
-    out = scored.drop("rare", "times").join(met, "row", "left").fillna(0, ["n_met", "met_logs"])
+    out = scored.join(met, "row", "left").fillna(0, ["n_met", "met_logs"])
     end_known = int(ends > 0)
     return out.select(
         "doc_id",

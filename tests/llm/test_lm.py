@@ -203,3 +203,28 @@ def test_every_training_document_is_learnt_from(spark):
     model, learnt = lm.learn(df, vocab, len(docs))
     assert learnt == sum(count.values()) + len(docs)
     assert all(np.isfinite(p).all() for p in model.parts())
+
+
+def test_texts_are_split_once_for_training_and_scoring(spark, monkeypatch):
+    df = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 23}" for j in range(k % 40))) for k in range(300)], "doc_id long, text string")
+    seen, learn = [], lm.learn
+    monkeypatch.setattr(lm, "learn", lambda docs, vocab, n: seen.append((docs, vocab)) or learn(docs, vocab, n))
+    assert lm.score_documents(df, learn_from=df.doc_id % 3 != 0, shortlist=10).count() == 300
+    docs, vocab = seen[0]
+    assert "text" not in docs.columns and docs.count() == 200
+    have = sorted(tuple(x) for x in lm.unpacked_ids(docs.select("ids").toArrow().column(0).combine_chunks(), vocab.kind))
+    number = {w.as_py(): i for i, w in enumerate(vocab.words)}
+    assert have == sorted(tuple(number.get(w, vocab.size + 1) for w in lm.words(r.text)) for r in df.where("doc_id % 3 <> 0").collect())
+    apart = lm.with_ids(df.where("doc_id % 3 <> 0"), vocab)
+    assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, docs.select("ids", "mark", "deal").collect()))
+
+
+def test_large_logits_are_shifted():
+    vocab = lm.vocabulary([(b"a", 5), (b"b", 4), (b"c", 3)], 2, 2)
+    model = lm.Gru(vocab, 1)
+    model.C[:, 0], model.O[:, 0] = [30 * k for k in range(len(model.C))], [100, 0, -100]
+    assert model.wide()
+    states = np.ones((lm.HIDDEN + 1, 5), np.float32)
+    assert np.isfinite(model.log_probs(states, np.arange(5))).all()
+    model.C[:, 0] = model.O[:, 0] = 0.5
+    assert not model.wide()
