@@ -28,6 +28,8 @@ SCORE_LANES, WINDOW = 512, 8192
 LINED_UP = 2_000_000
 #: Averaged rounds, each over its own part of the training documents, and documents of the round that starts them, about.
 ROUNDS, START = 4, 512
+#: Tokens whose classes are told at a time; their numbers stay in a core's cache.
+PIECE = 2048
 #: Logits of this size need no shift before exp(), whose sums stay far within single precision.
 SAFE = 40
 #: Stands for the end in the counts; no word holds a blank.
@@ -92,6 +94,7 @@ class Gru:
         n, h = vocab.size, HIDDEN
         self.n, self.start, self.classes = n, vocab.start, len(vocab.start) + 1
         self.rooms: dict[str, np.ndarray] = {}
+        self.first_words = np.array([*vocab.start[:-1], n, n + 1])
         self.E = rng.normal(0, 0.1, (n + 2, EMBED)).astype(np.float32)
         # Last columns are biases: inputs and states have a row of ones below.
         self.W = rng.normal(0, EMBED**-0.5, (3 * h, EMBED + 1)).astype(np.float32)
@@ -125,143 +128,187 @@ class Gru:
             kept = self.rooms[name] = np.empty((rows, columns + 80), np.float32)
         return kept[:, :columns]
 
-    def embed(self, ins: np.ndarray) -> np.ndarray:
-        """Embeddings of words, with ones in the last column."""
-        x = self.room("x", len(ins), EMBED + 1)
-        x[:, :-1], x[:, -1] = self.E[ins], 1
-        return x
+    def step(self, gx: np.ndarray, gh: np.ndarray, h0: np.ndarray, c: np.ndarray, out: np.ndarray) -> None:
+        """One step from states h0, inputs gx and the states' share gh of gates and candidate, thirds of both, whose candidate's are
+        doubled and negative. The gates take the place of the first two in gh; writes the candidate c and the new state.
 
-    def step(self, gx: np.ndarray, h0: np.ndarray, zr: np.ndarray, g: np.ndarray, c: np.ndarray, out: np.ndarray) -> None:
-        """One step from states h0 and inputs gx; writes the gates, the state's share g of the candidate c, and the new state.
-
-        A gate is 1 / (1 + exp(x)).
+        A gate is 1 / (1 + exp(x)), and tanh is 2 / (1 + exp(-2x)) - 1.
         """
-        k = HIDDEN
-        gh = np.matmul(self.U, h0, out=self.room("gh", 3 * k, h0.shape[1]))
-        np.add(gx[: 2 * k], gh[: 2 * k], out=zr)
+        zr = gh[:2]
+        zr += gx[:2]
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        g[...] = gh[2 * k :]
-        np.multiply(zr[k:], g, out=c)
-        c += gx[2 * k :]
-        np.tanh(c, out=c)
+        np.multiply(zr[1], gh[2], out=c)
+        c += gx[2]
+        np.exp(c, out=c)
+        c += 1
+        np.divide(2, c, out=c)
+        c -= 1
         np.subtract(h0, c, out=out)
-        out *= zr[:k]
+        out *= zr[0]
         out += c
 
+    def gate_weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """W and U as step() takes them."""
+        scale = np.repeat(np.array([1, 1, -2], np.float32), HIDDEN)[:, None]
+        return self.W * scale, self.U * scale
+
     def wide(self) -> bool:
         """Whether logits may be large. States lie within 1, so the weights of an output bound its logit."""
         return max(np.abs(w).sum(1).max(initial=0) for w in (self.C, self.O)) > SAFE
 
-    def by_class(self, targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
-        """An order of tokens by class, and (first word, end, first place, end) of each class of several words that is there."""
+    def by_class(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """An order of tokens by class, the targets in it, and where each class begins there (one more at the end)."""
         classes = self.class_ids[targets]
         order = np.argsort(classes, kind="stable")
-        bounds = np.searchsorted(classes[order], np.arange(self.classes - 1))
-        spans = zip(self.start[:-1].tolist(), self.start[1:].tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
-        return order, [x for x in spans if x[3] > x[2] and x[1] > x[0] + 1]
+        return order, targets[order], [0, *np.cumsum(np.bincount(classes, minlength=self.classes)).tolist()]
 
-    def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target; of another word that of its class. States are (HIDDEN + 1, tokens)."""
+    def word_spans(self, bounds: list[int]) -> list[tuple[int, int, int, int]]:
+        """(first word, end, first place, end) of each class of several words that is there."""
+        spans = zip(self.start[:-1].tolist(), self.start[1:].tolist(), bounds, bounds[1:], strict=False)
+        return [x for x in spans if x[3] > x[2] and x[1] > x[0] + 1]
 
-        wide = self.wide() or np.abs(states).max(initial=0) > 1
+    def logits(self, weights: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of outcomes (rows) after states (columns), and the same as one row; both last until the next call."""
+        rows, columns = len(weights), states.shape[1]
+        flat = self.room("logits", 1, rows * columns)[0]
+        return np.matmul(weights, states, out=flat.reshape(rows, columns)), flat
 
-        def picked(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Natural log probability of each target; of another word that of its class. States are (HIDDEN + 1, tokens)."""
+        order, goal, bounds = self.by_class(targets)
+        states = np.take(states, order, 1, out=self.room("sorted", HIDDEN + 1, len(order)), mode="clip")
+        wide = self.wide() or max(states.max(initial=0), -states.min(initial=0)) > 1
+        ones = np.ones(max(self.classes, self.n), states.dtype)
+        own, sums = np.empty(len(order), states.dtype), np.ones((2, len(order)), states.dtype)
+        counting, classes = np.arange(len(order)), self.class_ids[goal].astype(np.intp)
+        goal = goal - self.first_words[classes]
+        for a in range(0, len(order), PIECE):
+            b = min(a + PIECE, len(order))
+            p, flat = self.logits(self.C, states[:, a:b])
+            if wide:
+                p -= p.max(0)
+            own[a:b] = flat.take(classes[a:b] * (b - a) + counting[: b - a], mode="clip")
+            np.exp(p, out=p)
+            np.matmul(ones[: len(p)], p, out=sums[0, a:b])
+        for lo, hi, a, b in self.word_spans(bounds):
+            p, flat = self.logits(self.O[lo:hi], states[:, a:b])
             if wide:
-                logits -= logits.max(0)
-            mine = logits[at, np.arange(logits.shape[1])]
-            np.exp(logits, out=logits)
-            return mine - np.log(logits.sum(0))
-
-        out = picked(np.matmul(self.C, states, out=self.room("p", self.classes, len(targets))), self.class_ids[targets])
-        order, spans = self.by_class(targets)
-        states, goal = np.take(states, order, 1), targets[order]
-        for lo, hi, a, b in spans:
-            out[order[a:b]] += picked(self.O[lo:hi] @ states[:, a:b], goal[a:b] - lo)
+                p -= p.max(0)
+            own[a:b] += flat.take(goal[a:b] * (b - a) + counting[: b - a], mode="clip")
+            np.exp(p, out=p)
+            np.matmul(ones[: hi - lo], p, out=sums[1, a:b])
+        np.log(sums, out=sums)
+        own -= sums[0]
+        own -= sums[1]
+        out = np.empty_like(own)
+        out[order] = own
         return out
 
     def train_window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Gradients over one window (steps, lanes); the state (HIDDEN, lanes) that enters is a constant. -1 as target: nothing there."""
+        """Gradients over one window (steps, lanes); the state (HIDDEN, lanes) that enters is a constant. -1 as target: nothing there.
+
+        What a step needs lies together, and its share of the gradients is added while it is in the cache.
+        """
         (steps, lanes), k = inputs.shape, HIDDEN
         ins, goal = inputs.ravel(), targets.ravel()
         size = steps * lanes
-        spans = [slice(t * lanes, (t + 1) * lanes) for t in range(steps)]
         goes_on = (inputs != self.n).astype(np.float32)  # a document starts with the end token as input
-        x = self.embed(ins)
-        gx = np.matmul(self.W, x.T, out=self.room("gx", 3 * k, size))
-        before, c, g, zr = (self.room(name, n * k, size) for name, n in (("before", 1), ("c", 1), ("g", 1), ("zr", 2)))
+        embedded = np.concatenate([self.E, np.ones((len(self.E), 1), np.float32)], 1)
+        x = np.take(embedded, ins, 0, out=self.room("x", 1, size * (EMBED + 1))[0].reshape(size, EMBED + 1), mode="clip").reshape(steps, lanes, EMBED + 1)
+        before, c, gates = (self.room(name, 1, steps * n * k * lanes)[0].reshape(steps, n, k, lanes) for name, n in (("before", 1), ("c", 1), ("gates", 3)))
+        gx = self.room("gx", 1, 3 * k * lanes)[0].reshape(3, k, lanes)
         states = self.room("states", k + 1, size)
         states[k] = 1
-        for t, s in enumerate(spans):
-            np.multiply(h, goes_on[t], out=before[:, s])
-            h = states[:k, s]
-            self.step(gx[:, s], before[:, s], zr[:, s], g[:, s], c[:, s], h)
+        w, u = self.gate_weights()
+        new = np.array(h)
+        for t in range(steps):
+            h0, gh = before[t, 0], gates[t]
+            np.multiply(new, goes_on[t], out=h0)
+            np.matmul(w, x[t].T, out=gx.reshape(3 * k, lanes))
+            np.matmul(u, h0, out=gh.reshape(3 * k, lanes))
+            self.step(gx, gh, h0, c[t, 0], new)
+            states[:k, t * lanes : (t + 1) * lanes] = new
+        there = None
         if (goal < 0).any():
             there = np.flatnonzero(goal >= 0)
-            live, goal = states[:, there], goal[there]
-        else:
-            there, live = None, states
-        scale, wide = np.float32(1 / max(len(goal), 1)), self.wide() or np.abs(live).max(initial=0) > 1
-
-        def error(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-            """Softmax less the target, in place of the logits."""
+            goal = goal[there]
+        order, goal, bounds = self.by_class(goal)
+        source = order if there is None else there[order]
+        live = np.take(states, source, 1, out=self.room("sorted", k + 1, len(goal)), mode="clip")
+        scale, wide = np.float32(1 / max(len(goal), 1)), self.wide() or max(live.max(initial=0), -live.min(initial=0)) > 1
+        ones, counting = np.ones(max(self.classes, self.n), np.float32), np.arange(len(goal))
+        weighed = self.room("weighed", k + 1, len(goal))
+        grads = {"O": np.zeros_like(self.O), "E": np.zeros_like(self.E), "C": np.zeros_like(self.C)}
+
+        def exps(p: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """exp() in place of logits, their sums, and what makes of these less the target's the error; weighs the states by it."""
             if wide:
-                logits -= logits.max(0)
-            np.exp(logits, out=logits)
-            logits *= scale / logits.sum(0)
-            logits[at, np.arange(logits.shape[1])] -= scale
-            return logits
-
-        grads = {"O": np.zeros_like(self.O), "E": np.zeros_like(self.E)}
-        p = error(np.matmul(self.C, live, out=self.room("p", self.classes, len(goal))), self.class_ids[goal])
-        grads["C"] = p @ live.T
-        ds = self.C[:, :k].T @ p
-        order, word_spans = self.by_class(goal)
-        sorted_states, sorted_goal = np.take(live, order, 1), goal[order]
-        sorted_ds = self.room("sorted_ds", k, len(goal))
-        sorted_ds[:] = 0
-        for lo, hi, a, b in word_spans:
-            p = error(self.O[lo:hi] @ sorted_states[:, a:b], sorted_goal[a:b] - lo)
-            grads["O"][lo:hi] = p @ sorted_states[:, a:b].T
-            sorted_ds[:, a:b] = self.O[lo:hi, :k].T @ p
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        ds += np.take(sorted_ds, place, 1)
-        if there is not None:
+                p -= p.max(0)
+            np.exp(p, out=p)
+            sums = ones[: len(p)] @ p
+            return sums, (fit := scale / sums), np.multiply(live[:, a:b], fit, out=weighed[:, a:b])
+
+        classes, ds = self.class_ids[goal].astype(np.intp), self.room("ds", k, len(goal))
+        goal = goal - self.first_words[classes]
+        for a in range(0, len(goal), PIECE):
+            b = min(a + PIECE, len(goal))
+            p, flat = self.logits(self.C, live[:, a:b])
+            sums, fit, own = exps(p, a, b)
+            flat[classes[a:b] * (b - a) + counting[: b - a]] -= sums
+            grads["C"] += p @ own.T
+            np.multiply(self.C[:, :k].T @ p, fit, out=ds[:, a:b])
+        for lo, hi, a, b in self.word_spans(bounds):
+            p, flat = self.logits(self.O[lo:hi], live[:, a:b])
+            sums, fit, own = exps(p, a, b)
+            flat[goal[a:b] * (b - a) + counting[: b - a]] -= sums
+            grads["O"][lo:hi] = p @ own.T
+            d = self.O[lo:hi, :k].T @ p
+            d *= fit
+            ds[:, a:b] += d
+        if there is None:
+            place = np.empty_like(order)
+            place[source] = counting
+            all_ds = np.take(ds, place, 1, out=self.room("all_ds", k, size), mode="clip")
+        else:
             all_ds = np.zeros((k, size), np.float32)
-            all_ds[:, there] = ds
-            ds = all_ds
-        gates, gated = gx, self.room("gated", 3 * k, size)  # errors at the inputs' side take the place of gx
+            all_ds[:, source] = ds
+        # Errors of a step: candidate, gates, and the candidate's at the states' side, so that either side's lie together.
+        errors = self.room("errors", 1, 4 * k * lanes)[0].reshape(4, k, lanes)
+        at_inputs, at_states = errors[:3].reshape(3 * k, lanes), errors[1:].reshape(3 * k, lanes)
+        w, u_turned = np.concatenate([self.W[2 * k :], self.W[: 2 * k]]), np.ascontiguousarray(self.U.T)
+        dw, du = np.zeros_like(w), np.zeros_like(self.U)
+        dx = self.room("dx", 1, size * EMBED)[0].reshape(steps, lanes, EMBED)
         dh, one = np.zeros((k, lanes), np.float32), np.empty((k, lanes), np.float32)
         for t in reversed(range(steps)):
-            s = spans[t]
-            own, back, z, r, out = gates[:, s], gated[:, s], zr[:k, s], zr[k:, s], c[:, s]
-            dh += ds[:, s]
+            (z, r, g), out, h0 = gates[t], c[t, 0], before[t, 0]
+            dh += all_ds[:, t * lanes : (t + 1) * lanes]
             np.subtract(1, z, out=one)
-            np.multiply(out, out, out=own[2 * k :])
-            np.subtract(1, own[2 * k :], out=own[2 * k :])
-            own[2 * k :] *= one
-            own[2 * k :] *= dh
-            np.subtract(out, before[:, s], out=own[:k])
-            own[:k] *= z
-            own[:k] *= one
-            own[:k] *= dh
+            one *= dh
+            np.multiply(out, out, out=errors[0])
+            np.subtract(1, errors[0], out=errors[0])
+            errors[0] *= one
+            np.subtract(out, h0, out=errors[1])
+            errors[1] *= z
+            errors[1] *= one
+            np.multiply(errors[0], r, out=errors[3])
             np.subtract(r, 1, out=one)
-            one *= r
-            one *= g[:, s]
-            np.multiply(one, own[2 * k :], out=own[k : 2 * k])
-            back[: 2 * k] = own[: 2 * k]
-            np.multiply(own[2 * k :], r, out=back[2 * k :])
+            one *= errors[3]
+            np.multiply(one, g, out=errors[2])
+            errors[2] *= np.float32(-0.5)  # g is doubled and negative
             dh *= z
-            dh += self.U.T @ back
+            dh += u_turned @ at_states
             dh *= goes_on[t]
-        grads["W"], grads["U"] = gates @ x, gated @ before.T
-        by_word = np.argsort(ins, kind="stable")
-        found, first = np.unique(ins[by_word], return_index=True)
-        dx = np.matmul(gates.T, self.W[:, :-1], out=self.room("dx", size, EMBED))
-        grads["E"][found] = np.add.reduceat(dx[by_word], first, axis=0)
-        return grads, h
+            dw += at_inputs @ x[t]
+            du += at_states @ h0.T
+            np.matmul(at_inputs.T, w[:, :-1], out=dx[t])
+        grads["W"], grads["U"] = np.concatenate([dw[k:], dw[:k]]), du
+        by_word = np.argsort(ins.astype(np.uint16) if len(self.E) <= 1 << 16 else ins, kind="stable")  # a radix sort at 16 bits
+        found = ins[by_word]
+        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+        grads["E"][found[first]] = np.add.reduceat(np.take(dx.reshape(size, EMBED), by_word, 0, mode="clip"), first, axis=0)
+        return grads, new
 
 
 class Adam:
@@ -338,11 +385,13 @@ def score(model: Gru, docs: list[np.ndarray]) -> np.ndarray:
     ends = np.cumsum(lengths)
     places = ends - lengths
     logs = np.zeros(len(stream))
-    h = np.zeros((HIDDEN, lanes), np.float32)
+    h = np.zeros((lanes, HIDDEN), np.float32)  # states as rows here, so that what a word gives is looked up as one stretch
+    w, u = (x.reshape(3, HIDDEN, -1).transpose(0, 2, 1) for x in model.gate_weights())
+    from_words, u = model.E @ w[:, :-1] + w[:, -1:], np.ascontiguousarray(u)
     while True:
         live = places < ends
         if not live.all():
-            places, ends, h = places[live], ends[live], np.ascontiguousarray(h[:, live])
+            places, ends, h = places[live], ends[live], h[live]
         if not (n := len(places)):
             break
         steps = int(min(max(TRUNCATE, WINDOW // n), (ends - places).max()))
@@ -350,16 +399,18 @@ def score(model: Gru, docs: list[np.ndarray]) -> np.ndarray:
         there = np.flatnonzero((at < ends).ravel())
         at = np.minimum(at, len(stream) - 1)
         ins = before[at]
-        gx = np.matmul(model.W, model.embed(ins.ravel()).T, out=model.room("gx", 3 * HIDDEN, steps * n))
         states = model.room("states", HIDDEN + 1, steps * n)
         states[HIDDEN] = 1
-        zr, g, c = (np.empty((k, n), np.float32) for k in (2 * HIDDEN, HIDDEN, HIDDEN))
+        gx, gh = (model.room(name, 1, 3 * HIDDEN * n)[0].reshape(3, n, HIDDEN) for name in ("gx", "gh"))
+        c, h0 = np.empty((n, HIDDEN), np.float32), np.empty((n, HIDDEN), np.float32)
+        goes_on = ins != model.n
+        all_go = goes_on.all(1).tolist()
         for t in range(steps):
-            if (fresh := ins[t] == model.n).any():
-                h = h * ~fresh
-            new = states[:HIDDEN, t * n : (t + 1) * n]
-            model.step(gx[:, t * n : (t + 1) * n], h, zr, g, c, new)
-            h = new
+            np.copyto(h0, h) if all_go[t] else np.multiply(h, goes_on[t, :, None], out=h0)
+            np.take(from_words, ins[t], 1, out=gx, mode="clip")
+            np.matmul(h0, u, out=gh)
+            model.step(gx, gh, h0, c, h)
+            states[:HIDDEN, t * n : (t + 1) * n] = h.T
         at = at.ravel()
         if len(there) < len(at):
             states, at = states[:, there], at[there]
